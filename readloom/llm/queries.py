@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import ann, bpe, jaccard, media, mixing, pii, sharding, toxicity
+from readloom.llm import ann, bpe, jaccard, media, mixing, pii, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op4_sharding": op4_sharding,
         "op5_ann": op5_ann,
         "op6_media": op6_media,
+        "op7_substrings": op7_substrings,
         "op8_jaccard": op8_jaccard,
         "op9_toxicity": op9_toxicity,
     }

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +66,24 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         hi = min(hi, n)
         yield lo, hi
         lo = hi
+
+
+#: Bits of the bitmaps that thin a scan before a join on row keys; hits of other rows are dropped by the join.
+MARK_BITS = 23
+
+
+def marks(keys: DataFrame, column: str) -> bytes:
+    """A bitmap of fixed size (2^23 bits) of the hashes in a long column, built by native bitmap aggregates."""
+    at = keys.select((F.pmod(F.col(column), F.lit(1 << MARK_BITS)) + 1).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = bytearray(1 << (MARK_BITS - 3))
+    for r in rows:  # 256 buckets of 4096 bytes
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = bytes(r["bits"])
+    return bytes(out)
+
+
+def marked(bitmap: bytes, column: Column) -> Column:
+    """Whether a long column's bit is set."""
+    at = F.pmod(column, F.lit(1 << MARK_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (byte / F.pow(F.lit(2.0), at % 8)).cast("long") % 2 == 1
