@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import ann, bpe, jaccard, media, mixing, pii, sharding, substrings, toxicity
+from readloom.llm import ann, bpe, jaccard, lm, media, mixing, pii, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "p_poor", "p_toxic", "is_toxic")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op7_substrings": op7_substrings,
         "op8_jaccard": op8_jaccard,
         "op9_toxicity": op9_toxicity,
+        "op10_lm": op10_lm,
     }
 
 
