@@ -16,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.llm.shared import stored
+
 MAX_RATE = 200.0
+#: Sources up to which their table of rates is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -30,11 +34,15 @@ def poisson(rate: Column, u: Column) -> Column:
     last = F.floor(rate + 14 * F.sqrt(rate) + 30).cast("int")
 
     def step(s, k):
-        more = s["cdf"] <= u
-        term = s["term"] * rate / k
-        return F.struct(F.when(more, k).otherwise(s["k"]).cast("int").alias("k"), F.when(more, term).otherwise(s["term"]).alias("term"), F.when(more, s["cdf"] + term).otherwise(s["cdf"]).alias("cdf"))
-
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("cdf"))
+        # The state carries u and the rate, so that neither is computed again in every step.
+        more = s["cdf"] <= s["u"]
+        term = s["term"] * s["rate"] / k
+        return F.struct(
+            F.when(more, k).otherwise(s["k"]).cast("int").alias("k"), F.when(more, term).otherwise(s["term"]).alias("term"), F.when(more, s["cdf"] + term).otherwise(s["cdf"]).alias("cdf"),
+            s["u"].alias("u"), s["rate"].alias("rate"),
+        )
+
+    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("cdf"), u.alias("u"), rate.alias("rate"))
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["k"])
 
 
@@ -50,6 +58,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
     else:
         given = weights.select(F.col("source").alias("_source"), F.col("weight").cast("double").alias("weight"))
         by = by.join(given, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").na.fill(0.0, ["weight"])
+    by = stored(by, "mixing-sources")
     totals = by.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars")).first()
     if not totals["all_weight"]:
         return by.withColumn("rate", F.lit(0.0)).drop("weight")
@@ -61,6 +70,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
 def replicate(docs: DataFrame, by_source: DataFrame, seed: int = 0) -> DataFrame:
     """docs' rows by their Poisson counts with columns `copy` (from 0) and `rate`, in no special order."""
     shared = by_source.select(F.col("source").alias("_source"), "rate")
+    if by_source.count() <= BROADCAST_SOURCES:  # else Spark joins by key, splitting what is skewed
+        shared = F.broadcast(shared)
     joined = docs.join(shared, F.col("source").cast("string").eqNullSafe(F.col("_source")))
     pieces = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -75,13 +86,13 @@ def replicate(docs: DataFrame, by_source: DataFrame, seed: int = 0) -> DataFrame
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 0) -> DataFrame:
     """The mixed corpus, globally shuffled: docs' columns plus copy, rate and shuffle_key.
 
-    Rows are range-partitioned and sorted by shuffle_key, a hash of seed, id, text and copy, so writing the
-    result in order gives one random permutation of all copies.
+    Every copy goes to a partition by shuffle_key, a hash of seed, id, text and copy, and partitions are sorted by
+    it, so writing the result gives one random permutation of all copies. One shuffle, without a pass to sample ranges.
     """
     out = replicate(docs, rates(docs, weights, temperature, epochs), seed)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.md5(F.concat_ws(":", F.lit(f"shuffle-{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text), F.col("copy").cast("string")))
-    return out.withColumn("shuffle_key", key).orderBy("shuffle_key", "copy")
+    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 
 
 def share_report(mixed: DataFrame) -> DataFrame:
