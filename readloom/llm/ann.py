@@ -6,9 +6,9 @@ rotated unit vector). A query's inner product with a vector is estimated from th
 with an error bound; only vectors whose upper bound reaches the block's k-th best true score are reranked with the
 original vectors in double precision.
 
-Vectors are dealt by hash into blocks of BLOCK rows and queries into blocks of QUERIES; each pair of blocks is one
-unit of work and yields at most k rows a query, of which a grouped limit keeps the best k. All rows are indexed and
-all block pairs are searched, so the only loss is the bound's (measured in the tests).
+Vectors are dealt by hash into blocks of BLOCK rows and queries into blocks of QUERIES. All rows are indexed and every
+query block meets every block of vectors, so the only loss is the bound's (measured in the tests); the work is the
+number of queries times that of vectors, at one bit a dimension for most of it.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, neither as queries nor as candidates. Rows repeated under one vec_id are candidates each, never of their own id.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.shared import stored
 
-BLOCK, QUERIES = 2048, 512
+BLOCK, QUERIES, SLICES = 1024, 512, 6
 #: Width of the error bound, in standard deviations of the estimate for a random rotation.
 EPSILON = 2.2
 
@@ -109,21 +109,37 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vec
     at = F.xxhash64("vec_id", F.monotonically_increasing_id())
     blocks = rows.withColumn("block", F.pmod(at, F.lit(n_blocks))).groupBy("block").applyInArrow(index, "block long, ids binary, vectors binary, bits binary, length binary, alignment binary")
     asked = rows.where(is_query).withColumn("q_block", F.pmod(at, F.lit(n_queries))).groupBy("q_block").applyInArrow(gather, "q_block long, q_ids binary, queries binary")
-    # Each pair of blocks meets in one place; a block goes once to each block of the other side.
-    left = blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = left.join(right.hint("shuffle_hash"), ["block", "q_block"])
+    # A block of vectors goes once to each block of queries. A query block's work is dealt into SLICES streams, each of
+    # which reads its queries first and then vectors block by block, so it holds k results a query and gives no more.
+    zero = F.lit(0).cast("long")
+    left = blocks.select(F.explode(F.sequence(zero, F.lit(n_queries - 1).cast("long"))).alias("q_block"), F.pmod("block", F.lit(SLICES)).alias("slice"), F.col("block").alias("at"), "ids", "vectors", "bits", "length", "alignment")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("bits", "length", "alignment")]
+    right = asked.select("q_block", F.explode(F.sequence(zero, F.lit(SLICES - 1).cast("long"))).alias("slice"), F.lit(-1).cast("long").alias("at"), F.col("q_ids").alias("ids"), F.col("queries").alias("vectors"), *nothing)
+    streams = left.union(right).repartition("q_block", "slice").sortWithinPartitions("q_block", "slice", "at")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids = queries = None
+        best: dict[int, list[tuple[float, int]]] = {}
+
+        def done() -> pa.RecordBatch:
+            rows = [(q, i, -s) for q, found in best.items() for s, i in found]
+            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+
         for batch in batches:
             for row in range(len(batch)):
-                get = lambda c, t: np.frombuffer(batch.column(c)[row].as_py(), t)  # noqa: B023, E731
-                ids = get("ids", np.int64)
-                found = search_block(get("q_ids", np.int64), get("queries", float).reshape(-1, d), ids, get("vectors", float).reshape(-1, d), get("bits", np.uint8).reshape(len(ids), -1), get("length", float), get("alignment", float), centre, turn, k)
-                columns = list(zip(*found, strict=True)) if found else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, result)
+                get = lambda c, t: np.frombuffer(batch.column(c)[row].as_buffer(), t)  # noqa: B023, E731
+                ids, vectors = get("ids", np.int64), get("vectors", float).reshape(-1, d)
+                if batch.column("at")[row].as_py() < 0:
+                    yield done()
+                    q_ids, queries, best = ids, vectors, {}
+                    continue
+                for q, i, s in search_block(q_ids, queries, ids, vectors, get("bits", np.uint8).reshape(len(ids), -1), get("length", float), get("alignment", float), centre, turn, k):
+                    best.setdefault(q, []).append((-s, i))
+                best = {q: sorted(found)[:k] for q, found in best.items()}
+        yield done()
+
+    found = streams.mapInArrow(search, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
