@@ -1 +1 @@
-"""See the module docstrings."""
+"""Column expressions and number texts."""

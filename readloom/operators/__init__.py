@@ -1 +1 @@
-"""See the module docstrings."""
+"""Alignment operators as DataFrame transformations."""

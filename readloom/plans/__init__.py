@@ -1 +1 @@
-"""See the module docstrings."""
+"""Queries, their SQL, reports and whole runs."""

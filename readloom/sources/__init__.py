@@ -1 +1 @@
-"""See the module docstrings."""
+"""Inputs: BAM, BED, FASTA and the view over star-schema tables."""

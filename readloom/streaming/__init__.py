@@ -1 +1 @@
-"""See the module docstrings."""
+"""Structured Streaming jobs."""
