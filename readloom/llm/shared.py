@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
