@@ -40,10 +40,10 @@ def rendered(spark: SparkSession, path: str, form: str) -> str:
     if form == "alignment-summary":
         return texts.alignment_summary_text(rows(alignment_metrics.alignment_summary(reads)))
     if form == "insert-size":
-        histogram = alignment_metrics.insert_histogram(reads).persist()
-        if histogram.where("orientation IS NULL").count():
+        bins = alignment_metrics.insert_bins(reads).persist()
+        if bins.where("orientation IS NULL").count():
             raise LoomError("unsupported_record", "a pair lies on two contigs")
-        return texts.insert_size_text(rows(alignment_metrics.insert_metrics(histogram)), rows(alignment_metrics.insert_widths(histogram)), rows(histogram))
+        return texts.insert_size_text(rows(alignment_metrics.insert_metrics(bins)), rows(alignment_metrics.insert_widths(bins)), rows(alignment_metrics.insert_histogram(reads)))
     flags = {r["qc"]: r for r in rows(counters.flag_counters(reads))}
     if form == "flagstat":
         return texts.flagstat_text(flags)

@@ -141,31 +141,63 @@ def insert_orientation() -> Column:
     return F.when(same, "TANDEM").when(F.col("ref_id") != F.col("mate_ref_id"), None).when(plus < minus, "FR").otherwise("RF")
 
 
-def insert_histogram(reads: DataFrame) -> DataFrame:
-    """orientation, size, n of the second reads of mapped pairs; orientations of five percent and fewer are dropped."""
+def insert_bins(reads: DataFrame) -> DataFrame:
+    """orientation, total, bins: an array of (size, n) by size, of the second reads of mapped pairs.
+
+    One entry for each size that occurs, so an array is as long as the histogram. Orientations of five percent and
+    fewer are dropped; 0.05 is the single-precision value, so exactly five percent is dropped.
+    """
     kept = reads.where(has(sam.PAIRED) & ~has(sam.UNMAPPED | sam.MATE_UNMAPPED | sam.READ1 | sam.SECONDARY | sam.SUPPLEMENTARY | sam.DUPLICATE) & (F.col("tlen") != 0))
     counts = kept.groupBy(insert_orientation().alias("orientation"), F.abs("tlen").alias("size")).agg(F.count("*").alias("n"))
-    # Sums over the few orientations; 0.05 is the single-precision value, so exactly five percent is dropped.
-    by = counts.groupBy("orientation").agg(F.sum("n").alias("own"))
-    shares = by.withColumn("all", F.sum("own").over(Window.partitionBy()))
-    large = shares.where(F.col("own") >= F.col("all") * F.lit(LEAST_ORIENTATION).cast("float").cast("double")).select("orientation")
-    return counts.join(large, "orientation", "left_semi")
+    by = counts.groupBy("orientation").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("size", "n"))).alias("bins"))
+    shares = by.withColumn("_all", F.sum("total").over(Window.partitionBy()))  # four rows at most
+    return shares.where(F.col("total") >= F.col("_all") * F.lit(LEAST_ORIENTATION).cast("float").cast("double")).drop("_all")
 
 
-def insert_metrics(histogram: DataFrame) -> DataFrame:
-    """orientation, read_pairs, median, mode, mad, least, most, and mean and deviation of the trimmed histogram."""
-    spread = _spread(histogram, ["orientation"])
-    mode = histogram.groupBy("orientation").agg(F.sum("n").alias("read_pairs"), F.max_by("size", F.struct("n", -F.col("size"))).alias("mode"))
-    limit = F.floor(F.col("median") + TRIM * F.col("mad"))
-    trimmed = histogram.join(spread, "orientation").where(F.col("size") <= limit).select("orientation", "size", "n")
-    return mode.join(spread, "orientation").join(moments(trimmed, ["orientation"]).drop("n"), "orientation")
+def insert_histogram(reads: DataFrame) -> DataFrame:
+    """orientation, size, n."""
+    return insert_bins(reads).select("orientation", F.inline("bins"))
+
+
+def _at_rank(bins: Column, reached) -> Column:
+    """The first value of sorted bins at which reached(count up to it) holds."""
+    start = F.struct(F.lit(0).cast("bigint").alias("up"), F.lit(None).cast("double").alias("v"))
 
+    def step(s, b):
+        up = s["up"] + b["n"]
+        return F.struct(up.alias("up"), F.when(s["v"].isNull() & reached(up), b["size"].cast("double")).otherwise(s["v"]).alias("v"))
 
-def insert_widths(histogram: DataFrame) -> DataFrame:
-    """orientation, share, width: the odd width around the median's floor that holds that share of pairs."""
-    centre = weighted_median(histogram, ["orientation"], "size", "n", "median")
-    away = histogram.join(centre, "orientation").groupBy("orientation", F.abs(F.col("size") - F.floor("median")).alias("d")).agg(F.sum("n").alias("n"))
-    along = Window.partitionBy("orientation").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = away.select("orientation", "d", (F.sum("n").over(along) / F.sum("n").over(Window.partitionBy("orientation"))).alias("held"))
+    return F.aggregate(bins, start, step, lambda s: s["v"])
+
+
+def _median_of(bins: Column, total: Column) -> Column:
+    return (_at_rank(bins, lambda up: up * 2 >= total) + _at_rank(bins, lambda up: up >= F.floor(total / 2) + 1)) / 2
+
+
+def _away(centre: Column) -> Column:
+    return F.sort_array(F.transform("bins", lambda b: F.struct(F.abs(b["size"].cast("double") - centre).alias("size"), b["n"].alias("n"))))
+
+
+def insert_metrics(bins: DataFrame) -> DataFrame:
+    """Of insert_bins(): orientation, read_pairs, median, mode, mad, least, most; mean and deviation of the trimmed histogram."""
+    t = bins.withColumn("median", _median_of(F.col("bins"), F.col("total"))).withColumn("_away", _away(F.col("median")))
+    t = t.withColumn("mad", _median_of(F.col("_away"), F.col("total")))
+    limit = F.floor(F.col("median") + TRIM * F.col("mad"))
+    t = t.withColumn("_kept", F.filter("bins", lambda b: b["size"] <= limit))
+    t = t.withColumn("_n", F.aggregate("_kept", F.lit(0).cast("bigint"), lambda a, b: a + b["n"]))
+    # Bins are summed in ascending order.
+    t = t.withColumn("mean", F.aggregate("_kept", F.lit(0.0), lambda a, b: a + b["size"].cast("double") * b["n"]) / F.col("_n"))
+    squares = F.aggregate("_kept", F.lit(0.0), lambda a, b: a + F.pow(b["size"] - F.col("mean"), F.lit(2.0)) * b["n"])
+    mode = F.array_max(F.transform("bins", lambda b: F.struct(b["n"].alias("n"), (-b["size"]).alias("size"))))["size"]
+    return t.select(
+        "orientation", F.col("total").alias("read_pairs"), (-mode).alias("mode"), "median", "mad", F.col("bins")[0]["size"].alias("least"), F.element_at("bins", -1)["size"].alias("most"),
+        "mean", F.when(F.col("_n") > 1, F.sqrt(squares / (F.col("_n") - 1))).alias("deviation"),
+    )
+
+
+def insert_widths(bins: DataFrame) -> DataFrame:
+    """Of insert_bins(): orientation, share, width, the odd width around the median's floor that holds that share of pairs."""
+    t = bins.withColumn("_away", _away(F.floor(_median_of(F.col("bins"), F.col("total")))))
     shares = F.array(*map(F.lit, WIDTHS))
-    return ranked.select("*", F.explode(shares).alias("share")).where("held >= share").groupBy("orientation", "share").agg((F.min("d") * 2 + 1).alias("width"))
+    width = _at_rank(F.col("_away"), lambda up: up / F.col("total") >= F.col("share"))
+    return t.select("*", F.explode(shares).alias("share")).select("orientation", "share", (width * 2 + 1).cast("bigint").alias("width"))

@@ -133,13 +133,13 @@ def picard_insert_histogram(spark, sf_dir):
 
 
 def picard_insert_metrics(spark, sf_dir):
-    m = am.insert_metrics(picard_insert_histogram(spark, sf_dir))
+    m = am.insert_metrics(am.insert_bins(view.reads(spark, sf_dir)))
     scaled = lambda c, s: F.round(F.col(c) * s).cast("bigint")
     return m.select("orientation", "read_pairs", "mode", "least", "most", scaled("median", 2).alias("median_x2"), scaled("mad", 2).alias("mad_x2"), scaled("mean", 1000).alias("mean_x1000"), scaled("deviation", 1000).alias("deviation_x1000"))
 
 
 def picard_insert_widths(spark, sf_dir):
-    return am.insert_widths(picard_insert_histogram(spark, sf_dir)).select("orientation", F.round(F.col("share") * 100).cast("bigint").alias("percent"), "width")
+    return am.insert_widths(am.insert_bins(view.reads(spark, sf_dir))).select("orientation", F.round(F.col("share") * 100).cast("bigint").alias("percent"), "width")
 
 
 def picard_alignment_summary(spark, sf_dir):

@@ -148,12 +148,12 @@ def test_alignment_summary(spark):
 
 
 def test_insert_metrics(spark):
-    histogram = am.insert_histogram(R.frame(spark, R.insert_edge())).cache()
+    bins, histogram = am.insert_bins(R.frame(spark, R.insert_edge())).cache(), am.insert_histogram(R.frame(spark, R.insert_edge()))
     assert {(r["orientation"], r["size"]): r["n"] for r in dicts(histogram)} == {("FR", 100): 10, ("FR", 101): 10, ("FR", 102): 8, ("FR", 103): 8, ("FR", 1000): 1}
-    (m,) = dicts(am.insert_metrics(histogram))
+    (m,) = dicts(am.insert_metrics(bins))
     assert [m[k] for k in ("median", "mode", "mad", "least", "most", "read_pairs")] == [101, 100, 1, 100, 1000, 37]
     assert numbers.plain_float(m["mean"]) == "101.388889" and f"{m['deviation']:.5f}" == "1.12828"
-    widths = dicts(am.insert_widths(histogram))
+    widths = dicts(am.insert_widths(bins))
     assert {round(w["share"] * 100): w["width"] for w in widths} == {10: 1, 20: 1, 30: 3, 40: 3, 50: 3, 60: 3, 70: 3, 80: 5, 90: 5, 95: 5, 99: 1799}
     assert "\n100\t10\n" in texts.insert_size_text([m], widths, dicts(histogram)) and texts.insert_size_text([], [], []) == ""
 
