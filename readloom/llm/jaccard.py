@@ -79,6 +79,21 @@ def _bitmap(s: np.ndarray, bits: int, parity: bool) -> np.ndarray:
     return np.packbits(counts & 1 if parity else counts > 0)
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Parities of the shingles that fall on each bit; four bits a shingle or so, a power of two."""
+    return _bitmap(s, max(PARITY_BITS, 1 << (4 * len(s) - 1).bit_length()), True).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ, at most the size of the symmetric difference; the larger one is folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 _PROFILE = "kind int, doc_id long, n long, fp long, minima array<long>, parity binary, present array<long>, part int, counts binary"
 
 
@@ -96,7 +111,7 @@ def _profile(docs: DataFrame) -> DataFrame:
                 if len(s):
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                     minima.append(mix(s[None, :] ^ _SEEDS[:, None]).min(axis=1).view(np.int64))
-                    parity.append(_bitmap(s, PARITY_BITS, True).tobytes())
+                    parity.append(parity_bitmap(s))
                     present.append(_bitmap(s, UNION_BITS, False).view(np.int64))
                 else:
                     minima.append(None)
@@ -265,15 +280,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _parity_allows(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and parity bitmaps leave a link possible: popcount(xor) <= |A symmetric difference B|."""
     side = lambda c, p: reps.select(F.col("fp").alias(c), F.col("n").alias(f"n{p}"), F.col("parity").alias(f"p{p}"))
-    joined = pairs.join(side("a", 1), "a").where("true").join(side("b", 2), "b")
+    joined = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
     joined = joined.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            p1, p2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("p1", "p2"))
-            differing = np.bitwise_count(p1 ^ p2).sum(axis=1, dtype=np.int64)
+            differing = np.array([differing_bits(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("p1"), batch.column("p2"), strict=True)], np.int64)
             n = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(differing * (100 + percent) <= (100 - percent) * n))
 
@@ -300,21 +312,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = lambda pairs: pairs.join(ids.select(F.col("fp").alias("a"), F.col("doc_id").alias("u")), "a").join(ids.select(F.col("fp").alias("b"), F.col("doc_id").alias("v")), "b").select("u", "v")
     near_ids = stored(named(near), "jaccard-near-ids")
     grouped = stored(components(near_ids), "jaccard-groups")
-    group_of = ids.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("g"))
+    group_of = ids.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("g"), F.col("component").isNotNull().alias("several"))
 
     # The matrix of prefix tokens and groups, and the groups' unions.
     rows = stored(_repeated(_prefix_rows(texts, _levels(profile), percent)), "jaccard-prefix")
-    rows = stored(rows.join(group_of, "fp"), "jaccard-matrix")
+    rows = stored(rows.join(group_of.drop("several"), "fp"), "jaccard-matrix")
     matrix = rows.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
     matrix = stored(matrix.join(several, "token", "left_semi"), "jaccard-tokens")
     asking = rows.join(several, "token", "left_semi").withColumnRenamed("g", "own")
     asked = asking.join(matrix, "token").where(f"own <> g AND 100 * n >= {percent} * least AND 100 * most >= {percent} * n").select("fp", "n", "g").distinct()
-    members = reps.select("fp", F.posexplode("present").alias("at", "bits"))
-    unions = members.join(group_of, "fp").groupBy("g", "at").agg(F.bit_or("bits").alias("union_bits"))
-    lacking = asked.join(reps.select("fp", "present"), "fp").select("fp", "n", "g", F.posexplode("present").alias("at", "bits"))
-    lacking = lacking.join(unions, ["g", "at"]).groupBy("fp", "n", "g").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("union_bits")))).alias("missing"))
-    opened = lacking.where(f"100 * missing <= {100 - percent} * n").select("fp", "g")
+    asked = stored(asked, "jaccard-asked")
+    # A group of one has its member's bitmap as union; others are or-ed word by word before they are shuffled.
+    single = reps.join(group_of.where("NOT several"), "fp").select("g", "present")
+    words = reps.select("fp", F.posexplode("present").alias("at", "bits")).join(group_of.where("several"), "fp")
+    joint = words.groupBy("g", "at").agg(F.bit_or("bits").alias("bits")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("w"))
+    unions = single.union(joint.select("g", F.transform("w", lambda x: x["bits"])))
+    bound = asked.join(reps.select("fp", F.col("present").alias("own_bits")), "fp").join(unions, "g")
+    missing = F.aggregate(F.zip_with("own_bits", "present", lambda x, u: F.bit_count(x.bitwiseAND(F.bitwise_not(u)))), F.lit(0), lambda total, x: total + x)
+    opened = stored(bound.where(missing * 100 <= F.col("n") * (100 - percent)).select("fp", "g"), "jaccard-opened")
     # Members of opened groups that share a prefix token with the query.
     right = asking.select("token", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("own").alias("g"))
     left = asking.select("token", "fp", "n").join(opened, "fp")
