@@ -1,15 +1,16 @@
 """Substring dedup by De Bruijn compaction (operator 7).
 
-Edges are windows of 20 words, nodes their 19-word overlaps. Only edges that can repeat are made: each window's
-anchor is its least 8-word k-mer, so equal windows have equal anchors, and one word in seven or so is an anchor. Windows
-with an anchor that occurs once are unique and never leave the scan.
+Windows are 20 words. Each window's anchor is its least 5-word k-mer, so equal windows have equal anchors, and
+neighbouring windows mostly share one: the words under all windows of one anchor are a segment, the edge of the graph.
+0. Documents with the same words as an earlier one are repeats as a whole and go no further.
 1. A scan keeps, for each document, its anchors, its number of words and the digest of all its words.
-2. Anchors that occur twice are joined back to their documents, whose windows on such anchors become edges.
-3. An edge with one successor at all its occurrences, as frequent as the edge itself, continues a nonbranching path.
+2. Anchors that occur twice are joined back to their documents; windows on other anchors are unique.
+3. An anchor with one segment at all its occurrences is an edge as a whole. Where segments differ (at the ends of a
+   repeated passage), the windows on the anchor are edges of their own.
+4. An edge with one successor at all its occurrences, as frequent as the edge itself, continues a nonbranching path.
    Joins of edges with their successors compact such paths; all edges of a path occur together.
-4. Heads of paths are joined with their occurrences. The first source coordinate stays; at every other one the
-   whole span is removed. Edges are identified by two independent 64-bit hashes and spans are checked against their
-   path's source coordinate.
+5. Heads of paths are joined with their occurrences. The first source coordinate stays; at every other one the
+   whole span is removed. Edges are identified by two independent 64-bit hashes, of k-mer and segment or of the window.
 
 Defined results: a null text has no words. Documents of under 20 words lose nothing. Documents without an id come before
 all others. Rows that share an id are ordered by their text's hash; rows alike in both are one document. Words are bytes
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.shared import marked, marks, slices, stored, text_buffers
-from readloom.llm.words import Words, windows
+from readloom.llm.words import Words, power_tables, mix, windows
 
-WINDOW, ANCHOR = 20, 8
+WINDOW, ANCHOR = 20, 5
 _BY = WINDOW - ANCHOR + 1
 
 
@@ -81,56 +82,114 @@ def _profile(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, d long, h long, n_words long, all_sha256 string, anchors array<long>, positions array<int>")
 
 
-def _edges(joined: DataFrame) -> DataFrame:
-    """Windows whose anchor position is among the row's repeated ones: edge, proof, next, d, h, pos."""
+def _segments(words: Words, start: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: index of the first window, number of windows, hash of the words under them."""
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(start)))
+    up, down = power_tables(len(words.hash) + 1)
+    sums = np.zeros(len(words.hash) + 1, np.uint64)
+    np.cumsum(mix(words.hash ^ np.uint64(0x2545F4914F6CDD1D)) * up[: len(words.hash)], out=sums[1:])
+    low, high = start[first], start[first] + size + WINDOW - 1
+    return first, size, mix((sums[high] - sums[low]) * down[low] + size.astype(np.uint64))
+
+
+_SEGMENT = "anchor long, segment long, next long, d long, h long, pos int, size int"
+
+
+def _repeated_segments(joined: DataFrame) -> DataFrame:
+    """Segments on repeated anchors; next: the following segment's anchor, 0 at a text's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ds, hs, listed = batch.column("d").to_numpy(), batch.column("h").to_numpy(), batch.column("repeated")
             for lo, hi, data, offsets in _texts(batch):
                 words = Words(data, offsets, lower=False)
-                start, anchor, _ = window_anchors(words.hash, words.counts)
-                edge, at, numbers = windows(words.hash, words.counts, WINDOW, salt=20)
-                proof, _, _ = windows(words.hash, words.counts, WINDOW, salt=21)
+                start, anchor, hashes = window_anchors(words.hash, words.counts)
                 flags = np.zeros(int(words.counts.sum()) + 1, bool)
                 first = np.cumsum(words.counts) - words.counts
                 for i in range(lo, hi):
                     flags[first[i - lo] + listed[i].values.to_numpy()] = True
-                following = np.zeros(len(edge), np.int64)
-                following[:-1] = edge.view(np.int64)[1:]
-                following[np.cumsum(numbers)[numbers > 0] - 1] = 0
-                keep = flags[anchor]
-                text = np.repeat(np.arange(lo, hi), numbers)[keep]
+                run_at, size, segment = _segments(words, start, anchor)
+                text = np.searchsorted(first, start[run_at], "right") - 1
+                keys = hashes[run_at].view(np.int64)
+                following = np.zeros(len(keys), np.int64)
+                following[:-1] = np.where(text[1:] == text[:-1], keys[1:], 0)
+                keep = flags[anchor[run_at]]
+                text = text[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(edge.view(np.int64)[keep]), pa.array(proof.view(np.int64)[keep]), pa.array(following[keep]), pa.array(ds[text]), pa.array(hs[text]), pa.array((start[keep] - first[text - lo]).astype(np.int32))],
-                    ["edge", "proof", "next", "d", "h", "pos"],
+                    [pa.array(keys[keep]), pa.array(segment.view(np.int64)[keep]), pa.array(following[keep]), pa.array(ds[lo + text]), pa.array(hs[lo + text]), pa.array((start[run_at][keep] - first[text]).astype(np.int32)), pa.array(size[keep].astype(np.int32))],
+                    ["anchor", "segment", "next", "d", "h", "pos", "size"],
                 )
 
-    return joined.select("d", "h", "text", "repeated").mapInArrow(run, "edge long, proof long, next long, d long, h long, pos int")
+    return joined.select("d", "h", "text", "repeated").mapInArrow(run, _SEGMENT)
+
+
+_UNIT = "edge long, proof long, next long, d long, h long, pos int, size int"
+
+
+def _windows_of(joined: DataFrame) -> DataFrame:
+    """Windows of the listed runs (pos, size) of each text, as edges without successor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ds, hs, listed = batch.column("d").to_numpy(), batch.column("h").to_numpy(), batch.column("runs")
+            for lo, hi, data, offsets in _texts(batch):
+                words = Words(data, offsets, lower=False)
+                edge, at, numbers = windows(words.hash, words.counts, WINDOW, salt=20)
+                proof, _, _ = windows(words.hash, words.counts, WINDOW, salt=21)
+                first = np.cumsum(words.counts) - words.counts
+                wanted = np.zeros(int(words.counts.sum()) + 1, np.int64)
+                for i in range(lo, hi):
+                    runs = listed[i].values
+                    begin = first[i - lo] + runs.field("pos").to_numpy()
+                    np.add.at(wanted, begin, 1)
+                    np.add.at(wanted, begin + runs.field("size").to_numpy(), -1)
+                keep = (np.cumsum(wanted) > 0)[at] if len(at) else np.zeros(0, bool)
+                text = np.repeat(np.arange(hi - lo), numbers)[keep]
+                n = len(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(edge.view(np.int64)[keep]), pa.array(proof.view(np.int64)[keep]), pa.array(np.zeros(n, np.int64)), pa.array(ds[lo + text]), pa.array(hs[lo + text]), pa.array((at[keep] - first[text]).astype(np.int32)), pa.array(np.ones(n, np.int32))],
+                    ["edge", "proof", "next", "d", "h", "pos", "size"],
+                )
+
+    return joined.select("d", "h", "text", "runs").mapInArrow(run, _UNIT)
+
+
+def _near(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows joined with what is wanted of them by d and h; a bitmap keeps other texts out of the shuffle."""
+    return rows.where(marked(marks(wanted, "h"), F.col("h"))).join(wanted, ["d", "h"])
 
 
 def repeated_spans(rows: DataFrame, profile: DataFrame) -> DataFrame:
     """d, h and the word ranges (start, end exclusive) that some earlier place holds too, with that source's place."""
-    anchors = profile.where("size(anchors) > 0").select("d", "h", F.explode(F.arrays_zip("anchors", "positions")).alias("a")).select("d", "h", F.col("a.anchors").alias("anchor"), F.col("a.positions").alias("at"))
+    kept = profile.where("NOT whole AND size(anchors) > 0")
+    anchors = kept.select("d", "h", F.explode(F.arrays_zip("anchors", "positions")).alias("a")).select("d", "h", F.col("a.anchors").alias("anchor"), F.col("a.positions").alias("at"))
     # Counts are summed in each task before they are shuffled, and a hot anchor's join can be split.
     twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     repeated = stored(anchors.join(twice, "anchor").groupBy("d", "h").agg(F.sort_array(F.collect_set("at")).alias("repeated")), "substring-anchors")
-    near = rows.where(marked(marks(repeated, "h"), F.col("h")))
-    edges = stored(_edges(near.join(repeated, ["d", "h"])), "substring-edges")
+    segments = stored(_repeated_segments(_near(rows, repeated)), "substring-segments")
+    mixed = segments.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high")).select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    judged = stored(segments.join(mixed, "anchor"), "substring-judged")
+    runs = stored(judged.where("mixed").groupBy("d", "h").agg(F.collect_set(F.struct("pos", "size")).alias("runs")), "substring-runs")
+    whole = judged.where("NOT mixed").select(F.col("anchor").alias("edge"), F.col("segment").alias("proof"), "next", "d", "h", "pos", "size")
+    edges = stored(whole.union(_windows_of(_near(rows, runs))), "substring-edges")
 
     place = F.struct("d", "h", "pos")
-    graph = edges.groupBy("edge", "proof").agg(F.count("*").alias("n"), F.min(place).alias("source"), F.max(place).alias("last"), F.min("next").alias("next"), F.max("next").alias("next_high")).where("source <> last")
+    graph = edges.groupBy("edge", "proof").agg(F.count("*").alias("n"), F.min(place).alias("source"), F.min("size").alias("size"), F.min("next").alias("next"), F.max("next").alias("next_high")).where("n > 1")
     graph = stored(graph, "substring-graph")
     # A successor that follows every occurrence and is as frequent as the edge itself continues its path.
-    step = graph.where("next = next_high AND next <> 0").select(F.col("next").alias("edge"), F.col("n").alias("before_n"), F.col("source").alias("before"))
-    linked = graph.join(step, "edge", "left").withColumn("inner", F.coalesce((F.col("n") == F.col("before_n")) & (F.col("before.d") == F.col("source.d")) & (F.col("before.h") == F.col("source.h")) & (F.col("before.pos") + 1 == F.col("source.pos")), F.lit(False)))
-    linked = linked.groupBy("edge", "proof", "source").agg(F.max("inner").alias("inner"))
-    along = Window.partitionBy("source.d", "source.h").orderBy("source.pos")
+    step = graph.where("next = next_high AND next <> 0").select(F.col("next").alias("edge"), F.col("n").alias("before_n"), F.col("source").alias("before"), F.col("size").alias("before_size"))
+    follows = (F.col("n") == F.col("before_n")) & (F.col("before.d") == F.col("source.d")) & (F.col("before.h") == F.col("source.h")) & (F.col("before.pos") + F.col("before_size") == F.col("source.pos"))
+    linked = graph.join(step, "edge", "left").withColumn("inner", F.coalesce(follows, F.lit(False)))
+    linked = linked.groupBy("edge", "proof", "source", "size").agg(F.max("inner").alias("inner"))
+    along = Window.partitionBy("source.d", "source.h").orderBy("source.pos", "edge")
     path = linked.withColumn("path", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(along))
-    lengths = path.groupBy("source.d", "source.h", "path").agg(F.count("*").alias("edges"), F.min_by(F.struct("edge", "proof", "source"), "source.pos").alias("head"))
-    heads = lengths.select("head.edge", "head.proof", "head.source", "edges")
+    lengths = path.groupBy("source.d", "source.h", "path").agg(F.sum("size").alias("windows"), F.min_by(F.struct("edge", "proof", "source"), "source.pos").alias("head"))
+    heads = lengths.select("head.edge", "head.proof", "head.source", "windows")
     spans = edges.select("edge", "proof", "d", "h", "pos").join(heads, ["edge", "proof"]).where(F.struct("d", "h", "pos") != F.col("source"))
-    return spans.select("d", "h", F.col("pos").alias("start"), (F.col("pos") + F.col("edges") + WINDOW - 1).cast("int").alias("end"), "source", F.col("edges").cast("int").alias("edges")).distinct()
+    return spans.select("d", "h", F.col("pos").alias("start"), (F.col("pos") + F.col("windows") + WINDOW - 1).cast("int").alias("end"))
 
 
 def _cut(joined: DataFrame) -> DataFrame:
@@ -159,26 +218,32 @@ def _cut(joined: DataFrame) -> DataFrame:
 
 
 def _shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' profile, and the rows that lose some of their words (not all)."""
     rows = _keyed(docs)
     profile = stored(_profile(rows), "substring-profile")
+    # Of documents with the same words only the first goes on; thousands of copies cost one small sum each.
+    first = profile.where(f"n_words >= {WINDOW}").groupBy("all_sha256").agg(F.min(F.struct("d", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("all_sha256", "first")
+    copies = profile.select("d", "h", "all_sha256").join(first, "all_sha256").where(F.struct("d", "h") != F.col("first")).select("d", "h", F.lit(True).alias("whole")).distinct()
+    profile = profile.join(stored(copies, "substring-copies"), ["d", "h"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     by_row = repeated_spans(rows, profile).groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    by_row = stored(by_row, "substring-spans")
-    near = rows.where(marked(marks(by_row, "h"), F.col("h")))
-    return profile, _cut(near.join(by_row, ["d", "h"]))
+    return profile, _cut(_near(rows, stored(by_row, "substring-spans")))
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
     profile, cut = _shortened(docs)
     cut = cut.select("d", "h", "n_removed", "kept_sha256").distinct()
-    out = profile.select("doc_id", "d", "h", "n_words", "all_sha256").join(cut, ["d", "h"], "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"))
+    out = profile.select("doc_id", "d", "h", "n_words", "all_sha256", "whole").join(cut, ["d", "h"], "left")
+    removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept = F.when(F.col("whole"), F.lit(sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "all_sha256"))
+    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated spans cut out of `text`; a text that loses words has the others joined by one space."""
-    _, cut = _shortened(docs)
-    cut = cut.where("n_removed > 0").select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("kept").alias("_kept")).distinct()
+    profile, cut = _shortened(docs)
+    gone = profile.where("whole").select("d", "h", F.lit("").alias("kept"))
+    cut = cut.where("n_removed > 0").select("d", "h", "kept").union(gone).select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("kept").alias("_kept")).distinct()
     d, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumns({"_dd": d, "_hh": h}).join(cut, (F.col("_dd") == F.col("_d")) & (F.col("_hh") == F.col("_h")), "left")
     return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)

@@ -30,7 +30,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n - 1."""
     if len(_powers[0]) < n:
         size = max(n, 1 << 20)
         for i, base in enumerate((_BASE, _BASE_INVERSE)):
@@ -63,7 +64,7 @@ class Words:
             self.start = np.flatnonzero(before & ~space)
             self.end = np.flatnonzero(after & ~space) + 1
             self.counts = np.diff(np.searchsorted(self.start, offsets))
-            up, down = _power_tables(n)
+            up, down = power_tables(n)
             self._sums = np.zeros(n + 1, np.uint64)
             np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up, out=self._sums[1:])
             self._down = down
