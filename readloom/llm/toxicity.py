@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from readloom.llm.shared import slices, text_buffers
 from readloom.llm.words import Words, mix
 
-MAX_ROWS, MAX_FEATURES, MIN_DOCS, FOLDS, STEM = 12_000, 2_000, 5, 5, 5
+MAX_ROWS, MAX_FEATURES, MIN_DOCS, FOLDS, STEM = 5_000, 2_000, 5, 5, 5
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
