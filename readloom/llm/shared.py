@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,14 +33,19 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
     The files go when the application's JVM ends.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # What led to the table is garbage now; once the driver's JVM collects it, Spark deletes its shuffle files.
+    # Spark does so by itself every spark.cleaner.periodicGC.interval, which is too late for a chain of large steps.
+    del df, writer
+    gc.collect()
+    jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
