@@ -7,7 +7,7 @@ the kind, an instance's belief is the noisy-or of its confident patterns. Identi
 patterns reach are the discovered spans; base spans always stay. Only mentions are shuffled, never texts.
 
 Defined results: a null or empty text has no spans. Offsets are code points, ends exclusive. Every search is
-linear in the text's length. Repeated rows get the same spans each. Kinds come in the order of KINDS, spans by
+linear in the text's length. Repeated rows get the same spans each, and rows with a null doc_id get theirs. Kinds come in the order of KINDS, spans by
 start within a kind.
 """
 
@@ -168,14 +168,15 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     base = F.transform(parts, lambda s: F.struct(F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("long").alias("start"), F.split(s, ":")[2].cast("long").alias("end")))
     ranked = F.array_sort(F.transform(F.concat(base, F.col("more")), lambda s: F.struct(order[s["kind"]].alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     joined = F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    out = scanned.drop("mentions").join(more, ["doc_id", "text_hash"], "left")
+    more = more.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "more")
+    out = scanned.drop("mentions").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     return out.select("doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", F.when(F.col("more").isNull(), F.col("base_spans")).otherwise(joined).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_discovered"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are merged under the first one's kind.
 
-    A null text stays null. Spans found by context travel to the documents; base ones are found again in place.
+    A null text stays null. All spans travel to the documents by doc_id (null equals null) and the text's hash.
     """
     spans = pii_spans(docs).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
 
@@ -197,5 +198,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return pd.Series(out, dtype=object)
 
     hashed = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    joined = docs.withColumn("_hash_of", hashed).join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left")
+    joined = docs.withColumn("_hash_of", hashed).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left")
     return joined.withColumn(text, cut(F.col(text), F.col("_spans"))).select(*docs.columns)

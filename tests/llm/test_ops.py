@@ -90,6 +90,16 @@ def test_pii_on_edges_and_discovery(spark, make_docs, edge_docs, empty_docs):
     assert out[30] == "please call me [PHONE] today" and out[32] is None and out[33] == "mail [EMAIL] now" and out[31] == texts[31]
 
 
+def test_pii_of_rows_without_an_id(spark):
+    texts = [f"please call me +1 555 010 {1000 + i} today" for i in range(30)]
+    rows = [*enumerate(texts), (None, "please call me 555-010-7777 today"), (None, "mail a.b@c.de now"), (None, "mail a.b@c.de now"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["n_discovered"], r["n_email"]) for r in dicts(pii.pii_spans(docs)) if r["doc_id"] is None)
+    assert found == [(0, 0), (0, 1), (0, 1), (1, 0)]
+    out = [r["text"] for r in dicts(pii.redact(docs)) if r["doc_id"] is None]
+    assert sorted(out, key=str) == [None, "mail [EMAIL] now", "mail [EMAIL] now", "please call me [PHONE] today"]
+
+
 # 2
 
 
