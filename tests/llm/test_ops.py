@@ -412,3 +412,16 @@ def test_attention_is_causal():
     other = x.copy()
     other[0, 20:] = 5
     assert np.allclose(model.forward(x)[-1][0, :20], model.forward(other)[-1][0, :20])
+
+
+def test_lm_trains_on_every_token_and_end_once(spark):
+    texts = ["", "one", " ".join(["the"] * 31), " ".join(["the", "in"] * 16), " ".join(["an", "re", "the"] * 900)]
+    pieces = lm.pieces_of(queries.tokenizer_path())
+    docs = spark.createDataFrame([(t, 5 << 3) for t in texts], "text string, place long")
+    raw = [np.frombuffer(r["data"], np.int16) for r in dicts(lm._gather(docs, pieces).where("kind = 3"))]
+    rows = np.stack(raw)
+    ends = ((rows == -2)[:, 1:]).sum()
+    assert ends == len(texts)
+    seen = collections.Counter(rows[lm.predicted(rows) & (np.arange(lm.WINDOW + 1) > 0)].tolist())
+    at = {p: i for i, p in enumerate(pieces)}
+    assert sum(seen.values()) == sum(len(words(t)) + 1 for t in texts) and seen[at[b"the"]] == 31 + 16 + 900 and seen[at[b"re"]] == 900
