@@ -14,6 +14,7 @@ start within a kind.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -36,6 +37,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[^\s\"'<>(){}\[\],;]+")
+_WORD = re.compile(r"\S+")
+#: Digit groups with one separator between, which a closing or opening bracket may join; group 1 is the first of them.
+_GROUPS = re.compile(r"(\(?[0-9]++)(?:\)?[\x20./-]?\(?[0-9]++)*+")
+#: Tokens under SHORT characters inside a run are parts of it; patterns hold words over LONG characters as digests.
+SHORT, LONG, GLUED = 6, 80, 80
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -76,29 +82,65 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    """Two lexical patterns around a span: two words before, and one word on each side; empty where there are none."""
-    words = re.sub("[0-9]+", "0", text[max(0, start - 80) : start].lower()).split()
-    after = re.sub("[0-9]+", "0", text[end : end + 40].lower()).split()
-    return (f"{words[-2]} {words[-1]} _" if len(words) > 1 else "", f"{words[-1]} _ {after[0]}" if words and after else "")
+class _Words:
+    """A text's words as patterns write them; a word over LONG characters enters by its digest, so that whole words cost a fixed size."""
+
+    def __init__(self, text: str):
+        self.text, self.spans, self.known = text, [m.span() for m in _WORD.finditer(text)], {}
+        self.starts, self.ends = [a for a, _ in self.spans], [b for _, b in self.spans]
+
+    def at(self, i: int) -> str:
+        if i not in self.known:
+            self.known[i] = _plain(self.text[slice(*self.spans[i])])
+        return self.known[i]
+
+    def context(self, start: int, end: int) -> tuple[str, str]:
+        """Two lexical patterns around a span: two words before, and one word on each side; empty where there are none.
+
+        Neighbours are whole words; of characters glued to the span, the nearest GLUED count as a word."""
+        i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        before, after = [self.at(k) for k in range(max(0, i - 2), i)], self.at(j) if j < len(self.spans) else ""
+        if i < len(self.spans) and self.starts[i] < start:
+            before.append(_plain(self.text[max(self.starts[i], start - GLUED) : start]))
+        if j and self.ends[j - 1] > end:
+            after = _plain(self.text[end : min(self.ends[j - 1], end + GLUED)])
+        return (f"{before[-2]} {before[-1]} _" if len(before) > 1 else "", f"{before[-1]} _ {after}" if before and after else "")
+
+
+def _plain(word: str) -> str:
+    word = re.sub("[0-9]+", "0", word.lower())
+    return word if len(word) <= LONG else sha256(word.encode()).hexdigest()
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Identifier-like spans by start: tokens with a digit or "@", and runs of digit groups; no run inside a token, no short token inside a run."""
+    tokens = [m.span() for m in _TOKEN.finditer(text) if "@" in m[0] or _DIGIT.search(m[0])]
+    runs = [m.span() for m in _GROUPS.finditer(text) if m.end(1) < m.end()]
+    starts, first = [a for a, _ in tokens], [a for a, _ in runs]
+
+    def within(a: int, b: int, others: list[tuple[int, int]], begins: list[int]) -> bool:
+        k = bisect_right(begins, a) - 1
+        return k >= 0 and others[k][1] >= b
+
+    kept = [(a, b) for a, b in tokens if b - a >= SHORT or not within(a, b, runs, first)]
+    kept += [(a, b) for a, b in runs if not within(a, b, tokens, starts)]
+    return sorted(kept)
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str, str]]:
-    """Seeds and identifier-like tokens (a digit or "@", six characters at least): kind or '', start, end, instance, patterns."""
+    """Seeds and candidates that meet no seed: kind or '', start, end, instance, patterns."""
     if not base and not _DIGIT.search(text) and "@" not in text:
         return []
-    out = [(kind, a, b, text[a:b].lower(), *_context(text, a, b)) for kind, a, b in base]
+    words = _Words(text)
+    out = [(kind, a, b, text[a:b].lower(), *words.context(a, b)) for kind, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     k = 0
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        if b - a < 6 or b - a > 64 or not (_DIGIT.search(m[0]) or "@" in m[0]):
-            continue
+    for a, b in candidates(text):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if k < len(taken) and taken[k][0] < b:
             continue
-        out.append(("", a, b, m[0].lower(), *_context(text, a, b)))
+        out.append(("", a, b, text[a:b].lower(), *words.context(a, b)))
     return out
 
 

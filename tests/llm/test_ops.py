@@ -90,6 +90,19 @@ def test_pii_on_edges_and_discovery(spark, make_docs, edge_docs, empty_docs):
     assert out[30] == "please call me [PHONE] today" and out[32] is None and out[33] == "mail [EMAIL] now" and out[31] == texts[31]
 
 
+def test_pii_discovers_grouped_and_long_identifiers(spark):
+    texts = [f"please call me +1 555 010 {1000 + i} today" for i in range(30)]
+    unseen = ["555 010 7777", "(555) 010-7777", "555-010-7778", "5" * 100, "77"]
+    texts += [f"please call me {u} today" for u in unseen]
+    rows = {r["doc_id"]: r for r in dicts(pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, u in enumerate(unseen, 30):
+        assert rows[i]["spans"] == f"phone:15:{15 + len(u)}", u
+    long = "y" * 200
+    assert pii.mentions(f"{long} me 1234567 x", [])[0][4] == f"{hashlib.sha256(long.encode()).hexdigest()} me _"
+    assert pii.mentions(f"a me 1234567 {long}", [])[0][5] == f"me _ {hashlib.sha256(long.encode()).hexdigest()}"
+    assert pii.candidates("9" * 200_000) == [(0, 200_000)] and len(pii.candidates("1," * 50_000)) == 50_000
+
+
 def test_pii_of_rows_without_an_id(spark):
     texts = [f"please call me +1 555 010 {1000 + i} today" for i in range(30)]
     rows = [*enumerate(texts), (None, "please call me 555-010-7777 today"), (None, "mail a.b@c.de now"), (None, "mail a.b@c.de now"), (None, None)]
