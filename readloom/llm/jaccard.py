@@ -1,22 +1,30 @@
 """N-gram Jaccard join by a token-group matrix (operator 8).
 
-1. One pass hashes each document's distinct 5-word shingles and keeps a fingerprint, eight minima, a parity bitmap and a
-   presence bitmap. Equal sets become one representative. The same pass counts shingles in a fixed-size sketch.
-2. Similar representatives are partitioned into groups: those that share a minimum are compared with the bucket's
-   leader (another one for each minimum), and pairs with a verified Jaccard at the threshold form stars; their connected
-   components are the groups. A group is already one component of the result, so nothing inside it is opened.
-3. Two sets at the threshold share one of the first n - ceil(t n) + 1 shingles of any global order. The order is by
-   sketched count, then hash, so that frequent passages come last. Shingles in two prefixes at least form the
-   matrix of tokens and groups; each group stores the union of its members' shingles as a bitmap.
-4. A document queries the groups that share a prefix shingle with it. A group is opened only if the size range and the
-   union bound (shingles of the query that the union lacks <= (1 - t) n) allow a link. In an opened group, members
-   that share a prefix shingle are compared, first by parity bitmaps (a lower bound of the symmetric difference),
-   then exactly.
-Sketch, bitmaps and leaders only save work; every link between different components is found exactly.
+1. One pass hashes each document's distinct 5-word shingles (tokens) to a fingerprint, so that equal sets become one
+   representative, and counts tokens in runs of documents. Tokens counted twice in a run are summed; the FREQUENT most
+   frequent of them come last in the global order of tokens, by count; all other tokens come first, by hash.
+2. Two sets at the threshold share one of the first n - ceil(t n) + 1 tokens of each (their prefixes). A second pass
+   emits prefixes; those of their tokens that two sets share at least form the rows of the matrix.
+3. Tokens that at most CROWD sets hold relate every set to the few others, as groups of one. The number of prefix tokens that two
+   sets share bounds their overlap, and only pairs within the bound are opened.
+4. Sets that share a more frequent token are partitioned into groups of similar documents around a leader, the holder with the
+   fewest rarer tokens. The union of the group's tokens is stored as differences from the leader's, with the number of members
+   that have each. A member links to the leader, or it differs from it by so much that it must share differences with any
+   other member that it links to; how many follows from the sizes. So a member queries its group by a prefix of its own
+   differences, rarest first, and opens only members that share one of these and whose places in the order leave the overlap
+   possible. Sets far from the leader keep the token and form further groups.
+5. Opened pairs are compared exactly; links become components.
+Everything but step 5 only saves work: every link between two different components is found exactly.
+
+Why step 4 loses nothing: let d be the size of a member's difference from leader c, b = (1 - t) / (1 + t). x and y link if and only
+if their difference is at most b (nx + ny), and x links to c if and only if dx <= b (nx + nc). If x does not, dx + dy > b (nx + ny) for every y
+(dy >= |ny - nc| for those that do link), so their differences from c overlap in more than none. Jaccard distance is a metric, so all
+partners of a member within OWN of the leader are within OWN + 1 - t of it; those take part too.
 
 Defined results: a null text, a text without words and an empty text have no shingles and are alone; a text of one to
-four words has its whole sequence as its one shingle. Rows with equal ids count as one document. The threshold is in
-whole percents, so no floating point decides a link.
+four words has its whole sequence as its one shingle. Rows that repeat an id are documents of their own, and so are rows without an
+id, which name no component (one of theirs alone has none). The threshold is in whole percents, so no floating point decides a
+link. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -25,21 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.components import components
-from readloom.llm.shared import slices, stored, text_buffers
+from readloom.llm.shared import bounded, slices, stored, text_buffers, thinned
 from readloom.llm.words import Words, mix, sequence_hash, windows
 
 WORDS, PERCENT = 5, 80
-MINIMA, PARITY_BITS, UNION_BITS = 8, 1024, 2048
-#: Slots of the count sketch: 2^20 counters whatever the input's size.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
-#: Bits that mark which documents' sets a later pass gives; further documents that hit a bit are dropped by a join.
-MARK_BITS = 23
-
-_SEEDS = np.random.default_rng(11).integers(1, 2**63, MINIMA, dtype=np.uint64)
+#: Tokens of which the order knows a count (broadcast, 16 bytes each), and tokens of a run of documents that is counted at once.
+FREQUENT, RUN = 1 << 18, 1 << 20
+#: Sets that may hold a token before they are grouped around leaders; rounds of leaders before what is left is paired as in step 3.
+CROWD, ROUNDS = 32, 8
+#: Percent of Jaccard similarity to the leader from which on a set belongs to its group.
+OWN = 50
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -58,9 +65,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    data, offsets = text_buffers(batch.column("text"))
-    for lo, hi in slices(offsets, 1 << 20):
+def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    data, offsets = text_buffers(column)
+    for lo, hi in slices(offsets, 1 << 19):
         yield from enumerate(shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), lo)
 
 
@@ -73,140 +80,113 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([h + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _bitmap(s: np.ndarray, bits: int, parity: bool) -> np.ndarray:
-    at = (s >> np.uint64(20)).astype(np.int64) % bits
-    counts = np.bincount(at, minlength=bits)
-    return np.packbits(counts & 1 if parity else counts > 0)
-
-
-def parity_bitmap(s: np.ndarray) -> bytes:
-    """Parities of the shingles that fall on each bit; four bits a shingle or so, a power of two."""
-    return _bitmap(s, max(PARITY_BITS, 1 << (4 * len(s) - 1).bit_length()), True).tobytes()
-
-
-def differing_bits(a: bytes, b: bytes) -> int:
-    """Bits in which two parity bitmaps differ, at most the size of the symmetric difference; the larger one is folded."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
+def _profile(texts: DataFrame) -> DataFrame:
+    """doc_id, h (the text's hash), n, fp of each document; and token, times of the tokens that a run of documents holds twice at least."""
+    names = ["doc_id", "h", "n", "fp", "token", "times"]
 
-_PROFILE = "kind int, doc_id long, n long, fp long, minima array<long>, parity binary, present array<long>, part int, counts binary"
-
-
-def _profile(docs: DataFrame) -> DataFrame:
-    """kind 0: one row for each document; kind 1: each task's share of the count sketch."""
+    def counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        t, times = np.unique(np.concatenate(tokens), return_counts=True)
+        t, times = t[times > 1], times[times > 1]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(t), pa.int64()) for _ in range(4)), pa.array(t.view(np.int64)), pa.array(times)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("minima", pa.list_(pa.int64())), ("parity", pa.binary()), ("present", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
+        tokens, held, seen = [], 0, set()
         for batch in batches:
-            ns, fps, minima, parity, present = [], [], [], [], []
-            for _, s in _sets(batch):
-                ns.append(len(s))
-                fps.append(fingerprint(s))
-                if len(s):
-                    np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                    minima.append(mix(s[None, :] ^ _SEEDS[:, None]).min(axis=1).view(np.int64))
-                    parity.append(parity_bitmap(s))
-                    present.append(_bitmap(s, UNION_BITS, False).view(np.int64))
-                else:
-                    minima.append(None)
-                    parity.append(None)
-                    present.append(None)
-            k = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(parity, pa.binary()), pa.array(present, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
-        used = [(i, x) for i, x in enumerate(sketch.reshape(SKETCH_PARTS, -1)) if x.any()]
-        k = len(used)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), *(pa.nulls(k, schema.field(i).type) for i in range(1, 7)), pa.array([i for i, _ in used], pa.int32()), pa.array([x.astype(np.int32).tobytes() for _, x in used], pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, _PROFILE)
-
-
-def _levels(profile: DataFrame) -> np.ndarray:
-    """For each sketch slot a byte: 0 up to twice the mean count, then doublings. 2^20 bytes reach the driver."""
-
-    def total(table: pa.Table) -> pa.Table:
-        counts = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
-        for x in table.column("counts"):
-            counts += np.frombuffer(x.as_py(), np.int32)
-        return pa.table([table.column("part")[:1], [counts.tobytes()]], names=["part", "counts"])
-
-    def fold(rows: DataFrame, salt: int) -> DataFrame:
-        # Some tasks' shares first, then all: no task gathers the shares of every task of a large input.
-        keyed = rows.select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(salt)).alias("salt"))
-        return keyed.groupBy("part", "salt").applyInArrow(total_32, "part int, counts binary")
-
-    def total_32(table: pa.Table) -> pa.Table:
-        done = total(table)
-        return done.set_column(1, "counts", pa.array([np.minimum(np.frombuffer(done.column("counts")[0].as_py(), np.int64), 2**31 - 1).astype(np.int32).tobytes()]))
-
-    parts = fold(profile.where("kind = 1"), 16).groupBy("part").applyInArrow(total, "part int, counts binary").collect()
-    counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
-    for r in parts:
-        counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.reshape(-1)
-    return np.ceil(np.log2(np.maximum(counts / (2 * max(counts.mean(), 1)), 1))).astype(np.uint8)
-
-
-def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles in the order of sketched count, then hash (s is sorted by hash)."""
+            ns, fps = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for i, s in _sets(batch.column("text")):
+                ns[i], fps[i] = len(s), fingerprint(s)
+                if len(s) and fps[i] not in seen:
+                    seen.add(fps[i])
+                    tokens.append(s)
+                    held += len(s)
+                if held > RUN:
+                    yield counted(tokens)
+                    tokens, held, seen = [], 0, set()
+            k = len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(ns), pa.array(fps), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+        if tokens:
+            yield counted(tokens)
+
+    return texts.mapInArrow(run, "doc_id long, h long, n long, fp long, token long, times long")
+
+
+def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT most frequent tokens, sorted, and their counts."""
+    summed = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
+    top = summed.orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()
+    tokens, times = top.column("token").to_numpy().view(np.uint64), top.column("times").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], times[order]
+
+
+def prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(t n) + 1 tokens in the global order, and which of them are frequent (s is sorted by hash)."""
     n = len(s)
     keep = n - (percent * n + 99) // 100 + 1
-    rank = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return s[np.argsort(rank, kind="stable")[:keep]] if rank.any() else s[:keep]
+    tokens, times = frequent
+    if not len(tokens):
+        return s[:keep], np.zeros(keep, bool)
+    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+    hit = tokens[at] == s
+    plain = s[~hit][:keep]
+    if len(plain) == keep:
+        return plain, np.zeros(keep, bool)
+    late = s[hit][np.argsort(times[at[hit]], kind="stable")][: keep - len(plain)]
+    return np.concatenate([plain, late]), np.arange(keep) >= len(plain)
+
 
+_ROW = "token long, fp long, n int, pos int"
 
-def _prefix_rows(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """token, fp, n of the prefixes of distinct sets; sets that a task has given before are passed over."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+def _prefix_rows(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """token, fp, n, pos and frequent of the prefixes of distinct sets; sets that a task has given before are passed over."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, fps, ns, size = [], [], [], 0
-            for _, s in _sets(batch):
+            made, size = [], 0
+            for _, s in _sets(batch.column("text")):
                 if not len(s) or (fp := fingerprint(s)) in seen:
                     continue
                 seen.add(fp)
-                tokens.append(prefix(s, shared.value, percent))
-                fps.append(np.full(len(tokens[-1]), fp))
-                ns.append(np.full(len(tokens[-1]), len(s)))
-                size += len(tokens[-1])
-                if size > 200_000:
-                    yield _columns(tokens, fps, ns)
-                    tokens, fps, ns, size = [], [], [], 0
-            if tokens:
-                yield _columns(tokens, fps, ns)
-
-    return docs.mapInArrow(run, "token long, fp long, n long")
-
+                tokens, late = prefix(s, shared.value, percent)
+                k = len(tokens)
+                made.append((tokens.view(np.int64), np.full(k, fp), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), late))
+                size += k
+                if size > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], ["token", "fp", "n", "pos", "frequent"])
+                    made, size = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], ["token", "fp", "n", "pos", "frequent"])
 
-def _columns(tokens: list, fps: list, ns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(ns).astype(np.int64))], ["token", "fp", "n"])
+    return texts.mapInArrow(run, f"{_ROW}, frequent boolean")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows of tokens that two different sets share, from one shuffle and sort; a run of one token is streamed, not gathered."""
+    """Rows of tokens that two different sets share, from one shuffle and sort; a run of one token is streamed, not gathered.
+
+    Rows of frequent tokens, which may be in the prefixes of a third of all sets, are dealt by set as well, and all stay.
+    """
+    names = ["token", "fp", "n", "pos", "frequent"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # the last token's single row so far
+        held: list[np.ndarray] | None = None  # the last token's single row so far
         open_token, last_fp = None, None  # a token known to be repeated, and the last of its sets
         for batch in batches:
-            t, f, n = (batch.column(c).to_numpy() for c in ("token", "fp", "n"))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if held is not None:
-                t, f, n = (np.concatenate([a, b]) for a, b in zip(held, (t, f, n), strict=True))
+                columns = [np.concatenate([a, b]) for a, b in zip(held, columns, strict=True)]
                 held = None
+            t, f = columns[:2]
             if not len(t):
                 continue
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1])
             if open_token is not None and t[0] == open_token and f[0] == last_fp:
                 new[0] = False
-            t, f, n = t[new], f[new], n[new]
+            columns = [c[new] for c in columns]
+            t, f = columns[:2]
             if not len(t):
                 continue
             same = np.zeros(len(t), bool)
@@ -215,48 +195,41 @@ def _repeated(rows: DataFrame) -> DataFrame:
             keep[:-1] |= same[1:]
             if open_token is not None:
                 keep |= t == open_token
+            keep |= columns[4]
             if keep[-1]:
                 open_token, last_fp = t[-1], f[-1]
             else:
-                held = (t[-1:], f[-1:], n[-1:])
+                held = [c[-1:] for c in columns]
                 open_token = None
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(f[keep]), pa.array(n[keep])], ["token", "fp", "n"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(run, "token long, fp long, n long")
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns[:4]], names[:4])
 
+    salted = rows.withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("fp"), F.lit(1024))).otherwise(0).cast("int"))
+    return salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "fp").select(*names).mapInArrow(run, _ROW)
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp and shingles (binary) of the wanted sets, by one more pass; a bitmap of fixed size thins what leaves the scan."""
-    marks = wanted.select((F.pmod(F.col("fp"), F.lit(1 << MARK_BITS)) + 1).alias("at"))
-    rows = marks.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    flags = np.zeros(1 << MARK_BITS, bool)
-    for r in rows:  # at most 2^23 bits in buckets of 2^15
-        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        begin = (r["bucket"] - 1) * 32768
-        flags[begin : begin + 32768] = bits[:32768]
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp and s (sorted shingle hashes, binary) of the wanted sets (fp, doc_id), by one more pass that hashes only texts with their ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted_bits, seen = np.unpackbits(shared.value), set()
+        seen: set[int] = set()
         for batch in batches:
             fps, values, size = [], [], 0
-            for _, s in _sets(batch):
-                if not len(s) or (fp := fingerprint(s)) in seen or not wanted_bits[fp % (1 << MARK_BITS)]:
+            for _, s in _sets(batch.column("text")):
+                if not len(s) or (fp := fingerprint(s)) in seen:
                     continue
                 seen.add(fp)
                 fps.append(fp)
                 values.append(s.tobytes())
                 size += len(values[-1])
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(values, pa.binary())], ["fp", "s"])
                     fps, values, size = [], [], 0
             if fps:
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(values, pa.binary())], ["fp", "s"])
 
-    found = docs.mapInArrow(run, "fp long, s binary").join(wanted.select("fp").distinct(), "fp", "left_semi")
-    # Equal sets of different tasks meet here; any one of them will do.
-    return found.groupBy("fp").agg(F.first("s").alias("s"))
+    thin = thinned(texts.select(F.xxhash64("doc_id").alias("mark"), "text"), wanted.select(F.xxhash64("doc_id").alias("mark")), "mark")
+    found = thin.select("text").mapInArrow(run, "fp long, s binary").join(bounded(wanted.select("fp")), "fp", "left_semi")
+    return found.dropDuplicates(["fp"])  # equal sets of different tasks
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,78 +250,150 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _parity_allows(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and parity bitmaps leave a link possible: popcount(xor) <= |A symmetric difference B|."""
-    side = lambda c, p: reps.select(F.col("fp").alias(c), F.col("n").alias(f"n{p}"), F.col("parity").alias(f"p{p}"))
-    joined = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    joined = joined.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+def _sizes_allow(percent: int) -> str:
+    return f"x.fp < y.fp AND 100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n)"
+
+
+def _few_apart(rows: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (token, fp, n) that share so many prefix tokens that a link is possible.
+
+    Any overlap is at most the shared prefix tokens and what lies outside the prefix that ends first. crowded (fp, more): prefix tokens of
+    a set that are no rows here.
+    """
+    joined = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(_sizes_allow(percent)))
+    pairs = joined.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+    more = lambda side: crowded.select(F.col("fp").alias(side), F.col("more").alias(f"more_{side}"))
+    pairs = pairs.join(more("a"), "a", "left").join(more("b"), "b", "left").na.fill(0)
+    outside = f"greatest(floor(({percent}L * na + 99) / 100), floor(({percent}L * nb + 99) / 100)) - 1"
+    return pairs.where(f"{100 + percent}L * (shared + least(more_a, more_b) + {outside}) >= {percent}L * (na + nb)").select("a", "b")
+
+
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of members (leader, fp): a row with a null token for each, and rows of the tokens in which it differs from the leader."""
+    salts = members.groupBy("leader").agg(F.ceil(F.count("*") / 1000).alias("salts"))  # a leader of many is read by many tasks
+    leaders = sets.join(bounded(salts.withColumnRenamed("leader", "fp")), "fp").select(F.col("fp").alias("leader"), F.col("s").alias("leader_s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    salted = members.join(bounded(salts), "leader").select("leader", "fp", F.pmod(F.xxhash64("fp"), F.col("salts")).alias("salt"))
+    joined = salted.join(sets, "fp").join(leaders, ["leader", "salt"]).select("leader", "fp", "s", "leader_s")
+    reach = max(1, OWN - (100 - percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            differing = np.array([differing_bits(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("p1"), batch.column("p2"), strict=True)], np.int64)
-            n = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(differing * (100 + percent) <= (100 - percent) * n))
-
-    return joined.select("a", "b", "n1", "n2", "p1", "p2").mapInArrow(run, "a long, b long")
+            made, size = [], 0
+            for leader, fp, x, c in zip(*(batch.column(k) for k in ("leader", "fp", "s", "leader_s")), strict=True):
+                x, c = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64)
+                added = x[~np.isin(x, c, assume_unique=True)]
+                common = len(x) - len(added)
+                union = len(c) + len(added)
+                rows = np.zeros(0, np.int64)
+                if 100 * common >= reach * union:
+                    lost = c[~np.isin(c, x, assume_unique=True)]
+                    # A token that the leader has and the member lacks is another difference than one the other way round.
+                    rows = np.concatenate([added, mix(lost ^ np.uint64(0x632BE59BD9B4E019))]).view(np.int64)
+                k = len(rows) + 1
+                value = lambda v, t=np.int64: np.full(k, v, t)  # noqa: B023, E731
+                made.append((value(leader.as_py()), value(fp.as_py()), value(len(x)), value(len(c)), value(len(x) + len(c) - 2 * common), value(100 * common >= percent * union, bool), value(100 * common >= OWN * union, bool), np.append(rows, 0), np.arange(k) < k - 1))
+                size += k
+                if size > 100_000:
+                    yield batch_of(made)
+                    made, size = [], 0
+            if made:
+                yield batch_of(made)
+
+    def batch_of(made: list) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*made, strict=True)]
+        arrays = [pa.array(c) for c in columns[:7]]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(columns[7], mask=~columns[8])], ["leader", "fp", "n", "leader_n", "d", "linked", "own", "token"])
+
+    return joined.mapInArrow(run, "leader long, fp long, n long, leader_n long, d long, linked boolean, own boolean, token long")
+
+
+def _within_groups(differences: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a group, not both linked to its leader, whose differences from it may overlap enough."""
+    a, s = 100 - percent, 100 + percent
+    rows = differences.where("token IS NOT NULL")
+    union = rows.groupBy("leader", "token").agg(F.count("*").alias("members")).where("members > 1")
+    shared = rows.join(union, ["leader", "token"])
+    one = Window.partitionBy("leader", "fp")  # as many rows as one set differs from another in
+    # Differences of one member alone come first.
+    placed = shared.withColumn("pos", F.row_number().over(one.orderBy("members", "token")) - F.count("*").over(one) + F.col("d") - 1)
+    near, least = f"floor(({s}L * d - {a}L * n + {a}L * leader_n) / {2 * s}) + 1", f"greatest(1, ceil(({s}L * d - {a}L * n - {a}L * leader_n) / {2 * s}))"
+    asking = placed.where(f"pos <= d - CASE WHEN linked THEN {near} ELSE {least} END").select("leader", "token", "fp", "n", "d", "linked", "pos")
+    overlap = f"{2 * s}L * least(x.d - x.pos, y.d - y.pos) >= {s}L * (x.d + y.d) - {a}L * (x.n + y.n)"
+    same = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token"))
+    joined = asking.alias("x").join(asking.alias("y"), same & F.expr(f"{_sizes_allow(percent)} AND NOT (x.linked AND y.linked) AND {overlap}"))
+    return joined.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
+def _crowded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose token at most CROWD sets hold (and two at least), and rows of tokens that more hold."""
+    counts = stored(rows.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "jaccard-counts")
+    many = bounded(counts.where(f"sets > {CROWD}").select("token"))
+    return rows.join(many, "token", "left_anti"), rows.join(many, "token", "left_semi")
+
+
+def _links(texts: DataFrame, reps: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """Links (a, b) between fingerprints that give the same components as all links."""
+    rows = stored(_repeated(_prefix_rows(texts, frequent, percent)), "jaccard-matrix")
+    few, many = _crowded(rows)
+    many = stored(many, "jaccard-crowded")
+    crowded = many.groupBy("fp").agg(F.count("*").alias("more"))
+    pairs = stored(_few_apart(few, crowded, percent), "jaccard-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(many.select("fp")).distinct()
+    sets = stored(_sets_of(texts, stored(wanted.join(reps, "fp").select("fp", "doc_id"), "jaccard-wanted")), "jaccard-sets")
+    links = []
+    for turn in range(ROUNDS + 1):
+        if many.isEmpty():
+            break
+        if turn == ROUNDS:
+            plain = many.alias("x").join(many.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(_sizes_allow(percent)))
+            pairs = pairs.union(plain.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+            break
+        leaders = stored(many.groupBy("token").agg(F.min_by("fp", F.struct(F.col("pos") / F.col("n"), "fp")).alias("leader")), "jaccard-leaders")
+        held = many.join(bounded(leaders), "token")
+        differences = stored(_differences(held.select("leader", "fp").distinct(), sets, percent), "jaccard-differences")
+        heads = differences.where("token IS NULL")
+        links.append(heads.where("linked AND leader <> fp").select(F.col("leader").alias("a"), F.col("fp").alias("b")))
+        pairs = pairs.union(stored(_within_groups(differences, percent), "jaccard-opened"))
+        left = stored(held.join(heads.where("own").select("leader", "fp"), ["leader", "fp"], "left_anti").drop("leader"), "jaccard-left")
+        few, many = _crowded(left)
+        few_pairs = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(_sizes_allow(percent)))
+        pairs = pairs.union(few_pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+        many = stored(many, "jaccard-crowded")
+    out = _linked(pairs.distinct(), sets, percent)
+    for more in links:
+        out = out.union(more)
+    return stored(out, "jaccard-links")
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, h, n, fp and component_id of each row of docs."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    profile = stored(_profile(texts), "jaccard-profile")
+    each = profile.where("token IS NULL").select("doc_id", "h", "n", "fp")
+    # One row stands for each set, under the least id; hot sets are reduced before the shuffle.
+    reps = stored(each.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-representatives")
+    links = _links(texts.where("doc_id IS NOT NULL"), reps, _frequent(profile), percent)
+    joint = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("fp"), "component")
+    named = reps.join(stored(joint, "jaccard-joint"), "fp")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = named.join(least, "component").select("fp", "component_id")
+    labels = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = each.join(labels, "fp", "left")
+    return out.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and set_id of each document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(_profile(texts), "jaccard-profile")
-    each = profile.where("kind = 0")
-    # The least id of a set stands for it; hot sets are reduced before the shuffle.
-    reps = each.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "minima", "parity", "present")).alias("r")).select("fp", "r.*")
-    reps = stored(reps, "jaccard-sets")
-
-    # Stars around leaders of shared minima.
-    keys = reps.select("fp", "n", F.posexplode("minima").alias("band", "value"))
-    leaders = keys.groupBy("band", "value").agg(F.min_by("fp", F.struct(F.xxhash64("fp", "band"), "fp")).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    stars = keys.join(leaders, ["band", "value"]).where("fp <> leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
-    stars = stored(_parity_allows(stars, reps, percent), "jaccard-stars")
-    ends = stars.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    near = stored(_linked(stars, stored(_sets_of(texts, ends), "jaccard-star-sets"), percent), "jaccard-near")
-    ids = reps.select("fp", "doc_id")
-    named = lambda pairs: pairs.join(ids.select(F.col("fp").alias("a"), F.col("doc_id").alias("u")), "a").join(ids.select(F.col("fp").alias("b"), F.col("doc_id").alias("v")), "b").select("u", "v")
-    near_ids = stored(named(near), "jaccard-near-ids")
-    grouped = stored(components(near_ids), "jaccard-groups")
-    group_of = ids.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("g"), F.col("component").isNotNull().alias("several"))
-
-    # The matrix of prefix tokens and groups, and the groups' unions.
-    rows = stored(_repeated(_prefix_rows(texts, _levels(profile), percent)), "jaccard-prefix")
-    rows = stored(rows.join(group_of.drop("several"), "fp"), "jaccard-matrix")
-    matrix = rows.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
-    matrix = stored(matrix.join(several, "token", "left_semi"), "jaccard-tokens")
-    asking = rows.join(several, "token", "left_semi").withColumnRenamed("g", "own")
-    asked = asking.join(matrix, "token").where(f"own <> g AND 100 * n >= {percent} * least AND 100 * most >= {percent} * n").select("fp", "n", "g").distinct()
-    asked = stored(asked, "jaccard-asked")
-    # A group of one has its member's bitmap as union; others are or-ed word by word before they are shuffled.
-    single = reps.join(group_of.where("NOT several"), "fp").select("g", "present")
-    words = reps.select("fp", F.posexplode("present").alias("at", "bits")).join(group_of.where("several"), "fp")
-    joint = words.groupBy("g", "at").agg(F.bit_or("bits").alias("bits")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("w"))
-    unions = single.union(joint.select("g", F.transform("w", lambda x: x["bits"])))
-    bound = asked.join(reps.select("fp", F.col("present").alias("own_bits")), "fp").join(unions, "g")
-    missing = F.aggregate(F.zip_with("own_bits", "present", lambda x, u: F.bit_count(x.bitwiseAND(F.bitwise_not(u)))), F.lit(0), lambda total, x: total + x)
-    opened = stored(bound.where(missing * 100 <= F.col("n") * (100 - percent)).select("fp", "g"), "jaccard-opened")
-    # Members of opened groups that share a prefix token with the query.
-    right = asking.select("token", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("own").alias("g"))
-    left = asking.select("token", "fp", "n").join(opened, "fp")
-    pairs = left.join(right, ["token", "g"]).where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    pairs = stored(_parity_allows(pairs, reps, percent), "jaccard-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    far = stored(_linked(pairs, stored(_sets_of(texts, ends), "jaccard-pair-sets"), percent), "jaccard-far")
-    final = components(near_ids.union(named(far)))
-    labels = ids.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
-    out = each.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(labels, "fp", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("fp")).alias("set_id"))
+    return _components(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.when(F.col("n") > 0, F.col("fp")).alias("set_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one with the least id; all columns pass unchanged.
+    """docs with one document of each component, the one with the least id; all columns pass unchanged, whatever their names.
 
-    Documents without an id or without words stay. Rows repeated under a kept id all stay.
+    Documents without an id or without words stay. Rows repeated under a kept id and text all stay.
     """
-    found = jaccard_components(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
+    found = _components(docs, percent).where("doc_id <> component_id").select("doc_id", "h").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    rows = rows.withColumns({"doc_id": F.col("whole.doc_id").cast("long"), "h": F.xxhash64(F.col("whole.text").cast("string"))})
+    return rows.join(found, ["doc_id", "h"], "left_anti").select("whole.*")

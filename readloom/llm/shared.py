@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,11 +39,6 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    # What led to the table is garbage now; once the driver's JVM collects it, Spark deletes its shuffle files.
-    # Spark does so by itself every spark.cleaner.periodicGC.interval, which is too late for a chain of large steps.
-    del df, writer
-    gc.collect()
-    jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -74,22 +68,29 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-#: Bits of the bitmaps that thin a scan before a join on row keys; hits of other rows are dropped by the join.
-MARK_BITS = 23
+#: Rows up to which a table's count lets it be broadcast.
+BROADCAST_ROWS = 300_000
 
 
-def marks(keys: DataFrame, column: str) -> bytes:
-    """A bitmap of fixed size (2^23 bits) of the hashes in a long column, built by native bitmap aggregates."""
-    at = keys.select((F.pmod(F.col(column), F.lit(1 << MARK_BITS)) + 1).alias("at"))
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = bytearray(1 << (MARK_BITS - 3))
-    for r in rows:  # 256 buckets of 4096 bytes
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = bytes(r["bits"])
-    return bytes(out)
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df of a few narrow columns, marked for a broadcast if it has no more than so many rows; else Spark joins it by key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def marked(bitmap: bytes, column: Column) -> Column:
-    """Whether a long column's bit is set."""
-    at = F.pmod(column, F.lit(1 << MARK_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (byte / F.pow(F.lit(2.0), at % 8)).cast("long") % 2 == 1
+#: Bits for each key of a bitmap that thins a scan, and buckets of 2^15 bits that it has at most (16 MB).
+BITS_A_KEY, MOST_BUCKETS = 16, 4096
+
+
+def thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose long `key` may be among wanted's, by a broadcast bitmap; a join on the key drops what hits a bit by chance.
+
+    The bitmap grows with wanted's rows up to MOST_BUCKETS; beyond about 100 million keys fewer rows are kept from that join's shuffle.
+    """
+    n = wanted.count()
+    buckets = min(MOST_BUCKETS, max(1, -(-n * BITS_A_KEY // 32768)))
+    at = lambda df: F.pmod(df[key], F.lit(buckets * 32768)) + 1
+    marks = wanted.select(at(wanted).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    placed = rows.withColumn("_bit", F.bitmap_bit_position(at(rows))).withColumn("_bucket", F.bitmap_bucket_number(at(rows)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = placed.join(F.broadcast(marks), "_bucket").where((byte / F.pow(F.lit(2.0), F.col("_bit") % 8)).cast("long") % 2 == 1)
+    return hit.drop("_bit", "_bucket", "_bits")

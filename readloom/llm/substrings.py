@@ -1,10 +1,11 @@
 """Substring dedup by De Bruijn compaction (operator 7).
 
-Windows are 20 words. Each window's anchor is its least 5-word k-mer, so equal windows have equal anchors, and
+Windows are 20 words. Each window's anchor is its least 10-word k-mer, so equal windows have equal anchors, and
 neighbouring windows mostly share one: the words under all windows of one anchor are a segment, the edge of the graph.
 0. Documents with the same words as an earlier one are repeats as a whole and go no further.
-1. A scan keeps, for each document, its anchors, its number of words and the digest of all its words.
-2. Anchors that occur twice are joined back to their documents; windows on other anchors are unique.
+1. A scan keeps, for each document, its segments, its number of words and the digest of all its words.
+2. Segments whose anchor occurs twice go on, from one shuffle; windows on other anchors are unique. An anchor that a
+   batch of documents holds many times sends one row there and deals the others, so a very common passage costs no single task.
 3. An anchor with one segment at all its occurrences is an edge as a whole. Where segments differ (at the ends of a
    repeated passage), the windows on the anchor are edges of their own.
 4. An edge with one successor at all its occurrences, as frequent as the edge itself, continues a nonbranching path.
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.shared import marked, marks, slices, stored, text_buffers
+from readloom.llm.shared import bounded, slices, stored, text_buffers, thinned
 from readloom.llm.words import Words, power_tables, mix, windows
 
-WINDOW, ANCHOR = 20, 5
+WINDOW, ANCHOR = 20, 10
 _BY = WINDOW - ANCHOR + 1
 
 
@@ -59,27 +60,25 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _profile(rows: DataFrame) -> DataFrame:
-    """doc_id, d, h, n_words, all_sha256, and arrays of anchors (hash) and their positions."""
+    """doc_id, d, h, n_words, all_sha256, and arrays over the document's segments: anchor, words' hash, place, windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in _texts(batch):
                 words = Words(data, offsets, lower=False)
-                _, anchor, hashes = window_anchors(words.hash, words.counts)
-                new = np.ones(len(anchor), bool)
-                new[1:] = anchor[1:] != anchor[:-1]
-                anchor, hashes = anchor[new], hashes[new]
+                start, anchor, hashes = window_anchors(words.hash, words.counts)
+                at, size, segment = _segments(words, start, anchor)
                 first = np.cumsum(words.counts) - words.counts
-                cut = np.searchsorted(anchor, np.append(first, words.counts.sum())).astype(np.int32)
-                position = (anchor - np.repeat(first, np.diff(cut))).astype(np.int32)
+                cut = np.searchsorted(start[at], np.append(first, words.counts.sum())).astype(np.int32)
+                position = (start[at] - np.repeat(first, np.diff(cut))).astype(np.int32)
                 raw = [b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split()) for i in range(hi - lo)]
-                part = batch.slice(lo, hi - lo)
+                part, listed = batch.slice(lo, hi - lo), lambda values: pa.ListArray.from_arrays(pa.array(cut), pa.array(values))  # noqa: B023
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("d"), part.column("h"), pa.array(words.counts), pa.array([sha256(x).hexdigest() for x in raw]), pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(position))],
-                    ["doc_id", "d", "h", "n_words", "all_sha256", "anchors", "positions"],
+                    [part.column("doc_id"), part.column("d"), part.column("h"), pa.array(words.counts), pa.array([sha256(x).hexdigest() for x in raw], pa.string()), listed(hashes[at].view(np.int64)), listed(segment.view(np.int64)), listed(position), listed(size.astype(np.int32))],
+                    ["doc_id", "d", "h", "n_words", "all_sha256", "anchors", "segments", "positions", "sizes"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, d long, h long, n_words long, all_sha256 string, anchors array<long>, positions array<int>")
+    return rows.mapInArrow(run, "doc_id long, d long, h long, n_words long, all_sha256 string, anchors array<long>, segments array<long>, positions array<int>, sizes array<int>")
 
 
 def _segments(words: Words, start: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,32 +97,54 @@ def _segments(words: Words, start: np.ndarray, anchor: np.ndarray) -> tuple[np.n
 _SEGMENT = "anchor long, segment long, next long, d long, h long, pos int, size int"
 
 
-def _repeated_segments(joined: DataFrame) -> DataFrame:
-    """Segments on repeated anchors; next: the following segment's anchor, 0 at a text's end."""
+def _segment_rows(profile: DataFrame) -> DataFrame:
+    """Segments; next: the following segment's anchor, 0 at a text's end; again: whether the batch holds the anchor twice; salt.
+
+    The first of a batch's rows of one anchor has salt 0 and stands for the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ds, hs, listed = batch.column("d").to_numpy(), batch.column("h").to_numpy(), batch.column("repeated")
-            for lo, hi, data, offsets in _texts(batch):
-                words = Words(data, offsets, lower=False)
-                start, anchor, hashes = window_anchors(words.hash, words.counts)
-                flags = np.zeros(int(words.counts.sum()) + 1, bool)
-                first = np.cumsum(words.counts) - words.counts
-                for i in range(lo, hi):
-                    flags[first[i - lo] + listed[i].values.to_numpy()] = True
-                run_at, size, segment = _segments(words, start, anchor)
-                text = np.searchsorted(first, start[run_at], "right") - 1
-                keys = hashes[run_at].view(np.int64)
-                following = np.zeros(len(keys), np.int64)
-                following[:-1] = np.where(text[1:] == text[:-1], keys[1:], 0)
-                keep = flags[anchor[run_at]]
-                text = text[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[keep]), pa.array(segment.view(np.int64)[keep]), pa.array(following[keep]), pa.array(ds[lo + text]), pa.array(hs[lo + text]), pa.array((start[run_at][keep] - first[text]).astype(np.int32)), pa.array(size[keep].astype(np.int32))],
-                    ["anchor", "segment", "next", "d", "h", "pos", "size"],
-                )
+            lists = [batch.column(c) for c in ("anchors", "segments", "positions", "sizes")]
+            anchor, segment, position, size = (x.flatten().to_numpy() for x in lists)
+            number = np.diff(lists[0].offsets.to_numpy())
+            following = np.zeros(len(anchor), np.int64)
+            following[:-1] = anchor[1:]
+            following[np.cumsum(number)[number > 0] - 1] = 0
+            _, first, inverse, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+            place = np.arange(len(anchor))
+            salt = np.where(first[inverse] == place, 0, 1 + place % 1023).astype(np.int32)
+            d, h = (np.repeat(batch.column(c).to_numpy(), number) for c in ("d", "h"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, segment, following, d, h, position, size, times[inverse] > 1, salt)], ["anchor", "segment", "next", "d", "h", "pos", "size", "again", "salt"])
+
+    return profile.select("d", "h", "anchors", "segments", "positions", "sizes").mapInArrow(run, f"{_SEGMENT}, again boolean, salt int")
+
 
-    return joined.select("d", "h", "text", "repeated").mapInArrow(run, _SEGMENT)
+def _repeated_segments(rows: DataFrame) -> DataFrame:
+    """Segments whose anchor occurs twice, from one shuffle and sort; a run of one anchor is streamed, not gathered."""
+    names = ["anchor", "segment", "next", "d", "h", "pos", "size", "again"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, if its anchor may still be alone
+        last = None  # the last anchor, if a row of it has been kept
+        for batch in batches:
+            if held is not None:
+                batch, held = pa.concat_batches([held, batch]), None
+            if not len(batch):
+                continue
+            anchor = batch.column("anchor").to_numpy()
+            keep = batch.column("again").to_numpy(zero_copy_only=False).copy()
+            same = anchor[1:] == anchor[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            if last is not None:
+                keep |= anchor == last
+            if keep[-1]:
+                last = anchor[-1]
+            else:
+                last, held = None, batch.slice(len(batch) - 1)
+            yield batch.filter(pa.array(keep)).select(names[:-1])
+
+    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").select(*names).mapInArrow(run, _SEGMENT)
 
 
 _UNIT = "edge long, proof long, next long, d long, h long, pos int, size int"
@@ -159,22 +180,17 @@ def _windows_of(joined: DataFrame) -> DataFrame:
 
 def _near(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows joined with what is wanted of them by d and h; a bitmap keeps other texts out of the shuffle."""
-    return rows.where(marked(marks(wanted, "h"), F.col("h"))).join(wanted, ["d", "h"])
+    return thinned(rows, wanted.select("h"), "h").join(wanted, ["d", "h"])
 
 
 def repeated_spans(rows: DataFrame, profile: DataFrame) -> DataFrame:
     """d, h and the word ranges (start, end exclusive) that some earlier place holds too, with that source's place."""
-    kept = profile.where("NOT whole AND size(anchors) > 0")
-    anchors = kept.select("d", "h", F.explode(F.arrays_zip("anchors", "positions")).alias("a")).select("d", "h", F.col("a.anchors").alias("anchor"), F.col("a.positions").alias("at"))
-    # Counts are summed in each task before they are shuffled, and a hot anchor's join can be split.
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    repeated = stored(anchors.join(twice, "anchor").groupBy("d", "h").agg(F.sort_array(F.collect_set("at")).alias("repeated")), "substring-anchors")
-    segments = stored(_repeated_segments(_near(rows, repeated)), "substring-segments")
-    mixed = segments.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high")).select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    judged = stored(segments.join(mixed, "anchor"), "substring-judged")
-    runs = stored(judged.where("mixed").groupBy("d", "h").agg(F.collect_set(F.struct("pos", "size")).alias("runs")), "substring-runs")
-    whole = judged.where("NOT mixed").select(F.col("anchor").alias("edge"), F.col("segment").alias("proof"), "next", "d", "h", "pos", "size")
-    edges = stored(whole.union(_windows_of(_near(rows, runs))), "substring-edges")
+    segments = stored(_repeated_segments(_segment_rows(profile.where("NOT whole AND size(anchors) > 0"))), "substring-segments")
+    mixed = segments.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high")).where("low <> high").select("anchor")
+    mixed = bounded(stored(mixed, "substring-mixed"))
+    runs = segments.join(mixed, "anchor", "left_semi").groupBy("d", "h").agg(F.collect_list(F.struct("pos", "size")).alias("runs"))
+    whole = segments.join(mixed, "anchor", "left_anti").select(F.col("anchor").alias("edge"), F.col("segment").alias("proof"), "next", "d", "h", "pos", "size")
+    edges = stored(whole.union(_windows_of(_near(rows, stored(runs, "substring-runs")))), "substring-edges")
 
     place = F.struct("d", "h", "pos")
     graph = edges.groupBy("edge", "proof").agg(F.count("*").alias("n"), F.min(place).alias("source"), F.min("size").alias("size"), F.min("next").alias("next"), F.max("next").alias("next_high")).where("n > 1")

@@ -318,24 +318,51 @@ def test_jaccard(make_docs, seed):
     assert kept == {c for _, c in want}
 
 
+@pytest.mark.parametrize(("crowd", "rounds"), [(2, 8), (3, 1), (2, 0)])
+def test_jaccard_of_crowded_tokens(make_docs, monkeypatch, crowd, rounds):
+    """Groups around leaders: near copies by the dozen, two templates, and a passage that fills most of many texts."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "RUN", 2000)
+    rng = random.Random(crowd * 10 + rounds)
+    vocabulary = [f"w{i}" for i in range(300)]
+    bases = [[rng.choice(vocabulary) for _ in range(n)] for n in (60, 60, 90)]
+    bases[1][:30] = bases[0][:30]
+    texts = []
+    for _ in range(150):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [rng.choice(vocabulary[:40])] * rng.randrange(1, 3)
+        texts.append(" ".join(w))
+    texts += [" ".join(bases[2][:70] + [rng.choice(vocabulary) for _ in range(rng.randrange(25))]) for _ in range(60)] + random_texts(60, 5)
+    rng.shuffle(texts)
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dicts(jaccard.jaccard_components(make_docs(texts)))}
+    want = brute_components(texts)
+    assert [i for i in range(len(texts)) if rows[i] != want[i]] == [] and max(collections.Counter(c for _, c in want).values()) > 10
+
+
+def test_jaccard_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (3, text), (3, text), (7, text + " end"), (8, None), (None, ""), (9, "w0 w1"), (9, "other words"), (4, "w0 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in dicts(jaccard.jaccard_components(docs))), key=str)
+    assert got == sorted([(None, 36, 3), (3, 36, 3), (3, 36, 3), (7, 37, 3), (8, 0, 8), (None, 0, None), (9, 1, 4), (9, 1, 9), (4, 1, 4)], key=str)
+    clash = docs.withColumns({c: F.lit(1) for c in ("_copy", "copy", "whole", "component_id", "fp", "n", "token")})
+    kept = jaccard.keep_one(clash)
+    assert kept.columns == clash.columns and sorted((str(r["doc_id"]), r["text"] or "") for r in dicts(kept)) == sorted([("None", text), ("None", ""), ("3", text), ("3", text), ("8", ""), ("4", "w0 w1"), ("9", "other words")])
+
+
 def test_jaccard_prefixes_meet(make_docs, empty_docs):
     assert jaccard.jaccard_components(empty_docs).count() == 0
     rng = np.random.default_rng(8)
-    levels = rng.integers(0, 3, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
+    frequent = (np.unique(rng.integers(0, 500, 200, dtype=np.uint64)), rng.integers(1, 9, 500))
     for _ in range(300):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64)]))
+        a = np.unique(rng.integers(0, 1000, rng.integers(1, 60), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 1000, rng.integers(0, 4), dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
         if len(b) and 100 * common >= 80 * (len(a) + len(b) - common):
-            assert len(np.intersect1d(jaccard.prefix(a, levels, 80), jaccard.prefix(b, levels, 80)))
-
-
-def test_parity_bitmaps_bound_the_difference():
-    rng = np.random.default_rng(6)
-    for _ in range(200):
-        a, b = (np.unique(rng.integers(0, 2**63, rng.integers(1, 2000), dtype=np.uint64)) for _ in "ab")
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], b[: rng.integers(1, 300)]]))
-        assert jaccard.differing_bits(jaccard.parity_bitmap(a), jaccard.parity_bitmap(b)) <= len(np.setxor1d(a, b))
+            assert len(np.intersect1d(jaccard.prefix(a, frequent, 80)[0], jaccard.prefix(b, frequent, 80)[0]))
 
 
 def test_components(spark):
