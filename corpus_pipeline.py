@@ -3,7 +3,10 @@
 STAGES lists (name, function). A function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again as the next one's docs. All but the last return the columns of documents. run() applies all of them.
 
-Nulls: a null text is never toxic, is no copy of anything, holds no personal data, and encodes to no tokens.
+Nulls: a null text is judged as one without words, is no copy of anything, holds no personal data, and encodes to no tokens; rows
+without an id are judged, kept as no copies, redacted, mixed and encoded like others. Repeated rows stay repeated (they are one
+document to near_copies, which keeps all or none). Columns beside documents' own, whatever their names, pass unchanged up to the
+last stage, which names its columns. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,8 +24,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
-    judged = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("NOT is_toxic").select(*docs.columns)
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated to weights in proportion to the root of their size, globally shuffled."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mixed_rows(docs).select("whole.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

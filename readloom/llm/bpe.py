@@ -280,8 +280,9 @@ def _encoder(key: int, spec) -> ForcedBoundaryBpe:
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with a column of token ids; other columns pass unchanged. A null text gets an empty array."""
+    """docs with a column of token ids, in place of one of that name; other columns pass unchanged. A null text gets an empty array."""
     spec = docs.sparkSession.sparkContext.broadcast(load_tokenizer(tokenizer_path))
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()))
     key, rest = id(spec), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

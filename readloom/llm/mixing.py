@@ -7,7 +7,7 @@ task gives the same copies again. A source that holds a third of all rows is sum
 the shuffle's hash spreads its copies evenly.
 
 Defined results: a null source is a source of its own; a null or empty text weighs one character; equal rows draw
-equal counts; an empty table gives no rows. Rates over MAX_RATE are drawn as sums of several independent counts,
+equal counts; a null id is a value like others; an empty table gives no rows. Rates over MAX_RATE are drawn as sums of several independent counts,
 so that exp(-rate) never underflows.
 """
 
@@ -68,31 +68,35 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
 
 
 def replicate(docs: DataFrame, by_source: DataFrame, seed: int = 0) -> DataFrame:
-    """docs' rows by their Poisson counts with columns `copy` (from 0) and `rate`, in no special order."""
-    shared = by_source.select(F.col("source").alias("_source"), "rate")
+    """docs' rows by their Poisson counts: whole (a struct of docs' columns), rate, copy (from 0) and shuffle_key."""
+    shared = by_source.select("source", "rate")
     if by_source.count() <= BROADCAST_SOURCES:  # else Spark joins by key, splitting what is skewed
         shared = F.broadcast(shared)
-    joined = docs.join(shared, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    joined = rows.join(shared, F.col("whole.source").cast("string").eqNullSafe(F.col("source")))
     pieces = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    identity = [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text)]
-    one = F.when(F.col("rate") > 0, poisson(F.col("rate"), uniform(*identity))).otherwise(0)
-    many = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda a, j: a + poisson(F.col("rate") / pieces, uniform(*identity, j)))
+    identity = [F.coalesce(F.col("whole.doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("whole.text").cast("string"), F.lit("")))]
+    one = F.when(F.col("rate") > 0, poisson(F.col("rate"), uniform(F.lit(seed), *identity))).otherwise(0)
+    many = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda a, j: a + poisson(F.col("rate") / pieces, uniform(F.lit(seed), *identity, j)))
     count = F.when(pieces > 1, many).otherwise(one)
     copies = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("copy", F.explode(copies)).drop("_source")
+    key = F.md5(F.concat_ws(":", F.lit(f"shuffle-{seed}"), *identity, F.col("copy").cast("string")))
+    return joined.select("whole", "rate", F.explode(copies).alias("copy")).withColumn("shuffle_key", key)
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 0) -> DataFrame:
-    """The mixed corpus, globally shuffled: docs' columns plus copy, rate and shuffle_key.
+def mixed_rows(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 0) -> DataFrame:
+    """The mixed corpus, globally shuffled: whole (a struct of docs' columns, whatever their names), rate, copy and shuffle_key.
 
     Every copy goes to a partition by shuffle_key, a hash of seed, id, text and copy, and partitions are sorted by
     it, so writing the result gives one random permutation of all copies. One shuffle, without a pass to sample ranges.
     """
-    out = replicate(docs, rates(docs, weights, temperature, epochs), seed)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.md5(F.concat_ws(":", F.lit(f"shuffle-{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text), F.col("copy").cast("string")))
-    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    return replicate(docs, rates(docs, weights, temperature, epochs), seed).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 0) -> DataFrame:
+    """mixed_rows with docs' columns, copy, rate and shuffle_key; a column of docs that is named like a result is replaced."""
+    kept = [F.col(f"whole.`{c}`") for c in docs.columns if c.lower() not in ("copy", "rate", "shuffle_key")]
+    return mixed_rows(docs, weights, temperature, epochs, seed).select(*kept, "copy", "rate", "shuffle_key")
 
 
 def share_report(mixed: DataFrame) -> DataFrame:

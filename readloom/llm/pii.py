@@ -218,9 +218,11 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are merged under the first one's kind.
 
-    A null text stays null. All spans travel to the documents by doc_id (null equals null) and the text's hash.
+    A null text stays null. All spans travel to the documents by doc_id (null equals null) and the text's hash. Other columns
+    pass unchanged, whatever their names.
     """
-    spans = pii_spans(docs).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
+    given = docs.select(F.col("doc_id").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    spans = pii_spans(given).where("spans <> ''").select(F.col("doc_id").alias("id"), "text_hash", "spans").distinct()
 
     @F.pandas_udf("string")
     def cut(texts, found):
@@ -239,6 +241,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    hashed = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    joined = docs.withColumn("_hash_of", hashed).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left")
-    return joined.withColumn(text, cut(F.col(text), F.col("_spans"))).select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    value = F.col(f"whole.`{text}`")
+    hashed = whole.withColumn("hash_of", F.xxhash64(F.coalesce(value.cast("string"), F.lit(""))))
+    joined = hashed.join(spans, F.col("whole.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("hash_of") == F.col("text_hash")), "left")
+    done = joined.select("whole", cut(value.cast("string"), F.col("spans")).alias("done"))
+    return done.select(*(F.col("done").alias(c) if c == text else F.col(f"whole.`{c}`") for c in docs.columns))

@@ -2,23 +2,26 @@
 
 The chain predicts categories in order; each link is a linear model over word and word-stem presence plus the
 probabilities of the links before it. In training those come out of fold: a document's earlier probability is
-predicted by models that have not seen it. The chain is fitted on at most `max_rows` labelled documents, drawn
-by the smallest hashes of their ids (a documented bound); every document is scored, whole, in one map pass with
-the broadcast weights (at most `max_features` a link).
+predicted by models that have not seen it. The chain is fitted in one task on at most `max_rows` labelled documents, drawn
+by the smallest hashes of their ids (a documented bound); every document is scored, whole, by an Arrow function of its text with
+the broadcast weights (at most `max_features` a link), so that other columns stay where they are.
 
 Defined results: a null or empty text scores as a text without features. Unlabelled, null-labelled or text-less
 rows don't train. Without training rows of both classes a link gives its prior (0 without rows). Of repeated
-labels of a document the largest value counts. Ties in feature selection go to the smaller hash.
+labels of a document the largest value counts; of repeated documents of one id the text with the least hash trains, and each row
+is scored. Ties in feature selection go to the smaller hash. A column of docs that is named like a result is replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.llm.shared import slices, text_buffers
 from readloom.llm.words import Words, mix
@@ -31,10 +34,11 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of lower-cased words (outer punctuation cut) and of their first STEM bytes, with the text of each."""
     words = Words(data, offsets, lower=True)
-    start, end = words.start.copy(), words.end.copy()
-    for _ in range(3):
-        start += (start < end) & ~_LETTER[data[np.minimum(start, len(data) - 1)]] if len(data) else 0
-        end -= (start < end) & ~_LETTER[data[end - 1]] if len(data) else 0
+    place, letter = np.arange(len(data)), _LETTER[data]
+    # The next letter from each byte on, and the last one up to it.
+    after = np.minimum.accumulate(np.where(letter, place, len(data))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(letter, place, -1))
+    start, end = after[words.start], before[words.end - 1] + 1
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     keep = end > start
     start, end, text = start[keep], end[keep], text[keep]
@@ -132,42 +136,48 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_ro
     given = given.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # max_rows bounds what is broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(sample), "doc_id")
+    # One text for each id, so that max_rows bounds what trains.
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(c).alias(c) for c in categories))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             found = [p.view(np.int64) for lo, hi in slices(offsets, 1 << 20) for p in _present(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in categories), pa.array(found, pa.list_(pa.int64()))], ["doc_id", *categories, "features"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, present, targets = [np.zeros(0, np.int64)], [], [np.zeros((0, len(categories)))]
+        for batch in batches:
+            ids.append(batch.column("doc_id").to_numpy())
+            targets.append(np.column_stack([batch.column(c).to_numpy() for c in categories]).astype(float))
+            present += [x.values.to_numpy().view(np.uint64) for x in batch.column("features")]
+        chain = fit_chain(np.concatenate(ids), present, np.concatenate(targets))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], ["chain"])
+
     schema = "doc_id long, " + "".join(f"{c} int, " for c in categories) + "features array<long>"
-    table = rows.select("doc_id", *categories, "text").mapInArrow(run, schema).toArrow()
-    present = [np.asarray(x.values.to_numpy()).view(np.uint64) for x in table.column("features")]
-    targets = np.column_stack([table.column(c).to_numpy() for c in categories]).astype(float)
-    return fit_chain(table.column("doc_id").to_numpy(), present, targets)
+    made = rows.select("doc_id", *categories, "text").mapInArrow(features, schema).coalesce(1).mapInArrow(fit, "chain binary").first()
+    return pickle.loads(made["chain"]) if made else fit_chain(np.zeros(0, np.int64), [], np.zeros((0, len(categories))))
 
 
-def score(docs: DataFrame, chain: list[Link], names: list[str]) -> DataFrame:
-    """docs with a probability column for each category; all other columns pass through the same map pass."""
-    links = docs.sparkSession.sparkContext.broadcast(chain)
-    rest = docs.columns
+def probabilities(text: Column, chain: list[Link], names: list[str]) -> Column:
+    """A struct with a probability for each name."""
+    links = SparkSession.active().sparkContext.broadcast(chain)
+    returned = T.StructType([T.StructField(c, T.DoubleType()) for c in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            made = []
-            for lo, hi in slices(offsets, 1 << 20):
-                hashes, text = _features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                earlier = np.zeros((hi - lo, 0))
-                for link in links.value:
-                    earlier = np.column_stack([earlier, link.predict(hi - lo, hashes, text, earlier)])
-                made.append(earlier)
-            columns = np.concatenate(made) if made else np.zeros((0, len(names)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(columns[:, k]) for k in range(len(names)))], [*rest, *names])
+    @F.arrow_udf(returned)
+    def judge(texts: pa.Array) -> pa.Array:
+        data, offsets = text_buffers(texts)
+        made = [np.zeros((0, len(names)))]
+        for lo, hi in slices(offsets, 1 << 20):
+            hashes, row = _features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            earlier = np.zeros((hi - lo, 0))
+            for link in links.value:
+                earlier = np.column_stack([earlier, link.predict(hi - lo, hashes, row, earlier)])
+            made.append(earlier)
+        columns = np.concatenate(made)
+        return pa.StructArray.from_arrays([pa.array(columns[:, k]) for k in range(len(names))], names)
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)]))
+    return judge(text.cast("string"))
 
 
 #: The categories that the label table offers, in chain order.
@@ -176,5 +186,14 @@ CATEGORIES = {"p_poor": "1 - quality", "p_toxic": "toxic"}
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs (with a text column) plus p_poor, p_toxic and the decision is_toxic (p_toxic >= threshold)."""
-    chain = train(docs, labels, CATEGORIES, max_rows)
-    return score(docs, chain, list(CATEGORIES)).withColumn("is_toxic", F.col("p_toxic") >= threshold)
+    judged = probabilities(F.col("text"), train(docs, labels, CATEGORIES, max_rows), list(CATEGORIES))
+    results = [*CATEGORIES, "is_toxic"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in results]
+    rows = docs.select(F.struct(*kept).alias("whole"), judged.alias("p"))
+    return rows.select("whole.*", "p.*", (F.col("p.p_toxic") >= threshold).alias("is_toxic"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of docs that are not toxic, with all their columns as they are."""
+    judged = probabilities(F.col("text"), train(docs, labels, CATEGORIES, max_rows), list(CATEGORIES))
+    return docs.where(judged["p_toxic"] < threshold)
