@@ -41,9 +41,8 @@ def rendered(spark: SparkSession, path: str, form: str) -> str:
         return texts.alignment_summary_text(rows(alignment_metrics.alignment_summary(reads)))
     if form == "insert-size":
         bins = alignment_metrics.insert_bins(reads).persist()
-        if bins.where("orientation IS NULL").count():
-            raise LoomError("unsupported_record", "a pair lies on two contigs")
-        return texts.insert_size_text(rows(alignment_metrics.insert_metrics(bins)), rows(alignment_metrics.insert_widths(bins)), rows(alignment_metrics.insert_histogram(reads)))
+        alignment_metrics.refuse_split_pairs(bins)
+        return texts.insert_size_text(rows(alignment_metrics.insert_metrics(bins)), rows(alignment_metrics.insert_widths(bins)), rows(alignment_metrics.insert_histogram(bins)))
     flags = {r["qc"]: r for r in rows(counters.flag_counters(reads))}
     if form == "flagstat":
         return texts.flagstat_text(flags)
@@ -70,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.reference:
             bed.check_reference(header.contigs, header.md5, bed.fasta_contigs(a.reference))
         targets = bed.read_bed(spark, a.targets, header.contigs)[0] if a.targets else None
-        release.release(spark, reads, refs, a.output, targets, depths=tuple(settings["thresholds"]), near=settings["near_distance"])
+        release.release(spark, reads, refs, a.output, targets, depths=tuple(settings["thresholds"]), near=settings["near_distance"], keep_failed=settings["keep_failed"])
         return 0
     except LoomError as e:
         print(e.text(), file=sys.stderr)

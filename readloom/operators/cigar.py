@@ -24,6 +24,19 @@ def _walk(cigar: Column, pos: Column) -> Column:
     return F.aggregate(cigar, start, step, lambda s: s["blocks"])
 
 
+def _walk_ops(cigar: Column, pos: Column) -> Column:
+    """at, query_at and len of the operations of one alignment that cover bases."""
+    start = F.struct(pos.cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("query_at"), F.array().cast("array<struct<at: bigint, query_at: bigint, len: int>>").alias("ops"))
+
+    def step(s, o):
+        moved = lambda c, ops: F.when(o["op"].isin(*ops), s[c] + o["len"]).otherwise(s[c]).alias(c)
+        covers = o["op"].isin(*_COVERS) & (o["len"] > 0)
+        here = F.struct(s["at"].alias("at"), s["query_at"].alias("query_at"), o["len"].alias("len"))
+        return F.struct(moved("at", _CONSUMES_REF), moved("query_at", _CONSUMES_QUERY), F.when(covers, F.array_append(s["ops"], here)).otherwise(s["ops"]).alias("ops"))
+
+    return F.aggregate(cigar, start, step, lambda s: s["ops"])
+
+
 def _rows(reads: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each operation with its reference and query offsets (at, query_at); rows of a read share `_id`."""
     numbered = reads.withColumn("_id", F.monotonically_increasing_id()).select("_id", "pos", *keep, F.posexplode("cigar").alias("_k", "_o"))
@@ -60,9 +73,13 @@ def events(reads: DataFrame, long_cigars: bool = True) -> DataFrame:
     return made.union(far)
 
 
-def bases(reads: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each aligned base: keep, at (reference position), query_at (offset in the read)."""
-    ops = _rows(reads, keep).where(F.col("op").isin(*_COVERS) & (F.col("len") > 0))
+def bases(reads: DataFrame, keep: list[str], long_cigars: bool = True) -> DataFrame:
+    """One row for each aligned base: keep, at (reference position), query_at (offset in the read). long_cigars: as in events()."""
+    short = reads.where(F.size("cigar") <= LONG_CIGAR) if long_cigars else reads
+    ops = short.select(*keep, F.inline(_walk_ops(F.col("cigar"), F.col("pos"))))
+    if long_cigars:
+        far = _rows(reads.where(F.size("cigar") > LONG_CIGAR), keep).where(F.col("op").isin(*_COVERS) & (F.col("len") > 0))
+        ops = ops.union(far.select(*keep, "at", "query_at", "len"))
     each = ops.select(*keep, "at", "query_at", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("_i"))
     return each.select(*keep, (F.col("at") + F.col("_i")).alias("at"), (F.col("query_at") + F.col("_i")).alias("query_at"))
 

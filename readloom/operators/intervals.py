@@ -73,6 +73,7 @@ def overlaps(runs: DataFrame, intervals: DataFrame, bin_size: int = BIN) -> Data
 
 
 def uncontained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Intervals of inner that no interval of outer contains."""
-    o = outer.select(F.col("ref_id").alias("_ref"), F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    return inner.join(o, (F.col("ref_id") == F.col("_ref")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("stop")), "left_anti")
+    """Intervals of inner that no interval of outer contains. Both meet by contig and the bin in which an inner one starts."""
+    o = outer.select(F.col("ref_id").alias("_ref"), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("stop") / BIN))).alias("_bin"))
+    met = (F.col("ref_id") == F.col("_ref")) & (F.floor(F.col("start") / BIN) == F.col("_bin")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("stop"))
+    return inner.join(o, met, "left_anti")

@@ -17,22 +17,22 @@ def genome_candidates(reads: DataFrame) -> DataFrame:
     return reads.where(~has(sam.UNMAPPED | sam.SECONDARY | sam.QC_FAIL | sam.DUPLICATE | sam.MATE_UNMAPPED) & has(sam.PAIRED) & (F.col("mapq") >= LEAST_MAPQ))
 
 
-def base_partition(reads: DataFrame, keep: list[str], quality: Column, base: Column) -> DataFrame:
+def base_partition(reads: DataFrame, keep: list[str], quality: Column, base: Column, long_cigars: bool = True) -> DataFrame:
     """One row: retained, baseq_excluded and overlap_excluded bases.
 
     Of the eligible bases of one name at one place the first is retained and the others are excluded; only counts
     leave, so retained = distinct (name, contig, place). Bases are partly counted before they are shuffled.
     keep: columns that quality and base need besides query_at.
     """
-    each = bases(reads, ["qname", "ref_id", *keep]).withColumn("ok", (quality >= LEAST_QUALITY) & ~base.isin("N", "n", "."))
+    each = bases(reads, ["qname", "ref_id", *keep], long_cigars).withColumn("ok", (quality >= LEAST_QUALITY) & ~base.isin("N", "n", "."))
     counted = each.groupBy("qname", "ref_id", "at").agg(F.count_if(F.col("ok")).alias("eligible"), F.count_if(~F.col("ok")).alias("low"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return counted.agg(F.count_if(F.col("eligible") > 0).alias("retained"), total("low").alias("baseq_excluded"), total(F.greatest(F.col("eligible") - 1, F.lit(0))).alias("overlap_excluded"))
 
 
-def crowded_loci(reads: DataFrame, cap: int = LOCUS_CAP) -> DataFrame:
+def crowded_loci(reads: DataFrame, cap: int = LOCUS_CAP, long_cigars: bool = True) -> DataFrame:
     """ref_id, at, bases of places with over `cap` candidate bases, which is fatal for the correction."""
-    return bases(reads, ["ref_id"]).groupBy("ref_id", "at").agg(F.count("*").alias("bases")).where(F.col("bases") > cap)
+    return bases(reads, ["ref_id"], long_cigars).groupBy("ref_id", "at").agg(F.count("*").alias("bases")).where(F.col("bases") > cap)
 
 
 def clipped_behind_mate() -> Column:

@@ -154,11 +154,16 @@ def oracle_sql() -> dict[str, str]:
         "samtools_sn": _stats(),
         "samtools_is": _with(_INSERTS) + ", dense AS (SELECT s.size, coalesce(inward, 0) AS inward, coalesce(outward, 0) AS outward, coalesce(other, 0) AS other, coalesce(inward + outward + other, 0) AS pairs FROM (SELECT unnest(range(0, 8001)) AS size) s LEFT JOIN cells USING (size)), run AS (SELECT *, sum(pairs) OVER (ORDER BY size) AS up, sum(pairs) OVER () AS n FROM dense) SELECT size, pairs, inward, outward, other FROM run WHERE size <= (SELECT min(size) FROM run WHERE up > 0.99::DOUBLE * n)",
         "insert_orientation": _with(_INSERTS) + "SELECT sum(inward)::BIGINT AS inward, sum(outward)::BIGINT AS outward, sum(other)::BIGINT AS other FROM cells",
-        "picard_insert_histogram": _with(_PICARD) + "SELECT orientation, size, count(*) AS n FROM kept GROUP BY orientation, size",
+        "picard_insert_histogram": _with(_PICARD) + ", m AS (SELECT orientation, median(size) AS mid FROM kept GROUP BY orientation), a AS (SELECT k.orientation, median(abs(size - mid)) AS mad FROM kept k JOIN m USING (orientation) GROUP BY k.orientation) SELECT orientation, size, count(*) AS n FROM kept JOIN m USING (orientation) JOIN a USING (orientation) WHERE size <= floor(mid + 10 * mad) GROUP BY orientation, size",
         "picard_insert_metrics": _with(_PICARD) + ", m AS (SELECT orientation, median(size) AS mid FROM kept GROUP BY orientation), a AS (SELECT k.orientation, median(abs(size - mid)) AS mad FROM kept k JOIN m USING (orientation) GROUP BY k.orientation), u AS (SELECT orientation, size, count(*) AS n FROM kept GROUP BY orientation, size), o AS (SELECT orientation, sum(n)::BIGINT AS read_pairs, min(size) AS least, max(size) AS most FROM u GROUP BY orientation), top AS (SELECT orientation, size AS mode, row_number() OVER (PARTITION BY orientation ORDER BY n DESC, size) AS r FROM u), t AS (SELECT k.orientation, avg(size) AS mean, stddev_samp(size) AS sd FROM kept k JOIN m USING (orientation) JOIN a USING (orientation) WHERE size <= floor(mid + 10 * mad) GROUP BY k.orientation) SELECT orientation, read_pairs, mode, least, most, round(mid * 2)::BIGINT AS median_x2, round(mad * 2)::BIGINT AS mad_x2, round(mean * 1000)::BIGINT AS mean_x1000, round(sd * 1000)::BIGINT AS deviation_x1000 FROM o JOIN m USING (orientation) JOIN a USING (orientation) JOIN t USING (orientation) JOIN top USING (orientation) WHERE r = 1",
         "picard_insert_widths": _with(_PICARD) + f", m AS (SELECT orientation, floor(median(size)) AS c FROM kept GROUP BY orientation), d AS (SELECT k.orientation, abs(size - c)::BIGINT AS d, row_number() OVER (PARTITION BY k.orientation ORDER BY abs(size - c)) AS r, count(*) OVER (PARTITION BY k.orientation) AS n FROM kept k JOIN m USING (orientation)), shares AS (SELECT unnest({_WIDTH_SHARES})::DOUBLE AS share) SELECT orientation, round(share * 100)::BIGINT AS percent, min(d) * 2 + 1 AS width FROM (SELECT orientation, d, max(r) AS r, max(n) AS n FROM d GROUP BY orientation, d), shares WHERE r::DOUBLE / n >= share GROUP BY orientation, share",
         "adapter_reads": _with(_ADAPTERS) + "SELECT ref_id, count(*) AS reads FROM marked WHERE adapter GROUP BY ref_id",
         "no_call_cycles": _with(_ADAPTERS, _CATEGORIES) + "SELECT category, CASE WHEN flag & 16 > 0 THEN seq_len - i + 1 ELSE i END AS cycle, count(*) AS no_calls FROM (SELECT category, flag, seq_len, seq, unnest(range(1, seq_len + 1)) AS i FROM split) WHERE substr(seq, i::INT, 1) = 'N' GROUP BY 1, 2",
+        "bad_cycles": _with(_CATEGORIES.replace("FROM marked", "FROM reads"), "masked AS (SELECT category, flag, seq_len, CASE WHEN h % 8 = 7 THEN seq WHEN flag & 16 > 0 THEN concat(substr(seq, 1, seq_len - 12), repeat('N', 12)) ELSE concat(repeat('N', 12), substr(seq, 13)) END AS seq FROM split)") + ", cycles AS (SELECT category, CASE WHEN flag & 16 > 0 THEN seq_len - i + 1 ELSE i END AS cycle, seq, i FROM (SELECT *, unnest(range(1, seq_len + 1)) AS i FROM masked)), bad AS (SELECT category, cycle FROM cycles WHERE substr(seq, i::INT, 1) = 'N' GROUP BY category, cycle HAVING count(*) >= 0.8 * (SELECT count(*) FROM masked s WHERE s.category = cycles.category)), sums AS (SELECT category, count(*) AS bad_cycles FROM bad GROUP BY category) SELECT * FROM sums UNION ALL SELECT 'PAIR', sum(bad_cycles)::BIGINT FROM sums WHERE category <> 'UNPAIRED' HAVING sum(bad_cycles) IS NOT NULL",
+        "order_violations": _with() + "SELECT rec AS rec_index FROM (SELECT rec, CASE WHEN ref_id < 0 THEN 2147483647 ELSE ref_id END AS r, CASE WHEN ref_id < 0 THEN 0 ELSE pos END AS p, lag(r) OVER (ORDER BY rec) AS r0, lag(p) OVER (ORDER BY rec) AS p0 FROM reads) WHERE r < r0 OR (r = r0 AND p < p0)",
+        "crowded_loci": _with() + ", kept AS (SELECT * FROM reads WHERE flag & (4 + 256 + 512 + 1024 + 8) = 0 AND flag & 1 = 1 AND mapq >= 20), b AS (SELECT ref_id, unnest(range(pos, pos + m1)) AS spot FROM kept UNION ALL SELECT ref_id, unnest(range(pos + m1 + del_len, pos + m1 + del_len + m2)) AS spot FROM kept) SELECT ref_id, spot AS \"at\", count(*) AS bases FROM b GROUP BY ref_id, spot HAVING count(*) > 4",
+        "uncontained": _with(_merged(0)) + ", inn AS (SELECT t.source_index, t.ref_id, greatest(t.start - 5, 0) AS start, least(t.stop + 5, r.length) AS stop FROM targets t JOIN refs r USING (ref_id) WHERE t.stop > t.start) SELECT i.source_index, i.ref_id, i.start, i.stop FROM inn i WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.ref_id = i.ref_id AND m.start <= i.start AND m.stop >= i.stop)",
+        "reordered": _with() + "SELECT count(*) FILTER (WHERE k <> source_index) AS moved FROM (SELECT source_index, row_number() OVER (ORDER BY ref_id, start, stop, source_index) AS k FROM targets)",
         "picard_alignment_summary": _with(_ADAPTERS, _CATEGORIES) + ", rows AS (SELECT category, flag, seq_len, xn, adapter FROM split UNION ALL SELECT 'PAIR', flag, seq_len, xn, adapter FROM split WHERE category <> 'UNPAIRED'), m AS (SELECT category, median(seq_len) AS mid FROM rows WHERE flag & 512 = 0 GROUP BY category), a AS (SELECT r.category, median(abs(seq_len - mid)) AS mad FROM rows r JOIN m USING (category) WHERE flag & 512 = 0 GROUP BY r.category), bad AS (SELECT category, count(*) AS n FROM (SELECT category, cycle FROM (SELECT category, CASE WHEN flag & 16 > 0 THEN seq_len - i + 1 ELSE i END AS cycle, seq, i FROM (SELECT category, flag, seq_len, seq, unnest(range(1, seq_len + 1)) AS i FROM split)) c WHERE substr(seq, i::INT, 1) = 'N' GROUP BY category, cycle HAVING count(*) >= 0.8 * (SELECT count(*) FROM split s WHERE s.category = c.category)) GROUP BY category) SELECT r.category, count(*) AS total_reads, count(*) FILTER (WHERE flag & 512 = 0) AS pf_reads, count(*) FILTER (WHERE flag & 512 = 0 AND xn) AS pf_noise_reads, count(*) FILTER (WHERE flag & 512 = 0 AND adapter) AS adapter_reads, coalesce(CASE WHEN r.category = 'PAIR' THEN (SELECT sum(n) FROM bad WHERE category <> 'UNPAIRED') ELSE (SELECT sum(n) FROM bad b WHERE b.category = r.category) END, 0)::BIGINT AS bad_cycles, min(seq_len) FILTER (WHERE flag & 512 = 0) AS least, max(seq_len) FILTER (WHERE flag & 512 = 0) AS most, round(any_value(mid) * 2)::BIGINT AS median_x2, round(any_value(mad) * 2)::BIGINT AS mad_x2, round(avg(seq_len) FILTER (WHERE flag & 512 = 0) * 1000)::BIGINT AS mean_x1000 FROM rows r JOIN m USING (category) JOIN a USING (category) GROUP BY r.category",
         "wgs_overlap": _with() + ", kept AS (SELECT * FROM reads WHERE flag & (4 + 256 + 512 + 1024 + 8) = 0 AND flag & 1 = 1 AND mapq >= 20), b AS (SELECT qname, ref_id, h, seq, pos + i AS spot, i AS q FROM (SELECT *, unnest(range(0, m1)) AS i FROM kept) UNION ALL SELECT qname, ref_id, h, seq, pos + m1 + del_len + i, m1 + ins_len + i FROM (SELECT *, unnest(range(0, m2)) AS i FROM kept)), e AS (SELECT qname, ref_id, spot, (h + 7 * q) % 42 >= 20 AND substr(seq, (q + 1)::INT, 1) <> 'N' AS ok FROM b) SELECT (SELECT count(*) FROM (SELECT DISTINCT qname, ref_id, spot FROM e WHERE ok)) AS retained, count(*) FILTER (WHERE NOT ok) AS baseq_excluded, count(*) FILTER (WHERE ok) - (SELECT count(*) FROM (SELECT DISTINCT qname, ref_id, spot FROM e WHERE ok)) AS overlap_excluded FROM e",
         "hs_overlap": _with() + ", kept AS (SELECT *, pos + m1 AS s2, pos + m1 + del_len AS s3, pos + m1 + del_len + m2 AS s4 FROM reads WHERE flag & (256 + 512 + 1024) = 0 AND mapq >= 20 AND flag & 1 = 1 AND flag & 12 = 0 AND mate_pos >= pos AND NOT (mate_pos = pos AND flag & 64 > 0)) SELECT coalesce(sum(CASE WHEN mate_pos < s2 THEN s2 - mate_pos ELSE 0 END + CASE WHEN mate_pos < s2 THEN ins_len ELSE 0 END + CASE WHEN mate_pos < s3 THEN m2 WHEN mate_pos < s4 THEN s4 - mate_pos ELSE 0 END), 0)::BIGINT AS clipped_bases FROM kept",

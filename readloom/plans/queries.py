@@ -129,7 +129,7 @@ def insert_orientation(spark, sf_dir):
 
 
 def picard_insert_histogram(spark, sf_dir):
-    return am.insert_histogram(view.reads(spark, sf_dir))
+    return am.insert_histogram(am.insert_bins(view.reads(spark, sf_dir)))
 
 
 def picard_insert_metrics(spark, sf_dir):
@@ -148,20 +148,45 @@ def picard_alignment_summary(spark, sf_dir):
 
 
 def adapter_reads(spark, sf_dir):
-    return view.reads(spark, sf_dir).where(am.begins_with_adapter()).groupBy("ref_id").agg(F.count("*").alias("reads"))
+    return am.with_adapter(view.reads(spark, sf_dir)).where("adapter").groupBy("ref_id").agg(F.count("*").alias("reads"))
 
 
 def no_call_cycles(spark, sf_dir):
     rows = am.category_rows(view.reads(spark, sf_dir)).where("category <> 'PAIR'")
-    called = F.transform(F.split("seq", ""), lambda b: b == "N")
-    at = rows.select("category", "flag", F.length("seq").alias("n"), F.posexplode(called).alias("i", "none")).where("none")
-    return at.groupBy("category", F.when(sam.has(sam.REVERSE), F.col("n") - F.col("i")).otherwise(F.col("i") + 1).alias("cycle")).agg(F.count("*").alias("no_calls"))
+    return am.no_calls(rows).select("category", "cycle", F.col("none").alias("no_calls"))
+
+
+def bad_cycles(spark, sf_dir):
+    """Cycles without a call where seven of eight reads have none at their first twelve cycles."""
+    last = F.concat(F.expr("substr(seq, 1, CAST(seq_len AS INT) - 12)"), F.lit("N" * 12))
+    masked = F.when(F.col("h") % 8 == 7, F.col("seq")).when(sam.has(sam.REVERSE), last).otherwise(F.concat(F.lit("N" * 12), F.expr("substr(seq, 13)")))
+    return am.bad_cycles(am.category_rows(view.reads(spark, sf_dir).withColumn("seq", masked)))
+
+
+def order_violations(spark, sf_dir):
+    # The view's indices are far apart, so chunks are wide.
+    return validation.order_violations(view.reads(spark, sf_dir).withColumnRenamed("rec", "rec_index"), chunk=1 << 47)
+
+
+def crowded_loci(spark, sf_dir):
+    return overlap.crowded_loci(overlap.genome_candidates(view.reads(spark, sf_dir)), cap=4, long_cigars=False)
+
+
+def uncontained(spark, sf_dir):
+    """Widened intervals that no merged interval of the targets contains."""
+    wide = intervals.expand(view.targets(spark, sf_dir), view.refs(spark, sf_dir), 5).select("source_index", "ref_id", "start", "stop")
+    return intervals.uncontained(wide, targeted.union_of(view.targets(spark, sf_dir), view.refs(spark, sf_dir)))
+
+
+def reordered(spark, sf_dir):
+    targets = view.targets(spark, sf_dir)
+    return intervals.reordered(targets.withColumn("source_index", F.col("source_index") - 1))
 
 
 def wgs_overlap(spark, sf_dir):
     kept = overlap.genome_candidates(view.reads(spark, sf_dir))
     base = F.substring(F.col("seq"), (F.col("query_at") + 1).cast("int"), F.lit(1))
-    return overlap.base_partition(kept, ["h", "seq"], F.expr(view.quality()), base)
+    return overlap.base_partition(kept, ["h", "seq"], F.expr(view.quality()), base, long_cigars=False)
 
 
 def hs_overlap(spark, sf_dir):
@@ -187,7 +212,7 @@ def metric_diff(spark, sf_dir):
 NAMES = (
     "flagstat", "idxstats", "record_classes", "read_group_state", "depth_runs", "depth_histogram", "per_reference_coverage", "coverage_thresholds", "coverage_invariants", "target_merge", "selected_merge", "merge_provenance",
     "merge_report", "target_depth_histogram", "target_partition", "per_target_coverage", "zero_runs", "dropout", "target_enrichment", "target_d20", "uniformity_penalty", "samtools_sn", "samtools_is", "insert_orientation",
-    "picard_insert_histogram", "picard_insert_metrics", "picard_insert_widths", "picard_alignment_summary", "adapter_reads", "no_call_cycles", "wgs_overlap", "hs_overlap", "violations", "cigar_spans", "metric_diff",
+    "picard_insert_histogram", "picard_insert_metrics", "picard_insert_widths", "picard_alignment_summary", "adapter_reads", "no_call_cycles", "bad_cycles", "order_violations", "crowded_loci", "uncontained", "reordered", "wgs_overlap", "hs_overlap", "violations", "cigar_spans", "metric_diff",
 )
 
 

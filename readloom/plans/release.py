@@ -23,6 +23,10 @@ def check(spark: SparkSession, reads: DataFrame, refs: DataFrame) -> None:
     broken = validation.violations(reads, refs).orderBy("category", "rule").first()  # a row a rule at most
     if broken:
         raise LoomError(broken["category"], f"{broken['records']} records break {broken['rule']}")
+    if "rec_index" in reads.columns:
+        first = validation.order_violations(reads).orderBy("rec_index").first()
+        if first:
+            raise LoomError("input_unsorted", "alignment coordinates regress", f"record {first['rec_index']}")
 
 
 def summary(spark: SparkSession, reads: DataFrame, refs: DataFrame, targets: DataFrame | None = None, depths: tuple[int, ...] = (1, 10, 20, 30), near: int = targeted.NEAR) -> dict:
@@ -96,8 +100,8 @@ def publish(folder: str, files: dict[str, str], keep_failed: bool = False) -> No
         raise LoomError("output_io", "the output can't be written", folder) from e
 
 
-def release(spark: SparkSession, reads: DataFrame, refs: DataFrame, folder: str, targets: DataFrame | None = None, **options) -> dict:
-    """Check, compute and publish; nothing is published unless everything has been computed."""
+def release(spark: SparkSession, reads: DataFrame, refs: DataFrame, folder: str, targets: DataFrame | None = None, keep_failed: bool = False, **options) -> dict:
+    """Check, compute and publish; nothing is published unless everything has been computed. keep_failed: keep what a failed write left."""
     started = time.time()
     if os.path.lexists(folder):
         raise LoomError("output_exists", "the output folder exists", folder)
@@ -107,5 +111,5 @@ def release(spark: SparkSession, reads: DataFrame, refs: DataFrame, folder: str,
         document = summary(spark, reads, refs, targets, **options)
     finally:
         reads.unpersist()
-    publish(folder, {"summary.json": canonical_json(document), "provenance.json": canonical_json(provenance(spark, started, options))})
+    publish(folder, {"summary.json": canonical_json(document), "provenance.json": canonical_json(provenance(spark, started, options))}, keep_failed)
     return document

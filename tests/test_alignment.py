@@ -148,8 +148,8 @@ def test_alignment_summary(spark):
 
 
 def test_insert_metrics(spark):
-    bins, histogram = am.insert_bins(R.frame(spark, R.insert_edge())).cache(), am.insert_histogram(R.frame(spark, R.insert_edge()))
-    assert {(r["orientation"], r["size"]): r["n"] for r in dicts(histogram)} == {("FR", 100): 10, ("FR", 101): 10, ("FR", 102): 8, ("FR", 103): 8, ("FR", 1000): 1}
+    bins, histogram = am.insert_bins(R.frame(spark, R.insert_edge())).cache(), am.insert_histogram(am.insert_bins(R.frame(spark, R.insert_edge())))
+    assert {(r["orientation"], r["size"]): r["n"] for r in dicts(histogram)} == {("FR", 100): 10, ("FR", 101): 10, ("FR", 102): 8, ("FR", 103): 8}
     (m,) = dicts(am.insert_metrics(bins))
     assert [m[k] for k in ("median", "mode", "mad", "least", "most", "read_pairs")] == [101, 100, 1, 100, 1000, 37]
     assert numbers.plain_float(m["mean"]) == "101.388889" and f"{m['deviation']:.5f}" == "1.12828"
@@ -272,3 +272,26 @@ def test_metric_diff(spark):
     make = lambda rows: spark.createDataFrame(rows, "metric string, value string")
     got = validation.metric_diff(make([("a", "1"), ("b", "2"), ("c", "3")]), make([("a", "1"), ("b", "9"), ("d", "4")]))
     assert {r["metric"]: r["status"] for r in dicts(got)} == {"a": "equal", "b": "different", "c": "missing", "d": "unexpected"}
+
+
+def test_pairs_on_two_contigs_are_refused(spark):
+    rows = R.insert_edge()
+    both = R.frame(spark, rows).withColumn("mate_ref_id", F.when(F.abs("tlen") == 103, F.lit(1)).otherwise(F.col("mate_ref_id")))
+    bins = am.insert_bins(both)
+    assert bins.where("orientation IS NULL").count() == 1
+    with pytest.raises(LoomError, match="two contigs"):
+        am.refuse_split_pairs(bins)
+    am.refuse_split_pairs(am.insert_bins(R.frame(spark, rows)))
+
+
+def test_unsorted_reads_and_low_mates_are_refused(spark):
+    rows = R.frame(spark, [R.read("a", 0, 0, 50, "5M"), R.read("b", 0, 0, 10, "5M")])
+    numbered = rows.withColumn("rec_index", F.when(F.col("qname") == "a", F.lit(0)).otherwise(F.lit(3 << 40)).cast("long"))
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    with pytest.raises(LoomError, match="input_unsorted"):
+        release.check(spark, numbered, R.refs(spark))
+    release.check(spark, numbered.withColumn("rec_index", -F.col("rec_index")), R.refs(spark))
+    low = rows.withColumn("mate_pos", F.lit(-2).cast("bigint"))
+    assert "mate_below_sentinel" in {r["rule"] for r in dicts(validation.violations(low, R.refs(spark)))}
+    bare = rows.withColumn("seq", F.lit(None).cast("string"))
+    assert "query_span" in {r["rule"] for r in dicts(validation.violations(bare, R.refs(spark)))}
