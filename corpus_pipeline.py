@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm import bpe, jaccard, mixing, pii, toxicity
 from readloom.llm.queries import tokenizer_path
-from readloom.llm.shared import stored
+from readloom.llm.shared import small_batches, stored
 
 #: SQL can't state a trained classifier or a merge table, so there is none; tests compare with brute force.
 ORACLE_SQL = None
@@ -24,16 +24,19 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least id."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
+    small_batches(spark)
     redacted = pii.redact(docs)
     if "n_chars" in docs.columns:
         redacted = redacted.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -42,11 +45,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated to weights in proportion to the root of their size, globally shuffled."""
+    small_batches(spark)
     return mixing.mixed_rows(docs).select("whole.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text."""
+    small_batches(spark)
     encoded = bpe.bpe_encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path())
     return encoded.select("doc_id", "source", "lang", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 

@@ -3,8 +3,9 @@
 One map pass over the texts finds base entities (e-mail, IP, card, phone) and identifier-like tokens, each with
 its lexical contexts. Base entities are the seeds. Spark then scores the graph of patterns (contexts of a kind)
 and instances in rounds: a pattern's confidence is the share of its mentions whose instance is believed to be of
-the kind, an instance's belief is the noisy-or of its confident patterns. Identifiers that only confident
-patterns reach are the discovered spans; base spans always stay. Only mentions are shuffled, never texts.
+the kind, an instance's belief is the noisy-or of its confident patterns, and believed instances teach further patterns in the
+next round. Identifiers that only confident patterns reach are the discovered spans; base spans always stay. Only mentions are
+shuffled, never texts.
 
 Defined results: a null or empty text has no spans. Offsets are code points, ends exclusive. Every search is
 linear in the text's length. Repeated rows get the same spans each, and rows with a null doc_id get theirs. Kinds come in the order of KINDS, spans by
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.shared import stored, text_buffers
+from readloom.llm.shared import bounded, stored, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs this many different seed instances, and this confidence, to teach anything.
+#: A pattern needs this many different believed instances, and this confidence, to teach anything.
 MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.8, 3
 
 # The leftmost match of local-part@domain at an "@" starts where the run of local-part characters before it
@@ -178,21 +179,24 @@ def discover(scanned: DataFrame) -> DataFrame:
     sided = rows.select("*", F.explode(F.array("before", "around")).alias("pattern")).where("pattern <> ''")
     # One row for each pattern, instance and kind; a hot pattern's mentions are summed before they are shuffled.
     edges = sided.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
-    seeds = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    edges = edges.join(seeds.select("pattern").distinct(), "pattern", "left_semi")
-    edges = stored(edges, "pii-edges")
-    seeds = seeds.select("pattern", F.col("kind").alias("as_kind"))
-    graph = edges.join(seeds, "pattern")
-    belief = None
+    wide = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("instances")).where(F.col("instances") >= MIN_SEEDS).select("pattern")
+    edges = stored(edges.join(wide, "pattern", "left_semi"), "pii-edges")
+    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+    seeds = edges.where("kind <> ''").select("instance", F.col("kind").alias("as_kind"), F.lit(1.0).alias("belief")).distinct()
+    belief = seeds
     for _ in range(ROUNDS):
-        scored = graph if belief is None else graph.join(belief, ["instance", "as_kind"], "left")
-        known = F.when(F.col("kind") == F.col("as_kind"), 1.0).when(F.col("kind") != "", 0.0)
-        known = known.otherwise(F.lit(0.0) if belief is None else F.coalesce("belief", F.lit(0.0)))
-        confident = scored.groupBy("pattern", "as_kind").agg((F.sum(known * F.col("n")) / (F.sum("n") + 1.0)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
-        belief = graph.where("kind = ''").join(confident, ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg((1 - F.product(1 - F.col("confidence"))).alias("belief"))
-    best = belief.groupBy("instance").agg(F.max_by("as_kind", F.struct("belief", "as_kind")).alias("as_kind"), F.max("belief").alias("belief"))
+        # What earlier rounds have discovered teaches patterns as seeds do. A mention that a base rule found is of that kind only.
+        believed = edges.join(belief, "instance").where("kind = '' OR kind = as_kind")
+        teachers = F.countDistinct(F.when(F.col("belief") >= MIN_CONFIDENCE, F.col("instance")))
+        scored = believed.groupBy("pattern", "as_kind").agg(F.sum(F.col("belief") * F.col("n")).alias("mass"), teachers.alias("teachers")).where(F.col("teachers") >= MIN_SEEDS)
+        confident = scored.join(totals, "pattern").select("pattern", "as_kind", (F.col("mass") / (F.col("total") + 1.0)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        confident = stored(confident, "pii-patterns")
+        found = edges.where("kind = ''").join(bounded(confident), "pattern").groupBy("instance", "as_kind").agg((1 - F.product(1 - F.col("confidence"))).alias("belief"))
+        found = stored(found, "pii-instances")
+        belief = found.union(seeds).groupBy("instance", "as_kind").agg(F.max("belief").alias("belief"))
+    best = found.groupBy("instance").agg(F.max_by("as_kind", F.struct("belief", "as_kind")).alias("as_kind"), F.max("belief").alias("belief"))
     best = best.where(F.col("belief") >= MIN_CONFIDENCE)
-    reached = sided.where("kind = ''").join(best, "instance").join(confident.select("pattern", "as_kind"), ["pattern", "as_kind"], "left_semi")
+    reached = sided.where("kind = ''").join(best, "instance").join(bounded(confident.select("pattern", "as_kind")), ["pattern", "as_kind"], "left_semi")
     return reached.select("doc_id", "text_hash", F.col("as_kind").alias("kind"), "start", "end").distinct()
 
 

@@ -42,6 +42,17 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of an Arrow batch. Whole texts are some thousand bytes each, and both sides hold several batches at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session send texts to Python in batches of at most BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column, without copying; a null is an empty text."""
     if not pa.types.is_large_string(column.type) and not pa.types.is_string(column.type):

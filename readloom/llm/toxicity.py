@@ -130,14 +130,19 @@ def fit_chain(ids: np.ndarray, present: list[np.ndarray], targets: np.ndarray, m
     return links
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int = MAX_ROWS) -> list[Link]:
-    """Fit the chain. categories: name -> SQL expression over labels that is 1 or 0 (null: the row doesn't train)."""
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int) -> DataFrame:
+    """doc_id, text and categories of at most max_rows labelled documents."""
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(e).cast("int").alias(c) for c, e in categories.items())).na.drop()
     given = given.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # max_rows bounds what is broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # One text for each id, so that max_rows bounds what trains.
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(c).alias(c) for c in categories))
+    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(c).alias(c) for c in categories))
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int = MAX_ROWS) -> list[Link]:
+    """Fit the chain. categories: name -> SQL expression over labels that is 1 or 0 (null: the row doesn't train)."""
+    rows = training_rows(docs, labels, categories, max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -103,6 +103,16 @@ def test_pii_discovers_grouped_and_long_identifiers(spark):
     assert pii.candidates("9" * 200_000) == [(0, 200_000)] and len(pii.candidates("1," * 50_000)) == 50_000
 
 
+def test_pii_discovered_identifiers_teach_patterns(spark):
+    """Identifiers found after "call me" make "dial now" a pattern, which no base rule knows, and that finds one more."""
+    texts = [f"please call me +1 555 010 {1000 + i} today" for i in range(200)]
+    texts += [f"please call me 555-020-{1000 + i} today" for i in range(40)] + [f"just dial now 555-020-{1000 + i} there" for i in range(40)]
+    texts += ["just dial now 555-030-7777 there", "an order of 555-030-8888 there"]
+    rows = {r["doc_id"]: r for r in dicts(pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert rows[280]["spans"] == "phone:14:26" and rows[281]["spans"] == ""
+    assert all(rows[i]["n_discovered"] == 1 for i in range(200, 280))
+
+
 def test_pii_of_rows_without_an_id(spark):
     texts = [f"please call me +1 555 010 {1000 + i} today" for i in range(30)]
     rows = [*enumerate(texts), (None, "please call me 555-010-7777 today"), (None, "mail a.b@c.de now"), (None, "mail a.b@c.de now"), (None, None)]
@@ -388,6 +398,33 @@ def test_toxicity_on_held_out_documents(spark, make_docs, edge_docs, empty_docs)
     assert all(r["p_toxic"] < 0.5 for r in dicts(toxicity.toxicity(docs, labels.limit(0))))
 
 
+def test_columns_named_like_results(spark, make_docs):
+    """Inner and result names as extra columns: toxicity and mixing replace those of their results, whole-row stages keep all."""
+    texts = [f"plain words number {i} mail a{i}@b.example.org" for i in range(12)]
+    names = ("p_toxic", "p_poor", "is_toxic", "rate", "_source", "copy", "shuffle_key", "_id", "_hash", "_spans", "spans", "whole", "token_ids", "p", "done", "text_hash")
+    docs = make_docs(texts).withColumns({c: F.lit(c) for c in names})
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, 0)], "doc_id long, quality long, toxic long")
+    judged = toxicity.toxicity(docs, labels)
+    assert len(set(judged.columns)) == len(judged.columns) and 0 <= judged.first()["p_toxic"] <= 1
+    assert toxicity.without_toxic(docs, labels).columns == docs.columns and {r["p_toxic"] for r in dicts(toxicity.without_toxic(docs, labels))} == {"p_toxic"}
+    mixed = mixing.mix_sources(docs)
+    assert len(set(mixed.columns)) == len(mixed.columns) and isinstance(mixed.first()["rate"], float)
+    assert mixing.mixed_rows(docs).select("whole.*").columns == docs.columns
+    cut = dicts(pii.redact(docs))
+    assert all(r["text"].endswith("mail [EMAIL]") and all(r[c] == c for c in names if c != "text_hash") for r in cut)
+    encoded = bpe.bpe_encode(docs, queries.tokenizer_path())
+    assert encoded.columns.count("token_ids") == 1 and encoded.first()["token_ids"][0] > 0
+
+
+def test_toxicity_bounds_rows_and_cuts_whole_punctuation(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(5)], "doc_id long, quality long, toxic long")
+    rows = dicts(toxicity.training_rows(docs, labels, toxicity.CATEGORIES, 3))
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 3 and len(toxicity.train(docs, labels, toxicity.CATEGORIES, 3)) == 2
+    plain, wrapped = (toxicity._features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in (b"vile", b"(((((vile!!!!!!??"))
+    assert plain.tolist() == wrapped.tolist() and not len(toxicity._features(np.frombuffer(b"!" * 5000, np.uint8), np.array([0, 5000]))[0])
+
+
 def test_chain_feeds_earlier_probabilities():
     rng = np.random.default_rng(9)
     first = rng.random(600) < 0.5
