@@ -18,6 +18,8 @@ from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
 from operator import add
+from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,7 @@ class ForcedBoundaryBpe:
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(_byte_symbols()) if b not in (9, 10)})
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.numbers = {i: str(i) for i in self.tokens}
+        self.named = {n: self.tokens[i] for i, n in self.numbers.items()}
         self.fragments = Remembered()
         self.chunks = Remembered()
 
@@ -199,8 +202,8 @@ class ForcedBoundaryBpe:
                 out += self.cut(word)
         yield out
 
-    def chunk_table(self, chunks: set[str]) -> dict[str, tuple[str, str, int]]:
-        """For each chunk its decimal ids, its tokens (both joined by spaces) and their number; new ones are encoded together."""
+    def chunk_table(self, chunks: set[str]) -> dict[str, tuple[str, int]]:
+        """For each chunk its decimal ids, joined by spaces, and their number; new ones are encoded together."""
         table, missing = {}, []
         young, old = self.chunks.young.get, self.chunks.old.get
         for c in chunks:
@@ -218,24 +221,24 @@ class ForcedBoundaryBpe:
                 made = encoded[fragments[0]]
             else:
                 parts = [encoded[f] for f in fragments]
-                made = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
+                made = (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]))
             table[c] = made
             if len(c) < 64:
                 self.chunks.put(c, made)
         return table
 
-    def encoded(self, fragments: set[str]) -> dict[str, tuple[str, str, int]]:
+    def encoded(self, fragments: set[str]) -> dict[str, tuple[str, int]]:
         """Fragments with what is remembered of them or newly encoded."""
         young, old = self.fragments.young.get, self.fragments.old.get
         out = {f: x for f in fragments if (x := young(f) or old(f)) is not None}
-        names, numbers = self.tokens, self.numbers
+        numbers = self.numbers
         for f, ids in self.merge_many([f for f in fragments if f not in out]):
-            out[f] = made = (" ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids]), len(ids))
+            out[f] = made = (" ".join([numbers[i] for i in ids]), len(ids))
             if len(f) < 64:
                 self.fragments.put(f, made)
         return out
 
-    def split(self, text: str) -> list[str | tuple[str, str, int]]:
+    def split(self, text: str) -> list[str | tuple[str, int]]:
         """Chunks of a text in order; special tokens, which match before all else, are pieces already."""
         if not self.specials or "<|" not in text:
             return _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
@@ -244,17 +247,17 @@ class ForcedBoundaryBpe:
             part = text[at:a]
             out += _SPACE.split(part) if _SEPARATORS.search(part) else part.split()
             if b > a:
-                out.append((str(self.special[text[a:b]]), text[a:b], 1))
+                out.append((str(self.special[text[a:b]]), 1))
             at = b
         return out
 
-    def pieces(self, texts: list[str]) -> list[list[tuple[str, str, int]]]:
+    def pieces(self, texts: list[str]) -> list[list[tuple[str, int]]]:
         """For each whole text its encoded chunks."""
         lists = [self.split(t) for t in texts]
         table = self.chunk_table({c for chunks in lists for c in chunks if c and type(c) is str})
         known = table.get
-        table[""] = ("", "", 0)
-        return [[x for c in chunks if (x := known(c, c))[2]] for chunks in lists]
+        table[""] = ("", 0)
+        return [[x for c in chunks if (x := known(c, c))[1]] for chunks in lists]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for piece in self.pieces([text])[0] for i in piece[0].split(" ")]
@@ -263,6 +266,10 @@ class ForcedBoundaryBpe:
         """The tokenizer has no decoder of its own, so tokens are joined by one space."""
         return " ".join(self.tokens[i] for i in ids)
 
+    def decode_decimals(self, ids: str) -> str:
+        """The same of decimal ids joined by spaces."""
+        return " ".join(map(self.named.__getitem__, ids.split(" "))) if ids else ""
+
 
 def load_tokenizer(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
@@ -272,9 +279,15 @@ def load_tokenizer(path: str) -> dict:
 _READY: dict[int, ForcedBoundaryBpe] = {}
 
 
+def _key(path: str) -> int:
+    """What tells tokenizer files apart."""
+    return crc32(Path(path).read_bytes())
+
+
 def _encoder(key: int, spec) -> ForcedBoundaryBpe:
-    """One encoder for each Python worker, with what it remembers."""
+    """One encoder for each Python worker, with what it remembers; one of another tokenizer is forgotten."""
     if key not in _READY:
+        _READY.clear()
         _READY[key] = ForcedBoundaryBpe(spec.value)
     return _READY[key]
 
@@ -283,7 +296,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: st
     """docs with a column of token ids, in place of one of that name; other columns pass unchanged. A null text gets an empty array."""
     spec = docs.sparkSession.sparkContext.broadcast(load_tokenizer(tokenizer_path))
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()))
-    key, rest = id(spec), docs.columns
+    key, rest = _key(tokenizer_path), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(key, spec)
@@ -302,7 +315,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: st
 def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the decoded text of a column of ids; null ids give a null."""
     spec = df.sparkSession.sparkContext.broadcast(load_tokenizer(tokenizer_path))
-    key = id(spec)
+    key = _key(tokenizer_path)
 
     @F.pandas_udf("string")
     def decode(column):
@@ -315,7 +328,7 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", out:
 def bpe_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text; nothing of the size of a text leaves a task."""
     spec = docs.sparkSession.sparkContext.broadcast(load_tokenizer(tokenizer_path))
-    key = id(spec)
+    key = _key(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(key, spec)
@@ -324,9 +337,10 @@ def bpe_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             numbers, ids_sha, text_sha = [], [], []
             for lo, hi in slices(offsets, 1 << 20):
                 for pieces in bpe.pieces([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(lo, hi)]):
-                    numbers.append(sum(p[2] for p in pieces))
-                    ids_sha.append(sha256(" ".join([p[0] for p in pieces]).encode()).hexdigest())
-                    text_sha.append(sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
+                    ids = " ".join([p[0] for p in pieces])
+                    numbers.append(sum([p[1] for p in pieces]))
+                    ids_sha.append(sha256(ids.encode()).hexdigest())
+                    text_sha.append(sha256(bpe.decode_decimals(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(numbers, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -403,10 +403,11 @@ def test_columns_named_like_results(spark, make_docs):
     texts = [f"plain words number {i} mail a{i}@b.example.org" for i in range(12)]
     names = ("p_toxic", "p_poor", "is_toxic", "rate", "_source", "copy", "shuffle_key", "_id", "_hash", "_spans", "spans", "whole", "token_ids", "p", "done", "text_hash")
     docs = make_docs(texts).withColumns({c: F.lit(c) for c in names})
-    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, 0)], "doc_id long, quality long, toxic long")
+    labels = spark.createDataFrame([(i, 1, int(i == 0)) for i in range(12)], "doc_id long, quality long, toxic long")
     judged = toxicity.toxicity(docs, labels)
     assert len(set(judged.columns)) == len(judged.columns) and 0 <= judged.first()["p_toxic"] <= 1
-    assert toxicity.without_toxic(docs, labels).columns == docs.columns and {r["p_toxic"] for r in dicts(toxicity.without_toxic(docs, labels))} == {"p_toxic"}
+    clean = toxicity.without_toxic(docs, labels)
+    assert clean.columns == docs.columns and {r["p_toxic"] for r in dicts(clean)} == {"p_toxic"}
     mixed = mixing.mix_sources(docs)
     assert len(set(mixed.columns)) == len(mixed.columns) and isinstance(mixed.first()["rate"], float)
     assert mixing.mixed_rows(docs).select("whole.*").columns == docs.columns
