@@ -3,7 +3,7 @@
 Every vector is centred, rotated by a seeded random orthogonal matrix and reduced to its signs: one packed bit a
 dimension, with two correction scalars (its distance from the centre and the code's inner product with the
 rotated unit vector). A query's inner product with a vector is estimated from the packed bits and the scalars,
-with an error bound; only vectors whose upper bound reaches the block's k-th best true score are reranked with the
+with an error bound; only vectors whose upper bound reaches the k-th best true score so far are reranked with the
 original vectors in double precision.
 
 Vectors are dealt by hash into blocks of BLOCK rows and queries into blocks of QUERIES. All rows are indexed and every
@@ -11,7 +11,8 @@ query block meets every block of vectors, so the only loss is the bound's (measu
 number of queries times that of vectors, at one bit a dimension for most of it.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, neither as queries nor as candidates. Rows repeated under one vec_id are candidates each, never of their own id.
+part, neither as queries nor as candidates. Rows repeated under one vec_id are candidates each, never of their own id; a
+query id asks once, with the vector of least hash if its rows differ.
 Ties in score go to the smaller vec_id. An empty table gives no rows.
 """
 
@@ -55,7 +56,8 @@ def estimate(bits: np.ndarray, length: np.ndarray, alignment: np.ndarray, centre
     return guess, np.linalg.norm(queries, axis=1)[:, None] * spread[None, :]
 
 
-def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, length: np.ndarray, alignment: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, length: np.ndarray, alignment: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[int, int, float]]:
+    """Candidates of each query in one block; floors: the k-th best score that a query has already, or -inf."""
     guess, bound = estimate(bits, length, alignment, centre, turn, queries)
     out = []
     for i, q in enumerate(queries):
@@ -63,9 +65,12 @@ def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
         usable = np.flatnonzero(other)
         if not len(usable):
             continue
-        first = usable[np.argpartition(-guess[i, usable], min(2 * k, len(usable)) - 1)[: 2 * k]]
-        floor = np.sort((vectors[first] * q).sum(axis=1))[-min(k, len(first))]
-        chosen = np.union1d(np.flatnonzero(other & (guess[i] + bound[i] >= floor)), first)
+        if floors[i] > -np.inf:
+            chosen = np.flatnonzero(other & (guess[i] + bound[i] >= floors[i]))
+        else:
+            first = usable[np.argpartition(-guess[i, usable], min(2 * k, len(usable)) - 1)[: 2 * k]]
+            floor = np.sort((vectors[first] * q).sum(axis=1))[-min(k, len(first))]
+            chosen = np.union1d(np.flatnonzero(other & (guess[i] + bound[i] >= floor)), first)
         score = (vectors[chosen] * q).sum(axis=1)
         best = np.lexsort((ids[chosen], -score))[:k]
         out += [(int(q_ids[i]), int(ids[chosen[j]]), float(score[j])) for j in best]
@@ -108,7 +113,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vec
 
     at = F.xxhash64("vec_id", F.monotonically_increasing_id())
     blocks = rows.withColumn("block", F.pmod(at, F.lit(n_blocks))).groupBy("block").applyInArrow(index, "block long, ids binary, vectors binary, bits binary, length binary, alignment binary")
-    asked = rows.where(is_query).withColumn("q_block", F.pmod(at, F.lit(n_queries))).groupBy("q_block").applyInArrow(gather, "q_block long, q_ids binary, queries binary")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    asked = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_queries))).groupBy("q_block").applyInArrow(gather, "q_block long, q_ids binary, queries binary")
     # A block of vectors goes once to each block of queries. A query block's work is dealt into SLICES streams, each of
     # which reads its queries first and then vectors block by block, so it holds k results a query and gives no more.
     zero = F.lit(0).cast("long")
@@ -134,7 +140,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vec
                     yield done()
                     q_ids, queries, best = ids, vectors, {}
                     continue
-                for q, i, s in search_block(q_ids, queries, ids, vectors, get("bits", np.uint8).reshape(len(ids), -1), get("length", float), get("alignment", float), centre, turn, k):
+                floors = np.array([-best[q][k - 1][0] if len(best.get(q, ())) >= k else -np.inf for q in q_ids.tolist()])
+                for q, i, s in search_block(q_ids, queries, ids, vectors, get("bits", np.uint8).reshape(len(ids), -1), get("length", float), get("alignment", float), centre, turn, k, floors):
                     best.setdefault(q, []).append((-s, i))
                 best = {q: sorted(found)[:k] for q, found in best.items()}
         yield done()

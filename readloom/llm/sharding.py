@@ -1,9 +1,9 @@
 """Sharding by sampled splitters (operator 4), DataFrame operations only.
 
-Records are ordered by a key and then by id, so a key that a third of all rows share is still divisible. A
+Records are ordered by a key, then by id, then by their number in a written table, so what a third of all rows share is still divisible. A
 sample drawn in proportion to size gives quantile boundaries; rows are put into these ranges by binary search
 over the boundaries, the ranges are measured exactly, and ranges over twice the target are subdivided by
-boundaries from a finer sample of their own rows. Running sums inside ranges plus the exact offsets of ranges
+boundaries from a finer sample of their own rows and measured again. Running sums inside ranges plus the exact offsets of ranges
 give every record its byte position in the whole order, from which its shard follows: shard sizes differ by less
 than one record. Texts are never shuffled, only key, id and size.
 
@@ -21,15 +21,21 @@ from readloom.llm.shared import stored
 #: Sampled keys for each range: a range then holds its target within about 1/sqrt of this.
 SAMPLES_PER_RANGE = 64
 OVERFULL = 2.0
+#: Times that overfull ranges are subdivided and measured again.
+SUBDIVISIONS = 4
 
 
-def _find(boundaries: list[tuple[int, int]], key: str, tie: str):
-    """Number of boundaries at or below (key, tie), by binary search within one expression."""
+#: What orders records: rows alike in key and tie are told apart by their number in the written table.
+ORDER = ("key", "tie", "row")
+
+
+def _find(boundaries: list[tuple[int, int, int]]):
+    """Number of boundaries at or below a record's (key, tie, row), by binary search within one expression."""
     if not boundaries:
         return F.lit(0)
-    table = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in boundaries))
+    table = F.array(*(F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(ORDER, b, strict=True))) for b in boundaries))
     steps = F.array(*(F.lit(0) for _ in range(len(boundaries).bit_length())))
-    here = F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))
+    here = F.struct(*ORDER)
 
     def halve(s, _):
         middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -41,16 +47,16 @@ def _find(boundaries: list[tuple[int, int]], key: str, tie: str):
     return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
-def _quantiles(sample: list, count: int) -> list[tuple[int, int]]:
+def _quantiles(sample: list, count: int) -> list[tuple[int, int, int]]:
     """Boundaries that cut a sorted sample into `count` equal parts."""
     cuts = {sample[len(sample) * i // count] for i in range(1, count)} if len(sample) >= count else set(sample)
     return sorted(cuts)
 
 
 def assign(records: DataFrame, shards: int, ranges: int | None = None) -> DataFrame:
-    """records (key long, tie long, size long, any others) plus shard and slot.
+    """records (key long, tie long, row long, size long, any others) plus shard and slot; row differs between records.
 
-    ranges: how many ranges to sort in; by default ten for each shard. The boundaries (16 bytes each) are
+    ranges: how many ranges to sort in; by default ten for each shard. The boundaries (24 bytes each) are
     literals of the plan, so their number is bounded by `ranges` plus the subdivisions of overfull ranges.
     """
     ranges = ranges or 10 * shards
@@ -59,32 +65,34 @@ def assign(records: DataFrame, shards: int, ranges: int | None = None) -> DataFr
         return records.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     target = total / ranges
 
-    def drawn(df: DataFrame, parts: float, salt: int) -> list[tuple[int, int]]:
+    def drawn(df: DataFrame, parts: float, salt: int) -> list[tuple[int, int, int]]:
         # A row is drawn with a probability in proportion to its size; one row stands for at most one sample.
-        u = (F.xxhash64("key", "tie", F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).cast("double")
-        return sorted((r["key"], r["tie"]) for r in df.where(u < F.col("size") * (parts * SAMPLES_PER_RANGE / total)).select("key", "tie").collect())
+        u = (F.xxhash64(*ORDER, F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).cast("double")
+        return sorted(tuple(r[c] for c in ORDER) for r in df.where(u < F.col("size") * (parts * SAMPLES_PER_RANGE / total)).select(*ORDER).collect())
 
     boundaries = _quantiles(drawn(records, ranges, 1), ranges)
-    placed = records.withColumn("_range", _find(boundaries, "key", "tie"))
-    measured = {r["_range"]: r["s"] for r in placed.groupBy("_range").agg(F.sum("size").alias("s")).collect()}
-    overfull = {k: s for k, s in measured.items() if s > OVERFULL * target}
-    if overfull:
-        finer = placed.where(F.col("_range").isin(sorted(overfull)))
-        sample = drawn(finer, 4.0 * ranges, 2)
-        edges = [None, *boundaries, None]
+    for turn in range(2, 2 + SUBDIVISIONS):
+        placed = records.withColumn("_range", _find(boundaries))
+        measured = {r["_range"]: r["s"] for r in placed.groupBy("_range").agg(F.sum("size").alias("s")).collect()}
+        overfull = {k: s for k, s in measured.items() if s > OVERFULL * target}
+        if not overfull:
+            break
+        sample = drawn(placed.where(F.col("_range").isin(sorted(overfull))), 4.0 * ranges, turn)
+        edges, more = [None, *boundaries, None], set(boundaries)
         for k, s in overfull.items():
             low, high = edges[k], edges[k + 1]
-            own = [x for x in sample if (low is None or x >= low) and (high is None or x < high)]
-            boundaries += _quantiles(own, int(s / target) + 1)
-        boundaries = sorted(set(boundaries))
-        placed = records.withColumn("_range", _find(boundaries, "key", "tie"))
+            more.update(_quantiles([x for x in sample if (low is None or x >= low) and (high is None or x < high)], int(s / target) + 1))
+        if len(more) == len(boundaries):  # single records larger than a range
+            break
+        boundaries = sorted(more)
+    placed = records.withColumn("_range", _find(boundaries))
     sums = {r["_range"]: r["s"] for r in placed.groupBy("_range").agg(F.sum("size").alias("s")).collect()}
     before, running = {}, 0
     for k in sorted(sums):
         before[k] = running
         running += sums[k]
     base = F.array(*(F.lit(before.get(k, 0)).cast("long") for k in range(len(boundaries) + 1)))
-    order = Window.partitionBy("_range").orderBy("key", "tie", "size")
+    order = Window.partitionBy("_range").orderBy(*ORDER)
     position = F.element_at(base, F.col("_range") + 1) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     numbered = placed.withColumn("_position", position).withColumn("_row", F.row_number().over(order))
     # The middle of a record decides, so that neither end of a shard is always rounded the same way.
@@ -108,6 +116,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),  # fixed once the records are written
     )
     out = assign(stored(records, "shard-records"), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -203,6 +203,17 @@ def test_shards_are_equal_in_bytes(make_docs, hot):
         assert sorted(r["slot"] for r in part) == list(range(len(part)))
 
 
+def test_shards_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    rows = [(None, "same text " * 3)] * 900 + [(7, "same text " * 3)] * 900 + [(i, "x" * (i % 90)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dicts(sharding.shard_documents(docs, shards=10))
+    total, sizes = sum(r["size"] for r in out), collections.Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert len(out) == len(rows) and all(abs(s - total / 10) <= 120 for s in sizes.values())
+    assert all(sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out))) for k in sizes)
+
+
 def test_shards_on_edges(edge_docs, empty_docs):
     rows = dicts(sharding.shard_documents(edge_docs))
     assert len(rows) == len(EDGE) and rows and sharding.shard_documents(empty_docs).count() == 0
@@ -230,6 +241,9 @@ def test_nearest_recall_and_scores(spark):
         truth = [i for i in np.lexsort((np.arange(3000), -scores[q])) if i != q][:20]
         hits += len({*truth} & {r["vec_id"] for r in found})
     assert len(got) == 150 and hits / (150 * 20) >= 0.95
+    twice = df.union(df.where("vec_id % 40 = 0"))
+    again = collections.Counter(r["query_id"] for r in dicts(ann.nearest(twice, F.col("vec_id") % 20 == 0)))
+    assert set(again.values()) == {20} and len(again) == 150
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in dicts(ann.nearest(few, F.col("vec_id") % 20 == 0))] == [(0, 1, 1, 0.5)]
     assert ann.nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
