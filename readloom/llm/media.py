@@ -5,9 +5,13 @@ Bytes are kept losslessly as quantised DCT coefficients, the unit that a baselin
 bits before s magnitude bits), so that both coding and decoding are numpy table look-ups while each frame stays
 a baseline grey JPEG. Frames of 64x64 samples go into a RIFF AVI with an idx1 index; the payload's length is in
 an INFO chunk. Reading parses the index, decodes the frames, inverts the DCT in exact integer arithmetic and
-detects shots where the histogram difference of neighbouring frames exceeds an adaptive threshold.
+detects shots where the histogram difference of neighbouring frames exceeds an adaptive threshold. Any other baseline
+motion-JPEG AVI is read too, frame by frame (jpeg.py), of any size, colour and tables: by its idx1 index, or by
+its chunks where it has none, and further RIFF AVIX parts by theirs.
 
-Defined results: a null or empty text is a payload of 64 zero bytes. Equal bytes give equal files and features.
+Defined results: a null or empty text is a payload of 64 zero bytes. Equal bytes give equal files and features. In
+`media_clips` a null file has no rows, and a file that is damaged, not an AVI or not baseline motion-JPEG has one row whose clip
+fields are null and whose `error` says why. An empty index entry repeats the frame before it.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.jpeg import DCT, ZIGZAG, decode, histogram
 from readloom.llm.shared import slices, text_buffers
 
 SIDE, BLOCKS, BITS = 64, 64, 10
@@ -31,17 +36,8 @@ MICROSECONDS = 40_000
 FLOOR, SPREAD, WINDOW = 0.2, 3.0, 8
 
 
-def _zigzag() -> np.ndarray:
-    """Row-major position of each coefficient in scan order."""
-    cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
-    return np.array([r * 8 + c for r, c in cells])
-
-
-ZIGZAG = _zigzag()
-_X = np.arange(8)
-_DCT = np.cos((2 * _X[None, :] + 1) * _X[:, None] * np.pi / 16) * np.where(_X == 0, np.sqrt(1 / 8), 0.5)[:, None]
 #: Whole numbers in doubles: products and sums stay below 2^53, so any order of summation gives the same result.
-_DCT_INT = np.round(_DCT * 1024)
+_DCT_INT = np.round(DCT * 1024)
 
 
 def huffman(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -136,36 +132,82 @@ def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 class Avi:
-    """Parsed container: payload length, microseconds a frame, and the index's (start, end) of each frame."""
+    """Parsed container: payload length, microseconds a frame, and the (start, end) of each frame of its video stream."""
 
     def __init__(self, data: bytes):
         if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
             raise ValueError("not an AVI file")
-        self.data, self.frames, self.length, self.step = data, [], None, MICROSECONDS
-        movi, index = 0, []
-        for name, a, b in _walk(data, 12, 8 + struct.unpack_from("<I", data, 4)[0]):
+        self.data, self.frames, self.length, self.step = data, [], None, 0
+        self.streams, self.video, movi, index = 0, None, None, []
+        end = 8 + struct.unpack_from("<I", data, 4)[0]
+        for name, a, b in _walk(data, 12, end):
             if name == b"LIST" and data[a : a + 4] == b"movi":
-                movi = a
+                movi = a, b
             elif name == b"LIST":
-                for inner, c, d in _walk(data, a + 4, b):
-                    if inner == b"avih":
-                        self.step = struct.unpack_from("<I", data, c)[0]
-                    elif inner == b"ICMT":
-                        self.length = int(data[c:d].rstrip(b"\0").removeprefix(b"payload="))
+                self._header(a + 4, b)
             elif name == b"idx1":
-                index = [struct.unpack_from("<4sIII", data, k) for k in range(a, b, 16)]
-        for kind, _, offset, size in index:
+                index = [struct.unpack_from("<4sIII", data, k) for k in range(a, b - 15, 16)]
+        if self.video is None or movi is None:
+            raise ValueError("no motion-JPEG stream")
+        self.step = self.step or MICROSECONDS
+        if index:
+            self._indexed(index, movi[0])
+        else:
+            self._chunks(movi[0] + 4, movi[1])
+        at = end + end % 2
+        while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] == b"AVIX":
+            end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+            for name, a, b in _walk(data, at + 12, end):
+                if name == b"LIST" and data[a : a + 4] == b"movi":
+                    self._chunks(a + 4, b)
+            at = end + end % 2
+
+    def _header(self, a: int, b: int) -> None:
+        data, pending = self.data, None
+        for name, c, d in _walk(data, a, b):
+            if name == b"avih":
+                self.step = struct.unpack_from("<I", data, c)[0]
+            elif name == b"LIST" and data[c : c + 4] == b"strl":
+                self._header(c + 4, d)
+                self.streams += 1
+            elif name == b"strh" and data[c : c + 4] == b"vids" and self.video is None:
+                pending = data[c + 4 : c + 8]
+                scale, rate = struct.unpack_from("<II", data, c + 20)
+                self.step = self.step or (scale * 1_000_000 // rate if rate else 0)
+            elif name == b"strf" and pending is not None:
+                if not {pending.upper(), data[c + 16 : c + 20].upper()} & {b"MJPG", b"AVI1", b"JPEG"}:
+                    raise ValueError("the video stream is not motion-JPEG")
+                self.video = {b"%02dd%c" % (self.streams, kind) for kind in b"cb"}
+            elif name == b"ICMT" and data[c : c + 8] == b"payload=" and data[c + 8 : d].rstrip(b"\0").isdigit():
+                self.length = int(data[c + 8 : d].rstrip(b"\0"))
+
+    def _indexed(self, index: list[tuple[bytes, int, int, int]], movi: int) -> None:
+        """Frames of idx1; its offsets count from the list's name or, in some files, from the file's start."""
+        own = [(kind, offset, size) for kind, _, offset, size in index if kind in self.video]
+        if own and self.data[movi + own[0][1] : movi + own[0][1] + 4] != own[0][0]:
+            movi = 0
+        for kind, offset, size in own:
             start = movi + offset + 8
-            if kind != b"00dc" or data[start - 8 : start - 4] != b"00dc":
+            if self.data[start - 8 : start - 4] != kind or start + size > len(self.data):
                 raise ValueError("the index does not point at a frame")
             self.frames.append((start, start + size))
 
+    def _chunks(self, a: int, b: int) -> None:
+        for name, c, d in _walk(self.data, a, b):
+            if name in self.video:
+                self.frames.append((c, d))
+            elif name == b"LIST" and self.data[c : c + 4] == b"rec ":
+                self._chunks(c + 4, d)
+
+
+def _is_own(frame: bytes) -> bool:
+    """Whether a frame has the ten-bit tables and so can be read by look-ups of whole codes."""
+    return frame.startswith(_HEAD) and frame.endswith(b"\xff\xd9")
+
 
 def _scan_of(frame: bytes) -> bytes:
-    """Unstuffed entropy-coded bytes of a frame, after a check that its tables are the ten-bit ones."""
-    if frame.startswith(_HEAD) and frame.endswith(b"\xff\xd9"):
-        return frame[len(_HEAD) : -2].replace(b"\xff\0", b"\xff")
-    raise ValueError("a frame has other JPEG tables than this decoder's ten-bit ones")
+    """Unstuffed entropy-coded bytes of a frame with the ten-bit tables."""
+    return frame[len(_HEAD) : -2].replace(b"\xff\0", b"\xff")
 
 
 _AC_BYTE = np.zeros(1024, np.uint8)
@@ -191,7 +233,8 @@ def decode_frames(scans: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     """Frame ranges of shots, ends exclusive."""
-    differences = np.abs(np.diff(histograms, axis=0)).sum(axis=1) / (2 * SIDE * SIDE)
+    shares = histograms / np.maximum(histograms.sum(axis=1, keepdims=True), 1e-9)
+    differences = np.abs(np.diff(shares, axis=0)).sum(axis=1) / 2
     cuts = []
     for i, d in enumerate(differences):
         seen = differences[max(0, i - WINDOW) : i]
@@ -201,12 +244,37 @@ def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(bounds, bounds[1:], strict=False))
 
 
-def read_avi(data: bytes) -> tuple[bytes, list[tuple[int, int, float, float]]]:
-    """The payload of a stored file and its clips: first frame, end frame, start and end in seconds."""
-    avi = Avi(data)
-    kept, histograms = decode_frames(b"".join(_scan_of(data[a:b]) for a, b in avi.frames))
-    clips = [(a, b, a * avi.step / 1e6, b * avi.step / 1e6) for a, b in shots(histograms)]
-    return kept.tobytes()[: avi.length], clips
+def _histograms(avi: Avi) -> np.ndarray:
+    """Brightness histograms of any baseline frames."""
+    out: list[np.ndarray] = []
+    for a, b in avi.frames:
+        if a < b:
+            out.append(histogram(decode(avi.data[a:b])))
+        elif out:
+            out.append(out[-1])
+        else:
+            raise ValueError("the first frame is empty")
+    return np.array(out).reshape(-1, 16)
+
+
+def read_avi(data: bytes) -> tuple[bytes | None, list[tuple[int, int, float, float]]]:
+    """The payload of a file that encode_avi wrote (else None) and the clips: first frame, end frame, start and end in seconds.
+
+    Raises ValueError for anything but a whole baseline motion-JPEG AVI."""
+    try:
+        avi = Avi(data)
+    except struct.error as error:
+        raise ValueError(f"a header is cut short: {error}") from error
+    if avi.length is not None and all(_is_own(data[a:b]) for a, b in avi.frames):
+        scans = [_scan_of(data[a:b]) for a, b in avi.frames]
+        if any(len(x) != BLOCKS * 64 * BITS // 8 for x in scans):
+            raise ValueError("a scan is not as long as its blocks")
+        kept, histograms = decode_frames(b"".join(scans))
+        payload = kept.tobytes()[: avi.length]
+    else:
+        payload, histograms = None, _histograms(avi)
+    clips = [(a, b, a * avi.step / 1e6, b * avi.step / 1e6) for a, b in shots(histograms) if a < b]
+    return payload, clips
 
 
 def payload_of(raw: bytes) -> bytes:
@@ -224,16 +292,30 @@ def encode_media(docs: DataFrame, text: str = "text", out: str = "media") -> Dat
 
 
 def media_clips(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row for each shot: df's other columns, clip, first_frame, end_frame, start_s, end_s. A null file has none."""
+    """One row for each shot: df's other columns, clip, first_frame, end_frame, start_s, end_s, error (null in a good file).
 
-    @F.pandas_udf("array<struct<first_frame: int, end_frame: int, start_s: double, end_s: double>>")
-    def clips(files):
-        names = ("first_frame", "end_frame", "start_s", "end_s")
-        return files.map(lambda x: [] if x is None else [dict(zip(names, c, strict=True)) for c in read_avi(bytes(x))[1]])
+    Columns of df that are named like one of these keep their values in a struct column `input`."""
+    names = ("first_frame", "end_frame", "start_s", "end_s", "error")
 
-    rest = [F.col(c) for c in df.columns if c != media]
-    exploded = df.select(*rest, F.posexplode(clips(F.col(media))).alias("clip", "_clip"))
-    return exploded.select(*(c for c in df.columns if c != media), "clip", "_clip.*")
+    @F.pandas_udf("array<struct<first_frame: int, end_frame: int, start_s: double, end_s: double, error: string>>")
+    def clips(files):
+        def rows(x):
+            if x is None:
+                return []
+            try:
+                return [dict(zip(names, (*c, None), strict=True)) for c in read_avi(bytes(x))[1]]
+            except ValueError as error:
+                return [dict.fromkeys(names) | {"error": str(error)}]
+
+        return files.map(rows)
+
+    taken = {"clip", "input", *names}
+    clash = [c for c in df.columns if c != media and c.lower() in taken]
+    kept = [F.col(f"`{c}`") for c in df.columns if c != media and c not in clash]
+    if clash:
+        kept.append(F.struct(*(F.col(f"`{c}`") for c in clash)).alias("input"))
+    found = df.select(F.struct(*kept).alias("_rest") if kept else F.lit(None).alias("_rest"), F.posexplode(clips(F.col(f"`{media}`"))).alias("clip", "_clip"))
+    return found.select(*(["_rest.*"] if kept else []), F.when(F.col("_clip.error").isNull(), F.col("clip")).alias("clip"), "_clip.*")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm import ann, bpe, components, jaccard, lm, media, mixing, pii, queries, sharding, substrings, toxicity
+from readloom.llm import ann, bpe, components, jaccard, jpeg, lm, media, mixing, pii, queries, sharding, substrings, toxicity
 from tests.llm.conftest import EDGE
 
 
@@ -276,6 +277,112 @@ def test_media_shots_and_edges(spark, make_docs, edge_docs, empty_docs):
     assert {c["doc_id"] for c in clips} == set(range(len(EDGE))) and all(c["end_s"] > c["start_s"] for c in clips)
 
 
+def test_typical_huffman_tables_are_whole():
+    for counts, first in ((jpeg.AC_LUMA_COUNTS, jpeg.AC_LUMA_FIRST), (jpeg.AC_CHROMA_COUNTS, jpeg.AC_CHROMA_FIRST)):
+        symbols = jpeg._typical_ac(first)
+        assert sum(counts) == 162 == len(set(symbols)) and {0x00, 0xF0} <= set(symbols)
+
+
+def written_by_java(spark, folder, name, pixels):
+    """A JPEG that the JVM's writer makes of RGB pixels, and the pixels that Spark's image source reads from it."""
+    jvm, (high, wide, _) = spark.sparkContext._jvm, pixels.shape
+    image = jvm.java.awt.image.BufferedImage(wide, high, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for y in range(high):
+        for x in range(wide):
+            r, g, b = (int(v) for v in pixels[y, x])
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    path = folder / name
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(path)))
+    row = spark.read.format("image").load(str(path)).select("image.*").first()
+    return path.read_bytes(), np.frombuffer(bytes(row["data"]), np.uint8).reshape(row["height"], row["width"], 3)[:, :, ::-1]
+
+
+def colours(seed, high=37, wide=51):
+    y, x = np.mgrid[:high, :wide]
+    return np.stack([(x * 4 + seed * 60) % 256, (y * 5) % 256, (x + y + seed * 90) % 256], axis=2).astype(np.uint8)
+
+
+def luma(rgb):
+    return rgb @ np.array([0.299, 0.587, 0.114])
+
+
+def container(pictures, index=True, step=40_000):
+    """A plain AVI of JPEG frames with an audio chunk between them."""
+    chunk = media._chunk
+    strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIII", 0, 0, 0, 0, 1, 25, 0, len(pictures), 0, 0, 0) + bytes(8)
+    strf = struct.pack("<IiiHH4sIiiII", 40, 51, 37, 1, 24, b"MJPG", 0, 0, 0, 0, 0)
+    header = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", step, *[0] * 13)) + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf)))
+    body, entries = b"movi", b""
+    for p in pictures:
+        for name, data in ((b"01wb", b"sound"), (b"00dc", p)):
+            entries += struct.pack("<4sIII", name, 0x10, len(body), len(data))
+            body += chunk(name, data)
+    return chunk(b"RIFF", b"AVI " + header + chunk(b"LIST", body) + (chunk(b"idx1", entries) if index else b""))
+
+
+def test_decoder_equals_another_on_colour_frames(spark, tmp_path):
+    frames = []
+    for seed in range(2):
+        data, other = written_by_java(spark, tmp_path, f"{seed}.jpg", colours(seed))
+        ours = jpeg.decode(data)
+        assert ours.shape == (37, 51, 3)
+        # Both round brightness; the other's passed through RGB once more.
+        assert np.abs(ours[:, :, 0] - luma(other)).mean() < 1.5
+        frames.append(data)
+    film = [frames[0]] * 12 + [b""] + [frames[1]] * 5
+    for index in (True, False):
+        payload, clips = media.read_avi(container(film, index))
+        assert payload is None and [c[:2] for c in clips] == [(0, 13), (13, 18)] and clips[1][2:] == (0.52, 0.72)
+    assert media.read_avi(container(film, step=0))[1][1][2:] == (0.52, 0.72)
+
+
+def test_decoder_equals_the_look_up_and_restarts():
+    payload = media.payload_of(random.Random(4).randbytes(9000))
+    data = media.encode_avi(payload)
+    avi = media.Avi(data)
+    fast = media.decode_frames(b"".join(media._scan_of(data[a:b]) for a, b in avi.frames))[1]
+    assert np.abs(media._histograms(avi) * 4096 - fast).max() <= 2  # rounding at the bins' edges
+    # The same frame with a restart after each of its blocks (80 bytes), whose first coefficient then stands alone.
+    a, b = avi.frames[0]
+    codes = media._unpack(np.frombuffer(media._scan_of(data[a:b]), np.uint8)).reshape(64, 64)
+    codes[:, 0] = media._DC_CODE[np.cumsum(media._DC_DIFF[codes[:, 0]]) + 255]
+    pieces = [media._pack(c.astype(np.uint64)).tobytes().replace(b"\xff", b"\xff\0") for c in codes]
+    scan = b"".join(p + bytes([0xFF, 0xD0 + k % 8]) for k, p in enumerate(pieces))[:-2]
+    restarted = b"\xff\xd8" + media._segment(0xDD, b"\0\1") + media._HEAD[2:] + scan + b"\xff\xd9"
+    assert (jpeg.decode(restarted) == jpeg.decode(data[a:b])).all()
+
+
+def test_damaged_media_are_rows(spark, tmp_path):
+    frame, _ = written_by_java(spark, tmp_path, "x.jpg", colours(3))
+    good = container([frame] * 3)
+    bad = [b"", b"RIFF", b"text", good[:200], good[:-900], container([frame[:300]]), container([frame.replace(b"\xff\xc0", b"\xff\xc2")]), container([b""]), good.replace(b"MJPG", b"H264")]
+    huge = bytearray(frame)
+    at = frame.index(b"\xff\xc0") + 5
+    huge[at : at + 4] = b"\xff\xff\xff\xff"
+    bad.append(container([bytes(huge)]))
+    own = bytearray(media.encode_avi(bytes(64)))
+    del own[-40:]
+    bad.append(bytes(own))
+    df = spark.createDataFrame([(k, bytearray(b), "z") for k, b in enumerate(bad)] + [(50, bytearray(good), "z"), (51, None, "z")], "id int, media binary, clip string")
+    rows = dicts(media.media_clips(df))
+    assert sorted(r["id"] for r in rows) == [*range(len(bad)), 50]
+    for r in rows:
+        assert r["input"]["clip"] == "z"
+        if r["id"] == 50:
+            assert (r["clip"], r["first_frame"], r["end_frame"], r["end_s"], r["error"]) == (0, 0, 3, 0.12, None)
+        else:
+            assert r["clip"] is None and r["first_frame"] is None and r["error"]
+    rng = random.Random(7)
+    for _ in range(300):  # no damage does more than raise ValueError
+        spoilt = bytearray(good)
+        for _ in range(3):
+            spoilt[rng.randrange(len(spoilt))] = rng.randrange(256)
+        try:
+            media.read_avi(bytes(spoilt))
+        except ValueError:
+            pass
+
+
 # 7
 
 
