@@ -13,7 +13,7 @@ from readloom.operators import alignment_metrics, counters, summary_stats
 from readloom.plans import release, texts
 from readloom.sources import bam, bed
 
-FORMATS = ("json", "flagstat", "idxstats", "stats", "alignment-summary", "insert-size")
+FORMATS = ("json", "human", "flagstat", "idxstats", "stats", "alignment-summary", "insert-size")
 
 
 def open_input(spark: SparkSession, path: str, columns: str | None = None) -> tuple[DataFrame, DataFrame, bam.Header]:
@@ -36,7 +36,7 @@ def rendered(spark: SparkSession, path: str, form: str) -> str:
         return texts.idxstats_text(rows(counters.contig_counts(reads, refs)))
     if form == "stats":
         counts = summary_stats.insert_counts(reads)
-        return texts.stats_text(rows(summary_stats.summary_numbers(reads))[0], rows(summary_stats.insert_table(counts)), rows(summary_stats.insert_totals(counts))[0])
+        return texts.stats_text(rows(summary_stats.summary_numbers(reads))[0], rows(summary_stats.insert_table(counts)), rows(summary_stats.insert_totals(counts))[0], notes=True)
     if form == "alignment-summary":
         return texts.alignment_summary_text(rows(alignment_metrics.alignment_summary(reads)))
     if form == "insert-size":
@@ -46,6 +46,8 @@ def rendered(spark: SparkSession, path: str, form: str) -> str:
     flags = {r["qc"]: r for r in rows(counters.flag_counters(reads))}
     if form == "flagstat":
         return texts.flagstat_text(flags)
+    if form == "human":
+        return texts.human_text(flags, rows(counters.contig_counts(reads, refs)))
     return texts.canonical_json({c: flags["pass"][c] + flags["fail"][c] for c in counters.FLAG_COLUMNS})
 
 

@@ -53,6 +53,15 @@ def idxstats_text(rows: list[dict]) -> str:
     return "".join(f"{r['name']}\t{r['length']}\t{r['mapped']}\t{r['unmapped']}\n" for r in ordered)
 
 
+def human_text(flags: dict[str, dict], contigs: list[dict]) -> str:
+    """Totals by name, then contigs in header order and '*'; flags: the flag counters by 'pass' and 'fail'."""
+    p, f = flags["pass"], flags["fail"]
+    # Names of the totals, in order.
+    names = ("primary", "secondary", "supplementary", "mapped", "unmapped", "paired", "proper_pair", "read1", "read2", "mate_mapped", "mate_unmapped", "duplicate", "singleton")
+    totals = [("total", p["total"] + f["total"]), ("qc_pass", p["total"]), ("qc_fail", f["total"]), *((c, p[c] + f[c]) for c in names)]
+    return "".join(f"{name}\t{n}\n" for name, n in totals) + "per_reference\n" + idxstats_text(contigs)
+
+
 def insert_summary(table: list[dict]) -> tuple[float, float]:
     """Mean and deviation over the table's rows; the deviation's sum begins at size 1 and leaves out the last row."""
     rows = sorted(table, key=lambda r: r["size"])
@@ -63,8 +72,21 @@ def insert_summary(table: list[dict]) -> tuple[float, float]:
     return mean, (sum((r["size"] - mean) ** 2 * r["pairs"] for r in rows[1:-1]) / count) ** 0.5
 
 
-def stats_text(n: dict, table: list[dict], ways: dict) -> str:
-    """SN and IS sections."""
+# Comment lines of the format and remarks behind its summary numbers.
+STATS_HEAD = (
+    "# This file was produced by samtools stats (1.24+htslib-1.24) and can be plotted using plot-bamstats\n"
+    "# Summary Numbers. Use `grep ^SN | cut -f 2-` to extract this part.\n"
+)
+STATS_INSERTS = "# Insert sizes. Use `grep ^IS | cut -f 2-` to extract this part. The columns are: insert size, pairs total, inward oriented pairs, outward oriented pairs, other pairs\n"
+STATS_REMARKS = {
+    "raw total sequences": "excluding supplementary and secondary reads", "is sorted": "sorted by coordinate", "reads mapped and paired": "paired-end technology bit set + both mates mapped", "reads properly paired": "proper-pair bit set",
+    "reads paired": "paired-end technology bit set", "reads duplicated": "PCR or optical duplicate bit set", "reads MQ0": "mapped and MQ=0", "total length": "ignores clipping", "total first fragment length": "ignores clipping",
+    "total last fragment length": "ignores clipping", "bases mapped": "ignores clipping", "bases mapped (cigar)": "more accurate", "mismatches": "from NM fields", "error rate": "mismatches / bases mapped (cigar)",
+}
+
+
+def stats_text(n: dict, table: list[dict], ways: dict, notes: bool = False) -> str:
+    """SN and IS sections; notes: with the format's comment lines and remarks. Input is sorted, as others are refused."""
     mean, deviation = insert_summary(table)
     error = float(single(n["mismatches"], n["bases_mapped_cigar"]))
     proper = float(np.float32(100.0 * n["reads_properly_paired"]) / np.float32(n["sequences"])) if n["sequences"] else 0.0
@@ -82,13 +104,20 @@ def stats_text(n: dict, table: list[dict], ways: dict) -> str:
         ("pairs on different chromosomes", n["different_chromosomes"]), ("percentage of properly paired reads (%)", f"{proper:.1f}"),
     ]
     rows = "".join(f"IS\t{r['size']}\t{r['pairs']}\t{r['inward']}\t{r['outward']}\t{r['other']}\n" for r in sorted(table, key=lambda r: r["size"]))
-    return "".join(f"SN\t{label}:\t{value}\n" for label, value in lines) + rows
+    if not notes:
+        return "".join(f"SN\t{label}:\t{value}\n" for label, value in lines) + rows
+    remark = lambda label: f"\t# {STATS_REMARKS[label]}" if label in STATS_REMARKS else ""
+    return STATS_HEAD + "".join(f"SN\t{label}:\t{value}{remark(label)}\n" for label, value in lines) + STATS_INSERTS + rows
+
+
+METRICS_HEAD = "## htsjdk.samtools.metrics.StringHeader\n\n## METRICS CLASS\tpicard.analysis."  # fixed value
 
 
 def alignment_summary_text(rows: list[dict]) -> str:
+    # Columns of the format and the order of its rows.
     columns = ("CATEGORY", "TOTAL_READS", "PF_READS", "PCT_PF_READS", "PF_NOISE_READS", "PCT_ADAPTER", "MEAN_READ_LENGTH", "SD_READ_LENGTH", "MEDIAN_READ_LENGTH", "MAD_READ_LENGTH", "MIN_READ_LENGTH", "MAX_READ_LENGTH", "BAD_CYCLES")
     order = {c: i for i, c in enumerate(("FIRST_OF_PAIR", "SECOND_OF_PAIR", "PAIR", "UNPAIRED"))}
-    out = "## METRICS CLASS\tAlignmentSummaryMetrics\n" + "\t".join(columns) + "\n"
+    out = METRICS_HEAD + "AlignmentSummaryMetrics\n" + "\t".join(columns) + "\n"
     for r in sorted(rows, key=lambda r: order[r["category"]]):
         part = lambda a, b: plain_float(a / b if b else 0.0)
         values = [r["category"], r["total_reads"], r["pf_reads"], part(r["pf_reads"], r["total_reads"]), r["pf_noise_reads"], part(r["adapter_reads"], r["pf_reads"]), plain_float(r["mean"]), plain_float(r["deviation"]), plain_float(r["median"]), plain_float(r["mad"]), r["least"], r["most"], r["bad_cycles"]]
@@ -97,19 +126,23 @@ def alignment_summary_text(rows: list[dict]) -> str:
 
 
 def insert_size_text(metrics: list[dict], widths: list[dict], histogram: list[dict]) -> str:
-    """Metrics and the histogram by orientation; an empty text where there are no pairs."""
+    """Metrics of all reads and the trimmed histogram by orientation; an empty text where there are no pairs.
+
+    A size that an orientation lacks is an empty cell, and so are sample, library and read group.
+    """
     if not metrics:
         return ""
     order = [o for o in ("FR", "RF", "TANDEM") if any(m["orientation"] == o for m in metrics)]
     wide = {(w["orientation"], round(w["share"] * 100)): w["width"] for w in widths}
+    # Widths and columns of the format.
     shares = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99)
-    columns = ["MEDIAN_INSERT_SIZE", "MODE_INSERT_SIZE", "MEDIAN_ABSOLUTE_DEVIATION", "MIN_INSERT_SIZE", "MAX_INSERT_SIZE", "MEAN_INSERT_SIZE", "STANDARD_DEVIATION", "READ_PAIRS", "PAIR_ORIENTATION", *(f"WIDTH_OF_{s}_PERCENT" for s in shares)]
-    out = "## METRICS CLASS\tInsertSizeMetrics\n" + "\t".join(columns) + "\n"
+    columns = ["MEDIAN_INSERT_SIZE", "MODE_INSERT_SIZE", "MEDIAN_ABSOLUTE_DEVIATION", "MIN_INSERT_SIZE", "MAX_INSERT_SIZE", "MEAN_INSERT_SIZE", "STANDARD_DEVIATION", "READ_PAIRS", "PAIR_ORIENTATION", *(f"WIDTH_OF_{s}_PERCENT" for s in shares), "SAMPLE", "LIBRARY", "READ_GROUP"]
+    out = METRICS_HEAD + "InsertSizeMetrics\n" + "\t".join(columns) + "\n"
     for m in sorted(metrics, key=lambda m: order.index(m["orientation"])):
-        values = [plain_float(m["median"]), m["mode"], plain_float(m["mad"]), m["least"], m["most"], plain_float(m["mean"]), plain_float(m["deviation"]), m["read_pairs"], m["orientation"], *(wide[m["orientation"], s] for s in shares)]
+        values = [plain_float(m["median"]), m["mode"], plain_float(m["mad"]), m["least"], m["most"], plain_float(m["mean"]), plain_float(m["deviation"]), m["read_pairs"], m["orientation"], *(wide[m["orientation"], s] for s in shares), "", "", ""]
         out += "\t".join(map(str, values)) + "\n"
     sizes: dict[int, dict] = {}
     for h in histogram:
         sizes.setdefault(h["size"], {})[h["orientation"]] = h["n"]
-    out += "\n## HISTOGRAM\n" + "\t".join(["insert_size", *(f"All_Reads.{o.lower()}_count" for o in order)]) + "\n"
-    return out + "".join("\t".join(map(str, [s, *(sizes[s].get(o, 0) for o in order)])) + "\n" for s in sorted(sizes))
+    out += "\n## HISTOGRAM\tjava.lang.Integer\n" + "\t".join(["insert_size", *(f"All_Reads.{o.lower()}_count" for o in order)]) + "\n"
+    return out + "".join("\t".join(map(str, [s, *(sizes[s].get(o, "") for o in order)])) + "\n" for s in sorted(sizes))

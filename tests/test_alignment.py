@@ -24,6 +24,8 @@ def test_flag_counters(spark):
     assert [by["pass"][c] for c in ("both_mapped", "mate_different_reference", "mate_different_reference_mapq5")] == [3, 1, 1]
     text = texts.flagstat_text(by)
     assert text.count("\n") == 16 and text.startswith("8 + 1 in total")
+    human = texts.human_text(by, dicts(counters.contig_counts(R.frame(spark, R.BASIC), R.refs(spark)))).splitlines()
+    assert human[:4] == ["total\t9", "qc_pass\t8", "qc_fail\t1", "primary\t6"] and human[15:18] == ["singleton\t1", "per_reference", "chr1\t1000000\t1\t0"] and human[-1] == "*\t0\t0\t1"
     empty = dicts(counters.flag_counters(R.frame(spark, [])))
     assert len(empty) == 2 and all(r["total"] == 0 for r in empty)
 
@@ -130,6 +132,11 @@ def test_summary_numbers(spark):
     for line in ("error rate:\t0.000000e+00", "average length:\t7", "average first fragment length:\t6", "average quality:\t30.0", "insert size average:\t70.0", "insert size standard deviation:\t0.0", "pairs with other orientation:\t1", "percentage of properly paired reads (%):\t33.3"):
         assert f"SN\t{line}\n" in text
     assert text.count("\nIS\t") == 71 and text.endswith("IS\t70\t1\t0\t0\t1\n") and text.count("SN\t") == 39
+    noted = texts.stats_text(n, table, ss.insert_totals(counts).first().asDict(), notes=True).splitlines()
+    plain = [line.split("\t# ")[0] for line in noted if not line.startswith("#")]
+    assert plain == text.splitlines() and sum("\t# " in line for line in noted) == 14
+    assert [k for k, line in enumerate(noted) if line.startswith("# ")] == [0, 1, 41]
+    assert "SN\terror rate:\t0.000000e+00\t# mismatches / bases mapped (cigar)" in noted and "SN\tis sorted:\t1\t# sorted by coordinate" in noted
     basic = R.frame(spark, R.BASIC)
     n = ss.summary_numbers(basic).first()
     assert (n["sequences"], n["reads_mapped"], n["reads_unmapped"], n["total_length"], n["bases_mapped"], n["bases_mapped_cigar"], n["max_length"]) == (3, 2, 1, 24, 20, 20, 10)
@@ -144,6 +151,7 @@ def test_alignment_summary(spark):
     assert [got["UNPAIRED"][k] for k in keys] == [5, 5, 1, 0, 4, 4, 0, 1]
     text = texts.alignment_summary_text(list(got.values()))
     assert "\nFIRST_OF_PAIR\t1\t1\t1\t0\t1\t16\t?\t16\t0\t16\t16\t0\n" in text
+    assert text.startswith("## htsjdk.samtools.metrics.StringHeader\n\n## METRICS CLASS\tpicard.analysis.AlignmentSummaryMetrics\nCATEGORY\tTOTAL_READS\t")
     assert [r["category"] for r in dicts(am.alignment_summary(R.frame(spark, [])))] == ["UNPAIRED"]
 
 
@@ -156,6 +164,9 @@ def test_insert_metrics(spark):
     widths = dicts(am.insert_widths(bins))
     assert {round(w["share"] * 100): w["width"] for w in widths} == {10: 1, 20: 1, 30: 3, 40: 3, 50: 3, 60: 3, 70: 3, 80: 5, 90: 5, 95: 5, 99: 1799}
     assert "\n100\t10\n" in texts.insert_size_text([m], widths, dicts(histogram)) and texts.insert_size_text([], [], []) == ""
+    lines = texts.insert_size_text([m, m | {"orientation": "RF"}], widths + [w | {"orientation": "RF"} for w in widths], dicts(histogram) + [{"orientation": "RF", "size": 99, "n": 3}]).splitlines()
+    assert lines[:3] == ["## htsjdk.samtools.metrics.StringHeader", "", "## METRICS CLASS\tpicard.analysis.InsertSizeMetrics"] and all(len(row.split("\t")) == 23 for row in lines[3:6])
+    assert lines[6:11] == ["", "## HISTOGRAM\tjava.lang.Integer", "insert_size\tAll_Reads.fr_count\tAll_Reads.rf_count", "99\t\t3", "100\t10\t"]
 
 
 def test_overlap(spark):
