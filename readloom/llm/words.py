@@ -17,6 +17,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of words of ASCII letters, ASCII digits and everything beyond ASCII.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -44,14 +47,14 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a run of texts: start, end, hash (all arrays over words) and counts of words by text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray = _IS_SPACE):
         n = len(data)
         self.counts = np.zeros(len(offsets) - 1, np.int64)
         self.start = self.end = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
         self._sums = np.zeros(1, np.uint64)
         if n:
-            space = _IS_SPACE[data]
+            space = separators[data]
             before = np.empty(n, bool)
             before[0] = True
             before[1:] = space[:-1]
