@@ -179,7 +179,7 @@ LICENSE_TEXTS = [
     "Licensed under CC BY-NC 4.0.", "Under the MIT License; under the mit\nlicense UNDER THE MIT LICENSE", "Apache License, Version 2.0 and CC-BY-NC", "a permit licensed to omit", "the apache license version 22",
     "under theİ mit license", "SPDX-License-Identifier: GPL-2.0-or-later", "http://www.apache.org/licenses/LICENSE-2.0",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the GNU Lesser General Public License v2.1 or the MIT License",
-    "word " * 3000 + "This file is free and unencumbered software released into the public domain", "under the mit license " * 500,
+    "word " * 3000 + "This is free and unencumbered software released into the public domain", "under the mit license " * 500,
 ]
 
 
