@@ -16,12 +16,15 @@ from readloom.sources import bam, bed
 FORMATS = ("json", "human", "flagstat", "idxstats", "stats", "alignment-summary", "insert-size")
 
 
-def open_input(spark: SparkSession, path: str, columns: str | None = None) -> tuple[DataFrame, DataFrame, bam.Header]:
-    """Reads, contigs and header of a BAM file."""
+#: Columns that the checks and most reports read; flagstat and idxstats decode no bases, qualities or tags.
+PLACES = ["rec_index", "flag", "ref_id", "pos", "mapq", "mate_ref_id", "mate_pos", "tlen", "cigar", "seq_length"]
+COLUMNS = {"flagstat": PLACES, "idxstats": PLACES, "human": PLACES, "json": PLACES, "insert-size": PLACES, "stats": [*PLACES, "qname", "seq", "qual", "nm"], "alignment-summary": [*PLACES, "qname", "seq", "nm", "xn"]}
+
+
+def open_input(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame, bam.Header]:
+    """Reads, contigs and header of a BAM file, or of a folder of them."""
     header = bam.read_header(path)
-    spark.dataSource.register(bam.BamSource)
-    reader = spark.read.format("bam")
-    reads = (reader.option("columns", columns) if columns else reader).load(path)
+    reads = bam.read_bam(spark, path, columns)
     refs = spark.createDataFrame([(i, n, length) for i, (n, length) in enumerate(header.contigs)], "ref_id int, name string, length bigint")
     return reads, refs, header
 
@@ -29,7 +32,7 @@ def open_input(spark: SparkSession, path: str, columns: str | None = None) -> tu
 def rendered(spark: SparkSession, path: str, form: str) -> str:
     """One report as text."""
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    reads, refs, _ = open_input(spark, path)
+    reads, refs, _ = open_input(spark, path, COLUMNS[form])
     reads = reads.persist()
     release.check(spark, reads, refs)
     if form == "idxstats":
@@ -67,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.format:
             sys.stdout.write(rendered(spark, a.input, a.format))
             return 0
-        reads, refs, header = open_input(spark, a.input)
+        reads, refs, header = open_input(spark, a.input, [*PLACES, "qname", "nm"])
         if a.reference:
             bed.check_reference(header.contigs, header.md5, bed.fasta_contigs(a.reference))
         targets = bed.read_bed(spark, a.targets, header.contigs)[0] if a.targets else None

@@ -13,6 +13,8 @@ READ_SCHEMA = (
     "rec_index bigint, qname string, flag int, ref_id int, pos bigint, mapq int, mate_ref_id int, mate_pos bigint, tlen int,"
     "seq string, qual binary, cigar array<struct<len: int, op: int>>, nm bigint, md string, rg string, xn boolean"
 )
+#: Further columns of the BAM reader: the length of seq, without its bases.
+DERIVED_SCHEMA = "seq_length bigint"
 REF_SCHEMA = "ref_id int, name string, length bigint"
 #: Reads with any of these flags give no coverage.
 NOT_COVERING = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE | SUPPLEMENTARY

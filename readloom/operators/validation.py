@@ -13,7 +13,10 @@ MAX_NAME, MAX_BASES, MAX_OPERATIONS = 1 << 20, 100_000_000, 1_000_000
 
 
 def violations(reads: DataFrame, refs: DataFrame) -> DataFrame:
-    """rule, category and count of broken rules; empty where all reads are sound. One pass and one join by contig."""
+    """rule, category and count of broken rules; empty where all reads are sound. One pass and one join by contig.
+
+    Reads without names, mismatches or bases are not asked about them; `seq_length` stands for bases that are not there."""
+    bases = F.col("seq_length") if "seq_length" in reads.columns else sam.seq_length()
     lengths = refs.select(F.col("ref_id").alias("_ref"), F.col("length").alias("_length"))
     mates = refs.select(F.col("ref_id").alias("_mate"), F.col("length").alias("_mate_length"))
     r = reads.join(lengths, F.col("ref_id") == F.col("_ref"), "left").join(mates, F.col("mate_ref_id") == F.col("_mate"), "left")
@@ -36,12 +39,12 @@ def violations(reads: DataFrame, refs: DataFrame) -> DataFrame:
         ("mate_beyond_reference", "input_corrupt"): paired & (F.col("mate_pos") >= F.col("_mate_length")),
         ("zero_length_operation", "input_corrupt"): F.exists("cigar", lambda o: o["len"] <= 0),
         ("unknown_operation", "input_corrupt"): F.exists("cigar", lambda o: (o["op"] < 0) | (o["op"] > 8)),
-        ("query_span", "input_corrupt"): (F.size("cigar") > 0) & (sam.query_span() != sam.seq_length()),
+        ("query_span", "input_corrupt"): (F.size("cigar") > 0) & (sam.query_span() != bases),
         ("mapped_without_cigar", "input_corrupt"): mapped & (F.size("cigar") <= 0),
         ("beyond_reference", "input_corrupt"): mapped & (F.col("ref_id") >= 0) & (end > F.col("_length")),
-        ("negative_mismatches", "input_corrupt"): F.col("nm") < 0,
-        ("name_limit", "resource_limit"): F.length("qname") > MAX_NAME,
-        ("sequence_limit", "resource_limit"): sam.seq_length() > MAX_BASES,
+        ("negative_mismatches", "input_corrupt"): F.col("nm") < 0 if "nm" in reads.columns else F.lit(False),
+        ("name_limit", "resource_limit"): F.length("qname") > MAX_NAME if "qname" in reads.columns else F.lit(False),
+        ("sequence_limit", "resource_limit"): bases > MAX_BASES,
         ("operation_limit", "resource_limit"): F.size("cigar") > MAX_OPERATIONS,
     }
     broken = F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"))) for (rule, category), test in rules.items())), lambda x: x.isNotNull())

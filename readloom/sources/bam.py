@@ -1,7 +1,14 @@
-"""A Spark data source for BAM files: spark.read.format("bam").load(path or folder).
+"""BAM files as DataFrames, split inside files and decoded by columns.
 
-Every file is one partition, read as a stream of BGZF blocks. Only requested columns are decoded
-(option "columns", comma-separated). Bad bytes end the read with an error of category input_corrupt.
+read_bam() cuts each file into byte ranges. A range owns the records that begin in blocks that begin in it. A first pass finds in every
+range a block and a record to begin with, walks the records' lengths to the first record of the next range, and counts them. Where a
+range does not begin at the record that the one before ended at (compressed data may look like anything), it is walked again from there, until
+all agree; so the ranges join to the records of one walk from the file's start. The second pass decodes, with rec_index (from 1, on
+through the files in the order of their names) from the counts before. Files must be in a folder that executors reach.
+
+A record's fixed fields, names, operations, bases, qualities and tags are gathered from the decompressed buffer as arrays; columns that are not
+asked for are not touched. spark.read.format("bam").schema(...) reads a file a task with the columns of that schema.
+Bad bytes end the read with an error of category input_corrupt.
 """
 
 from __future__ import annotations
@@ -12,18 +19,27 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from readloom.errors import LoomError
-from readloom.functions.sam import READ_SCHEMA
+from readloom.functions.sam import DERIVED_SCHEMA, READ_SCHEMA
+from readloom.functions.storage import written
+from readloom.sources.bgzf import Stream, next_block
 
 _BASES = "=ACMGRSVTWYHKDBN"
 _FIXED = struct.Struct("<iiBBHHHiiii")
-MAX_RECORD, MAX_AUX, BATCH = 256 << 20, 65_536, 4096
-_AUX_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-_INTEGERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
+_HEAD = np.dtype([("size", "<i4"), ("ref_id", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate_ref_id", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")])
+_PAIRS = np.array([[ord(_BASES[b >> 4]), ord(_BASES[b & 15])] for b in range(256)], np.uint8)
+MAX_RECORD, MAX_AUX, BATCH_BYTES, SPLIT_BYTES = 256 << 20, 65_536, 4 << 20, 32 << 20
+_SIZES = np.zeros(256, np.int64)
+for _kind, _size in {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}.items():
+    _SIZES[ord(_kind)] = _size
+_TAGS = {"nm": b"NM", "md": b"MD", "rg": b"RG", "xn": b"XN"}
 
 
 def sniff(path: str) -> str:
@@ -40,39 +56,6 @@ def sniff(path: str) -> str:
     return "bam"
 
 
-class Stream:
-    """Decompressed bytes of a BGZF file, read forward."""
-
-    def __init__(self, path: str):
-        self.file, self.data, self.at, self.path = open(path, "rb"), b"", 0, path  # noqa: SIM115
-
-    def _block(self) -> bool:
-        head = self.file.read(18)
-        if not head:
-            return False
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"BC":
-            raise LoomError("input_corrupt", "a BGZF block has a bad header", self.path)
-        extra, size = struct.unpack_from("<H", head, 10)[0], struct.unpack_from("<H", head, 16)[0]
-        body = self.file.read(size + 1 - 12 - extra) if extra == 6 else b""
-        try:
-            made = zlib.decompress(body[:-8], -15)
-        except zlib.error as e:
-            raise LoomError("input_corrupt", "a BGZF block can't be decompressed", self.path) from e
-        if len(body) < 8 or struct.unpack("<II", body[-8:]) != (zlib.crc32(made), len(made)):
-            raise LoomError("input_corrupt", "a BGZF block fails its checksum", self.path)
-        self.data, self.at = self.data[self.at :] + made, 0
-        return True
-
-    def take(self, n: int, end_ok: bool = False) -> bytes:
-        while len(self.data) - self.at < n:
-            if not self._block():
-                if end_ok and self.at == len(self.data):
-                    return b""
-                raise LoomError("input_corrupt", "the file ends inside a record", self.path)
-        self.at += n
-        return self.data[self.at - n : self.at]
-
-
 class Header:
     """Text, contigs (name, length) in order, read-group ids with their declarations, and an identity."""
 
@@ -124,104 +107,357 @@ class Header:
 
 
 def read_header(path: str) -> Header:
-    sniff(path)
-    return Header(Stream(path))
-
-
-def _aux(raw: bytes) -> dict:
-    """NM, MD, RG and XN of the auxiliary fields."""
-    out: dict = {}
-    at = count = 0
-    try:
-        while at < len(raw):
-            tag, kind = raw[at : at + 2].decode("ascii"), chr(raw[at + 2])
-            at, count = at + 3, count + 1
-            if kind in "ZH":
-                end = raw.index(0, at)
-                value, at = raw[at:end].decode("ascii"), end + 1
-            elif kind == "B":
-                inner, n = chr(raw[at]), struct.unpack_from("<I", raw, at + 1)[0]
-                value, at = None, at + 5 + n * _AUX_SIZES[inner]
-            else:
-                size = _AUX_SIZES[kind]
-                value = struct.unpack_from(_INTEGERS[kind], raw, at)[0] if kind in _INTEGERS else raw[at : at + size]
-                at += size
-            if tag in ("NM", "MD", "RG", "XN"):
-                wanted = int if tag in ("NM", "XN") else str
-                if tag in out or not isinstance(value, wanted) or (tag == "NM" and value < 0):
-                    raise LoomError("input_corrupt", f"tag {tag} is repeated or of a wrong kind")
-                out[tag] = value
-            elif tag == "CG":
-                raise LoomError("unsupported_record", "a long CIGAR is stored in CG")
-    except (struct.error, IndexError, ValueError, KeyError, UnicodeDecodeError) as e:
-        raise LoomError("input_corrupt", "an auxiliary field is malformed") from e
-    if at != len(raw) or count > MAX_AUX:
-        raise LoomError("input_corrupt", "the auxiliary fields are malformed")
+    """Of a file, or of the first file of a folder."""
+    first = files_of(path)[0]
+    sniff(first)
+    return Header(Stream(first))
+
+
+def files_of(path: str) -> list[str]:
+    """The BAM files of a folder by name, or the file itself."""
+    found = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".bam")) if os.path.isdir(path) else [path]
+    if not found:
+        raise LoomError("input_not_found", "the folder has no BAM file", path)
+    return found
+
+
+# Splits
+
+
+def _plausible(data: np.ndarray, n_refs: int) -> np.ndarray:
+    """Offsets that may begin a record: lengths that fit each other, places on known contigs, a name that ends in its zero byte."""
+    n = len(data) - 35
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    wide = np.lib.stride_tricks.sliding_window_view(data, 4)
+    number = lambda at: wide[at : at + n].copy().view("<i4")[:, 0]
+    size, ref, pos, l_seq, mate, mate_pos = (number(at).astype(np.int64) for at in (0, 4, 8, 20, 24, 28))
+    l_name, n_ops = data[12 : 12 + n].astype(np.int64), data[16 : 16 + n].astype(np.int64) + 256 * data[17 : 17 + n].astype(np.int64)
+    fits = (size >= 32) & (size <= MAX_RECORD) & (ref >= -1) & (ref < n_refs) & (pos >= -1) & (l_name >= 1) & (l_seq >= 0) & (mate >= -1) & (mate < n_refs) & (mate_pos >= -1)
+    found = np.flatnonzero(fits & (32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq <= size))
+    end = found + 35 + l_name[found]
+    inside = end < len(data)
+    return found[inside & (data[np.minimum(end, len(data) - 1)] == 0)]
+
+
+def first_record(path: str, start: int, n_refs: int, chain: int = 8) -> tuple[int, int] | None:
+    """A guess of where the first record at or behind a byte begins: a head behind which more plausible heads follow."""
+    size = os.path.getsize(path)
+    block = next_block(path, start)
+    if block >= size:
+        return size, 0
+    stream = Stream(path, block)
+    if not stream.need(1):
+        return size, 0
+    stream.need(1 << 19)
+    data = np.frombuffer(stream.data, np.uint8)
+    heads = _plausible(data, n_refs)
+    known = set(heads.tolist())
+    for at in heads.tolist():
+        seen, here = 0, at
+        while seen < chain and here in known:
+            here += 4 + struct.unpack_from("<i", stream.data, here)[0]
+            seen += 1
+        # Up to the end of what has been looked at, if fewer follow.
+        if seen == chain or (seen and here > len(data) - 36 and (here <= len(data) or len(data) >= 1 << 19)):
+            stream.at = at
+            return stream.position(size)
+    return None
+
+
+def walk(path: str, start: tuple[int, int], stop: int) -> tuple[tuple[int, int], int]:
+    """The first record behind `start` that begins in a block at or behind `stop`, and the number of records before it."""
+    size = os.path.getsize(path)
+    if start[0] >= min(stop, size):
+        return start, 0
+    stream, count = Stream(path, start[0]), 0
+    stream.take(start[1])
+    while True:
+        place = stream.position(size)
+        if place[0] >= min(stop, size):
+            return place, count
+        # All records that begin in this block.
+        end = next((b for b, _ in stream.starts if b > stream.dropped + stream.at), stream.dropped + len(stream.data)) - stream.dropped
+        while stream.at < end:
+            dropped = stream.dropped
+            length = struct.unpack("<i", stream.take(4))[0]
+            _check_length(length, path)
+            stream.take(length)
+            end -= stream.dropped - dropped
+            count += 1
+
+
+def _check_length(length: int, path: str) -> None:
+    if not 32 <= length <= MAX_RECORD:
+        raise LoomError("input_corrupt" if length < 32 else "resource_limit", "a record has a bad length", path)
+
+
+_PLAN = "file_no int, path string, split_no int, stop long, n_refs int, s_block long, s_in long, e_block long, e_in long, records long"
+
+
+def plan_splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """A row for each byte range of each file: where its first record and the first one behind it begin, and how many it owns. Stored."""
+    ranges, contigs = [], None
+    for number, file in enumerate(files_of(path)):  # headers and sizes alone
+        sniff(file)
+        stream, size = Stream(file), os.path.getsize(file)
+        header = Header(stream)
+        if contigs is not None and header.contigs != contigs:
+            raise LoomError("input_format", "the files of the folder have different contigs", file)
+        contigs = header.contigs
+        first = stream.position(size)
+        step = max(1, split_bytes)
+        ranges += [(number, file, k, min(lo + step, size), len(contigs), *(first if k == 0 else (None, None)), None, None, lo) for k, lo in enumerate(range(0, size, step))]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                sure = r["split_no"] == 0 or r["e_block"] == -1
+                start = end = None
+                try:
+                    start = (r["s_block"], r["s_in"]) if r["s_block"] is not None else first_record(r["path"], r["records"], r["n_refs"])
+                    if start is not None:
+                        end, r["records"] = walk(r["path"], start, r["stop"])
+                except LoomError:  # of a start that is not certain
+                    if sure:
+                        raise
+                    start = end = None
+                (r["s_block"], r["s_in"]), (r["e_block"], r["e_in"]) = start or (None, None), end or (None, None)
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+    given = spark.createDataFrame(ranges, _PLAN)
+    keep = lambda df: spark.read.schema(_PLAN).parquet(written(df, "bam-splits"))
+    alone = lambda df, n: df.coalesce(1).repartition(n)  # noqa: E731  a range a task
+    plan = keep(alone(given, len(ranges)).mapInArrow(found, _PLAN))
+    along = Window.partitionBy("file_no").orderBy("split_no")
+    while True:
+        seams = plan.withColumns({"p_block": F.lag("e_block").over(along), "p_in": F.lag("e_in").over(along)})
+        agree = (F.col("split_no") == 0) | (F.col("s_block").eqNullSafe(F.col("p_block")) & F.col("s_in").eqNullSafe(F.col("p_in")) & F.col("s_block").isNotNull())
+        # Behind ranges that all agree a start is certain (e_block -1), else it is tried.
+        before = F.coalesce(F.sum(F.when(F.col("agree"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        seams = seams.withColumn("agree", agree).withColumn("certain", before == 0)
+        wrong = seams.where(~F.col("agree") & F.col("p_block").isNotNull())
+        n = wrong.count()
+        if not n:
+            return plan
+        names = [c.split()[0] for c in _PLAN.split(", ")]
+        again = wrong.withColumns({"s_block": F.col("p_block"), "s_in": F.col("p_in"), "e_block": F.when(F.col("certain"), -1).otherwise(-2).cast("long")}).select(*names)
+        others = seams.where(F.col("agree") | F.col("p_block").isNull()).select(*names)
+        plan = keep(others.union(alone(again, n).mapInArrow(found, _PLAN)))
+
+
+def _schema(columns: list[str] | None = None) -> StructType:
+    every = StructType.fromDDL(f"{READ_SCHEMA}, {DERIVED_SCHEMA}")
+    return StructType([every[c] for c in columns or StructType.fromDDL(READ_SCHEMA).names])
+
+
+def read_bam(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The records of a file or folder, a task for each split, with the columns asked for (all of READ_SCHEMA, if none are named)."""
+    wanted = _schema(columns)
+    plan = plan_splits(spark, path, split_bytes)
+    files = plan.groupBy("file_no").agg(F.sum("records").alias("n"))
+    # A row for each file, then rows of one file.
+    bases = files.select("file_no", F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = F.coalesce(F.sum("records").over(Window.partitionBy("file_no").orderBy("split_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = plan.withColumn("index", before).join(bases, "file_no").where("records > 0").select("path", "stop", "s_block", "s_in", "records", (F.col("index") + F.col("base") + 1).alias("index"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from decoded(r["path"], wanted, (r["s_block"], r["s_in"]), r["records"], r["index"])
+
+    return numbered.coalesce(1).repartition(max(1, plan.count())).mapInArrow(read, wanted)
+
+
+# Decoding
+
+
+def offsets_of(data: bytes, limit: int) -> tuple[list[int], int]:
+    """Where the whole records of a buffer begin, `limit` at most, and where the rest begins."""
+    found, at, n = [], 0, len(data)
+    unpack = struct.Struct("<i").unpack_from
+    while len(found) < limit and at + 4 <= n:
+        length = unpack(data, at)[0]
+        if not 32 <= length <= MAX_RECORD:
+            _check_length(length, "")
+        if at + 4 + length > n:
+            break
+        found.append(at)
+        at += 4 + length
+    return found, at
+
+
+def decoded(path: str, schema: StructType, start: tuple[int, int] | None = None, records: int | None = None, index: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches of the schema's columns of so many records from a position on; of all records, if none is given."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    stream = Stream(path, start[0] if start else 0)
+    if start:
+        stream.take(start[1])
+    else:
+        Header(stream)
+    left = records if records is not None else 1 << 62
+    while left:
+        enough, wanted = stream.need(BATCH_BYTES), BATCH_BYTES
+        stream.drop()
+        found, end = offsets_of(stream.data, left)
+        while not found and enough:  # one record is larger than the batch
+            wanted *= 2
+            enough = stream.need(wanted)
+            found, end = offsets_of(stream.data, left)
+        if not found:
+            if stream.data or records is not None:
+                raise LoomError("input_corrupt", "the file ends inside a record", path)
+            return
+        yield _columns(np.frombuffer(stream.data, np.uint8)[:end], np.array(found, np.int64), arrow, index, path)
+        stream.at = end
+        left, index = left - len(found), index + len(found)
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices of all bytes of ranges, one after the other."""
+    total = int(length.sum())
+    return np.arange(total) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
+def _text(data: np.ndarray, start: np.ndarray, length: np.ndarray, kind: pa.DataType, there: np.ndarray | None = None) -> pa.Array:
+    """Byte ranges as an array of text or bytes; bytes beyond ASCII are replaced in text."""
+    raw = data[_ranges(start, length)]
+    if pa.types.is_string(kind) and (raw >= 128).any():
+        ends = np.cumsum(length)
+        return pa.array([bytes(raw[e - n : e]).decode("ascii", "replace") if there is None or t else None for e, n, t in zip(ends, length, there if there is not None else ends, strict=True)], kind)
+    offsets = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    mask = None if there is None or there.all() else pa.py_buffer(np.packbits(there, bitorder="little"))
+    return pa.Array.from_buffers(kind, len(length), [mask, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def _columns(data: np.ndarray, at: np.ndarray, schema: pa.Schema, index: int, path: str) -> pa.RecordBatch:
+    head = data[at[:, None] + np.arange(36)].reshape(-1).view(_HEAD)
+    l_seq, n_ops, l_name = head["l_seq"].astype(np.int64), head["n_ops"].astype(np.int64), head["l_name"].astype(np.int64)
+    ops_at = at + 36 + l_name
+    seq_at = ops_at + 4 * n_ops
+    qual_at, stop = seq_at + (l_seq + 1) // 2, at + 4 + head["size"]
+    if (l_seq < 0).any() or (qual_at + l_seq > stop).any():
+        raise LoomError("input_corrupt", "a record is shorter than its parts", path)
+    tags = _tags(data, qual_at + l_seq, stop) if {*_TAGS} & {*schema.names} else {}
+    made = []
+    for field in schema:
+        name = field.name
+        if name == "rec_index":
+            column = pa.array(np.arange(index, index + len(at)))
+        elif name == "seq_length":
+            column = pa.array(l_seq)
+        elif name in head.dtype.names:
+            column = pa.array(head[name].astype(np.int64)).cast(field.type)
+        elif name == "qname":
+            column = _text(data, at + 36, np.maximum(l_name - 1, 0), pa.string())
+        elif name == "cigar":
+            packed = data[_ranges(ops_at, 4 * n_ops)].view("<u4")
+            parts = pa.StructArray.from_arrays([pa.array((packed >> 4).astype(np.int32)), pa.array((packed & 15).astype(np.int32))], fields=list(field.type.value_type))
+            column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_ops)).astype(np.int32)), parts).cast(field.type)
+        elif name == "seq":
+            length = (l_seq + 1) // 2
+            letters = _PAIRS[data[_ranges(seq_at, length)]].reshape(-1)
+            column = _text(letters, 2 * (np.cumsum(length) - length), l_seq, pa.string())
+        elif name == "qual":
+            column = _text(data, qual_at, l_seq, pa.binary())
+        else:
+            column = tags[name] if name in tags else pa.nulls(len(at), field.type)
+        made.append(column.cast(field.type))
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+def _tags(data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> dict[str, pa.Array]:
+    """NM, MD, RG and XN of all records, whose tags are read side by side: each step takes every record's next one."""
+
+    def corrupt(test: np.ndarray, what: str = "the auxiliary fields are malformed", category: str = "input_corrupt") -> None:
+        if test.any():
+            raise LoomError(category, what)
+
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    zeros, high = np.flatnonzero(data == 0), np.append(0, np.cumsum(data >= 128))
+    n, at = len(at), at.copy()
+    begin, length, kinds = {t: np.full(n, -1) for t in _TAGS}, {t: np.zeros(n, np.int64) for t in _TAGS}, {t: np.zeros(n, np.uint8) for t in _TAGS}
+    for step in range(MAX_AUX + 1):
+        rows = np.flatnonzero(at < stop)
+        if not len(rows):
+            break
+        if step == MAX_AUX:
+            raise LoomError("input_corrupt", "a record has too many auxiliary fields")
+        here = at[rows]
+        corrupt(here + 3 > stop[rows])
+        first, second, kind = data[here], data[here + 1], data[here + 2]
+        corrupt((first >= 128) | (second >= 128))
+        value, size = here + 3, _SIZES[kind].copy()
+        text, listed = (kind == ord("Z")) | (kind == ord("H")), kind == ord("B")
+        corrupt((size == 0) & ~text & ~listed)
+        if text.any():
+            k = np.searchsorted(zeros, value[text])
+            corrupt(k >= len(zeros))
+            end = zeros[k]
+            corrupt(end >= stop[rows][text])
+            corrupt(high[end] > high[value[text]])
+            size[text] = end - value[text] + 1
+        if listed.any():
+            corrupt(value[listed] + 5 > stop[rows][listed])
+            inner = _SIZES[data[value[listed]]]
+            corrupt(inner == 0)
+            size[listed] = 5 + inner * padded[value[listed][:, None] + np.arange(1, 5)].reshape(-1).view("<u4").astype(np.int64)
+        corrupt(value + size > stop[rows])
+        corrupt((first == ord("C")) & (second == ord("G")), "a long CIGAR is stored in CG", "unsupported_record")
+        for name, tag in _TAGS.items():
+            hit = (first == tag[0]) & (second == tag[1])
+            if hit.any():
+                of = rows[hit]
+                corrupt(begin[name][of] >= 0, f"tag {tag.decode()} is repeated")
+                begin[name][of], length[name][of], kinds[name][of] = value[hit], size[hit], kind[hit]
+        at[rows] = value + size
+    out = {}
+    for name, tag in _TAGS.items():
+        there = begin[name] >= 0
+        if name in ("md", "rg"):
+            corrupt(there & ~np.isin(kinds[name], (ord("Z"), ord("H"))), f"tag {tag.decode()} is of a wrong kind")
+            out[name] = _text(data, np.maximum(begin[name], 0), np.where(there, length[name] - 1, 0), pa.string(), there)
+            continue
+        corrupt(there & ~np.isin(kinds[name], [ord(c) for c in "cCsSiI"]), f"tag {tag.decode()} is of a wrong kind")
+        raw = padded[np.maximum(begin[name], 0)[:, None] + np.arange(4)]
+        value = np.zeros(n, np.int64)
+        for kind, dtype in {"c": "i1", "C": "u1", "s": "<i2", "S": "<u2", "i": "<i4", "I": "<u4"}.items():
+            of = kinds[name] == ord(kind)
+            value[of] = np.ascontiguousarray(raw[of][:, : np.dtype(dtype).itemsize]).reshape(-1).view(dtype)
+        if name == "nm":
+            corrupt(there & (value < 0), "tag NM is negative")
+            out[name] = pa.array(value, mask=~there)
+        else:
+            out[name] = pa.array(value == 1, mask=~there)
     return out
 
 
-def records(path: str, columns: list[str]) -> Iterator[tuple]:
-    """Tuples of the wanted columns, one for each record in file order."""
-    stream = Stream(path)
-    Header(stream)
-    need_aux, index = {"nm", "md", "rg", "xn"} & {*columns}, 0
-    while head := stream.take(4, end_ok=True):
-        size = struct.unpack("<i", head)[0]
-        if not 32 <= size <= MAX_RECORD:
-            raise LoomError("input_corrupt" if size < 32 else "resource_limit", "a record has a bad length", path)
-        raw = stream.take(size)
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, tlen = _FIXED.unpack_from(raw)
-        at = 32 + l_name
-        seq_at, qual_at = at + 4 * n_ops, at + 4 * n_ops + (l_seq + 1) // 2
-        if l_seq < 0 or qual_at + l_seq > size:
-            raise LoomError("input_corrupt", "a record is shorter than its parts", path)
-        row: dict = {"rec_index": index, "flag": flag, "ref_id": ref, "pos": pos, "mapq": mapq, "mate_ref_id": mate, "mate_pos": mate_pos, "tlen": tlen}
-        if "qname" in columns:
-            row["qname"] = raw[32 : at - 1].decode("ascii", "replace")
-        if "cigar" in columns:
-            row["cigar"] = [{"len": x >> 4, "op": x & 15} for x in struct.unpack_from(f"<{n_ops}I", raw, at)]
-        if "seq" in columns:
-            packed = raw[seq_at:qual_at]
-            row["seq"] = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
-        if "qual" in columns:
-            row["qual"] = raw[qual_at : qual_at + l_seq]
-        if need_aux:
-            tags = _aux(raw[qual_at + l_seq :])
-            row |= {"nm": tags.get("NM"), "md": tags.get("MD"), "rg": tags.get("RG"), "xn": tags["XN"] == 1 if "XN" in tags else None}
-        index += 1
-        yield tuple(row.get(c) for c in columns)
+def records(path: str, columns: list[str]) -> Iterator[dict]:
+    """A file's records as dictionaries, for small files and tests."""
+    for batch in decoded(path, _schema(columns)):
+        yield from batch.to_pylist()
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, wanted: list[str]):
-        self.path, self.fields, self.wanted = path, schema, wanted
+    def __init__(self, path: str, schema: StructType):
+        self.path, self.fields = path, schema
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(".bam")) if os.path.isdir(self.path) else [self.path]
-        for f in files:
+        found = files_of(self.path)
+        for f in found:
             sniff(f)
-        return [InputPartition(f) for f in files]
+        return [InputPartition(f) for f in found]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema, names = to_arrow_schema(self.fields), self.fields.names
-        held: list[tuple] = []
-        for row in records(partition.value, self.wanted):
-            held.append(row)
-            if len(held) == BATCH:
-                yield self._batch(held, schema, names)
-                held = []
-        if held:
-            yield self._batch(held, schema, names)
-
-    def _batch(self, rows: list[tuple], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
-        by = dict(zip(self.wanted, zip(*rows, strict=True), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(by.get(n, [None] * len(rows)), schema.field(n).type) for n in names], schema=schema)
+        yield from decoded(partition.value, self.fields)
 
 
 class BamSource(DataSource):
-    """Options: path; columns, which leaves all others null without decoding them."""
+    """Option: path. The schema given by .schema(...) says which columns are decoded; rec_index starts at 1 in each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -231,8 +467,7 @@ class BamSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        wanted = self.options.get("columns")
-        return _Reader(self.options["path"], schema, wanted.split(",") if wanted else schema.names)
+        return _Reader(self.options["path"], schema)
 
 
 def write_bam(path: str, contigs: list[tuple[str, int]], reads: list[dict], header: str | None = None, block: int = 60_000) -> None:
