@@ -209,7 +209,8 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp and s (sorted shingle hashes, binary) of the wanted sets (fp, doc_id), by one more pass that hashes only texts with their ids."""
+    """fp and s (sorted shingle hashes, binary) of the wanted sets (fp, doc_id, h), by one more pass that hashes only their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -227,7 +228,8 @@ def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             if fps:
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(values, pa.binary())], ["fp", "s"])
 
-    thin = thinned(texts.select(F.xxhash64("doc_id").alias("mark"), "text"), wanted.select(F.xxhash64("doc_id").alias("mark")), "mark")
+    mark = F.xxhash64("doc_id", "h").alias("mark")  # a null id leaves the text's hash
+    thin = thinned(texts.select(mark, "text"), wanted.select(mark), "mark")
     found = thin.select("text").mapInArrow(run, "fp long, s binary").join(bounded(wanted.select("fp")), "fp", "left_semi")
     return found.dropDuplicates(["fp"])  # equal sets of different tasks
 
@@ -339,7 +341,7 @@ def _links(texts: DataFrame, reps: DataFrame, frequent: tuple[np.ndarray, np.nda
     crowded = many.groupBy("fp").agg(F.count("*").alias("more"))
     pairs = stored(_few_apart(few, crowded, percent), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(many.select("fp")).distinct()
-    sets = stored(_sets_of(texts, stored(wanted.join(reps, "fp").select("fp", "doc_id"), "jaccard-wanted")), "jaccard-sets")
+    sets = stored(_sets_of(texts, stored(wanted.join(reps, "fp").select("fp", "doc_id", "h"), "jaccard-wanted")), "jaccard-sets")
     links = []
     for turn in range(ROUNDS + 1):
         if many.isEmpty():
@@ -371,9 +373,10 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     profile = stored(_profile(texts), "jaccard-profile")
     each = profile.where("token IS NULL").select("doc_id", "h", "n", "fp")
-    # One row stands for each set, under the least id; hot sets are reduced before the shuffle.
-    reps = stored(each.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-representatives")
-    links = _links(texts.where("doc_id IS NOT NULL"), reps, _frequent(profile), percent)
+    # One row stands for each set, under the least id, or under none where all its rows lack one; hot sets are reduced before the shuffle.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("least")
+    reps = stored(each.where("n > 0").groupBy("fp").agg(least).select("fp", "least.doc_id", "least.h"), "jaccard-representatives")
+    links = _links(texts, reps, _frequent(profile), percent)
     joint = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("fp"), "component")
     named = reps.join(stored(joint, "jaccard-joint"), "fp")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -384,14 +387,17 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) and set_id of each document."""
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and set_id of each document.
+
+    Rows without an id link like others, so that links pass through them; component_id is null where no row of a component has an id.
+    """
     return _components(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.when(F.col("n") > 0, F.col("fp")).alias("set_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, the one with the least id; all columns pass unchanged, whatever their names.
 
-    Documents without an id or without words stay. Rows repeated under a kept id and text all stay.
+    Documents without an id or without words stay; links pass through those without an id. Rows repeated under a kept id and text all stay.
     """
     found = _components(docs, percent).where("doc_id <> component_id").select("doc_id", "h").distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
