@@ -256,10 +256,14 @@ def substring_digest(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated spans cut out of `text`; a text that loses words has the others joined by one space."""
+    """docs with repeated spans cut out of `text`; a text that loses words has the others joined by one space.
+
+    Other columns pass unchanged, whatever their names. A null text stays null; rows without an id come before all others.
+    """
     profile, cut = _shortened(docs)
     gone = profile.where("whole").select("d", "h", F.lit("").alias("kept"))
-    cut = cut.where("n_removed > 0").select("d", "h", "kept").union(gone).select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("kept").alias("_kept")).distinct()
-    d, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumns({"_dd": d, "_hh": h}).join(cut, (F.col("_dd") == F.col("_d")) & (F.col("_hh") == F.col("_h")), "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    cut = cut.where("n_removed > 0").select("d", "h", "kept").union(gone).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    d, h = F.coalesce(F.col("whole.doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col("whole.text").cast("string"), F.lit("")))
+    joined = whole.withColumns({"d": d, "h": h}).join(cut, ["d", "h"], "left")
+    return joined.select(*(F.coalesce("kept", "whole.text").alias(c) if c == "text" else F.col(f"whole.`{c}`") for c in docs.columns))
