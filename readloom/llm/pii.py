@@ -42,7 +42,9 @@ _WORD = re.compile(r"\S+")
 #: Digit groups with one separator between, which a closing or opening bracket may join; group 1 is the first of them.
 _GROUPS = re.compile(r"(\(?[0-9]++)(?:\)?[\x20./-]?\(?[0-9]++)*+")
 #: Tokens under SHORT characters inside a run are parts of it; patterns hold words over LONG characters as digests.
-SHORT, LONG, GLUED = 6, 80, 80
+SHORT, LONG = 6, 80
+#: Modulus and base of the digests of a word's beginnings and ends.
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003_579
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -89,6 +91,7 @@ class _Words:
     def __init__(self, text: str):
         self.text, self.spans, self.known = text, [m.span() for m in _WORD.finditer(text)], {}
         self.starts, self.ends = [a for a, _ in self.spans], [b for _, b in self.spans]
+        self.glue: dict[int, _Glue] = {}
 
     def at(self, i: int) -> str:
         if i not in self.known:
@@ -98,15 +101,49 @@ class _Words:
     def context(self, start: int, end: int) -> tuple[str, str]:
         """Two lexical patterns around a span: two words before, and one word on each side; empty where there are none.
 
-        Neighbours are whole words; of characters glued to the span, the nearest GLUED count as a word."""
+        Neighbours are whole words; all characters glued to the span count as a word."""
         i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
         before, after = [self.at(k) for k in range(max(0, i - 2), i)], self.at(j) if j < len(self.spans) else ""
         if i < len(self.spans) and self.starts[i] < start:
-            before.append(_plain(self.text[max(self.starts[i], start - GLUED) : start]))
+            before.append(self.glued(i, self.starts[i], start))
         if j and self.ends[j - 1] > end:
-            after = _plain(self.text[end : min(self.ends[j - 1], end + GLUED)])
+            after = self.glued(j - 1, end, self.ends[j - 1])
         return (f"{before[-2]} {before[-1]} _" if len(before) > 1 else "", f"{before[-1]} _ {after}" if before and after else "")
 
+    def glued(self, i: int, start: int, end: int) -> str:
+        """The beginning or end of word i that lies between these places."""
+        if end - start <= LONG:
+            return _plain(self.text[start:end])
+        if i not in self.glue:
+            self.glue[i] = _Glue(self.text[slice(*self.spans[i])])
+        return self.glue[i].part(start - self.starts[i], end - self.starts[i])
+
+
+class _Glue:
+    """A long word as patterns write it, with running digests, so that each of its many beginnings and ends costs a fixed time."""
+
+    def __init__(self, word: str):
+        made, self.upto, self.inside, digit = [], [0], [False], False
+        for c in word:
+            now = c in "0123456789"
+            if not (now and digit):
+                made.append("0" if now else c.lower())
+            self.upto.append(len(made))
+            self.inside.append(now)
+            digit = now
+        self.made, self.running = made, [0]
+        for c in made:
+            self.running.append((self.running[-1] * _BASE + sum(map(ord, c))) % _PRIME)
+
+    def part(self, start: int, end: int) -> str:
+        """Characters start to end; a run of digits cut at the start still begins with its 0."""
+        a, b = self.upto[start], self.upto[end]
+        if self.inside[start] and self.upto[start + 1] == a:
+            a -= 1
+        if b - a <= LONG:
+            return "".join(self.made[a:b])
+        return f"{(self.running[b] - self.running[a] * pow(_BASE, b - a, _PRIME)) % _PRIME:x}.{b - a}"
+
 
 def _plain(word: str) -> str:
     word = re.sub("[0-9]+", "0", word.lower())
