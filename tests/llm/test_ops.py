@@ -114,6 +114,27 @@ def test_pii_discovered_identifiers_teach_patterns(spark):
     assert all(rows[i]["n_discovered"] == 1 for i in range(200, 280))
 
 
+def test_pii_contexts_hold_all_glued_characters():
+    def around(text):
+        start = text.index("a@b.c")
+        return pii._Words(text).context(start, start + 5)
+
+    rng = random.Random(9)
+    for _ in range(300):
+        left = "".join(rng.choice("aB9é") for _ in range(rng.randrange(81, 200)))
+        same = around(f"go {left}=a@b.c/{left} on")
+        assert same == around(f"go {left}=a@b.c/{left} on") and same == around(f"go {left.upper().lower()}=a@b.c/{left} on")
+        for other in ("z" + left[1:], left[:100] + "z" + left[100:]):
+            assert around(f"go {other}=a@b.c/{left} on")[1] != same[1] != around(f"go {left}=a@b.c/{left[:-1]}z on")[1]
+    word = "".join(rng.choice("aB90é") for _ in range(400))
+    for _ in range(300):
+        a, b = sorted(rng.sample(range(len(word) + 1), 2))
+        plain, got = pii._plain(word[a:b]), pii._Glue(word).part(a, b)
+        assert got == plain if len(plain) < 64 else got == pii._Glue(word[a:b]).part(0, b - a)
+    long = "a@b.c/" * 30_000
+    assert len(pii.mentions(long, pii.base_spans(long))) >= 30_000
+
+
 def test_pii_of_rows_without_an_id(spark):
     texts = [f"please call me +1 555 010 {1000 + i} today" for i in range(30)]
     rows = [*enumerate(texts), (None, "please call me 555-010-7777 today"), (None, "mail a.b@c.de now"), (None, "mail a.b@c.de now"), (None, None)]
@@ -415,6 +436,15 @@ def test_substrings_texts_and_empty(make_docs, empty_docs):
     assert got == {0: text, 1: "x y", 2: "", 3: None}
 
 
+def test_substrings_clashing_columns_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, text), (1, "x " + text), (None, None), (2, "short")], "doc_id long, text string")
+    clash = docs.withColumns({c: F.lit(7) for c in ("_d", "_h", "_dd", "_hh", "_kept", "kept", "d", "h", "whole", "n_removed", "a.b")})
+    out = substrings.remove_repeats(clash)
+    assert out.columns == clash.columns
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["_kept"], r["whole"], r["a.b"]) for r in dicts(out)) == sorted((str(i), t, 7, 7, 7) for i, t in [(None, text), (1, "x"), (None, "None"), (2, "short")])
+
+
 # 8
 
 
@@ -484,6 +514,19 @@ def test_jaccard_repeated_rows_and_null_ids(spark):
     assert kept.columns == clash.columns and sorted((str(r["doc_id"]), r["text"] or "") for r in dicts(kept)) == sorted([("None", text), ("None", ""), ("3", text), ("3", text), ("8", ""), ("4", "w0 w1"), ("9", "other words")])
 
 
+def test_jaccard_links_pass_through_rows_without_an_id(spark):
+    base = [f"w{i}" for i in range(40)]
+    a, x, b = (" ".join(base + [f"e{i}" for i in range(n)]) for n in (0, 7, 14))
+    y, z = " ".join(f"v{i}" for i in range(30)), " ".join(f"v{i}" for i in range(31))
+    rows = [(5, a), (None, x), (None, x), (6, b), (None, y), (None, z)]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in dicts(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))), key=str)
+    assert got == sorted([(5, 5), (None, 5), (None, 5), (6, 5), (None, None), (None, None)], key=str)
+    alone = {r["doc_id"]: r["component_id"] for r in dicts(jaccard.jaccard_components(spark.createDataFrame([(5, a), (6, b)], "doc_id long, text string")))}
+    assert alone == {5: 5, 6: 6}
+    kept = [r["doc_id"] for r in dicts(jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))]
+    assert sorted(kept, key=str) == sorted([5, None, None, None, None], key=str)
+
+
 def test_jaccard_prefixes_meet(make_docs, empty_docs):
     assert jaccard.jaccard_components(empty_docs).count() == 0
     rng = np.random.default_rng(8)
@@ -613,6 +656,78 @@ def test_attention_is_causal():
     assert np.allclose(model.forward(x)[-1][0, :20], model.forward(other)[-1][0, :20])
 
 
+def plain_lm(texts, trained, pieces, model):
+    """Scores by plain loops, in double precision, of texts after counting the trained ones."""
+    split = [[w.encode() for w in words(lower(t))] for t in texts]
+    train = [w for ws, t in zip(split, trained, strict=True) if t for w in ws]
+    first = lambda w, known: max((p for p in known if w.startswith(p)), key=len, default=None)
+    found = collections.Counter(first(w, pieces) for w in train)
+    chosen = sorted(sorted(pieces, key=lambda p: -found[p])[: lm.CLASSES - 2], key=pieces.index)
+    number = {p: k + 2 for k, p in enumerate(chosen)} | {None: 0}
+    kind = {w: number[first(w, chosen)] for ws in split for w in ws}
+    skip = {w: len(first(w, chosen) or b"") for w in kind}
+    counts, sizes = collections.Counter(train), collections.Counter(kind[w] for w in train)
+    n, once = len(train) + sum(trained), sum(c == 1 for c in [*counts.values(), sum(trained)])
+    new = min(lm.MOST_NEW, max(lm.LEAST_NEW, once / n))
+
+    def steps(w):
+        w = w + b" "
+        return [((w[i - 2] if i > 1 else 32) & 63, (w[i - 1] if i else 32) & 63, w[i]) for i in range(len(w))]
+
+    triples = collections.Counter(t for w in train for t in steps(w))
+    twos, pairs, ones = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, b, c), k in triples.items():
+        twos[a, b] += k
+        pairs[b, c] += k
+        ones[b] += k
+
+    def spelled(w):
+        back = lambda b, c: (pairs[b, c] + 1 / 256) / (ones[b] + 1)
+        return sum(math.log10((triples[a, b, c] + 2 * back(b, c)) / (twos[a, b] + 2)) for a, b, c in steps(w)[skip[w] :])
+
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    out = []
+    for ws in split:
+        y = [*(kind[x] for x in ws), 1]
+        x, score = [1, *y[:-1]], 0.0
+        for k in range(len(y)):
+            begin = 0 if k < lm.WINDOW else (k - (lm.WINDOW - lm.FRESH)) // lm.FRESH * lm.FRESH
+            h = np.array([w["e"][x[i]] + w["p"][i - begin] for i in range(begin, k + 1)])
+            a = np.exp((h @ w["k"]) @ (h[-1] @ w["q"]) * lm.WIDTH**-0.5)
+            logits = (h[-1] + (a / a.sum()) @ (h @ w["v"])) @ w["u"] + w["b"]
+            score += (logits[y[k]] - np.log(np.exp(logits).sum())) / math.log(10)
+        for x in ws:
+            s, seen = math.log10(new) + spelled(x), (1 - new) * counts[x] / max(1, sizes[kind[x]])
+            score += math.log10(seen + 10**s) if seen else s
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("top", [5, 200_000])
+def test_lm_scores_by_plain_loops(spark, monkeypatch, top):
+    """Long unknown and non-ASCII words, null and repeated ids, in any order of rows."""
+    rng = random.Random(4)
+    vocabulary = ["the", "there", "in", "Inner", "re", "straße", "ωμέγα", "zq", "a", "b", "한국어"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(90))) for _ in range(40)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:8]
+    free = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    outside = ["z" * 200, "z" * 600, "z" * 20_000, "the " + "q" * 2_000 + " in", "ж" * 400, "", "the", "the"]
+    null_held = zlib.crc32(b"") % 10 == 0
+    rows = [*zip(free, texts, strict=True), *zip(held, outside, strict=True), (None, "the in"), (free[0], "there re")]
+    trained = [True] * len(texts) + [False] * len(outside) + [not null_held, True]
+    model = lm.Attention()
+    monkeypatch.setattr(lm, "_fit", lambda *_: model)
+    want = plain_lm([t for _, t in rows], trained, lm.pieces_of(queries.tokenizer_path()), model)
+    for turned in (False, True):
+        docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string")
+        got = sorted((str(r["doc_id"]), r["score"]) for r in dicts(lm.score_texts(docs, queries.tokenizer_path(), top=top)))
+        expected = sorted((str(i), s) for (i, _), s in zip(rows, want, strict=True))
+        assert [i for i, _ in got] == [i for i, _ in expected]
+        assert np.allclose([s for _, s in got], [s for _, s in expected], rtol=1e-4, atol=1e-3)
+    long = dict(zip(outside, want[len(texts) :], strict=False))
+    assert long["z" * 20_000] < 20 * long["z" * 600] < 0
+
+
 def test_lm_trains_on_every_token_and_end_once(spark):
     texts = ["", "one", " ".join(["the"] * 31), " ".join(["the", "in"] * 16), " ".join(["an", "re", "the"] * 900)]
     pieces = lm.pieces_of(queries.tokenizer_path())
