@@ -49,28 +49,35 @@ def covering(reads: DataFrame) -> DataFrame:
     return reads.where(~sam.has(sam.NOT_COVERING) & (F.col("ref_id") >= 0))
 
 
-def blocks(reads: DataFrame) -> DataFrame:
+def read_blocks(reads: DataFrame, long_cigars: bool = True) -> DataFrame:
+    """ref_id, start, stop of the covered blocks of all the reads given.
+
+    long_cigars: whether CIGARs of over LONG_CIGAR operations may occur; without them the second branch is left out.
+    """
+    kept = reads.select("ref_id", "pos", "cigar")
+    short = (kept.where(F.size("cigar") <= LONG_CIGAR) if long_cigars else kept).select("ref_id", F.inline(_walk(F.col("cigar"), F.col("pos"))))
+    if not long_cigars:
+        return short
+    far = _rows(kept.where(F.size("cigar") > LONG_CIGAR), ["ref_id"]).where(F.col("op").isin(*_COVERS) & (F.col("len") > 0))
+    return short.union(far.select("ref_id", F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("stop")))
+
+
+def blocks(reads: DataFrame, long_cigars: bool = True) -> DataFrame:
     """ref_id, start, stop of the covered blocks of reads that cover."""
-    kept = covering(reads).select("ref_id", "pos", "cigar")
-    short = kept.where(F.size("cigar") <= LONG_CIGAR).select("ref_id", F.inline(_walk(F.col("cigar"), F.col("pos"))))
-    long = _rows(kept.where(F.size("cigar") > LONG_CIGAR), ["ref_id"]).where(F.col("op").isin(*_COVERS)).select("ref_id", F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("stop"))
-    return short.union(long)
+    return read_blocks(covering(reads), long_cigars)
 
 
-def events(reads: DataFrame, long_cigars: bool = True) -> DataFrame:
-    """ref_id, pos, delta: +1 where a block begins and -1 where it ends, from one scan of the reads.
+def events(blocks: DataFrame, chunk: int) -> DataFrame:
+    """ref_id, chunk, pos, delta: +1 where a block begins and -1 where it ends.
 
-    long_cigars: whether CIGARs of over LONG_CIGAR operations may occur; without them the second branch is left out.
+    A block that crosses bounds of chunks begins anew in each of them, so that each chunk's depth follows from its own events.
     """
-    kept = covering(reads).select("ref_id", "pos", "cigar")
-    short = (kept.where(F.size("cigar") <= LONG_CIGAR) if long_cigars else kept).select("ref_id", _walk(F.col("cigar"), F.col("pos")).alias("b"))
-    ends = lambda b: F.array(F.struct(b["start"].alias("pos"), F.lit(1).cast("bigint").alias("delta")), F.struct(b["stop"].alias("pos"), F.lit(-1).cast("bigint").alias("delta")))
-    made = short.select("ref_id", F.inline(F.flatten(F.transform("b", ends))))
-    if not long_cigars:
-        return made
-    rows = _rows(kept.where(F.size("cigar") > LONG_CIGAR), ["ref_id"]).where(F.col("op").isin(*_COVERS))
-    far = rows.select("ref_id", F.inline(F.array(F.struct(F.col("at").alias("pos"), F.lit(1).cast("bigint").alias("delta")), F.struct((F.col("at") + F.col("len")).alias("pos"), F.lit(-1).cast("bigint").alias("delta")))))
-    return made.union(far)
+    size = F.lit(chunk).cast("bigint")
+    number = lambda c: F.floor(c / size).cast("bigint")
+    cut = blocks.select("ref_id", "start", "stop", F.explode(F.sequence(number(F.col("start")), number(F.col("stop") - 1))).alias("chunk"))
+    end = lambda pos, delta: F.struct(pos.alias("pos"), F.lit(delta).cast("bigint").alias("delta"))
+    both = F.array(end(F.greatest("start", F.col("chunk") * size), 1), end(F.col("stop"), -1))
+    return cut.select("ref_id", "chunk", F.inline(both)).where(F.col("pos") < (F.col("chunk") + 1) * size)
 
 
 def bases(reads: DataFrame, keep: list[str], long_cigars: bool = True) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact depth: runs, histograms, coverage by contig, thresholds and their invariants.
 
-Depth is a running sum of signed events. To keep one large contig from being one task, contigs are cut into chunks:
-the events of each chunk are summed first, a window over these few sums gives each chunk's entry depth, and the
-running sum restarts in each chunk. Runs are longest stretches of equal depth within a chunk.
+Depth is a running sum of signed events. To keep one large contig from being one task, contigs are cut into chunks, and
+blocks at the bounds of chunks: the running sum starts at 0 in each chunk and needs nothing from others. Runs are longest
+stretches of equal depth within a chunk.
 """
 
 from __future__ import annotations
@@ -11,27 +11,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.numbers import fixed
-from readloom.operators.cigar import events
+from readloom.operators.cigar import blocks, events
 
 CHUNK = 1 << 20
 
 
+def running_depth(made: DataFrame) -> DataFrame:
+    """ref_id, chunk, pos, depth from each place with events (ref_id, chunk, pos, delta) on."""
+    summed = made.groupBy("ref_id", "chunk", "pos").agg(F.sum("delta").alias("delta"))
+    along = Window.partitionBy("ref_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select("ref_id", "chunk", "pos", F.sum("delta").over(along).alias("depth"))
+
+
 def depth_runs(reads: DataFrame, refs: DataFrame, chunk: int = CHUNK, long_cigars: bool = True) -> DataFrame:
     """ref_id, start, stop, depth over all of every contig, including depth 0; an empty contig has no run."""
     size = F.lit(chunk).cast("bigint")
     contigs = refs.select("ref_id", "length").where("length > 0")
-    spine = contigs.select("ref_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, size)).alias("pos"), F.lit(0).cast("bigint").alias("delta"))
-    summed = events(reads, long_cigars).select("ref_id", "pos", "delta").union(spine).groupBy("ref_id", "pos").agg(F.sum("delta").alias("delta"))
-    placed = summed.withColumn("chunk", F.floor(F.col("pos") / size).cast("bigint"))
-    by_chunk = placed.groupBy("ref_id", "chunk").agg(F.sum("delta").alias("change"))
-    before = Window.partitionBy("ref_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    entry = by_chunk.select("ref_id", "chunk", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("entry"))
+    spine = contigs.select("ref_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size).cast("bigint"))).alias("chunk"))
+    spine = spine.select("ref_id", "chunk", (F.col("chunk") * size).alias("pos"), F.lit(0).cast("bigint").alias("delta"))
+    deep = running_depth(events(blocks(reads, long_cigars), chunk).union(spine))
     along = Window.partitionBy("ref_id", "chunk").orderBy("pos")
-    deep = placed.join(entry, ["ref_id", "chunk"]).join(contigs, "ref_id").where("pos < length")
-    deep = deep.withColumn("depth", F.col("entry") + F.sum("delta").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     first = deep.withColumn("same", F.lag("depth").over(along).eqNullSafe(F.col("depth"))).where("NOT same")
-    stop = F.coalesce(F.lead("pos").over(along), F.least(F.col("length"), (F.col("chunk") + 1) * size))
-    return first.select("ref_id", F.col("pos").alias("start"), stop.alias("stop"), "depth")
+    ended = first.withColumn("after", F.lead("pos").over(along)).join(contigs, "ref_id").where("pos < length")
+    stop = F.least(F.col("length"), F.coalesce("after", (F.col("chunk") + 1) * size))
+    return ended.select("ref_id", F.col("pos").alias("start"), stop.alias("stop"), "depth")
 
 
 def depth_histogram(runs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,44 @@ def test_overlap(spark):
     assert overlap.crowded_loci(reads, 2).count() > 0 and overlap.crowded_loci(reads).count() == 0
 
 
+def test_depth_of_blocks_cut_at_chunks(spark):
+    """Depth from chunks of any size, with CIGARs walked in arrays and by rows, equals a count of each base."""
+    rng = random.Random(3)
+    rows, depth = [], {0: [0] * 211, 1: [0] * 64}
+    for _ in range(120):
+        ref = rng.randrange(2)
+        pos, ops = rng.randrange(60), [(rng.randrange(1, 20), rng.choice([0, 1, 2, 3, 4, 7, 8])) for _ in range(rng.randrange(1, 6))]
+        rows.append((0, ref, pos, [{"len": n, "op": o} for n, o in ops]))
+        at = pos
+        for n, o in ops:
+            if o in (0, 7, 8):
+                for p in range(at, min(at + n, len(depth[ref]))):
+                    depth[ref][p] += 1
+            at += n if o in (0, 2, 3, 7, 8) else 0
+    reads = spark.createDataFrame(rows, "flag int, ref_id int, pos bigint, cigar array<struct<len: int, op: int>>")
+    refs = spark.createDataFrame([(0, "a", 211), (1, "b", 64), (2, "c", 0)], "ref_id int, name string, length bigint")
+    for chunk, long in [(7, True), (64, False), (1 << 20, True)]:
+        got = {0: [None] * 211, 1: [None] * 64}
+        for r in coverage.depth_runs(reads, refs, chunk, long).collect():
+            assert r["start"] // chunk == (r["stop"] - 1) // chunk
+            for p in range(r["start"], r["stop"]):
+                assert got[r["ref_id"]][p] is None
+                got[r["ref_id"]][p] = r["depth"]
+        assert got == depth
+
+
+def test_locus_cap_refuses_one_more(spark):
+    """At the cap all goes on; one more candidate at one place is refused, whatever the names."""
+    one = lambda pos: F.array(F.struct(F.lit(5).alias("len"), F.lit(0).alias("op"))).alias("cigar")
+    at = lambda n, pos: spark.range(n).select(F.lit(0).alias("ref_id"), F.lit(pos).cast("bigint").alias("pos"), one(pos))
+    full = at(60_000, 10).union(at(40_000, 14)).union(at(60_000, (1 << 20) - 2))
+    overlap.refuse_crowded(full)
+    with pytest.raises(LoomError, match="resource_limit") as refused:
+        overlap.refuse_crowded(full.union(at(1, 12)))
+    assert "place 14" in refused.value.text(sensitive=True)
+    assert [tuple(r) for r in overlap.crowded_runs(full, 59_999).orderBy("start").collect()] == [(0, 10, 14, 60_000), (0, 14, 15, 100_000), (0, (1 << 20) - 2, 1 << 20, 60_000), (0, 1 << 20, (1 << 20) + 3, 60_000)]
+
+
 def test_violations(spark):
     good = R.BASIC
     assert validation.violations(R.frame(spark, good), R.refs(spark)).count() == 0
