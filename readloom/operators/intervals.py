@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 1 << 14
+BIN, CHUNK = 1 << 14, 1 << 20
 
 
 def expand(intervals: DataFrame, refs: DataFrame, flank: int) -> DataFrame:
@@ -20,21 +20,47 @@ def expand(intervals: DataFrame, refs: DataFrame, flank: int) -> DataFrame:
     return out.select("source_index", "ref_id", F.greatest("_start", F.lit(0)).cast("bigint").alias("start"), F.least("_stop", "_length").alias("stop"), (F.col("_start") < 0).alias("clipped_left"), (F.col("_stop") > F.col("_length")).alias("clipped_right"))
 
 
-def merge(intervals: DataFrame) -> DataFrame:
-    """ref_id, start, stop, sources of the union; touching intervals merge. Windows run along one contig's intervals."""
-    order = Window.partitionBy("ref_id").orderBy("start", "stop", "source_index")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("_reach", reach).withColumn("_new", F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1))
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("ref_id", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list("source_index")).alias("sources")).drop("_island")
+def _prefix(marked: DataFrame, column: str, name: str) -> DataFrame:
+    """marked with the maximum of `column` over all earlier chunks of the contig; a window runs over one row for each chunk."""
+    earlier = Window.partitionBy("ref_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = marked.groupBy("ref_id", "_chunk").agg(F.max(column).alias("_most"))
+    return marked.join(by_chunk.select("ref_id", "_chunk", F.max("_most").over(earlier).alias(name)), ["ref_id", "_chunk"])
+
+
+def islands(intervals: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """intervals with _reach, the farthest stop of those before it in its contig, and _island, where its merged interval begins.
+
+    Intervals are dealt by the chunk in which they start, so that a contig with all intervals is many tasks; what earlier chunks reach
+    and the last beginning there are carried over from one row for each chunk.
+    """
+    order = Window.partitionBy("ref_id", "_chunk").orderBy("start", "stop", "source_index")
+    placed = _prefix(intervals.withColumn("_chunk", F.floor(F.col("start") / F.lit(chunk)).cast("bigint")), "stop", "_before")
+    # greatest() passes over nulls.
+    reached = placed.withColumn("_reach", F.greatest("_before", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))).drop("_before")
+    begun = reached.withColumn("_begins", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start")))
+    begun = _prefix(begun, "_begins", "_last")
+    here = F.max("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return begun.withColumn("_island", F.coalesce(here, "_last")).drop("_last", "_begins", "_chunk")
+
+
+def merge(intervals: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """ref_id, start, stop, sources of the union; touching intervals merge.
+
+    `sources` is an array of a merged interval's source indices, made only if it is asked for; sources() has them as rows.
+    """
+    merged = islands(intervals, chunk).groupBy("ref_id", F.col("_island").alias("start")).agg(F.max("stop").alias("stop"), F.sort_array(F.collect_list("source_index")).alias("sources"))
+    return merged.select("ref_id", "start", "stop", "sources")
+
+
+def sources(intervals: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """source_index, ref_id, start: the merged interval of each interval, as rows; an interval of many sources is no single value."""
+    return islands(intervals, chunk).select("source_index", "ref_id", F.col("_island").alias("start"))
 
 
 def merge_report(intervals: DataFrame, refs: DataFrame, flank: int) -> DataFrame:
     """One row: inputs, empty inputs, clips, overlapping and adjacent merges, reordered inputs, merged intervals, territory."""
     wide = expand(intervals, refs, flank)
-    order = Window.partitionBy("ref_id").orderBy("start", "stop", "source_index")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    steps = wide.withColumn("_reach", reach)
+    steps = islands(wide)
     counted = steps.agg(
         F.count_if("clipped_left").alias("left_clips"),
         F.count_if("clipped_right").alias("right_clips"),

@@ -114,6 +114,25 @@ def test_merge_order_adjacency_flanks(spark):
     assert intervals.uncontained(given, targeted.union_of(given, refs, 5)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 16, 1 << 20])
+def test_merge_does_not_depend_on_chunks(spark, chunk):
+    """One contig with nested, touching, repeated and long intervals, against a walk over the sorted list."""
+    rng = random.Random(chunk)
+    rows = [(i, 0, a := rng.randrange(900), a + rng.choice([1, 3, 9, 40])) for i in range(90)] + [(90, 0, 300, 480), (91, 0, 300, 480), (92, 1, 5, 6), (93, 0, 950, 960), (94, 0, 960, 961)]
+    want = []
+    for i, ref, a, b in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[0])):
+        if want and want[-1][0] == ref and a <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], b)
+            want[-1][3].append(i)
+        else:
+            want.append([ref, a, b, [i]])
+    given = spark.createDataFrame(rows, "source_index bigint, ref_id int, start bigint, stop bigint")
+    got = sorted([r["ref_id"], r["start"], r["stop"], r["sources"]] for r in intervals.merge(given, chunk).collect())
+    assert got == sorted([r, a, b, sorted(s)] for r, a, b, s in want)
+    assert sorted(map(tuple, intervals.sources(given, chunk).collect())) == sorted((i, r, a) for r, a, _, s in want for i in s)
+    assert intervals.merge(given.limit(0), chunk).count() == 0
+
+
 def test_overlap_join_across_bins(spark):
     runs = spark.createDataFrame([(0, 0, 100, 1), (0, 100, 250, 2)], "ref_id int, start bigint, stop bigint, depth bigint")
     wide = R.targets(spark, [(0, 5, 245), (0, 90, 110)])
