@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from readloom.operators.alignment_metrics import adapter_pieces
-from readloom.sources.view import REFS_SQL, TARGETS_SQL, reads_sql
+from readloom.sources.view import BROKEN, REFS_SQL, TARGETS_SQL, reads_sql
 
 _READS = f"reads AS ({reads_sql()}), refs AS ({REFS_SQL}), targets AS ({TARGETS_SQL})"
 _BASES = """
@@ -125,6 +125,46 @@ def _violations() -> str:
     return _with(table) + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE records > 0"
 
 
+def _broken_rules() -> str:
+    """Counts of the rules over a row for each CIGAR operation; 0 1 2 3 4 5 6 7 8 are M I D N S H P = X."""
+    mapped, paired = "flag & 4 = 0", "flag & 1 = 1"
+    rules = {
+        "unsupported_record": {"reserved_flag": "flag > 4095 OR flag < 0"},
+        "input_corrupt": {
+            "proper_without_pair": f"flag & 2 = 2 AND NOT ({paired})",
+            "read_number_without_pair": f"flag & 192 > 0 AND NOT ({paired})",
+            "both_read_numbers": "flag & 192 = 192",
+            "coordinate_below_sentinel": "least(ref_id, pos) < -1",
+            "mate_below_sentinel": "least(mate_ref_id, mate_pos) < -1",
+            "half_coordinate": "(ref_id = -1 AND pos <> -1) OR (ref_id <> -1 AND pos = -1)",
+            "mapped_without_coordinate": f"{mapped} AND ref_id = -1",
+            "unknown_reference": "ref_id >= 0 AND ref_id NOT IN (SELECT ref_id FROM refs)",
+            "mate_half_coordinate": f"{paired} AND ((mate_ref_id = -1 AND mate_pos <> -1) OR (mate_ref_id <> -1 AND mate_pos = -1))",
+            "mapped_mate_without_coordinate": f"{paired} AND flag & 8 = 0 AND mate_ref_id = -1 AND mate_pos = -1",
+            "mate_unknown_reference": f"{paired} AND mate_ref_id >= 0 AND mate_ref_id NOT IN (SELECT ref_id FROM refs)",
+            "mate_beyond_reference": f"{paired} AND EXISTS (SELECT 1 FROM refs m WHERE m.ref_id = w.mate_ref_id AND w.mate_pos >= m.length)",
+            "zero_length_operation": "least_len = 0",
+            "unknown_operation": "greatest_op > 8",
+            "query_span": "operations > 0 AND in_query <> seq_length",
+            "mapped_without_cigar": f"{mapped} AND operations = 0",
+            "beyond_reference": f"{mapped} AND EXISTS (SELECT 1 FROM refs m WHERE m.ref_id = w.ref_id AND w.pos + w.in_reference > m.length)",
+            "negative_mismatches": "nm < 0",
+        },
+        "resource_limit": {"name_limit": "length(qname) > 1024 * 1024", "sequence_limit": "seq_length > 100000000", "operation_limit": "operations > 1000000"},
+    }
+    parts = (("m1", 0), ("ins_len", 1), ("del_len", 2), ("m2", 0), ("soft_len", 4))
+    own = " UNION ALL ".join(f"SELECT h, rec, {c} AS len, {op} AS op FROM made WHERE NOT bare AND {c} > 0" for c, op in parts)
+    tables = [
+        f"made AS (SELECT rec, h, m1, ins_len, del_len, m2, soft_len, {', '.join(f'{e} AS {c}' for c, e in BROKEN.items())} FROM reads)",
+        f"ops AS ({own} UNION ALL SELECT h, rec, extra_len, extra_op FROM (SELECT *, unnest(range(0, extra_ops)) AS i FROM made))",
+        "sums AS (SELECT rec, count(*) AS operations, min(len) AS least_len, max(op) AS greatest_op, coalesce(sum(len) FILTER (WHERE op IN (0, 1, 4, 7, 8)), 0) AS in_query,"
+        " coalesce(sum(len) FILTER (WHERE op IN (0, 2, 3, 7, 8)), 0) AS in_reference FROM ops GROUP BY rec)",
+        "w AS (SELECT made.*, coalesce(operations, 0) AS operations, least_len, greatest_op, coalesce(in_query, 0) AS in_query, coalesce(in_reference, 0) AS in_reference FROM made LEFT JOIN sums USING (rec))",
+    ]
+    each = [f"SELECT '{rule}' AS rule, '{category}' AS category, count(*) AS records FROM w WHERE {test}" for category, named in rules.items() for rule, test in named.items()]
+    return _with(*tables) + "SELECT * FROM (" + " UNION ALL ".join(each) + ") WHERE records > 0"
+
+
 _WIDTH_SHARES = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]"
 
 
@@ -168,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "wgs_overlap": _with() + ", kept AS (SELECT * FROM reads WHERE flag & (4 + 256 + 512 + 1024 + 8) = 0 AND flag & 1 = 1 AND mapq >= 20), b AS (SELECT qname, ref_id, h, seq, pos + i AS spot, i AS q FROM (SELECT *, unnest(range(0, m1)) AS i FROM kept) UNION ALL SELECT qname, ref_id, h, seq, pos + m1 + del_len + i, m1 + ins_len + i FROM (SELECT *, unnest(range(0, m2)) AS i FROM kept)), e AS (SELECT qname, ref_id, spot, (h + 7 * q) % 42 >= 20 AND substr(seq, (q + 1)::INT, 1) <> 'N' AS ok FROM b) SELECT (SELECT count(*) FROM (SELECT DISTINCT qname, ref_id, spot FROM e WHERE ok)) AS retained, count(*) FILTER (WHERE NOT ok) AS baseq_excluded, count(*) FILTER (WHERE ok) - (SELECT count(*) FROM (SELECT DISTINCT qname, ref_id, spot FROM e WHERE ok)) AS overlap_excluded FROM e",
         "hs_overlap": _with() + ", kept AS (SELECT *, pos + m1 AS s2, pos + m1 + del_len AS s3, pos + m1 + del_len + m2 AS s4 FROM reads WHERE flag & (256 + 512 + 1024) = 0 AND mapq >= 20 AND flag & 1 = 1 AND flag & 12 = 0 AND mate_pos >= pos AND NOT (mate_pos = pos AND flag & 64 > 0)) SELECT coalesce(sum(CASE WHEN mate_pos < s2 THEN s2 - mate_pos ELSE 0 END + CASE WHEN mate_pos < s2 THEN ins_len ELSE 0 END + CASE WHEN mate_pos < s3 THEN m2 WHEN mate_pos < s4 THEN s4 - mate_pos ELSE 0 END), 0)::BIGINT AS clipped_bases FROM kept",
         "violations": _violations(),
+        "broken_rules": _broken_rules(),
         "cigar_spans": _with() + "SELECT sum(CASE WHEN unm THEN 0 ELSE seq_len END)::BIGINT AS query_bases, sum(CASE WHEN unm THEN 0 ELSE m1 + del_len + m2 END)::BIGINT AS reference_bases, sum(CASE WHEN unm THEN 0 ELSE m1 + ins_len + m2 END)::BIGINT AS aligned_bases, sum(seq_len)::BIGINT AS unclipped_bases, sum(CASE WHEN flag & 3844 = 0 AND ref_id >= 0 THEN m1 + m2 ELSE 0 END)::BIGINT AS accepted_bases, sum(CASE WHEN unm THEN 0 ELSE 2 + (ins_len > 0)::INT + (del_len > 0)::INT + (soft_len > 0)::INT END)::BIGINT AS operations FROM reads",
         "metric_diff": _with() + ", e AS (SELECT name AS metric, count(*) FILTER (WHERE flag & 4 = 0) AS n FROM refs LEFT JOIN reads USING (ref_id) WHERE ref_id < 20 GROUP BY name), a AS (SELECT name AS metric, count(*) AS n FROM reads JOIN refs USING (ref_id) WHERE ref_id >= 3 AND flag & 1028 = 0 GROUP BY name) SELECT metric, e.n::VARCHAR AS expected, a.n::VARCHAR AS actual, CASE WHEN a.n IS NULL THEN 'missing' WHEN e.n IS NULL THEN 'unexpected' WHEN e.n = a.n THEN 'equal' ELSE 'different' END AS status FROM e FULL JOIN a USING (metric)",
     }

@@ -198,6 +198,11 @@ def violations(spark, sf_dir):
     return validation.violations(broken, view.refs(spark, sf_dir))
 
 
+def broken_rules(spark, sf_dir):
+    """Every rule of the checks with how many reads break it."""
+    return validation.violations(view.broken_reads(spark, sf_dir), view.refs(spark, sf_dir))
+
+
 def cigar_spans(spark, sf_dir):
     return cigar.spans(view.reads(spark, sf_dir))
 
@@ -212,7 +217,7 @@ def metric_diff(spark, sf_dir):
 NAMES = (
     "flagstat", "idxstats", "record_classes", "read_group_state", "depth_runs", "depth_histogram", "per_reference_coverage", "coverage_thresholds", "coverage_invariants", "target_merge", "selected_merge", "merge_provenance",
     "merge_report", "target_depth_histogram", "target_partition", "per_target_coverage", "zero_runs", "dropout", "target_enrichment", "target_d20", "uniformity_penalty", "samtools_sn", "samtools_is", "insert_orientation",
-    "picard_insert_histogram", "picard_insert_metrics", "picard_insert_widths", "picard_alignment_summary", "adapter_reads", "no_call_cycles", "bad_cycles", "order_violations", "crowded_loci", "uncontained", "reordered", "wgs_overlap", "hs_overlap", "violations", "cigar_spans", "metric_diff",
+    "picard_insert_histogram", "picard_insert_metrics", "picard_insert_widths", "picard_alignment_summary", "adapter_reads", "no_call_cycles", "bad_cycles", "order_violations", "crowded_loci", "uncontained", "reordered", "wgs_overlap", "hs_overlap", "violations", "broken_rules", "cigar_spans", "metric_diff",
 )
 
 

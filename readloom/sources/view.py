@@ -55,6 +55,22 @@ LAYERS: list[dict[str, str]] = [
     },
 ]
 _KEPT = "h, rec, nk, m1, ins_len, del_len, m2, soft_len, unm, seq_len, ref_id, pos, mate_ref_id, mate_pos, mapq, nm, qname, seq, xn, rg, flag, tlen"
+#: Columns of broken_reads(): for each rule of `operators.validation` some reads break it, chosen by `h`. `extra_ops` operations of length
+#: `extra_len` and code `extra_op` follow a read's own ones.
+BROKEN = {
+    "flag": "CASE h % 1009 WHEN 1 THEN flag + 4096 WHEN 2 THEN 2 WHEN 3 THEN 64 WHEN 4 THEN 193 WHEN 8 THEN 0 WHEN 10 THEN 1 WHEN 11 THEN 1 WHEN 12 THEN 1 WHEN 13 THEN 1 WHEN 17 THEN 0 ELSE flag END",
+    "ref_id": "CASE h % 1009 WHEN 7 THEN -1 WHEN 8 THEN -1 WHEN 9 THEN 99 ELSE ref_id END",
+    "pos": "CASE h % 1009 WHEN 5 THEN -2 WHEN 7 THEN 100 WHEN 8 THEN -1 WHEN 18 THEN pos + 30000 ELSE pos END",
+    "mate_ref_id": "CASE h % 1009 WHEN 10 THEN -1 WHEN 11 THEN -1 WHEN 12 THEN 77 WHEN 13 THEN 0 ELSE mate_ref_id END",
+    "mate_pos": "CASE h % 1009 WHEN 6 THEN -2 WHEN 10 THEN 5 WHEN 11 THEN -1 WHEN 12 THEN 3 WHEN 13 THEN 20000 ELSE mate_pos END",
+    "nm": "CASE WHEN h % 1009 = 19 THEN -1 ELSE nm END",
+    "seq_length": "CASE WHEN h % 1009 = 16 THEN seq_len + 1 WHEN h % 10007 = 5 THEN 100000001 ELSE seq_len END",
+    "qname": "CASE WHEN h % 10007 = 3 THEN repeat('q', 1048577) ELSE qname END",
+    "bare": "unm OR h % 1009 = 17",
+    "extra_op": "CASE WHEN h % 1009 = 15 THEN 9 ELSE 5 END",
+    "extra_len": "CASE WHEN h % 1009 = 14 THEN 0 ELSE 1 END",
+    "extra_ops": "CASE WHEN h % 1009 IN (14, 15) THEN 1 WHEN h % 10007 = 7 THEN 1000000 ELSE 0 END",
+}
 REFS_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS ref_id, n_name AS name, CAST(20000 + 400 * n_nationkey AS BIGINT) AS length FROM nation"
 TARGETS_SQL = (
     "SELECT CAST(p_partkey AS BIGINT) AS source_index, CAST(p_partkey % 25 AS BIGINT) AS ref_id, CAST((p_partkey * 997) % 19000 AS BIGINT) AS start,"
@@ -97,6 +113,15 @@ def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(casts).select(*_KEPT.split(", "), "cigar")
 
 
+def broken_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's reads with the columns of BROKEN: every rule of the checks is broken by some of them."""
+    plain = reads(spark, sf_dir).drop("seq")
+    made = plain.selectExpr("h", "cigar", *(f"{e} AS {c}" for c, e in BROKEN.items()))
+    extra = F.array_repeat(F.struct(F.col("extra_len").cast("int").alias("len"), F.col("extra_op").cast("int").alias("op")), F.col("extra_ops").cast("int"))
+    cigar = F.when(F.col("bare"), F.array().cast(ops_type())).otherwise(F.col("cigar"))
+    return made.withColumn("cigar", F.when(F.col("extra_ops") > 0, F.concat(cigar, extra)).otherwise(cigar))
+
+
 def ops_type() -> str:
     return "array<struct<len: int, op: int>>"
 
