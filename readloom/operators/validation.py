@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import sam
@@ -71,3 +71,57 @@ def metric_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     both = expected.select("metric", F.col("value").alias("expected")).join(actual.select("metric", F.col("value").alias("actual")), "metric", "full_outer")
     status = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.col("expected") == F.col("actual"), "equal").otherwise("different")
     return both.withColumn("status", status)
+
+
+def scaled_decimal(text: Column, decimals: Column) -> Column:
+    """A decimal text in units of 10^-decimals, rounded half away from zero, as decimal(38,0); no floating point.
+
+    The text is digits with an optional sign and an optional point with digits; decimals are 0 to 18. Anything else fails the job,
+    and so does a value that 38 digits don't hold.
+    """
+    good = text.rlike(r"^[-+]?[0-9]+(\.[0-9]*)?$") & decimals.between(0, 18)
+    whole, fraction = F.regexp_extract(text, r"^[-+]?([0-9]+)", 1), F.regexp_extract(text, r"\.([0-9]*)$", 1)
+    kept = F.rpad(F.substring(fraction, F.lit(1), decimals), decimals, "0")
+    up = F.when(F.substring(fraction, decimals + 1, F.lit(1)) >= "5", 1).otherwise(0)
+    size = F.concat(whole, kept).cast("decimal(38,0)") + up
+    return F.when(good, F.when(text.startswith("-"), -size).otherwise(size).cast("decimal(38,0)")).otherwise(F.raise_error(F.concat(F.lit("no decimal of 0 to 18 places: "), text)).cast("decimal(38,0)"))
+
+
+def scaled_integer(text: Column) -> Column:
+    """A whole number's text as decimal(38,0); anything else fails the job."""
+    return F.when(text.rlike("^[-+]?[0-9]+$"), text.cast("decimal(38,0)")).otherwise(F.raise_error(F.concat(F.lit("no integer: "), text)).cast("decimal(38,0)"))
+
+
+def _declared(metrics: DataFrame, value: str) -> DataFrame:
+    """metrics with a type that is known and a value that is there, each metric once; anything else fails the job."""
+    blank = lambda c: F.coalesce(F.col(c).isin("", "-"), F.lit(True))
+    bad = F.when(blank("metric") | blank(value), "a metric or its value is missing").when(~F.coalesce(F.col("metric_type").isin("integer", "decimal", "text"), F.lit(False)), F.concat(F.lit("unknown type of "), F.col("metric")))
+    if "decimals" in metrics.columns:
+        bad = bad.when((F.col("metric_type") == "decimal") != F.col("decimals").isNotNull(), F.concat(F.lit("places are declared for decimals alone: "), F.col("metric")))
+    sound = metrics.where(F.when(bad.isNull(), True).otherwise(F.raise_error(bad).cast("boolean")))
+    one = lambda c: F.max(c).alias(c)
+    each = sound.groupBy("metric").agg(F.count("*").alias("_n"), *(one(c) for c in metrics.columns if c != "metric"))
+    return each.where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated metric "), F.col("metric"))).cast("boolean"))).drop("_n")
+
+
+def typed_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """metric, metric_type, expected, actual, note, status of every metric of two tables.
+
+    expected: metric, metric_type (integer, decimal, text), expected, decimals (places to round to, for decimals alone), note (nullable).
+    actual: metric, metric_type, actual. Values are texts: integers compare as numbers, decimals after rounding both to the declared places
+    half away from zero, text as it is. status: equal, value mismatch, type mismatch, missing actual metric, unexpected actual metric.
+    A blank or repeated metric, an unknown type, a malformed number or places that aren't 0 to 18 fail the job. Both tables are
+    dealt by metric once.
+    """
+    left = _declared(expected.select("metric", "metric_type", "expected", "decimals", "note"), "expected")
+    checked = F.when(F.col("metric_type") == "integer", scaled_integer(F.col("expected"))).when(F.col("metric_type") == "decimal", scaled_decimal(F.col("expected"), F.col("decimals")))
+    left = left.withColumn("_expected", checked)
+    right = _declared(actual.select("metric", "metric_type", "actual"), "actual").withColumnRenamed("metric_type", "_type")
+    both = left.join(right, "metric", "full_outer")
+    seen = F.when(F.col("metric_type") == "integer", scaled_integer(F.col("actual"))).when(F.col("metric_type") == "decimal", scaled_decimal(F.col("actual"), F.col("decimals")))
+    same = F.when(F.col("metric_type") == "text", F.col("expected") == F.col("actual")).otherwise(F.col("_expected") == seen)
+    status = (
+        F.when(F.col("_type").isNull(), "missing actual metric").when(F.col("metric_type").isNull(), "unexpected actual metric")
+        .when(F.col("metric_type") != F.col("_type"), "type mismatch").when(same, "equal").otherwise("value mismatch")
+    )
+    return both.select("metric", F.coalesce("metric_type", "_type").alias("metric_type"), "expected", "actual", "note", status.alias("status"))

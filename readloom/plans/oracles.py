@@ -165,6 +165,25 @@ def _broken_rules() -> str:
     return _with(*tables) + "SELECT * FROM (" + " UNION ALL ".join(each) + ") WHERE records > 0"
 
 
+def _typed_metric_diff() -> str:
+    """Values as numbers of their own from the start; texts are made last."""
+    tables = [
+        "n AS (SELECT f.ref_id, f.name, f.length, count(*) FILTER (WHERE r.flag & 4 = 0) AS n FROM refs f LEFT JOIN reads r ON r.ref_id = f.ref_id GROUP BY f.ref_id, f.name, f.length)",
+        f"s AS (SELECT *, {_six('n', 'length')} AS share, {_six('(n * 1000 + 3 * length)', '(length * 1000)')} AS share2 FROM n)",
+        "k AS (SELECT unnest(['mapped', 'share', 'label']) AS kind)",
+        "e AS (SELECT concat(kind, '.', name) AS metric, ref_id, kind, CASE kind WHEN 'mapped' THEN concat(CASE WHEN ref_id % 4 = 1 THEN '+00' ELSE '' END, n) WHEN 'share' THEN share ELSE name END AS expected,"
+        " CASE kind WHEN 'mapped' THEN n::DECIMAL(18, 2) WHEN 'share' THEN round(share::DECIMAL(18, 6), 2) END AS number FROM s, k WHERE ref_id < 20)",
+        "a AS (SELECT concat(kind, '.', name) AS metric, ref_id, kind, CASE kind WHEN 'mapped' THEN concat(n - (ref_id % 3 = 0)::INT) WHEN 'share' THEN share2 WHEN 'label' THEN CASE WHEN ref_id % 5 = 0 THEN lower(name) ELSE name END END AS actual,"
+        " CASE kind WHEN 'mapped' THEN (n - (ref_id % 3 = 0)::INT)::DECIMAL(18, 2) WHEN 'share' THEN round(share2::DECIMAL(18, 6), 2) END AS number FROM s, k WHERE ref_id >= 3 AND n > 0)",
+    ]
+    kinds = "CASE coalesce(e.kind, a.kind) WHEN 'share' THEN 'decimal' WHEN 'label' THEN 'text' ELSE CASE WHEN e.kind IS NULL AND a.ref_id = 7 THEN 'text' ELSE 'integer' END END"
+    status = (
+        "CASE WHEN a.metric IS NULL THEN 'missing actual metric' WHEN e.metric IS NULL THEN 'unexpected actual metric' WHEN e.kind = 'mapped' AND e.ref_id = 7 THEN 'type mismatch'"
+        " WHEN e.number = a.number OR (e.kind = 'label' AND e.expected = a.actual) THEN 'equal' ELSE 'value mismatch' END"
+    )
+    return _with(*tables) + f"SELECT coalesce(e.metric, a.metric) AS metric, {kinds} AS metric_type, expected, actual, CASE WHEN e.kind = 'share' THEN 'two places' END AS note, {status} AS status FROM e FULL JOIN a USING (metric)"
+
+
 _WIDTH_SHARES = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]"
 
 
@@ -211,5 +230,6 @@ def oracle_sql() -> dict[str, str]:
         "broken_rules": _broken_rules(),
         "cigar_spans": _with() + "SELECT sum(CASE WHEN unm THEN 0 ELSE seq_len END)::BIGINT AS query_bases, sum(CASE WHEN unm THEN 0 ELSE m1 + del_len + m2 END)::BIGINT AS reference_bases, sum(CASE WHEN unm THEN 0 ELSE m1 + ins_len + m2 END)::BIGINT AS aligned_bases, sum(seq_len)::BIGINT AS unclipped_bases, sum(CASE WHEN flag & 3844 = 0 AND ref_id >= 0 THEN m1 + m2 ELSE 0 END)::BIGINT AS accepted_bases, sum(CASE WHEN unm THEN 0 ELSE 2 + (ins_len > 0)::INT + (del_len > 0)::INT + (soft_len > 0)::INT END)::BIGINT AS operations FROM reads",
         "metric_diff": _with() + ", e AS (SELECT name AS metric, count(*) FILTER (WHERE flag & 4 = 0) AS n FROM refs LEFT JOIN reads USING (ref_id) WHERE ref_id < 20 GROUP BY name), a AS (SELECT name AS metric, count(*) AS n FROM reads JOIN refs USING (ref_id) WHERE ref_id >= 3 AND flag & 1028 = 0 GROUP BY name) SELECT metric, e.n::VARCHAR AS expected, a.n::VARCHAR AS actual, CASE WHEN a.n IS NULL THEN 'missing' WHEN e.n IS NULL THEN 'unexpected' WHEN e.n = a.n THEN 'equal' ELSE 'different' END AS status FROM e FULL JOIN a USING (metric)",
+        "typed_metric_diff": _typed_metric_diff(),
     }
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import sam
+from readloom.functions.numbers import fixed
 from readloom.operators import alignment_metrics as am
 from readloom.operators import cigar, counters, coverage, intervals, overlap, targeted, validation
 from readloom.operators import summary_stats as ss
@@ -214,10 +215,29 @@ def metric_diff(spark, sf_dir):
     return validation.metric_diff(by("ref_id < 20 AND ref_id >= 0"), named)
 
 
+def typed_metric_diff(spark, sf_dir):
+    """Three metrics of each contig against a second count with known differences."""
+    counts = idxstats(spark, sf_dir).where("ref_id >= 0").withColumn("share", fixed(F.col("mapped"), F.col("length")))
+    # Leading zeros are the same integer; -0.00 is the same decimal as 0.00.
+    digits = F.when(F.col("ref_id") % 4 == 1, F.concat(F.lit("+00"), F.col("mapped").cast("string"))).otherwise(F.col("mapped").cast("string"))
+    row = lambda kind, sort, value, *more: F.struct(F.concat(F.lit(f"{kind}."), F.col("name")).alias("metric"), F.lit(sort).alias("metric_type"), value, *more)
+    told = lambda value, places, note: (value.alias("expected"), F.lit(places).cast("int").alias("decimals"), F.lit(note).cast("string").alias("note"))
+    expected = counts.where("ref_id < 20").select(F.inline(F.array(
+        row("mapped", "integer", *told(digits, None, None)), row("share", "decimal", *told(F.col("share"), 2, "two places")), row("label", "text", *told(F.col("name"), None, None)),
+    )))
+    again = view.reads(spark, sf_dir).where("ref_id >= 3").where(~sam.has(sam.UNMAPPED)).groupBy("ref_id").agg(F.count("*").alias("n"))
+    named = again.join(view.refs(spark, sf_dir), "ref_id").withColumn("share", fixed(F.col("n") * 1000 + 3 * F.col("length"), F.col("length") * 1000))
+    mapped = row("mapped", "integer", (F.col("n") - F.when(F.col("ref_id") % 3 == 0, 1).otherwise(0)).cast("string").alias("actual"))
+    label = row("label", "text", F.when(F.col("ref_id") % 5 == 0, F.lower("name")).otherwise(F.col("name")).alias("actual"))
+    actual = named.select("ref_id", F.inline(F.array(mapped, row("share", "decimal", F.col("share").alias("actual")), label)))
+    seventh = (F.col("ref_id") == 7) & (F.col("metric_type") == "integer")
+    return validation.typed_diff(expected, actual.withColumn("metric_type", F.when(seventh, "text").otherwise(F.col("metric_type"))))
+
+
 NAMES = (
     "flagstat", "idxstats", "record_classes", "read_group_state", "depth_runs", "depth_histogram", "per_reference_coverage", "coverage_thresholds", "coverage_invariants", "target_merge", "selected_merge", "merge_provenance",
     "merge_report", "target_depth_histogram", "target_partition", "per_target_coverage", "zero_runs", "dropout", "target_enrichment", "target_d20", "uniformity_penalty", "samtools_sn", "samtools_is", "insert_orientation",
-    "picard_insert_histogram", "picard_insert_metrics", "picard_insert_widths", "picard_alignment_summary", "adapter_reads", "no_call_cycles", "bad_cycles", "order_violations", "crowded_loci", "uncontained", "reordered", "wgs_overlap", "hs_overlap", "violations", "broken_rules", "cigar_spans", "metric_diff",
+    "picard_insert_histogram", "picard_insert_metrics", "picard_insert_widths", "picard_alignment_summary", "adapter_reads", "no_call_cycles", "bad_cycles", "order_violations", "crowded_loci", "uncontained", "reordered", "wgs_overlap", "hs_overlap", "violations", "broken_rules", "cigar_spans", "metric_diff", "typed_metric_diff",
 )
 
 

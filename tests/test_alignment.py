@@ -365,3 +365,58 @@ def test_unsorted_reads_and_low_mates_are_refused(spark):
     assert "mate_below_sentinel" in {r["rule"] for r in dicts(validation.violations(low, R.refs(spark)))}
     bare = rows.withColumn("seq", F.lit(None).cast("string"))
     assert "query_span" in {r["rule"] for r in dicts(validation.violations(bare, R.refs(spark)))}
+
+
+@pytest.mark.parametrize(
+    ("text", "places", "want"),
+    [
+        ("1.25", 1, 13), ("-1.25", 1, -13), ("1.2499999999999999999", 1, 12), ("+7", 3, 7000), ("-0.004", 2, 0), ("0.005", 2, 1), ("2.", 0, 2), ("9.5", 0, 10), ("0007.10", 1, 71),
+        ("1.000000000000000000499", 18, 10**18), ("1.0000000000000000005", 18, 10**18 + 1), ("99999999999999999999.9", 0, 10**20),
+    ],
+)
+def test_scaled_decimal(spark, text, places, want):
+    made = spark.createDataFrame([(text, places)], "t string, p int").select(validation.scaled_decimal(F.col("t"), F.col("p")).alias("x"))
+    assert int(made.first()["x"]) == want
+
+
+def _expected(spark, rows):
+    return spark.createDataFrame(rows, "metric string, metric_type string, expected string, decimals int, note string")
+
+
+def _actual(spark, rows):
+    return spark.createDataFrame(rows, "metric string, metric_type string, actual string")
+
+
+def test_typed_diff(spark):
+    expected = [
+        ("reads", "integer", "10", None, None), ("pairs", "integer", "007", None, "leading zeros"), ("mean", "decimal", "1.005", 2, None), ("rate", "decimal", "0.5", 3, "three places"),
+        ("name", "text", "a", None, None), ("case", "text", "A", None, None), ("kind", "integer", "1", None, None), ("gone", "text", "x", None, "kept"),
+    ]
+    actual = [("reads", "integer", "11"), ("pairs", "integer", "+7"), ("mean", "decimal", "1.0149"), ("rate", "decimal", "0.5005"), ("name", "text", "a"), ("case", "text", "a"), ("kind", "decimal", "1"), ("new", "integer", "3")]
+    got = {r["metric"]: (r["metric_type"], r["status"], r["note"]) for r in dicts(validation.typed_diff(_expected(spark, expected), _actual(spark, actual)))}
+    assert got == {
+        "reads": ("integer", "value mismatch", None), "pairs": ("integer", "equal", "leading zeros"), "mean": ("decimal", "equal", None), "rate": ("decimal", "value mismatch", "three places"),
+        "name": ("text", "equal", None), "case": ("text", "value mismatch", None), "kind": ("integer", "type mismatch", None), "gone": ("text", "missing actual metric", "kept"), "new": ("integer", "unexpected actual metric", None),
+    }
+    assert validation.typed_diff(_expected(spark, []), _actual(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("expected", "actual", "message"),
+    [
+        ([("a", "integer", "1.5", None, None)], [("a", "integer", "1")], "no integer"),
+        ([("a", "integer", "1", None, None)], [("a", "integer", "x")], "no integer"),
+        ([("a", "decimal", "1e3", 2, None)], [("a", "decimal", "1")], "no decimal"),
+        ([("a", "decimal", "1", 19, None)], [("a", "decimal", "1")], "no decimal"),
+        ([("a", "decimal", "1", None, None)], [("a", "decimal", "1")], "places are declared"),
+        ([("a", "text", "1", 2, None)], [("a", "text", "1")], "places are declared"),
+        ([("a", "text", "1", None, None)] * 2, [("a", "text", "1")], "repeated metric"),
+        ([("a", "text", "1", None, None)], [("a", "text", "1"), ("a", "text", "2")], "repeated metric"),
+        ([("a", "number", "1", None, None)], [], "unknown type"),
+        ([("a", "text", "-", None, None)], [], "is missing"),
+        ([], [("", "text", "1")], "is missing"),
+    ],
+)
+def test_typed_diff_refuses(spark, expected, actual, message):
+    with pytest.raises(Exception, match=message):
+        validation.typed_diff(_expected(spark, expected), _actual(spark, actual)).collect()
