@@ -23,13 +23,28 @@ def running_depth(made: DataFrame) -> DataFrame:
     return summed.select("ref_id", "chunk", "pos", F.sum("delta").over(along).alias("depth"))
 
 
+def run_events(runs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """ref_id, chunk, pos, delta of runs of equal depth, as events() makes them of blocks."""
+    size = F.lit(chunk).cast("bigint")
+    number = lambda c: F.floor(c / size).cast("bigint")
+    cut = runs.where("depth <> 0 AND stop > start").select("ref_id", "start", "stop", "depth", F.explode(F.sequence(number(F.col("start")), number(F.col("stop") - 1))).alias("chunk"))
+    end = lambda pos, delta: F.struct(pos.alias("pos"), delta.alias("delta"))
+    both = F.array(end(F.greatest("start", F.col("chunk") * size), F.col("depth")), end(F.col("stop"), -F.col("depth")))
+    return cut.select("ref_id", "chunk", F.inline(both)).where(F.col("pos") < (F.col("chunk") + 1) * size)
+
+
+def spine(refs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """ref_id, chunk, pos, delta: an event of 0 where each chunk of each contig begins; an empty contig has none."""
+    size = F.lit(chunk).cast("bigint")
+    chunks = refs.where("length > 0").select("ref_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size).cast("bigint"))).alias("chunk"))
+    return chunks.select("ref_id", "chunk", (F.col("chunk") * size).alias("pos"), F.lit(0).cast("bigint").alias("delta"))
+
+
 def depth_runs(reads: DataFrame, refs: DataFrame, chunk: int = CHUNK, long_cigars: bool = True) -> DataFrame:
     """ref_id, start, stop, depth over all of every contig, including depth 0; an empty contig has no run."""
     size = F.lit(chunk).cast("bigint")
     contigs = refs.select("ref_id", "length").where("length > 0")
-    spine = contigs.select("ref_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size).cast("bigint"))).alias("chunk"))
-    spine = spine.select("ref_id", "chunk", (F.col("chunk") * size).alias("pos"), F.lit(0).cast("bigint").alias("delta"))
-    deep = running_depth(events(blocks(reads, long_cigars), chunk).union(spine))
+    deep = running_depth(events(blocks(reads, long_cigars), chunk).union(spine(refs, chunk)))
     along = Window.partitionBy("ref_id", "chunk").orderBy("pos")
     first = deep.withColumn("same", F.lag("depth").over(along).eqNullSafe(F.col("depth"))).where("NOT same")
     ended = first.withColumn("after", F.lead("pos").over(along)).join(contigs, "ref_id").where("pos < length")

@@ -20,6 +20,12 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.depth_runs(view.reads(spark, sf_dir), view.refs(spark, sf_dir), long_cigars=False)
 
 
+def _territory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = view.refs(spark, sf_dir)
+    made = cigar.events(cigar.blocks(view.reads(spark, sf_dir), long_cigars=False), coverage.CHUNK)
+    return targeted.territory(made, refs, view.targets(spark, sf_dir))
+
+
 def _longs(df: DataFrame) -> DataFrame:
     """Counts as bigint and text as it is, so that types equal the SQL's."""
     return df.select(*(F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes))
@@ -83,11 +89,11 @@ def merge_report(spark, sf_dir):
 
 
 def target_depth_histogram(spark, sf_dir):
-    return targeted.target_histogram(_runs(spark, sf_dir), targeted.union_of(view.targets(spark, sf_dir), view.refs(spark, sf_dir)))
+    return targeted.swept_histogram(_territory(spark, sf_dir))
 
 
 def target_partition(spark, sf_dir):
-    return targeted.partition(_runs(spark, sf_dir), view.refs(spark, sf_dir), view.targets(spark, sf_dir))
+    return targeted.sums(_territory(spark, sf_dir)).drop("d20")
 
 
 def per_target_coverage(spark, sf_dir):
@@ -108,11 +114,12 @@ def target_enrichment(spark, sf_dir):
 
 
 def target_d20(spark, sf_dir):
-    return targeted.d20(target_depth_histogram(spark, sf_dir))
+    return targeted.sums(_territory(spark, sf_dir)).select("d20")
 
 
 def uniformity_penalty(spark, sf_dir):
-    return targeted.uniformity(target_partition(spark, sf_dir), target_d20(spark, sf_dir))
+    row = targeted.sums(_territory(spark, sf_dir))
+    return targeted.uniformity_of(row)
 
 
 def samtools_sn(spark, sf_dir):

@@ -420,3 +420,29 @@ def test_typed_diff(spark):
 def test_typed_diff_refuses(spark, expected, actual, message):
     with pytest.raises(Exception, match=message):
         validation.typed_diff(_expected(spark, expected), _actual(spark, actual)).collect()
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
+def test_territory_equals_a_walk_over_bases(spark, chunk):
+    """Targets that touch, nest, repeat, are empty, cross chunks and lie at both ends of a contig; a contig without targets and an empty one."""
+    random.seed(chunk)
+    lengths = {0: 200, 1: 90, 2: 0}
+    refs = spark.createDataFrame([(i, f"c{i}", n) for i, n in lengths.items()], "ref_id int, name string, length bigint")
+    rows = [(0, s, min(200, s + random.randint(0, 25))) for s in (random.randint(0, 199) for _ in range(12))] + [(0, 0, 4), (0, 0, 4), (0, 190, 200), (0, 60, 60), (0, 70, 75), (0, 75, 80)]
+    targets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "source_index bigint, ref_id int, start bigint, stop bigint")
+    ends = [(r, s, min(lengths[r], s + random.randint(1, 30))) for r, s in ((random.choice([0, 0, 1]), random.randint(0, 80)) for _ in range(40))] + [(0, 150, 200)]
+    blocks = spark.createDataFrame(ends, "ref_id int, start bigint, stop bigint")
+    want: dict = {}
+    for ref, length in lengths.items():
+        for at in range(length):
+            inside = lambda flank, ref=ref, at=at: any(r == ref and s < e and s - flank <= at < e + flank for r, s, e in rows)
+            key = ("on" if inside(0) else "near" if inside(6) else "off", sum(r == ref and s <= at < e for r, s, e in ends))
+            want[key] = want.get(key, 0) + 1
+    swept = targeted.territory(cigar.events(blocks, chunk), refs, targets, 6, chunk)
+    assert {(r["label"], r["depth"]): r["bases"] for r in dicts(swept)} == want
+    row = targeted.sums(swept).first()
+    on = sorted(d for (label, d), n in want.items() if label == "on" for _ in range(n))
+    assert row["on_bases"] == sum(on) and row["target_territory"] == len(on) and row["d20"] == on[-(-len(on) // 5) - 1]
+    assert row["accepted_bases"] == sum(d * n for (_, d), n in want.items()) and row["genome_territory"] == 290
+    none = targeted.sums(targeted.territory(cigar.events(blocks, chunk), refs, targets.where("false"), 6, chunk)).first()
+    assert (none["on_bases"], none["target_territory"], none["near_territory"], none["d20"], none["genome_territory"]) == (0, 0, 0, None, 290)
