@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.errors import LoomError
-from readloom.functions.settings import resolve
+from readloom.functions.settings import DEFAULTS, memory_size, resolve
 from readloom.operators import alignment_metrics, counters, summary_stats
 from readloom.plans import release, texts
 from readloom.sources import bam, bed
@@ -74,7 +74,11 @@ def main(argv: list[str] | None = None) -> int:
         if a.reference:
             bed.check_reference(header.contigs, header.md5, bed.fasta_contigs(a.reference))
         targets = bed.read_bed(spark, a.targets, header.contigs)[0] if a.targets else None
-        release.release(spark, reads, refs, a.output, targets, depths=tuple(settings["thresholds"]), near=settings["near_distance"], keep_failed=settings["keep_failed"])
+        warnings = []
+        if settings["memory_limit"] != memory_size(DEFAULTS["memory_limit"]):
+            warnings.append(("memory_limit_left_to_spark", f"memory_limit={settings['memory_limit']} is recorded; executors' memory is set by spark.executor.memory"))
+        told = {"path": a.input, "identity": header.identity, "warnings": warnings}
+        release.release(spark, reads, refs, a.output, targets, depths=tuple(settings["thresholds"]), near=settings["near_distance"], keep_failed=settings["keep_failed"], **told)
         return 0
     except LoomError as e:
         print(e.text(), file=sys.stderr)

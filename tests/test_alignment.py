@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -295,7 +296,18 @@ def test_bam_round_trip_and_release(spark, tmp_path):
     assert "9 + 0" not in rendered(spark, path, "flagstat") and rendered(spark, path, "idxstats").startswith("chr1\t1000000\t9\t0")
     out = str(tmp_path / "out")
     document = release.release(spark, reads, refs, out, R.targets(spark, [(0, 100, 170)]))
-    assert document["coverage"]["histogram"]["1"] == 30 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_SUCCESS", "provenance.json", "summary.json"]
+    assert set(document) == {"alignment_counters", "application", "coverage", "metric_definitions", "per_reference_counters", "schema_version", "warnings"}
+    covered, totals = document["coverage"]["value"], document["alignment_counters"]["value"]
+    assert set(covered) == {"covered_reference_bases", "depth_histogram", "per_reference", "policy", "targeted", "threshold_bases", "threshold_percentages", "total_accepted_aligned_bases", "uncovered_reference_bases"}
+    assert len(totals) == 16 and (totals["total"], totals["qc_pass"], totals["qc_fail"]) == (9, 8, 1)
+    assert set(covered["per_reference"][0]) == {"accepted_aligned_bases", "covered_reference_bases", "length", "mean_depth", "name", "uncovered_reference_bases"}
+    assert covered["covered_reference_bases"] + covered["uncovered_reference_bases"] == 2_000_000 and [r["name"] for r in document["per_reference_counters"]["value"]] == ["chr1", "chr2"]
+    told = json.loads((tmp_path / "out" / "provenance.json").read_text())
+    assert set(told) == {
+        "analysis_plan", "application", "backend_versions", "compatibility_profiles", "errors", "header_identity", "input", "normalization_actions", "resolved_config", "resource_limits", "schema_version", "stage_timings_ns", "system", "warnings",
+    }
+    assert json.loads((tmp_path / "out" / "summary.json").read_text()) == document and told["stage_timings_ns"]["total"] >= told["stage_timings_ns"]["checks"]
+    assert covered["depth_histogram"]["1"] == 30 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_SUCCESS", "provenance.json", "summary.json"]
     with pytest.raises(LoomError) as e:
         release.release(spark, reads, refs, out)
     assert e.value.category == "output_exists"
@@ -446,3 +458,10 @@ def test_territory_equals_a_walk_over_bases(spark, chunk):
     assert row["accepted_bases"] == sum(d * n for (_, d), n in want.items()) and row["genome_territory"] == 290
     none = targeted.sums(targeted.territory(cigar.events(blocks, chunk), refs, targets.where("false"), 6, chunk)).first()
     assert (none["on_bases"], none["target_territory"], none["near_territory"], none["d20"], none["genome_territory"]) == (0, 0, 0, None, 290)
+
+
+def test_warnings_and_actions_are_sorted_and_told_once(spark):
+    assert release.sorted_warnings([("b", "x"), ("a", "z"), ("a", "y"), ("b", "x")]) == [{"code": "a", "message": "y"}, {"code": "a", "message": "z"}, {"code": "b", "message": "x"}]
+    targets = R.targets(spark, [(0, 50, 60), (0, 10, 20), (0, 15, 30), (0, 30, 40), (0, 5, 5)])
+    assert release.normalization_actions(targets, R.refs(spark), 7) == sorted(["empty_inputs=1", "overlap_merges=1", "adjacent_merges=1", "reordered=2", "selected:empty_inputs=1", "selected:overlap_merges=3"])
+    assert release.normalization_actions(None, R.refs(spark), 7) == []

@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["flagstat", "depth_histogram", "per_target_coverage", "samtools_sn", "picard_insert_metrics", "picard_alignment_summary", "wgs_overlap", "violations"])
+@pytest.mark.parametrize("name", ["flagstat", "depth_histogram", "per_target_coverage", "samtools_sn", "picard_insert_metrics", "picard_alignment_summary", "wgs_overlap", "violations", "broken_rules", "typed_metric_diff", "target_partition", "uniformity_penalty"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
