@@ -92,7 +92,8 @@ def bases(reads: DataFrame, keep: list[str], long_cigars: bool = True) -> DataFr
 
 
 def spans(reads: DataFrame) -> DataFrame:
-    """Sums of query, reference, aligned and accepted bases over all reads, and of CIGAR operations."""
+    """Sums of query, reference, aligned and accepted bases over all reads, and of CIGAR operations; seq_length stands for bases that are not there."""
     accepted = F.when(~sam.has(sam.NOT_COVERING) & (F.col("ref_id") >= 0), sam.span("M=X")).otherwise(0)
-    sums = {"query_bases": sam.query_span(), "reference_bases": sam.reference_span(), "aligned_bases": sam.aligned_bases(), "unclipped_bases": sam.unclipped_length(), "accepted_bases": accepted, "operations": F.size("cigar").cast("bigint")}
+    bases = F.col("seq_length") if "seq_length" in reads.columns else sam.seq_length()
+    sums = {"query_bases": sam.query_span(), "reference_bases": sam.reference_span(), "aligned_bases": sam.aligned_bases(), "unclipped_bases": bases + sam.span("H"), "accepted_bases": accepted, "operations": F.size("cigar").cast("bigint")}
     return reads.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for n, c in sums.items()))

@@ -465,3 +465,18 @@ def test_warnings_and_actions_are_sorted_and_told_once(spark):
     targets = R.targets(spark, [(0, 50, 60), (0, 10, 20), (0, 15, 30), (0, 30, 40), (0, 5, 5)])
     assert release.normalization_actions(targets, R.refs(spark), 7) == sorted(["empty_inputs=1", "overlap_merges=1", "adjacent_merges=1", "reordered=2", "selected:empty_inputs=1", "selected:overlap_merges=3"])
     assert release.normalization_actions(None, R.refs(spark), 7) == []
+
+
+def test_command_line_publishes_without_reading_bases(spark, tmp_path, capsys):
+    from readloom import cli
+
+    path, beds, out = (str(tmp_path / n) for n in ("x.bam", "t.bed", "out"))
+    bam.write_bam(path, [("chr1", 1_000_000), ("chr2", 1_000_000)], R.FLAGS, block=100)
+    (tmp_path / "t.bed").write_text("chr1\t120\t130\nchr1\t50\t125\n")
+    assert cli.main(["qc", "--input", path, "--output", out, "--targets", beds]) == 0
+    told = json.loads((tmp_path / "out" / "provenance.json").read_text())
+    assert told["normalization_actions"] == ["overlap_merges=1", "reordered=2", "selected:left_clips=2", "selected:overlap_merges=1"]
+    assert told["input"]["path"] == path and told["header_identity"]["status"] == "available" and told["resolved_config"]["near"] == 250
+    summary = json.loads((tmp_path / "out" / "summary.json").read_text())
+    assert summary["coverage"]["value"]["targeted"]["value"]["partition"]["target_territory"] == 80
+    assert cli.main(["qc", "--input", path, "--output", out]) != 0 and "output_exists" in capsys.readouterr().err
