@@ -153,13 +153,14 @@ def _broken_rules() -> str:
         "resource_limit": {"name_limit": "length(qname) > 1024 * 1024", "sequence_limit": "seq_length > 100000000", "operation_limit": "operations > 1000000"},
     }
     parts = (("m1", 0), ("ins_len", 1), ("del_len", 2), ("m2", 0), ("soft_len", 4))
-    own = " UNION ALL ".join(f"SELECT h, rec, {c} AS len, {op} AS op FROM made WHERE NOT bare AND {c} > 0" for c, op in parts)
+    own = " UNION ALL ".join(f"SELECT row_no, {c} AS len, {op} AS op FROM made WHERE NOT bare AND {c} > 0" for c, op in parts)
     tables = [
-        f"made AS (SELECT rec, h, m1, ins_len, del_len, m2, soft_len, {', '.join(f'{e} AS {c}' for c, e in BROKEN.items())} FROM reads)",
-        f"ops AS ({own} UNION ALL SELECT h, rec, extra_len, extra_op FROM (SELECT *, unnest(range(0, extra_ops)) AS i FROM made))",
-        "sums AS (SELECT rec, count(*) AS operations, min(len) AS least_len, max(op) AS greatest_op, coalesce(sum(len) FILTER (WHERE op IN (0, 1, 4, 7, 8)), 0) AS in_query,"
-        " coalesce(sum(len) FILTER (WHERE op IN (0, 2, 3, 7, 8)), 0) AS in_reference FROM ops GROUP BY rec)",
-        "w AS (SELECT made.*, coalesce(operations, 0) AS operations, least_len, greatest_op, coalesce(in_query, 0) AS in_query, coalesce(in_reference, 0) AS in_reference FROM made LEFT JOIN sums USING (rec))",
+        # Record numbers may repeat, so rows get their own.
+        f"made AS (SELECT row_number() OVER (ORDER BY rec, h, m1, m2, ins_len, del_len, soft_len, seq) AS row_no, h, m1, ins_len, del_len, m2, soft_len, {', '.join(f'{e} AS {c}' for c, e in BROKEN.items())} FROM reads)",
+        f"ops AS ({own} UNION ALL SELECT row_no, extra_len, extra_op FROM (SELECT *, unnest(range(0, extra_ops)) AS i FROM made))",
+        "sums AS (SELECT row_no, count(*) AS operations, min(len) AS least_len, max(op) AS greatest_op, coalesce(sum(len) FILTER (WHERE op IN (0, 1, 4, 7, 8)), 0) AS in_query,"
+        " coalesce(sum(len) FILTER (WHERE op IN (0, 2, 3, 7, 8)), 0) AS in_reference FROM ops GROUP BY row_no)",
+        "w AS (SELECT made.*, coalesce(operations, 0) AS operations, least_len, greatest_op, coalesce(in_query, 0) AS in_query, coalesce(in_reference, 0) AS in_reference FROM made LEFT JOIN sums USING (row_no))",
     ]
     each = [f"SELECT '{rule}' AS rule, '{category}' AS category, count(*) AS records FROM w WHERE {test}" for category, named in rules.items() for rule, test in named.items()]
     return _with(*tables) + "SELECT * FROM (" + " UNION ALL ".join(each) + ") WHERE records > 0"
