@@ -1,15 +1,18 @@
-"""Language-model scoring by a small causal self-attention model (operator 10).
-
-A text is its lower-cased words and one end. Each word has a subword id: the longest piece of a public vocabulary, among
-the most common ones in the training texts, that begins it. The model is
-    P(text) = product over tokens of P(subword | subwords before, by attention) * P(word | its subword),
-where the second factor mixes the word's share of its subword's training tokens with a spelling model over three bytes.
-1. One pass over the training texts counts words, pieces and bytes in context (all texts, all words), and emits the same
-   overlapping windows that scoring uses, so that every token and every end is predicted once.
+"""Language-model scoring by a small causal self-attention model on subword ids (operator 10).
+
+A text is the subword ids of its lower-cased words and one end. A word's ids are its pieces, each the longest one of a
+public vocabulary that fits; every single byte is a piece, so that any word of any script is its ids and no more. Pieces that begin a
+word and pieces inside one have ids of their own, so ids tell words apart. The model is
+    P(text) = product over ids of P(id | ids before, by attention),
+where an id is predicted as its group of ids, then as one of the group.
+1. One pass over the training texts counts words and ids (all texts, all words), and emits the same overlapping windows of ids
+   that scoring uses, so that every id and every end is predicted once.
 2. The attention model is trained in numpy by local steps in every partition of windows; after each round Spark
    averages the partitions' weights. Every window is trained on in one of the rounds.
-3. A second pass scores each text whole: overlapping windows, batched masked attention, each token scored once.
-   The counts of the TOP most common words are broadcast (a fixed bound); all other words are joined by hash.
+3. A second pass scores each text whole: overlapping windows, batched masked attention, each id scored once.
+   For the base score, the counts of the TOP most common words are broadcast (a fixed bound); all other words are joined by hash.
+
+Attention goes by blocks: an id sees the BLOCK ids of the block before and those up to itself in its own, at learned distances.
 
 Defined results: a null or empty text is one end token. A null id's remainder is that of crc32(''). Without training texts no
 word is known, N and V are 0 and the base probability of each token is 1. Words are known by 64-bit hashes.
@@ -29,86 +32,93 @@ from readloom.llm.bpe import load_tokenizer
 from readloom.llm.shared import slices, stored, text_buffers
 from readloom.llm.words import Words
 
-CANDIDATES, CLASSES, MAX_PIECE = 2000, 128, 6
-WIDTH, WINDOW, FRESH = 16, 32, 24
-ROUNDS, WINDOWS_PER_TASK, BATCH, STEP, LEAST_STEPS = 3, 100_000, 128, 0.02, 150
-TOP, TRIPLES = 200_000, 1 << 20
-TOGETHER = 32  # windows computed at once: their arrays stay in a core's cache and in memory the process holds already
-#: Least and most share of a subword's mass that goes to the spelling model; between them, the share of words seen once.
-LEAST_NEW, MOST_NEW = 0.01, 0.5
+#: Pieces (256 of them single bytes) and their bytes at most; ids are those that begin a word, those inside one, and the end.
+PIECES, MAX_PIECE = 1012, 6
+CLASSES = 2 * PIECES + 1
+END = CLASSES - 1
+GROUPS = GROUP = 45  # groups of ids and ids of each: CLASSES in all
+WIDTH, WINDOW, FRESH, BLOCK = 16, 256, 240, 16
+ROUNDS, WINDOWS_PER_TASK, BATCH, STEP, LEAST_STEPS = 3, 20_000, 16, 0.02, 150
+TOP = 200_000
+TOGETHER = 16  # windows computed at once: their arrays stay in a core's cache and in memory the process holds already
 END_HASH = -1  # the end token's key; a word's hash of this value is as unlikely as any other collision
 
 
 def pieces_of(tokenizer_path: str) -> list[bytes]:
-    """Candidate subwords: the vocabulary's first CANDIDATES plain pieces of up to MAX_PIECE bytes."""
+    """All single bytes and the vocabulary's first plain pieces of 2 to MAX_PIECE bytes, in byte order."""
     spec = load_tokenizer(tokenizer_path)
     suffix = spec["model"]["end_of_word_suffix"] or ""
     names = sorted(spec["model"]["vocab"], key=spec["model"]["vocab"].get)
-    plain = [n for n in names if not (suffix and n.endswith(suffix)) and n.isascii() and n.isalnum() and len(n) <= MAX_PIECE]
-    return [n.encode() for n in plain[:CANDIDATES]]
-
-
-def _hash_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces and the piece at each."""
-    data = np.frombuffer(b" ".join(pieces), np.uint8)
-    hashes = Words(data, np.array([0, len(data)]), True).hash
-    order = np.argsort(hashes)
-    return hashes[order], order.astype(np.int64)
-
-
-def longest_piece(words: Words, at: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """For the words at these indices the candidate that is their longest beginning, or -1."""
-    out = np.full(len(at), -1, np.int64)
-    start, length = words.start[at], words.end[at] - words.start[at]
-    for n in range(1, MAX_PIECE + 1):
-        fits = np.flatnonzero(length >= n)
-        found = words.spans(start[fits], start[fits] + n)
-        place = np.minimum(np.searchsorted(table[0], found), len(table[0]) - 1)
-        hit = table[0][place] == found
-        out[fits[hit]] = table[1][place[hit]]
-    return out
-
-
-_LOWER = np.arange(256)
+    plain = [n.encode() for n in names if not (suffix and n.endswith(suffix)) and n.isascii() and n.isalnum() and 1 < len(n) <= MAX_PIECE]
+    return sorted([*(bytes([b]) for b in range(256)), *plain[: PIECES - 256]])
+
+
+class Encoder:
+    """Cuts words into pieces, longest first, by one walk of all bytes along a tree of the pieces."""
+
+    def __init__(self, pieces: list[bytes]):
+        nodes = {b"": 0} | {n: k for k, n in enumerate(sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)}), 2)}
+        self.next = np.ones((len(nodes) + 1, 256), np.int16)  # node 1 leads nowhere
+        self.piece = np.full(len(nodes) + 1, -1, np.int16)
+        for name, k in nodes.items():
+            if name:
+                self.next[nodes[name[:-1]], name[-1]] = k
+        self.next[:, 32] = 1  # no word holds a space
+        for k, p in enumerate(pieces):
+            self.piece[nodes[p]] = k
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these bytes, in a row, and their number by word."""
+        size = end - start + 1
+        first = np.cumsum(size) - size
+        total = int(size.sum())
+        text = data[np.minimum(np.repeat(start - first, size) + np.arange(total), len(data) - 1)]
+        text[first + size - 1] = 32
+        long, best = np.ones(total, np.int64), np.zeros(total, np.int16)
+        at, node = np.flatnonzero(text != 32), 0
+        for n in range(MAX_PIECE):
+            node = self.next[node, text[at + n]]
+            live = node != 1
+            at, node = at[live], node[live]
+            found = self.piece[node]
+            hit = found >= 0
+            best[at[hit]], long[at[hit]] = found[hit], n + 1
+        begins = np.zeros(total, bool)
+        place = first
+        for _ in range(64):
+            begins[place] = True
+            place = place + long[place]
+            place = place[text[place] != 32]
+            if not len(place):
+                break
+        if len(place):  # words of many pieces, one by one
+            steps, stop = long.tolist(), (text == 32).tolist()
+            for k in place.tolist():
+                while not stop[k]:
+                    begins[k] = True
+                    k += steps[k]
+        begins = np.flatnonzero(begins)
+        ids = best[begins] + np.int16(PIECES)
+        cut = np.searchsorted(begins, np.append(first, total))
+        ids[cut[:-1]] -= np.int16(PIECES)
+        return ids, np.diff(cut)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
-
-
-def spaced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The texts' lower-cased bytes with a space before each text and one at the end; white space is one symbol.
-
-    Text i's bytes move by i + 1."""
-    return np.append(np.insert(_LOWER[data], offsets[:-1], 32), 32)
-
-
-def byte_triples(made: np.ndarray) -> np.ndarray:
-    """Index 256 * context + byte at each byte of spaced texts; the context is six bits of each of two bytes before in the word.
-
-    White space before a word is its whole context, so that equal words are spelled alike everywhere; a spelling ends with white space."""
-    last = np.concatenate([[32], made[:-1]])
-    before = np.where(last == 32, 32, np.concatenate([[32], last[:-1]]))
-    return ((before & 63) << 14) | ((last & 63) << 8) | made
-
 
-def spelling_model(triples: np.ndarray) -> np.ndarray:
-    """log10 P(byte | context), backing off to the last byte's six bits, then to equal chances."""
-    counts = triples.reshape(64, 64, 256).astype(float)
-    counts[32, 32, 32] = 0  # runs of white space begin no word
-    pairs = counts.sum(axis=0)
-    backoff = (pairs + 1 / 256) / (pairs.sum(axis=1, keepdims=True) + 1)
-    return np.log10((counts + 2 * backoff) / (counts.sum(axis=2, keepdims=True) + 2)).reshape(-1)
 
-
-def log10_sum(plain: np.ndarray, log10: np.ndarray) -> np.ndarray:
-    """log10(plain + 10 ** log10), also where the power is too small for a double."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(plain), log10 * math.log(10)) / math.log(10)
-
-
-def _distinct(words: Words, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of the words, an index of each, the inverse, and their candidates."""
-    hashes, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    return hashes, first, inverse, longest_piece(words, first, table)
+def text_ids(words: Words, data: np.ndarray, first: np.ndarray, inverse: np.ndarray, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in a row, each text's with -2 as its end, and their number by text; first and inverse: of the distinct words."""
+    ids, numbers = encoder.encode(_LOWER[data], words.start[first], words.end[first])
+    ids, numbers = np.append(ids, np.int16(-2)), np.append(numbers, 1)
+    begin = np.cumsum(numbers) - numbers
+    ends = np.cumsum(words.counts)
+    order = np.insert(inverse, ends, len(numbers) - 1)
+    size = numbers[order]
+    after = np.cumsum(size)
+    tokens = ids[np.repeat(begin[order] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+    return tokens, np.diff(np.append(0, after[ends + np.arange(len(ends))]))
 
 
 def _merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,15 +127,15 @@ def _merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 
 
 def _gather(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
-    """Of the training texts: kind 0 word counts (key, n); 1 candidate counts; 2 bytes in context; 3 windows of candidates."""
+    """Of the training texts: kind 0 word counts (key, n); 1 counts of ids; 3 windows of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _hash_pieces(pieces)
+        encoder = Encoder(pieces)
         parts, held, ends = [], 0, 0
-        candidates, pairs = np.zeros(len(pieces) + 1, np.int64), np.zeros(TRIPLES, np.int64)
+        used = np.zeros(CLASSES, np.int64)
 
-        def rows(kind: int, key: np.ndarray, n: np.ndarray, data: list | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n), pa.array(data, pa.binary()) if data else pa.nulls(len(key), pa.binary())], ["kind", "key", "n", "data"])
+        def rows(kind: int, key: np.ndarray, n: np.ndarray, data: pa.Array | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n), pa.nulls(len(key), pa.binary()) if data is None else data], ["kind", "key", "n", "data"])
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -133,15 +143,14 @@ def _gather(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
             for lo, hi in slices(offsets, 1 << 20):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 words = Words(part, at, True)
-                hashes, _, inverse, piece = _distinct(words, table)
-                counts = np.bincount(inverse, minlength=len(hashes))
-                parts.append((hashes, counts))
+                hashes, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+                parts.append((hashes, np.bincount(inverse, minlength=len(hashes))))
                 held += len(hashes)
-                candidates += np.bincount(piece + 1, weights=counts, minlength=len(candidates)).astype(np.int64)
-                pairs += np.bincount(byte_triples(spaced(part, at)), minlength=TRIPLES)
-                tokens = np.insert(piece[inverse], np.cumsum(words.counts), -2)
-                for taken in training_windows(tokens, words.counts + 1):
-                    yield rows(3, np.arange(len(taken)), np.zeros(len(taken), np.int64), [row.tobytes() for row in taken])
+                tokens, lengths = text_ids(words, part, first, inverse, encoder)
+                used += np.bincount(classes_of(tokens), minlength=CLASSES)
+                for _, taken in training_windows(tokens, lengths):
+                    cut = np.arange(len(taken) + 1, dtype=np.int32) * np.int32(taken.itemsize * (WINDOW + 1))
+                    yield rows(3, np.arange(len(taken)), np.zeros(len(taken), np.int64), pa.Array.from_buffers(pa.binary(), len(taken), [None, pa.py_buffer(cut), pa.py_buffer(taken)]))
                 if held > 3_000_000:
                     parts = [_merge_counts(parts)]
                     held = len(parts[0][0])
@@ -154,8 +163,7 @@ def _gather(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
                 yield rows(0, keys[k : k + 200_000], n[k : k + 200_000])
         if ends:
             yield rows(0, np.array([END_HASH]), np.array([ends]))
-            yield rows(1, np.zeros(1, np.int64), np.zeros(1, np.int64), [candidates.tobytes()])
-            yield rows(2, np.zeros(1, np.int64), np.zeros(1, np.int64), [pairs.tobytes()])
+            yield rows(1, np.zeros(1, np.int64), np.zeros(1, np.int64), pa.array([used.tobytes()], pa.binary()))
 
     return docs.mapInArrow(run, "kind int, key long, n long, data binary")
 
@@ -174,35 +182,33 @@ def _sum_arrays(rows: DataFrame, size: int) -> np.ndarray:
     return np.sum([np.frombuffer(r["data"], np.int64) for r in found], axis=0) if found else np.zeros(size, np.int64)
 
 
-class Inventory:
-    """Classes 0 other, 1 begin and end, 2.. the most common pieces; maps candidates (-3, -2, -1, 0..) to classes."""
-
-    def __init__(self, pieces: list[bytes], counts: np.ndarray):
-        chosen = np.sort(np.argsort(-counts[1:], kind="stable")[: CLASSES - 2])
-        number = {pieces[c]: k + 2 for k, c in enumerate(chosen)}
-        to = [next((number[p[:n]] for n in range(len(p), 0, -1) if p[:n] in number), 0) for p in pieces]
-        self.classes = np.array([0, 1, 0, *to])  # index candidate + 3
-        self.lengths = np.array([0, 0, *(len(pieces[c]) for c in chosen)])
-        self.tokens = np.bincount(self.classes[2:], weights=counts, minlength=CLASSES)
-
-    def of(self, candidates: np.ndarray) -> np.ndarray:
-        return self.classes[candidates.astype(np.int64) + 3]
+def exponentials(z: np.ndarray, *chosen: np.ndarray) -> np.ndarray:
+    """Turn logits in place to exponentials in proportion along the last axis; returns the chosen logits that these stand for."""
+    if z.size and max(z.max(), -z.min()) > 60:  # single precision holds exp(60) and sums of it
+        z -= z.max(axis=-1, keepdims=True)
+    own = z[chosen] if chosen else z[:0]
+    np.exp(z, out=z)
+    return own
 
 
 class Attention:
-    """One masked attention head over subword classes with learned places, a residual and a softmax."""
+    """One masked attention head over subword ids with learned distances, a residual and a softmax over groups, then ids of a group."""
+
+    SHAPES = {"e": (CLASSES, WIDTH), "p": (2 * BLOCK,), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "c": (WIDTH, GROUPS), "d": (GROUPS,), "u": (GROUPS, WIDTH, GROUP), "b": (GROUPS, GROUP)}
+    #: Distance of each of two blocks' places from each place of the second; below 0 for later places.
+    AWAY = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
 
-    SHAPES = {"e": (CLASSES, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "u": (WIDTH, CLASSES), "b": (CLASSES,)}
+    #: The places that each place of each block of a window sees; nothing stands before the first block.
+    SEEN = np.repeat((AWAY >= 0).astype(np.float32)[None], WINDOW // BLOCK, axis=0)
+    SEEN[0, :, :BLOCK] = 0
 
     def __init__(self, flat: np.ndarray | None = None):
         rng = np.random.default_rng(3)
         self.w, at = {}, 0
         for name, shape in self.SHAPES.items():
             n = math.prod(shape)
-            self.w[name] = (rng.standard_normal(shape) * (0 if name == "b" else 0.2) if flat is None else flat[at : at + n].reshape(shape)).astype(np.float32)
+            self.w[name] = (rng.standard_normal(shape) * (0 if name in "bdp" else 0.2) if flat is None else flat[at : at + n].reshape(shape)).astype(np.float32)
             at += n
-        late = np.triu(np.ones((WINDOW, WINDOW), bool), 1)
-        self.mask = np.where(late, np.float32(-1e9), np.float32(0))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[n].reshape(-1) for n in self.SHAPES]).astype(np.float64)
@@ -211,93 +217,127 @@ class Attention:
         """The three projections side by side, so that one product makes queries (scaled), keys and values."""
         return np.concatenate([self.w["q"] * np.float32(WIDTH**-0.5), self.w["k"], self.w["v"]], axis=1)
 
+    def distances(self) -> np.ndarray:
+        """What is added to a block's attention logits."""
+        return self.w["p"][np.maximum(self.AWAY, 0)]
+
     def forward(self, x: np.ndarray):
-        h = np.take(self.w["e"], x, axis=0)
-        h += self.w["p"]
-        made = (h.reshape(-1, WIDTH) @ self.projections()).reshape(*x.shape, 3 * WIDTH)
-        q, k, v = made[..., :WIDTH], made[..., WIDTH : 2 * WIDTH], made[..., 2 * WIDTH :]
-        a = np.matmul(q, k.swapaxes(1, 2))
-        a += self.mask
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)).reshape(*x.shape, 1)
-        return h, q, k, v, a, np.matmul(a, v)
-
-    def logits(self, h: np.ndarray, mixed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values at the flat places `at` with a one behind each, and their logits over classes."""
+        n, blocks = len(x), WINDOW // BLOCK
+        h = np.zeros((n, BLOCK + WINDOW, WIDTH), self.w["e"].dtype)
+        h[:, BLOCK:] = np.take(self.w["e"], x, axis=0)
+        made = (h.reshape(-1, WIDTH) @ self.projections()).reshape(n, BLOCK + WINDOW, 3 * WIDTH)
+        q = made[:, BLOCK:, :WIDTH].reshape(n, blocks, BLOCK, WIDTH)
+        # A block's keys and values are those of the block before and its own.
+        pairs = np.lib.stride_tricks.sliding_window_view(made, 2 * BLOCK, axis=1)[:, ::BLOCK].swapaxes(2, 3)
+        k, v = pairs[..., WIDTH : 2 * WIDTH], pairs[..., 2 * WIDTH :]
+        a = np.matmul(q, k.swapaxes(2, 3))
+        a += self.distances()
+        if max(a.max(), -a.min()) > 60:
+            a[:, self.SEEN == 0] = -1e9
+        exponentials(a)
+        a *= self.SEEN
+        a /= (a.reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), a.dtype)).reshape(n, blocks, BLOCK, 1)
+        return h[:, BLOCK:], q, k, v, a, np.matmul(a, v).reshape(n, WINDOW, WIDTH)
+
+    def logits(self, h: np.ndarray, mixed: np.ndarray, y: np.ndarray, at: np.ndarray):
+        """The places `at` by groups of their ids y: their order, where each group begins, values with a one behind, exponentials over groups and over the ids of the own group with their sums, and log P(y)."""
+        w, group = self.w, y // GROUP
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
         picked = np.ones((len(at), WIDTH + 1), h.dtype)
-        picked[:, :WIDTH] = (h + mixed).reshape(-1, WIDTH)[at]
-        return picked, picked @ np.concatenate([self.w["u"], self.w["b"][None]])
+        rows, places = at[order] // WINDOW, at[order] % WINDOW
+        np.add(h[rows, places], mixed[rows, places], out=picked[:, :WIDTH])
+        line = np.arange(len(at))
+        inner = np.empty((len(at), GROUP), h.dtype)
+        both = np.concatenate([w["u"], w["b"][:, None]], axis=1)
+        for g in np.flatnonzero(cut[1:] > cut[:-1]):
+            np.matmul(picked[cut[g] : cut[g + 1]], both[g], out=inner[cut[g] : cut[g + 1]])
+        outer = picked @ np.concatenate([w["c"], w["d"][None]])
+        log_p, sums = 0, []
+        for z, own in ((outer, group[order]), (inner, (y % GROUP)[order])):
+            chosen = exponentials(z, line, own)
+            sums.append(z @ np.ones((z.shape[1], 1), z.dtype))
+            log_p = log_p + chosen - np.log(sums[-1][:, 0])
+        return order, cut, picked, (outer, inner), sums, log_p
 
     def log10(self, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 P(y) at the flat places `at` of a batch of windows x."""
         h, *_, mixed = self.forward(x)
-        _, logits = self.logits(h, mixed, at)
-        own = logits[np.arange(len(at)), y]
-        high = logits.max(axis=1)
-        logits -= high[:, None]
-        np.exp(logits, out=logits)
-        return ((own - high) - np.log(logits @ np.ones(CLASSES, np.float32))).astype(np.float64) / math.log(10)
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, places: int | None = None) -> dict[str, np.ndarray]:
-        """Gradients of the loss at the real places, over `places` (all of these unless given); only real ones get logits."""
+        order, *_, log_p = self.logits(h, mixed, y, at)
+        out = np.empty(len(at))
+        out[order] = log_p
+        return out / math.log(10)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss over the real places; only these get logits."""
         w, at = self.w, np.flatnonzero(real)
-        share = np.float32(1 / max(1, len(at) if places is None else places))
+        share = np.float32(1 / max(1, len(at)))
         h, q, k, v, a, mixed = self.forward(x)
-        picked, z = self.logits(h, mixed, at)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z *= share / (z @ np.ones((CLASSES, 1), np.float32))
-        z[np.arange(len(at)), y.reshape(-1)[at]] -= share
-        both = picked.T @ z
-        g = {"b": both[WIDTH], "u": both[:WIDTH]}
-        dt = np.zeros((x.size, WIDTH), np.float32)
-        dt[at] = z @ w["u"].T
-        dt = dt.reshape(h.shape)
+        y = y.reshape(-1)[at]
+        order, cut, picked, (outer, inner), sums, _ = self.logits(h, mixed, y, at)
+        line = np.arange(len(at))
+        for z, own, total in ((outer, y[order] // GROUP, sums[0]), (inner, y[order] % GROUP, sums[1])):
+            z *= share / total
+            z[line, own] -= share
+        g = {"u": np.zeros_like(w["u"]), "b": np.zeros_like(w["b"])}
+        both = picked.T @ outer
+        g["c"], g["d"] = both[:WIDTH], both[WIDTH]
+        back = outer @ w["c"].T
+        for i in np.flatnonzero(cut[1:] > cut[:-1]):
+            some = slice(cut[i], cut[i + 1])
+            both = picked[some].T @ inner[some]
+            g["u"][i], g["b"][i] = both[:WIDTH], both[WIDTH]
+            back[some] += inner[some] @ w["u"][i].T
+        dt = np.zeros((x.size, WIDTH), back.dtype)
+        dt[at[order]] = back
         # The mean of da under a is that of the mixed values under dt.
-        ds = np.matmul(dt, v.swapaxes(1, 2))
-        ds -= (dt * mixed).sum(axis=2, keepdims=True)
+        blocked = dt.reshape(q.shape)
+        ds = np.matmul(blocked, v.swapaxes(2, 3))
+        ds -= (blocked * mixed.reshape(q.shape)).sum(axis=3, keepdims=True)
         ds *= a
-        d = np.concatenate([np.matmul(ds, k), np.matmul(ds.swapaxes(1, 2), q), np.matmul(a.swapaxes(1, 2), dt)], axis=2).reshape(-1, 3 * WIDTH)
+        g["p"] = np.bincount(np.maximum(self.AWAY, 0).reshape(-1), weights=ds.sum(axis=(0, 1)).reshape(-1), minlength=2 * BLOCK)
+        d = np.zeros((len(x), BLOCK + WINDOW, 3 * WIDTH), back.dtype)
+        d[:, BLOCK:, :WIDTH] = np.matmul(ds, k).reshape(len(x), WINDOW, WIDTH)
+        for place, part in ((slice(WIDTH, 2 * WIDTH), np.matmul(ds.swapaxes(2, 3), q)), (slice(2 * WIDTH, None), np.matmul(a.swapaxes(2, 3), blocked))):
+            d[:, BLOCK:, place] = part[:, :, BLOCK:].reshape(len(x), WINDOW, WIDTH)
+            d[:, :WINDOW, place] += part[:, :, :BLOCK].reshape(len(x), WINDOW, WIDTH)
+        d = d[:, BLOCK:].reshape(-1, 3 * WIDTH)
         g["q"], g["k"], g["v"] = np.split(h.reshape(-1, WIDTH).T @ d, 3, axis=1)
         g["q"] = g["q"] * np.float32(WIDTH**-0.5)
-        dh = dt + (d @ self.projections().T).reshape(h.shape)
-        g["p"] = dh.sum(axis=0)
-        # Rows of one class are sorted together and added at once.
+        dh = dt + d @ self.projections().T
+        # Rows of one id are sorted together and added at once.
         classes = x.reshape(-1).astype(np.int16)
         order = np.argsort(classes, kind="stable")
         ordered = classes[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         g["e"] = np.zeros_like(w["e"])
-        g["e"][ordered[first]] = np.add.reduceat(dh.reshape(-1, WIDTH)[order], first, axis=0)
+        g["e"][ordered[first]] = np.add.reduceat(dh[order], first, axis=0)
         return g
 
-    def train(self, rows: np.ndarray, real: np.ndarray, rate: float) -> None:
-        """Adam over windows of classes (rows, WINDOW + 1), again and again if they are few."""
+    def train(self, rows: np.ndarray, rate: float) -> None:
+        """Adam over windows (rows, WINDOW + 1), again and again if they are few."""
         m = {n: np.zeros_like(v) for n, v in self.w.items()}
         s = {n: np.zeros_like(v) for n, v in self.w.items()}
         each = -(-len(rows) // BATCH)
         for step in range(1, max(each, LEAST_STEPS) + 1):
             at = (step - 1) % each * BATCH
-            part, asked = rows[at : at + BATCH], real[at : at + BATCH, 1:]
-            total = {n: np.zeros_like(v) for n, v in self.w.items()}
-            for k in range(0, len(part), TOGETHER):
-                some = part[k : k + TOGETHER]
-                for name, g in self.gradients(some[:, :-1], some[:, 1:], asked[k : k + TOGETHER], int(asked.sum())).items():
-                    total[name] += g
-            for name, g in total.items():
-                m[name] += 0.1 * (g - m[name])
-                s[name] += 0.01 * (g * g - s[name])
-                self.w[name] -= (rate * m[name] / (1 - 0.9**step) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-
-
-def _fit(windows: DataFrame, inventory: Inventory, ends: int) -> Attention:
+            part = rows[at : at + BATCH]
+            ids = classes_of(part)
+            for name, g in self.gradients(ids[:, :-1], ids[:, 1:], predicted(part)[:, 1:]).items():
+                g = g.astype(np.float32, copy=False)
+                m[name] += np.float32(0.1) * (g - m[name])
+                s[name] += np.float32(0.01) * (g * g - s[name])
+                self.w[name] -= np.float32(rate / (1 - 0.9**step)) * m[name] / (np.sqrt(s[name] * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+
+
+def _fit(windows: DataFrame, used: np.ndarray) -> Attention:
     """Rounds of local training in every partition, then an average of the weights by windows seen."""
     spark, model = windows.sparkSession, Attention()
     total = windows.count()
-    common = inventory.tokens + 1.0
-    common[1] += ends
-    model.w["b"] = np.log(common / common.sum()).astype(np.float32)
+    common = (used + 1.0).reshape(GROUPS, GROUP)
+    groups = common.sum(axis=1)
+    model.w["d"] = np.log(groups / groups.sum()).astype(np.float32)
+    model.w["b"] = np.log(common / groups[:, None]).astype(np.float32)
     parts = max(1, math.ceil(total / ROUNDS / WINDOWS_PER_TASK))
     hashed = windows.select("data", F.xxhash64("data", "key").alias("at"))
 
@@ -309,11 +349,11 @@ def _fit(windows: DataFrame, inventory: Inventory, ends: int) -> Attention:
         start = spark.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=STEP / (1 + k)) -> Iterator[pa.RecordBatch]:
-            # About WINDOWS_PER_TASK windows of 66 bytes; partitions are dealt by hash.
+            # About WINDOWS_PER_TASK windows of 514 bytes; partitions are dealt by hash.
             raw = np.frombuffer(b"".join(b"".join(batch.column("data").to_pylist()) for batch in batches), np.int16).reshape(-1, WINDOW + 1)
             if len(raw):
                 own = Attention(start.value)
-                own.train(inventory.of(raw), predicted(raw), rate)
+                own.train(raw, rate)
                 yield pa.RecordBatch.from_arrays([pa.array([(own.flat() * len(raw)).tobytes()], pa.binary()), pa.array([len(raw)], pa.int64())], ["w", "n"])
 
         dealt = hashed.where(F.pmod("at", F.lit(ROUNDS)) == k).repartition(parts, "at").sortWithinPartitions("at", "data")
@@ -333,60 +373,56 @@ def text_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, k * FRESH, np.where(k > 0, WINDOW - FRESH, 0)
 
 
-def training_windows(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """The windows of text_windows as rows of a token before (-2 at a text's begin) and WINDOW tokens (-3: nothing), some at a time."""
+def training_windows(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows of text_windows, some at a time: their texts, and rows of an id before (-2 at a text's begin) and WINDOW ids (-2: end, -3: nothing)."""
     first = np.cumsum(lengths) - lengths
     text, begin, _ = text_windows(lengths)
     places = np.arange(-1, WINDOW)
-    for at in range(0, len(text), 1024):
-        t, b = text[at : at + 1024], begin[at : at + 1024]
+    for at in range(0, len(text), 8 * TOGETHER):
+        t, b = text[at : at + 8 * TOGETHER], begin[at : at + 8 * TOGETHER]
         inside = b[:, None] + places
         rows = tokens[np.clip(first[t][:, None] + inside, 0, len(tokens) - 1)]
         rows[b == 0, 0] = -2
         rows[inside >= lengths[t][:, None]] = -3
-        yield rows.astype(np.int16)
+        yield t, rows
+
+
+def classes_of(tokens: np.ndarray) -> np.ndarray:
+    """Ids of the model: -2, and -3 where nothing is predicted, as the end."""
+    return np.where(tokens < 0, END, tokens).astype(np.int64)
 
 
 def predicted(rows: np.ndarray) -> np.ndarray:
-    """The places of training windows that are predicted there, as text_windows has it: each token of a text once."""
+    """The places of training windows that are predicted there, as text_windows has it: each id of a text once."""
     return (rows > -3) & ((rows[:, :1] == -2) | (np.arange(WINDOW + 1) > WINDOW - FRESH))
 
 
-def attention_scores(model: Attention, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 probability of each text's subwords; classes: all texts' tokens in a row, lengths: tokens by text."""
-    first = np.cumsum(lengths) - lengths
-    inputs = np.concatenate([[1], classes[:-1]]) if len(classes) else classes
-    inputs[first] = 1
+def attention_scores(model: Attention, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of each text; tokens: all texts' ids in a row, lengths: their number by text."""
     out = np.zeros(len(lengths))
-    text, begin, scored = text_windows(lengths)
-    places = np.arange(WINDOW)
-    for at in range(0, len(text), TOGETHER):
-        t, b = text[at : at + TOGETHER], begin[at : at + TOGETHER]
-        index = first[t][:, None] + b[:, None] + places
-        real = (b[:, None] + places < lengths[t][:, None]) & (places >= scored[at : at + TOGETHER][:, None])
-        chosen = np.flatnonzero(real)
-        x = inputs[np.minimum(index, len(inputs) - 1)]
-        found = model.log10(x, classes[index.reshape(-1)[chosen]], chosen)
-        out += np.bincount(np.repeat(t, WINDOW)[chosen], weights=found, minlength=len(lengths))
+    for texts, windows in training_windows(tokens, lengths):
+        for at in range(0, len(windows), TOGETHER):
+            rows = windows[at : at + TOGETHER]
+            ids, chosen = classes_of(rows), np.flatnonzero(predicted(rows)[:, 1:])
+            found = model.log10(ids[:, :-1], ids[:, 1:].reshape(-1)[chosen], chosen)
+            out += np.bincount(texts[at : at + TOGETHER][chosen // WINDOW], weights=found, minlength=len(lengths))
     return out
 
 
-def _score(docs: DataFrame, pieces: list[bytes], inventory: Inventory, model: Attention, spelling: np.ndarray, top: tuple[np.ndarray, np.ndarray], new: float) -> DataFrame:
-    """One row for each text: sums over common words, the attention's sum, and the other words with what their join needs."""
-    shared = docs.sparkSession.sparkContext.broadcast((inventory, model.flat(), spelling, top))
+def _score(docs: DataFrame, pieces: list[bytes], model: Attention, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row for each text: the attention's sum, the base's over common words, and the other words to join."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.flat(), top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inventory, flat, spelling, (top_hash, top_count) = shared.value
-        model, table = Attention(flat), _hash_pieces(pieces)
-        sizes = np.maximum(inventory.tokens, 1)
+        flat, (top_hash, top_count) = shared.value
+        model, encoder = Attention(flat), Encoder(pieces)
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for lo, hi in slices(offsets, 1 << 20):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 words = Words(part, at, True)
                 n_texts = hi - lo
-                hashes, example, inverse, piece = _distinct(words, table)
-                kind = inventory.of(piece)
+                hashes, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
                 if len(top_hash) and len(hashes):
                     place = np.minimum(np.searchsorted(top_hash, hashes), len(top_hash) - 1)
                     common = top_hash[place] == hashes
@@ -394,17 +430,10 @@ def _score(docs: DataFrame, pieces: list[bytes], inventory: Inventory, model: At
                 else:
                     common, count = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
                 text = np.repeat(np.arange(n_texts), words.counts)
-                sums = np.append(0, np.cumsum(spelling[byte_triples(spaced(part, at))]))
-                # The subword's own spelling is paid for by the attention.
-                moved = text[example] + 1
-                spelled = sums[words.end[example] + moved + 1] - sums[words.start[example] + moved + inventory.lengths[kind]]
-                word_score = log10_sum((1 - new) * count / sizes[kind], math.log10(new) + spelled)
                 base = np.log10(count + 0.1)
                 own = common[inverse]
                 each = lambda values: np.bincount(text[own], weights=values[inverse[own]], minlength=n_texts).astype(float)  # noqa: B023, E731
-                lengths = words.counts + 1
-                tokens = np.insert(kind[inverse], np.cumsum(words.counts), 1)
-                attended = attention_scores(model, tokens, lengths)
+                tokens, lengths = text_ids(words, part, first, inverse, encoder)
                 key = text[~own] * len(hashes) + inverse[~own]
                 key, times = np.unique(key, return_counts=True)
                 which = key % max(1, len(hashes))
@@ -413,13 +442,13 @@ def _score(docs: DataFrame, pieces: list[bytes], inventory: Inventory, model: At
                 rest = batch.slice(lo, n_texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rest.column("row"), rest.column("doc_id"), rest.column("held_out"), pa.array(lengths), pa.array(each(np.ones(len(hashes))).astype(np.int64)), pa.array(each(base)), pa.array(attended + each(word_score)),
-                        listed(hashes[which].view(np.int64), pa.int64()), listed(times.astype(np.int32), pa.int32()), listed(((1 - new) / sizes[kind])[which], pa.float64()), listed(spelled[which], pa.float64()),
+                        rest.column("row"), rest.column("doc_id"), rest.column("held_out"), pa.array(words.counts + 1), pa.array(each(np.ones(len(hashes))).astype(np.int64)), pa.array(each(base)),
+                        pa.array(attention_scores(model, tokens, lengths)), listed(hashes[which].view(np.int64), pa.int64()), listed(times.astype(np.int32), pa.int32()),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "attended", "words", "times", "per_count", "spelled"],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"],
                 )
 
-    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, attended double, words array<long>, times array<int>, per_count array<double>, spelled array<double>")
+    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, times array<int>")
 
 
 def score_texts(docs: DataFrame, tokenizer_path: str, top: int = TOP) -> DataFrame:
@@ -431,31 +460,22 @@ def score_texts(docs: DataFrame, tokenizer_path: str, top: int = TOP) -> DataFra
     train = rows.where("NOT held_out").select("text")
     gathered = stored(_gather(train, pieces), "lm-gathered", partition_by="kind")
     counts = stored(gathered.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "lm-counts")
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    inventory = Inventory(pieces, _sum_arrays(gathered.where("kind = 1"), len(pieces) + 1))
-    spelling = spelling_model(_sum_arrays(gathered.where("kind = 2"), TRIPLES))
-    new = min(MOST_NEW, max(LEAST_NEW, (totals["once"] or 0) / n)) if n else MOST_NEW
     end = counts.where(f"key = {END_HASH}").first()
     ends = end["c"] if end else 0
-    model = _fit(gathered.where("kind = 3"), inventory, ends)
+    model = _fit(gathered.where("kind = 3"), _sum_arrays(gathered.where("kind = 1"), CLASSES))
     common = counts.where(f"key <> {END_HASH}").orderBy(F.desc("c"), "key").limit(top).toArrow()  # `top` pairs of numbers
     hashes, amounts = common.column("key").to_numpy().view(np.uint64), common.column("c").to_numpy()
     order = np.argsort(hashes)
     constant = math.log10(n + 0.1 * (v + 1)) if n else -1.0  # without training texts 0.1 / 0.1
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
-    scored = stored(_score(numbered, pieces, inventory, model, spelling, (hashes[order], amounts[order]), new), "lm-scored")
-    others = scored.where("size(words) > 0").select("row", F.explode(F.arrays_zip("words", "times", "per_count", "spelled")).alias("w")).select("row", F.col("w.words").alias("key"), F.col("w.times").alias("times"), F.col("w.per_count").alias("per_count"), F.col("w.spelled").alias("spelled"))
+    scored = stored(_score(numbered, pieces, model, (hashes[order], amounts[order])), "lm-scored")
+    others = scored.where("size(words) > 0").select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("key"), F.col("w.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     joined = others.join(counts, "key", "left")
-    # A spelling too unlikely for a double stands alone where nothing is counted, and adds nothing where something is.
-    word = F.when(c > 0, F.log10(F.col("per_count") * c + new * F.pow(F.lit(10.0), F.col("spelled")))).otherwise(F.col("spelled") + math.log10(new))
-    summed = joined.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(c + 0.1)).alias("more_base"),
-        F.sum(F.col("times") * word).alias("more_score"),
-    )
+    summed = joined.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(c + 0.1)).alias("more_base"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    out = scored.drop("words", "times", "per_count", "spelled").join(summed, "row", "left")
+    out = scored.drop("words", "times").join(summed, "row", "left")
     base = F.col("base") + zero("more_base") + math.log10(ends + 0.1) - F.col("n_tokens") * constant
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("attended") + zero("more_score")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -739,3 +739,84 @@ def test_lm_trains_on_every_token_and_end_once(spark):
     seen = collections.Counter(rows[lm.predicted(rows) & (np.arange(lm.WINDOW + 1) > 0)].tolist())
     at = {p: i for i, p in enumerate(pieces)}
     assert sum(seen.values()) == sum(len(words(t)) + 1 for t in texts) and seen[at[b"the"]] == 31 + 16 + 900 and seen[at[b"re"]] == 900
+
+
+def plain_ids(word, pieces):
+    """Subword ids of a word by the longest piece at each place; inside words from len(pieces) on."""
+    out, at = [], 0
+    while at < len(word):
+        n = next(n for n in range(lm.MAX_PIECE, 0, -1) if word[at : at + n] in pieces and len(word[at : at + n]) == n)
+        out.append(pieces[word[at : at + n]] + (len(pieces) if at else 0))
+        at += n
+    return out
+
+
+def test_lm_ids_spell_every_word():
+    """All words have ids of their own, of any script and length; no word is cut or shares a class."""
+    pieces = lm.pieces_of(queries.tokenizer_path())
+    assert len(pieces) == lm.PIECES == len(set(pieces)) and lm.GROUPS * lm.GROUP == lm.CLASSES
+    known = {p: k for k, p in enumerate(pieces)}
+    text = ["The there inner", "", "straße ωμέγα ЖЩ 한국어\tʼx\x00\x7f \x0b!?  a", "z" * 20_000 + " " + "the" * 700 + "q", " "]
+    data = "".join(text).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in text)])
+    array = np.frombuffer(data, np.uint8)
+    found = lm.Words(array, offsets, True)
+    _, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
+    tokens, lengths = lm.text_ids(found, array, first, inverse, lm.Encoder(pieces))
+    want = [[i for w in words(lower(t)) for i in plain_ids(w.encode(), known)] + [-2] for t in text]
+    assert tokens.tolist() == [i for ids in want for i in ids] and lengths.tolist() == [len(ids) for ids in want]
+
+
+def test_lm_chances_add_up_to_one():
+    model = lm.Attention()
+    x = np.random.default_rng(5).integers(0, lm.CLASSES, (1, lm.WINDOW))
+    for place in (0, 15, 16, 100):
+        each = model.log10(np.repeat(x, 9, axis=0), np.arange(lm.CLASSES), np.arange(lm.CLASSES) % 9 * lm.WINDOW + place)
+        assert math.isclose((10**each).sum(), 1, rel_tol=1e-5)
+    model.w["q"] *= 300  # logits beyond what single precision can hold as exponentials
+    large = model.log10(x, np.zeros(lm.WINDOW, int), np.arange(lm.WINDOW))
+    assert np.isfinite(large).all()
+
+
+def plain_subword_lm(texts, pieces, model):
+    """Scores by plain loops in double precision: every id is predicted from the ids before in its block and the one before."""
+    known = {p: k for k, p in enumerate(pieces)}
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    out = []
+    for t in texts:
+        y = [i for word in words(lower(t)) for i in plain_ids(word.encode(), known)] + [lm.END]
+        x, score = [lm.END, *y[:-1]], 0.0
+        for k in range(len(y)):
+            window = 0 if k < lm.WINDOW else (k - (lm.WINDOW - lm.FRESH)) // lm.FRESH * lm.FRESH
+            begin = max(window, window + ((k - window) // lm.BLOCK - 1) * lm.BLOCK)
+            h = w["e"][x[begin : k + 1]]
+            a = np.exp((h @ w["k"]) @ (h[-1] @ w["q"]) * lm.WIDTH**-0.5 + w["p"][np.arange(k - begin, -1, -1)])
+            made = h[-1] + (a / a.sum()) @ (h @ w["v"])
+            group, own = divmod(y[k], lm.GROUP)
+            for logits, at in ((made @ w["c"] + w["d"], group), (made @ w["u"][group] + w["b"][group], own)):
+                score += (logits[at] - np.log(np.exp(logits).sum())) / math.log(10)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("top", [5, 200_000])
+def test_lm_scores_subword_ids_by_plain_loops(spark, monkeypatch, top):
+    """Every id of every word is scored by attention: long, unknown and non-ASCII words, null and repeated ids, in any order of rows."""
+    rng = random.Random(4)
+    vocabulary = ["the", "there", "in", "Inner", "re", "straße", "ωμέγα", "zq", "a", "b", "한국어"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(90))) for _ in range(20)]
+    texts += ["z" * 200, "z" * 4_000, "the " + "q" * 700 + " in", "ж" * 40, "щ" * 40, "", None, " the\n", "the", "thex", "they"]
+    rows = [*enumerate(texts), (None, "the in"), (3, "there re")]
+    model = lm.Attention()
+    for name in "pbd":
+        model.w[name] = np.random.default_rng(1).standard_normal(model.w[name].shape).astype(np.float32)
+    monkeypatch.setattr(lm, "_fit", lambda *_: model)
+    want = plain_subword_lm([t or "" for _, t in rows], lm.pieces_of(queries.tokenizer_path()), model)
+    expected = sorted((str(i), s) for (i, _), s in zip(rows, want, strict=True))
+    for turned in (False, True):
+        docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string")
+        got = sorted((str(r["doc_id"]), r["score"]) for r in dicts(lm.score_texts(docs, queries.tokenizer_path(), top=top)))
+        assert [i for i, _ in got] == [i for i, _ in expected]
+        assert np.allclose([s for _, s in got], [s for _, s in expected], rtol=1e-5, atol=1e-4)
+    score = dict(zip(texts, want, strict=False))
+    assert len({round(score[t], 3) for t in ("ж" * 40, "щ" * 40, "the", "thex", "they")}) == 5
