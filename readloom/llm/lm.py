@@ -151,10 +151,10 @@ def _gather(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
                 for _, taken in training_windows(tokens, lengths):
                     cut = np.arange(len(taken) + 1, dtype=np.int32) * np.int32(taken.itemsize * (WINDOW + 1))
                     yield rows(3, np.arange(len(taken)), np.zeros(len(taken), np.int64), pa.Array.from_buffers(pa.binary(), len(taken), [None, pa.py_buffer(cut), pa.py_buffer(taken)]))
-                if held > 3_000_000:
+                if held > 1_000_000:
                     parts = [_merge_counts(parts)]
                     held = len(parts[0][0])
-                    if held > 2_000_000:
+                    if held > 700_000:
                         yield rows(0, *parts[0])
                         parts, held = [], 0
         if parts:

@@ -820,3 +820,10 @@ def test_lm_scores_subword_ids_by_plain_loops(spark, monkeypatch, top):
         assert np.allclose([s for _, s in got], [s for _, s in expected], rtol=1e-5, atol=1e-4)
     score = dict(zip(texts, want, strict=False))
     assert len({round(score[t], 3) for t in ("ж" * 40, "щ" * 40, "the", "thex", "they")}) == 5
+
+
+def test_lm_training_windows_are_few_rows(spark):
+    """A row holds hundreds of ids, so that a task does not sort and send millions of rows."""
+    docs = spark.createDataFrame([(" ".join(["the"] * 3_000),), (None,)], "text string")
+    windows = lm._gather(docs, lm.pieces_of(queries.tokenizer_path())).where("kind = 3")
+    assert windows.count() <= 20
