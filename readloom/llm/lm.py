@@ -245,8 +245,7 @@ class Attention:
         order = np.argsort(group.astype(np.uint8), kind="stable")
         cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
         picked = np.ones((len(at), WIDTH + 1), h.dtype)
-        rows, places = at[order] // WINDOW, at[order] % WINDOW
-        np.add(h[rows, places], mixed[rows, places], out=picked[:, :WIDTH])
+        picked[:, :WIDTH] = (h + mixed).reshape(-1, WIDTH)[at[order]]
         line = np.arange(len(at))
         inner = np.empty((len(at), GROUP), h.dtype)
         both = np.concatenate([w["u"], w["b"][:, None]], axis=1)
@@ -279,15 +278,15 @@ class Attention:
         for z, own, total in ((outer, y[order] // GROUP, sums[0]), (inner, y[order] % GROUP, sums[1])):
             z *= share / total
             z[line, own] -= share
-        g = {"u": np.zeros_like(w["u"]), "b": np.zeros_like(w["b"])}
-        both = picked.T @ outer
-        g["c"], g["d"] = both[:WIDTH], both[WIDTH]
-        back = outer @ w["c"].T
+        both, turned = picked.T @ outer, picked.T
+        g = {"c": both[:WIDTH], "d": both[WIDTH]}
+        both, back = np.zeros((GROUPS, WIDTH + 1, GROUP), outer.dtype), np.empty((len(at), WIDTH), outer.dtype)
         for i in np.flatnonzero(cut[1:] > cut[:-1]):
             some = slice(cut[i], cut[i + 1])
-            both = picked[some].T @ inner[some]
-            g["u"][i], g["b"][i] = both[:WIDTH], both[WIDTH]
-            back[some] += inner[some] @ w["u"][i].T
+            np.matmul(turned[:, some], inner[some], out=both[i])
+            np.matmul(inner[some], w["u"][i].T, out=back[some])
+        g["u"], g["b"] = both[:, :WIDTH], both[:, WIDTH]
+        back += outer @ w["c"].T
         dt = np.zeros((x.size, WIDTH), back.dtype)
         dt[at[order]] = back
         # The mean of da under a is that of the mixed values under dt.
@@ -325,9 +324,13 @@ class Attention:
             ids = classes_of(part)
             for name, g in self.gradients(ids[:, :-1], ids[:, 1:], predicted(part)[:, 1:]).items():
                 g = g.astype(np.float32, copy=False)
-                m[name] += np.float32(0.1) * (g - m[name])
-                s[name] += np.float32(0.01) * (g * g - s[name])
-                self.w[name] -= np.float32(rate / (1 - 0.9**step)) * m[name] / (np.sqrt(s[name] * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+                m[name] *= np.float32(0.9)
+                m[name] += g * np.float32(0.1)
+                s[name] *= np.float32(0.99)
+                s[name] += g * g * np.float32(0.01)
+                root = np.sqrt(s[name])
+                root += np.float32(1e-8)
+                self.w[name] -= m[name] / root * np.float32(rate * math.sqrt(1 - 0.99**step) / (1 - 0.9**step))
 
 
 def _fit(windows: DataFrame, used: np.ndarray) -> Attention:
@@ -349,6 +352,7 @@ def _fit(windows: DataFrame, used: np.ndarray) -> Attention:
         start = spark.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=STEP / (1 + k)) -> Iterator[pa.RecordBatch]:
+            np.empty(24 << 20, np.uint8)  # freed at once: from then on memory of smaller arrays is kept for the next ones
             # About WINDOWS_PER_TASK windows of 514 bytes; partitions are dealt by hash.
             raw = np.frombuffer(b"".join(b"".join(batch.column("data").to_pylist()) for batch in batches), np.int16).reshape(-1, WINDOW + 1)
             if len(raw):
