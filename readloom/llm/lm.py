@@ -40,6 +40,7 @@ GROUPS = GROUP = 45  # groups of ids and ids of each: CLASSES in all
 WIDTH, WINDOW, FRESH, BLOCK = 16, 256, 240, 16
 ROUNDS, WINDOWS_PER_TASK, BATCH, STEP, LEAST_STEPS = 3, 20_000, 16, 0.02, 150
 TOP = 200_000
+REMEMBERED = 200_000  # words whose ids a task keeps at most
 TOGETHER = 16  # windows computed at once: their arrays stay in a core's cache and in memory the process holds already
 END_HASH = -1  # the end token's key; a word's hash of this value is as unlikely as any other collision
 
@@ -54,7 +55,7 @@ def pieces_of(tokenizer_path: str) -> list[bytes]:
 
 
 class Encoder:
-    """Cuts words into pieces, longest first, by one walk of all bytes along a tree of the pieces."""
+    """Cuts words into pieces, longest first, by one walk of all bytes along a tree of the pieces; remembers words by their hashes."""
 
     def __init__(self, pieces: list[bytes]):
         nodes = {b"": 0} | {n: k for k, n in enumerate(sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)}), 2)}
@@ -66,6 +67,28 @@ class Encoder:
         self.next[:, 32] = 1  # no word holds a space
         for k, p in enumerate(pieces):
             self.piece[nodes[p]] = k
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known words in order, and their numbers
+        self.ids, self.begin = np.zeros(0, np.int16), np.zeros(1, np.int64)  # all ids in a row, and each number's first one
+
+    def numbers(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of these different words; ids[begin[k] : begin[k + 1]] are those of number k until words are forgotten."""
+        if len(self.hashes) > REMEMBERED:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out, new = np.empty(len(hashes), np.int64), np.flatnonzero(~known)
+        out[known] = self.place[at[known]]
+        if len(new):
+            out[new] = len(self.hashes) + np.arange(len(new))
+            ids, sizes = self.encode(data, start[new], end[new])
+            self.ids, self.begin = np.concatenate([self.ids, ids]), np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
+            self.hashes, self.place = np.append(self.hashes, hashes[new]), np.append(self.place, out[new])
+            order = np.argsort(self.hashes)
+            self.hashes, self.place = self.hashes[order], self.place[order]
+        return out
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at these bytes, in a row, and their number by word."""
@@ -110,17 +133,32 @@ _LOWER[65:91] += 32
 
 def text_ids(words: Words, data: np.ndarray, first: np.ndarray, inverse: np.ndarray, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids in a row, each text's with -2 as its end, and their number by text; first and inverse: of the distinct words."""
-    ids, numbers = encoder.encode(_LOWER[data], words.start[first], words.end[first])
-    ids, numbers = np.append(ids, np.int16(-2)), np.append(numbers, 1)
-    begin = np.cumsum(numbers) - numbers
+    numbers = encoder.numbers(words.hash[first], _LOWER[data], words.start[first], words.end[first])
+    ids, starts = np.append(encoder.ids, np.int16(-2)), encoder.begin[np.append(numbers, -1)]
+    sizes = np.append(np.diff(encoder.begin)[numbers], 1)
     ends = np.cumsum(words.counts)
-    order = np.insert(inverse, ends, len(numbers) - 1)
-    size = numbers[order]
+    order = np.insert(inverse, ends, len(numbers))
+    size = sizes[order]
     after = np.cumsum(size)
-    tokens = ids[np.repeat(begin[order] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+    tokens = ids[np.repeat(starts[order] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
     return tokens, np.diff(np.append(0, after[ends + np.arange(len(ends))]))
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in order, a place of each, and the number of each one among them."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(hashes)]
+    inverse = np.empty(len(hashes), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
+def keep_memory() -> None:
+    """Numbers of some megabytes taken and freed once: from then on the process keeps memory of smaller arrays for the next ones."""
+    np.empty(24 << 20, np.uint8)
+
+
 def _merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return keys, np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
@@ -130,6 +168,7 @@ def _gather(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
     """Of the training texts: kind 0 word counts (key, n); 1 counts of ids; 3 windows of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         encoder = Encoder(pieces)
         parts, held, ends = [], 0, 0
         used = np.zeros(CLASSES, np.int64)
@@ -143,7 +182,7 @@ def _gather(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
             for lo, hi in slices(offsets, 1 << 20):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 words = Words(part, at, True)
-                hashes, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+                hashes, first, inverse = distinct(words.hash)
                 parts.append((hashes, np.bincount(inverse, minlength=len(hashes))))
                 held += len(hashes)
                 tokens, lengths = text_ids(words, part, first, inverse, encoder)
@@ -182,33 +221,34 @@ def _sum_arrays(rows: DataFrame, size: int) -> np.ndarray:
     return np.sum([np.frombuffer(r["data"], np.int64) for r in found], axis=0) if found else np.zeros(size, np.int64)
 
 
-def exponentials(z: np.ndarray, *chosen: np.ndarray) -> np.ndarray:
-    """Turn logits in place to exponentials in proportion along the last axis; returns the chosen logits that these stand for."""
+def exponentials(z: np.ndarray) -> None:
+    """Turn logits in place to exponentials in proportion along the last axis."""
     if z.size and max(z.max(), -z.min()) > 60:  # single precision holds exp(60) and sums of it
         z -= z.max(axis=-1, keepdims=True)
-    own = z[chosen] if chosen else z[:0]
     np.exp(z, out=z)
-    return own
 
 
 class Attention:
-    """One masked attention head over subword ids with learned distances, a residual and a softmax over groups, then ids of a group."""
+    """One masked attention head over subword ids with learned distances, a residual and a softmax over groups, then ids of a group.
+
+    Keys and values depend on single ids, so windows and texts are computed as one stream of blocks, of which `first` begin one.
+    """
 
     SHAPES = {"e": (CLASSES, WIDTH), "p": (2 * BLOCK,), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "c": (WIDTH, GROUPS), "d": (GROUPS,), "u": (GROUPS, WIDTH, GROUP), "b": (GROUPS, GROUP)}
     #: Distance of each of two blocks' places from each place of the second; below 0 for later places.
     AWAY = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
 
-    #: The places that each place of each block of a window sees; nothing stands before the first block.
-    SEEN = np.repeat((AWAY >= 0).astype(np.float32)[None], WINDOW // BLOCK, axis=0)
-    SEEN[0, :, :BLOCK] = 0
-
     def __init__(self, flat: np.ndarray | None = None):
         rng = np.random.default_rng(3)
-        self.w, at = {}, 0
-        for name, shape in self.SHAPES.items():
-            n = math.prod(shape)
-            self.w[name] = (rng.standard_normal(shape) * (0 if name in "bdp" else 0.2) if flat is None else flat[at : at + n].reshape(shape)).astype(np.float32)
-            at += n
+        if flat is None:
+            flat = np.concatenate([rng.standard_normal(math.prod(shape)) * (0 if name in "bdp" else 0.2) for name, shape in self.SHAPES.items()])
+        self.w = self.named(flat.astype(np.float32))
+
+    @classmethod
+    def named(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of one array of all weights by name."""
+        ends = np.cumsum([math.prod(shape) for shape in cls.SHAPES.values()])
+        return {name: part.reshape(shape) for (name, shape), part in zip(cls.SHAPES.items(), np.split(flat, ends[:-1]), strict=True)}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[n].reshape(-1) for n in self.SHAPES]).astype(np.float64)
@@ -217,120 +257,147 @@ class Attention:
         """The three projections side by side, so that one product makes queries (scaled), keys and values."""
         return np.concatenate([self.w["q"] * np.float32(WIDTH**-0.5), self.w["k"], self.w["v"]], axis=1)
 
-    def distances(self) -> np.ndarray:
-        """What is added to a block's attention logits."""
-        return self.w["p"][np.maximum(self.AWAY, 0)]
+    def heads(self) -> np.ndarray:
+        """For each group the weights of all groups and of its ids side by side, with the added constants as the last row."""
+        w = self.w
+        out = np.empty((GROUPS, WIDTH + 1, GROUPS + GROUP), w["c"].dtype)
+        out[:, :WIDTH, :GROUPS], out[:, WIDTH, :GROUPS] = w["c"], w["d"]
+        out[:, :WIDTH, GROUPS:], out[:, WIDTH, GROUPS:] = w["u"], w["b"]
+        return out
+
+    def attend(self, x: np.ndarray, first: np.ndarray):
+        """Embeddings, queries, keys, values and a one, weights in proportion, mixed values and the weights' sums."""
+        blocks = len(x) // BLOCK
+        h = np.take(self.w["e"], x, axis=0)
+        made = np.empty((BLOCK + len(x), 3 * WIDTH + 1), h.dtype)
+        made[:BLOCK], made[:, -1] = 0, 1
+        np.matmul(h, self.projections(), out=made[BLOCK:, :-1])
+        # A block's keys and values are those of the block before and its own.
+        line, item = made.strides
+        pairs = np.ndarray((blocks, 2 * BLOCK, made.shape[1]), made.dtype, made, strides=(BLOCK * line, line, item))
+        q, k, v = pairs[:, BLOCK:, :WIDTH], pairs[..., WIDTH : 2 * WIDTH], pairs[..., 2 * WIDTH :]
+        a = np.matmul(q, k.swapaxes(1, 2))
+        away, seen = self.w["p"][np.maximum(self.AWAY, 0)], self.AWAY >= 0
+        if max(a.max(), -a.min()) + np.abs(away).max() > 60:
+            a += away
+            a[:, ~seen] = -1e9
+            a[first, :, :BLOCK] = -1e9
+            exponentials(a)
+        else:
+            np.exp(a, out=a)
+            a *= np.exp(away) * seen
+            a[first, :, :BLOCK] = 0
+        mixed = np.matmul(a, v).reshape(-1, WIDTH + 1)
+        mixed[:, :WIDTH] /= mixed[:, WIDTH:]
+        return h, q, k, v, a, mixed
 
     def forward(self, x: np.ndarray):
-        n, blocks = len(x), WINDOW // BLOCK
-        h = np.zeros((n, BLOCK + WINDOW, WIDTH), self.w["e"].dtype)
-        h[:, BLOCK:] = np.take(self.w["e"], x, axis=0)
-        made = (h.reshape(-1, WIDTH) @ self.projections()).reshape(n, BLOCK + WINDOW, 3 * WIDTH)
-        q = made[:, BLOCK:, :WIDTH].reshape(n, blocks, BLOCK, WIDTH)
-        # A block's keys and values are those of the block before and its own.
-        pairs = np.lib.stride_tricks.sliding_window_view(made, 2 * BLOCK, axis=1)[:, ::BLOCK].swapaxes(2, 3)
-        k, v = pairs[..., WIDTH : 2 * WIDTH], pairs[..., 2 * WIDTH :]
-        a = np.matmul(q, k.swapaxes(2, 3))
-        a += self.distances()
-        if max(a.max(), -a.min()) > 60:
-            a[:, self.SEEN == 0] = -1e9
-        exponentials(a)
-        a *= self.SEEN
-        a /= (a.reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), a.dtype)).reshape(n, blocks, BLOCK, 1)
-        return h[:, BLOCK:], q, k, v, a, np.matmul(a, v).reshape(n, WINDOW, WIDTH)
+        """The parts of `attend` for windows, with the mixed values last."""
+        *parts, mixed = self.attend(x.reshape(-1), np.arange(len(x)) * (x.shape[1] // BLOCK))
+        return *parts, mixed[:, :WIDTH].reshape(*x.shape, WIDTH)
 
     def logits(self, h: np.ndarray, mixed: np.ndarray, y: np.ndarray, at: np.ndarray):
-        """The places `at` by groups of their ids y: their order, where each group begins, values with a one behind, exponentials over groups and over the ids of the own group with their sums, and log P(y)."""
-        w, group = self.w, y // GROUP
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        picked = np.ones((len(at), WIDTH + 1), h.dtype)
-        picked[:, :WIDTH] = (h + mixed).reshape(-1, WIDTH)[at[order]]
-        line = np.arange(len(at))
-        inner = np.empty((len(at), GROUP), h.dtype)
-        both = np.concatenate([w["u"], w["b"][:, None]], axis=1)
+        """The places `at` by groups of their ids y: their order, those ids, where each group begins, values with a one behind, the heads, and logits over groups and over the ids of the own group."""
+        order = np.argsort((y // GROUP).astype(np.uint8), kind="stable")
+        y = y[order]
+        cut = np.searchsorted(y, np.arange(GROUPS + 1) * GROUP)
+        made = np.empty_like(mixed)
+        made[:, WIDTH] = 1
+        np.add(h, mixed[:, :WIDTH], out=made[:, :WIDTH])
+        picked, heads = np.take(made, at[order], axis=0), self.heads()
+        z = np.empty((len(at), GROUPS + GROUP), h.dtype)
         for g in np.flatnonzero(cut[1:] > cut[:-1]):
-            np.matmul(picked[cut[g] : cut[g + 1]], both[g], out=inner[cut[g] : cut[g + 1]])
-        outer = picked @ np.concatenate([w["c"], w["d"][None]])
-        log_p, sums = 0, []
-        for z, own in ((outer, group[order]), (inner, (y % GROUP)[order])):
-            chosen = exponentials(z, line, own)
-            sums.append(z @ np.ones((z.shape[1], 1), z.dtype))
-            log_p = log_p + chosen - np.log(sums[-1][:, 0])
-        return order, cut, picked, (outer, inner), sums, log_p
-
-    def log10(self, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 P(y) at the flat places `at` of a batch of windows x."""
-        h, *_, mixed = self.forward(x)
-        order, *_, log_p = self.logits(h, mixed, y, at)
+            np.matmul(picked[cut[g] : cut[g + 1]], heads[g], out=z[cut[g] : cut[g + 1]])
+        return order, y, cut, picked, heads, z
+
+    @staticmethod
+    def chosen(y: np.ndarray) -> np.ndarray:
+        """Where the logits of ids y stand among all logits: that of the group, that of the id of it."""
+        line = np.arange(len(y)) * (GROUPS + GROUP)
+        return np.stack([line + y // GROUP, line + GROUPS + y % GROUP])
+
+    def log10(self, x: np.ndarray, y: np.ndarray, at: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """log10 P(y) at the flat places `at` of a batch of windows x, or of a stream."""
+        h, *_, mixed = self.attend(x.reshape(-1), np.arange(len(x)) * (x.shape[1] // BLOCK) if first is None else first)
+        order, y, *_, z = self.logits(h, mixed, y, at)
+        parts = z.reshape(-1, GROUP)
+        if z.size and max(z.max(), -z.min()) > 60:
+            parts -= parts.max(axis=1, keepdims=True)
+        own = z.reshape(-1)[self.chosen(y)].sum(axis=0, dtype=np.float64)
+        np.exp(z, out=z)
         out = np.empty(len(at))
-        out[order] = log_p
+        out[order] = own - np.log(parts @ np.ones(GROUP, z.dtype)).reshape(-1, 2).sum(axis=1, dtype=np.float64)
         return out / math.log(10)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean loss over the real places; only these get logits."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, first: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss over the real places of windows or a stream; only these get logits."""
         w, at = self.w, np.flatnonzero(real)
         share = np.float32(1 / max(1, len(at)))
-        h, q, k, v, a, mixed = self.forward(x)
-        y = y.reshape(-1)[at]
-        order, cut, picked, (outer, inner), sums, _ = self.logits(h, mixed, y, at)
-        line = np.arange(len(at))
-        for z, own, total in ((outer, y[order] // GROUP, sums[0]), (inner, y[order] % GROUP, sums[1])):
-            z *= share / total
-            z[line, own] -= share
-        both, turned = picked.T @ outer, picked.T
-        g = {"c": both[:WIDTH], "d": both[WIDTH]}
-        both, back = np.zeros((GROUPS, WIDTH + 1, GROUP), outer.dtype), np.empty((len(at), WIDTH), outer.dtype)
+        first = np.arange(len(x)) * (x.shape[1] // BLOCK) if first is None else first
+        x = x.reshape(-1)
+        h, q, k, v, a, mixed = self.attend(x, first)
+        order, y, cut, picked, heads, z = self.logits(h, mixed, y.reshape(-1)[at], at)
+        parts = z.reshape(-1, GROUP)
+        exponentials(parts)
+        parts *= share / (parts @ np.ones((GROUP, 1), z.dtype))
+        z.reshape(-1)[self.chosen(y)] -= share
+        both, back, turned = np.zeros_like(heads), np.empty((len(at), WIDTH), z.dtype), picked.T
         for i in np.flatnonzero(cut[1:] > cut[:-1]):
             some = slice(cut[i], cut[i + 1])
-            np.matmul(turned[:, some], inner[some], out=both[i])
-            np.matmul(inner[some], w["u"][i].T, out=back[some])
-        g["u"], g["b"] = both[:, :WIDTH], both[:, WIDTH]
-        back += outer @ w["c"].T
-        dt = np.zeros((x.size, WIDTH), back.dtype)
+            np.matmul(turned[:, some], z[some], out=both[i])
+            np.matmul(z[some], heads[i, :WIDTH].T, out=back[some])
+        shared = both[:, :, :GROUPS].sum(axis=0)
+        g = {"c": shared[:WIDTH], "d": shared[WIDTH], "u": both[:, :WIDTH, GROUPS:], "b": both[:, WIDTH, GROUPS:]}
+        dt = np.zeros((len(x), WIDTH), z.dtype)
         dt[at[order]] = back
-        # The mean of da under a is that of the mixed values under dt.
-        blocked = dt.reshape(q.shape)
-        ds = np.matmul(blocked, v.swapaxes(2, 3))
-        ds -= (blocked * mixed.reshape(q.shape)).sum(axis=3, keepdims=True)
+        # The mean of da under a is that of the mixed values under dt; the weights' sums divide dt, not the weights.
+        da = np.empty_like(mixed)
+        np.divide(dt, mixed[:, WIDTH:], out=da[:, :WIDTH])
+        np.matmul(da[:, :WIDTH] * mixed[:, :WIDTH], np.full((WIDTH, 1), -1, z.dtype), out=da[:, WIDTH:])
+        da = da.reshape(-1, BLOCK, WIDTH + 1)
+        ds = np.matmul(da, v.swapaxes(1, 2))
         ds *= a
-        g["p"] = np.bincount(np.maximum(self.AWAY, 0).reshape(-1), weights=ds.sum(axis=(0, 1)).reshape(-1), minlength=2 * BLOCK)
-        d = np.zeros((len(x), BLOCK + WINDOW, 3 * WIDTH), back.dtype)
-        d[:, BLOCK:, :WIDTH] = np.matmul(ds, k).reshape(len(x), WINDOW, WIDTH)
-        for place, part in ((slice(WIDTH, 2 * WIDTH), np.matmul(ds.swapaxes(2, 3), q)), (slice(2 * WIDTH, None), np.matmul(a.swapaxes(2, 3), blocked))):
-            d[:, BLOCK:, place] = part[:, :, BLOCK:].reshape(len(x), WINDOW, WIDTH)
-            d[:, :WINDOW, place] += part[:, :, :BLOCK].reshape(len(x), WINDOW, WIDTH)
-        d = d[:, BLOCK:].reshape(-1, 3 * WIDTH)
-        g["q"], g["k"], g["v"] = np.split(h.reshape(-1, WIDTH).T @ d, 3, axis=1)
+        g["p"] = np.bincount(np.maximum(self.AWAY, 0).reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=2 * BLOCK)
+        d = np.empty((len(ds) + 1, BLOCK, 3 * WIDTH), z.dtype)
+        np.matmul(ds, k, out=d[1:, :, :WIDTH])
+        for place, left, right in ((slice(WIDTH, 2 * WIDTH), ds, q), (slice(2 * WIDTH, None), a, da[..., :WIDTH])):
+            np.matmul(left[..., BLOCK:].swapaxes(1, 2), right, out=d[1:, :, place])
+            d[1:-1, :, place] += np.matmul(left[1:, :, :BLOCK].swapaxes(1, 2), right[1:])
+        d = d[1:].reshape(-1, 3 * WIDTH)
+        g["q"], g["k"], g["v"] = np.split(h.T @ d, 3, axis=1)
         g["q"] = g["q"] * np.float32(WIDTH**-0.5)
-        dh = dt + d @ self.projections().T
+        dt += d @ self.projections().T
         # Rows of one id are sorted together and added at once.
-        classes = x.reshape(-1).astype(np.int16)
-        order = np.argsort(classes, kind="stable")
-        ordered = classes[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        order = np.argsort(x.astype(np.int16, copy=False), kind="stable")
+        ordered = x[order]
+        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         g["e"] = np.zeros_like(w["e"])
-        g["e"][ordered[first]] = np.add.reduceat(dh[order], first, axis=0)
+        g["e"][ordered[begin]] = np.add.reduceat(np.take(dt, order, axis=0), begin, axis=0)
         return g
 
     def train(self, rows: np.ndarray, rate: float) -> None:
         """Adam over windows (rows, WINDOW + 1), again and again if they are few."""
-        m = {n: np.zeros_like(v) for n, v in self.w.items()}
-        s = {n: np.zeros_like(v) for n, v in self.w.items()}
+        flat = self.flat().astype(np.float32)
+        self.w = self.named(flat)
+        g, m, s, root = np.empty_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+        into = self.named(g)
         each = -(-len(rows) // BATCH)
         for step in range(1, max(each, LEAST_STEPS) + 1):
             at = (step - 1) % each * BATCH
-            part = rows[at : at + BATCH]
-            ids = classes_of(part)
-            for name, g in self.gradients(ids[:, :-1], ids[:, 1:], predicted(part)[:, 1:]).items():
-                g = g.astype(np.float32, copy=False)
-                m[name] *= np.float32(0.9)
-                m[name] += g * np.float32(0.1)
-                s[name] *= np.float32(0.99)
-                s[name] += g * g * np.float32(0.01)
-                root = np.sqrt(s[name])
-                root += np.float32(1e-8)
-                self.w[name] -= m[name] / root * np.float32(rate * math.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+            for name, part in self.gradients(*stream(rows[at : at + BATCH])).items():
+                into[name][...] = part
+            m *= np.float32(0.9)
+            np.multiply(g, np.float32(0.1), out=root)
+            m += root
+            s *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            s += g
+            np.sqrt(s, out=root)
+            root += np.float32(1e-8)
+            np.divide(m, root, out=root)
+            root *= np.float32(rate * math.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+            flat -= root
 
 
 def _fit(windows: DataFrame, used: np.ndarray) -> Attention:
@@ -352,7 +419,7 @@ def _fit(windows: DataFrame, used: np.ndarray) -> Attention:
         start = spark.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, rate=STEP / (1 + k)) -> Iterator[pa.RecordBatch]:
-            np.empty(24 << 20, np.uint8)  # freed at once: from then on memory of smaller arrays is kept for the next ones
+            keep_memory()
             # About WINDOWS_PER_TASK windows of 514 bytes; partitions are dealt by hash.
             raw = np.frombuffer(b"".join(b"".join(batch.column("data").to_pylist()) for batch in batches), np.int16).reshape(-1, WINDOW + 1)
             if len(raw):
@@ -393,7 +460,7 @@ def training_windows(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[
 
 def classes_of(tokens: np.ndarray) -> np.ndarray:
     """Ids of the model: -2, and -3 where nothing is predicted, as the end."""
-    return np.where(tokens < 0, END, tokens).astype(np.int64)
+    return np.where(tokens < 0, tokens.dtype.type(END), tokens)
 
 
 def predicted(rows: np.ndarray) -> np.ndarray:
@@ -401,16 +468,28 @@ def predicted(rows: np.ndarray) -> np.ndarray:
     return (rows > -3) & ((rows[:, :1] == -2) | (np.arange(WINDOW + 1) > WINDOW - FRESH))
 
 
+def stream(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Training windows as a stream without their empty blocks: ids, ids that follow, where these are predicted, and the blocks that begin a window."""
+    used = (rows[:, 1::BLOCK] > -3).reshape(-1)
+    x, y, real = (part.reshape(-1, BLOCK)[used].reshape(-1) for part in (rows[:, :-1], rows[:, 1:], predicted(rows)[:, 1:]))
+    return classes_of(x), classes_of(y), real, np.flatnonzero((np.arange(len(used)) % (WINDOW // BLOCK) == 0)[used])
+
+
 def attention_scores(model: Attention, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each text; tokens: all texts' ids in a row, lengths: their number by text."""
-    out = np.zeros(len(lengths))
-    for texts, windows in training_windows(tokens, lengths):
-        for at in range(0, len(windows), TOGETHER):
-            rows = windows[at : at + TOGETHER]
-            ids, chosen = classes_of(rows), np.flatnonzero(predicted(rows)[:, 1:])
-            found = model.log10(ids[:, :-1], ids[:, 1:].reshape(-1)[chosen], chosen)
-            out += np.bincount(texts[at : at + TOGETHER][chosen // WINDOW], weights=found, minlength=len(lengths))
-    return out
+    y = classes_of(tokens)
+    blocks = -(-lengths // BLOCK)
+    begin = np.cumsum(blocks) - blocks
+    place = np.arange(len(y)) + np.repeat(begin * BLOCK - (np.cumsum(lengths) - lengths), lengths)
+    x = np.full(int(blocks.sum()) * BLOCK, END, y.dtype)
+    x[place[1:]] = y[:-1]  # before a text's first id stands an end, the one of the text before
+    found = np.empty(len(y))
+    for lo in range(0, len(x), TOGETHER * WINDOW):
+        start = max(0, lo - BLOCK)  # the block before is seen, not scored
+        some = slice(*np.searchsorted(place, [lo, lo + TOGETHER * WINDOW]))
+        first = begin[slice(*np.searchsorted(begin * BLOCK, [start, lo + TOGETHER * WINDOW]))] - start // BLOCK
+        found[some] = model.log10(x[start : lo + TOGETHER * WINDOW], y[some], place[some] - start, np.append(first, 0))
+    return np.add.reduceat(found, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
 
 
 def _score(docs: DataFrame, pieces: list[bytes], model: Attention, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -418,6 +497,7 @@ def _score(docs: DataFrame, pieces: list[bytes], model: Attention, top: tuple[np
     shared = docs.sparkSession.sparkContext.broadcast((model.flat(), top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         flat, (top_hash, top_count) = shared.value
         model, encoder = Attention(flat), Encoder(pieces)
         for batch in batches:
@@ -426,7 +506,7 @@ def _score(docs: DataFrame, pieces: list[bytes], model: Attention, top: tuple[np
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 words = Words(part, at, True)
                 n_texts = hi - lo
-                hashes, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+                hashes, first, inverse = distinct(words.hash)
                 if len(top_hash) and len(hashes):
                     place = np.minimum(np.searchsorted(top_hash, hashes), len(top_hash) - 1)
                     common = top_hash[place] == hashes

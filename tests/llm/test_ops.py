@@ -822,6 +822,51 @@ def test_lm_scores_subword_ids_by_plain_loops(spark, monkeypatch, top):
     assert len({round(score[t], 3) for t in ("ж" * 40, "щ" * 40, "the", "thex", "they")}) == 5
 
 
+def test_lm_computes_each_block_once(monkeypatch):
+    """No empty block of a window is computed, in scoring no block twice but one at each cut; cuts and memory of words change nothing."""
+    model, rng, seen = lm.Attention(), np.random.default_rng(8), []
+    model.w["p"][:] = rng.standard_normal(2 * lm.BLOCK)
+    lengths = np.array([1, 16, 17, 240, 256, 257, 900, 2, 5_000])
+    tokens = rng.integers(0, lm.CLASSES - 1, lengths.sum()).astype(np.int16)
+    tokens[np.cumsum(lengths) - 1] = -2
+    rows = np.concatenate([r for _, r in lm.training_windows(tokens, lengths)])
+    whole = [lm.classes_of(rows)[:, :-1], lm.classes_of(rows)[:, 1:], lm.predicted(rows)[:, 1:]]
+    at = np.flatnonzero(whole[2])
+    want = np.add.reduceat(model.log10(whole[0], whole[1].reshape(-1)[at], at), np.cumsum(lengths) - lengths)
+    both = model.gradients(*whole), model.gradients(*lm.stream(rows))
+    for name in lm.Attention.SHAPES:
+        assert np.allclose(both[0][name], both[1][name], rtol=1e-4, atol=1e-7), name
+    attend = lm.Attention.attend
+    monkeypatch.setattr(lm.Attention, "attend", lambda self, x, first: seen.append(len(x)) or attend(self, x, first))
+    for together in (1, 16):
+        seen.clear()
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        assert np.allclose(lm.attention_scores(model, tokens, lengths), want, rtol=1e-5)
+        assert sum(seen) == lm.BLOCK * ((-(-lengths // lm.BLOCK)).sum() + len(seen) - 1)
+    assert len(lm.attention_scores(model, tokens[:0], lengths[:0])) == 0
+    seen.clear()
+    model.gradients(*lm.stream(rows))
+    assert sum(seen) == lm.BLOCK * (rows[:, 1 :: lm.BLOCK] > -3).sum() < 0.9 * rows[:, 1:].size
+
+
+def test_lm_remembers_words(monkeypatch):
+    """A word's ids are the same when met first, when known and after words were forgotten."""
+    encoder, texts = lm.Encoder(lm.pieces_of(queries.tokenizer_path())), ["the there zq", "", "Zq straße the", "in there " * 9, "the"]
+    cut = []
+    monkeypatch.setattr(lm.Encoder, "encode", lambda self, data, start, end, old=lm.Encoder.encode: cut.append(len(start)) or old(self, data, start, end))
+
+    def ids(text, known):
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = lm.Words(data, np.array([0, len(data)]), True)
+        return lm.text_ids(found, data, *lm.distinct(found.hash)[1:], known)[0].tolist()
+
+    want = [ids(t, lm.Encoder(lm.pieces_of(queries.tokenizer_path()))) for t in texts]
+    cut.clear()
+    assert [ids(t, encoder) for t in texts] == want and cut == [3, 1, 1]
+    monkeypatch.setattr(lm, "REMEMBERED", 2)
+    assert [ids(t, encoder) for t in texts] == want and cut == [3, 1, 1, 3, 3, 2, 1]
+
+
 def test_lm_training_windows_are_few_rows(spark):
     """A row holds hundreds of ids, so that a task does not sort and send millions of rows."""
     docs = spark.createDataFrame([(" ".join(["the"] * 3_000),), (None,)], "text string")
