@@ -5,11 +5,11 @@ public vocabulary that fits; every single byte is a piece, so that any word of a
 word and pieces inside one have ids of their own, so ids tell words apart. The model is
     P(text) = product over ids of P(id | ids before, by attention),
 where an id is predicted as its group of ids, then as one of the group.
-1. One pass over the training texts counts words and ids (all texts, all words), and emits the same overlapping windows of ids
-   that scoring uses, so that every id and every end is predicted once.
+1. One pass over the training texts counts words and ids (all texts, all words), and emits overlapping windows of ids, in which
+   every id and every end is predicted once, from the same ids before as in scoring.
 2. The attention model is trained in numpy by local steps in every partition of windows; after each round Spark
    averages the partitions' weights. Every window is trained on in one of the rounds.
-3. A second pass scores each text whole: overlapping windows, batched masked attention, each id scored once.
+3. A second pass scores each text whole, as blocks in a row: batched masked attention, each id scored once.
    For the base score, the counts of the TOP most common words are broadcast (a fixed bound); all other words are joined by hash.
 
 Attention goes by blocks: an id sees the BLOCK ids of the block before and those up to itself in its own, at learned distances.
@@ -40,7 +40,7 @@ GROUPS = GROUP = 45  # groups of ids and ids of each: CLASSES in all
 WIDTH, WINDOW, FRESH, BLOCK = 16, 256, 240, 16
 ROUNDS, WINDOWS_PER_TASK, BATCH, STEP, LEAST_STEPS = 3, 20_000, 16, 0.02, 150
 TOP = 200_000
-REMEMBERED = 200_000  # words whose ids a task keeps at most
+REMEMBERED = 500_000  # words whose ids a task keeps at most
 TOGETHER = 16  # windows computed at once: their arrays stay in a core's cache and in memory the process holds already
 END_HASH = -1  # the end token's key; a word's hash of this value is as unlikely as any other collision
 
