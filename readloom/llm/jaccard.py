@@ -1,7 +1,8 @@
 """N-gram Jaccard join by a token-group matrix (operator 8).
 
 1. One pass hashes each document's distinct 5-word shingles (tokens) to a fingerprint, so that equal sets become one
-   representative, and counts tokens in runs of documents. Tokens counted twice in a run are summed; the FREQUENT most
+   representative, and counts tokens. Those of the least hashes, from which prefixes are taken, are counted over all documents
+   (four bytes each are shuffled); those of other hashes where a run of documents holds them twice. The FREQUENT most
    frequent of them come last in the global order of tokens, by count; all other tokens come first, by hash.
 2. Two sets at the threshold share one of the first n - ceil(t n) + 1 tokens of each (their prefixes). A second pass
    emits prefixes; those of their tokens that two sets share at least form the rows of the matrix.
@@ -42,7 +43,10 @@ from readloom.llm.words import Words, mix, sequence_hash, windows
 
 WORDS, PERCENT = 5, 80
 #: Tokens of which the order knows a count (broadcast, 16 bytes each), and tokens of a run of documents that is counted at once.
-FREQUENT, RUN = 1 << 18, 1 << 20
+FREQUENT, RUN = 1 << 20, 1 << 20
+#: Low bits of a hash that its count does without, and bits within one of 2^12 ranges; the first LOW ranges are counted over all documents,
+#: and the order knows such tokens that over KNOWN sets hold. A prefix is a fifth of a set, so a third of all hashes leaves room for others.
+DROPPED, WITHIN, LOW, KNOWN = 24, 28, 1365, 8
 #: Sets that may hold a token before they are grouped around leaders; rounds of leaders before what is left is paired as in step 3.
 CROWD, ROUNDS = 32, 8
 #: Percent of Jaccard similarity to the leader from which on a set belongs to its group.
@@ -81,13 +85,25 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def _profile(texts: DataFrame) -> DataFrame:
-    """doc_id, h (the text's hash), n, fp of each document; and token, times of the tokens that a run of documents holds twice at least."""
-    names = ["doc_id", "h", "n", "fp", "token", "times"]
-
-    def counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        t, times = np.unique(np.concatenate(tokens), return_counts=True)
-        t, times = t[times > 1], times[times > 1]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(t), pa.int64()) for _ in range(4)), pa.array(t.view(np.int64)), pa.array(times)], names)
+    """doc_id, h (the text's hash), n, fp of each document; range, ids (four bytes each) of tokens in the first LOW ranges; and token,
+    times of other tokens that a run of documents holds twice at least. Tokens are without their DROPPED bits."""
+    types = {"doc_id": pa.int64(), "h": pa.int64(), "n": pa.int64(), "fp": pa.int64(), "range": pa.int32(), "ids": pa.binary(), "token": pa.int64(), "times": pa.int64()}
+
+    def batch_of(**columns: pa.Array) -> pa.RecordBatch:
+        k = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(k, t)) for c, t in types.items()], list(types))
+
+    def counted(tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t = np.concatenate(tokens) >> np.uint64(DROPPED)
+        t.sort()
+        low = np.searchsorted(t, np.uint64(LOW << WITHIN))
+        ranges = (t[:low] >> np.uint64(WITHIN)).astype(np.int32)
+        first = np.flatnonzero(np.diff(ranges, prepend=-1))
+        data = (t[:low] & np.uint64((1 << WITHIN) - 1)).astype("<u4").tobytes()
+        ids = [data[4 * i : 4 * j] for i, j in zip(first.tolist(), [*first[1:].tolist(), low], strict=False)]
+        yield batch_of(range=pa.array(ranges[first]), ids=pa.array(ids, pa.binary()))
+        t, times = np.unique(t[low:], return_counts=True)
+        yield batch_of(token=pa.array(t[times > 1].view(np.int64)), times=pa.array(times[times > 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held, seen = [], 0, set()
@@ -100,34 +116,67 @@ def _profile(texts: DataFrame) -> DataFrame:
                     tokens.append(s)
                     held += len(s)
                 if held > RUN:
-                    yield counted(tokens)
-                    tokens, held, seen = [], 0, set()
-            k = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(ns), pa.array(fps), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+                    yield from counted(tokens)
+                    tokens, held = [], 0
+            yield batch_of(doc_id=batch.column("doc_id"), h=batch.column("h"), n=pa.array(ns), fp=pa.array(fps))
         if tokens:
-            yield counted(tokens)
+            yield from counted(tokens)
+
+    return texts.mapInArrow(run, "doc_id long, h long, n long, fp long, range int, ids binary, token long, times long")
+
+
+def _low_counts(profile: DataFrame) -> DataFrame:
+    """token, times of the tokens in the first LOW ranges that over KNOWN sets hold; a range is counted at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            t, times = np.unique(np.frombuffer(b"".join(parts), "<u4"), return_counts=True)
+            t, times = t[times > KNOWN].astype(np.int64), times[times > KNOWN]
+            return pa.RecordBatch.from_arrays([pa.array(t + (held << WITHIN)), pa.array(times)], ["token", "times"])
+
+        held, parts = None, []
+        for batch in batches:
+            for r, ids in zip(batch.column("range").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if r != held and parts:
+                    yield counted()
+                    parts = []
+                held = r
+                parts.append(ids)
+        if parts:
+            yield counted()
 
-    return texts.mapInArrow(run, "doc_id long, h long, n long, fp long, token long, times long")
+    rows = profile.where("ids IS NOT NULL").select("range", "ids")
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(run, "token long, times long")
 
 
 def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT most frequent tokens, sorted, and their counts."""
+    """The FREQUENT most frequent tokens without their DROPPED bits, sorted, and their counts."""
     summed = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times"))
-    top = summed.orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()
+    counts = stored(_low_counts(profile).union(summed), "jaccard-frequent")
+    least, left = 0, FREQUENT
+    for row in counts.groupBy("times").count().orderBy(F.desc("times")).toLocalIterator():
+        least, left = row["times"], left - row["count"]
+        if left <= 0:
+            break
+    top = counts.where(f"times >= {least}")
+    top = (top.orderBy(F.desc("times"), "token").limit(FREQUENT) if left < 0 else top).toArrow()
     tokens, times = top.column("token").to_numpy().view(np.uint64), top.column("times").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], times[order]
 
 
-def prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(t n) + 1 tokens in the global order, and which of them are frequent (s is sorted by hash)."""
+def prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int, dropped: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(t n) + 1 tokens in the global order, and which of them are frequent (s is sorted by hash).
+
+    Tokens that differ in no bit but the dropped ones are one to frequent; the order is of the token alone even so."""
     n = len(s)
     keep = n - (percent * n + 99) // 100 + 1
     tokens, times = frequent
     if not len(tokens):
         return s[:keep], np.zeros(keep, bool)
-    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-    hit = tokens[at] == s
+    ids = s >> np.uint64(dropped)
+    at = np.minimum(np.searchsorted(tokens, ids), len(tokens) - 1)
+    hit = tokens[at] == ids
     plain = s[~hit][:keep]
     if len(plain) == keep:
         return plain, np.zeros(keep, bool)
@@ -150,7 +199,7 @@ def _prefix_rows(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perc
                 if not len(s) or (fp := fingerprint(s)) in seen:
                     continue
                 seen.add(fp)
-                tokens, late = prefix(s, shared.value, percent)
+                tokens, late = prefix(s, shared.value, percent, DROPPED)
                 k = len(tokens)
                 made.append((tokens.view(np.int64), np.full(k, fp), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), late))
                 size += k
@@ -372,7 +421,7 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     profile = stored(_profile(texts), "jaccard-profile")
-    each = profile.where("token IS NULL").select("doc_id", "h", "n", "fp")
+    each = profile.where("fp IS NOT NULL").select("doc_id", "h", "n", "fp")
     # One row stands for each set, under the least id, or under none where all its rows lack one; hot sets are reduced before the shuffle.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("least")
     reps = stored(each.where("n > 0").groupBy("fp").agg(least).select("fp", "least.doc_id", "least.h"), "jaccard-representatives")

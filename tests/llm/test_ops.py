@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -539,6 +540,22 @@ def test_jaccard_prefixes_meet(make_docs, empty_docs):
             assert len(np.intersect1d(jaccard.prefix(a, frequent, 80)[0], jaccard.prefix(b, frequent, 80)[0]))
 
 
+def test_jaccard_order_knows_tokens_that_no_run_repeats(make_docs, monkeypatch):
+    """A passage of many texts is counted over all of them, however few a run holds, so that prefixes do without it."""
+    monkeypatch.setattr(jaccard, "RUN", 10)
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(30)
+    texts = [" ".join(fresh(50) + passage + fresh(50)) for _ in range(60)]
+    docs = make_docs(texts).selectExpr("doc_id", "xxhash64(text) AS h", "text")
+    known = jaccard._frequent(jaccard._profile(docs))
+    rows = jaccard._prefix_rows(docs, known, 80)
+    assert rows.count() == 60 * (126 - 101 + 1) and jaccard._crowded(jaccard._repeated(rows))[1].count() == 0
+    shared = next(s for _, s in jaccard._sets(pa.array([" ".join(passage)])))
+    low = {int(t) >> jaccard.DROPPED for t in shared if int(t) >> 52 < jaccard.LOW}
+    assert dict(zip(known[0].tolist(), known[1].tolist(), strict=True)) == dict.fromkeys(low, 60) and 0 < len(low) < 26
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in dicts(components.components(edges))}
