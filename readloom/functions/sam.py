@@ -29,18 +29,19 @@ def record_class() -> Column:
     return F.when(has(SECONDARY), "secondary").when(has(SUPPLEMENTARY), "supplementary").otherwise("primary")
 
 
-def span(ops: str, cigar: Column | str = "cigar") -> Column:
-    """Sum of the lengths of the CIGAR operations named in ops."""
+def span(ops: str, cigar: Column | str = "cigar", runs: bool = False) -> Column:
+    """Sum of the lengths of the CIGAR operations named in ops; with runs, each stands for `times` equal ones."""
     codes = [CIGAR_OPS.index(o) for o in ops]
-    return F.aggregate(cigar, F.lit(0).cast("bigint"), lambda a, o: a + F.when(o["op"].isin(codes), o["len"]).otherwise(0))
+    length = lambda o: o["len"].cast("bigint") * o["times"] if runs else o["len"]
+    return F.aggregate(cigar, F.lit(0).cast("bigint"), lambda a, o: a + F.when(o["op"].isin(codes), length(o)).otherwise(0))
 
 
-def query_span() -> Column:
-    return span("MIS=X")
+def query_span(runs: bool = False) -> Column:
+    return span("MIS=X", runs=runs)
 
 
-def reference_span() -> Column:
-    return span("MDN=X")
+def reference_span(runs: bool = False) -> Column:
+    return span("MDN=X", runs=runs)
 
 
 def aligned_bases() -> Column:

@@ -114,11 +114,14 @@ def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view's reads with the columns of BROKEN: every rule of the checks is broken by some of them."""
+    """The view's reads with the columns of BROKEN: every rule of the checks is broken by some of them.
+
+    Operations of a CIGAR have `times`, as some reads have a million equal ones."""
     plain = reads(spark, sf_dir).drop("seq")
     made = plain.selectExpr("h", "cigar", *(f"{e} AS {c}" for c, e in BROKEN.items()))
-    extra = F.array_repeat(F.struct(F.col("extra_len").cast("int").alias("len"), F.col("extra_op").cast("int").alias("op")), F.col("extra_ops").cast("int"))
-    cigar = F.when(F.col("bare"), F.array().cast(ops_type())).otherwise(F.col("cigar"))
+    extra = F.array(F.struct(F.col("extra_len").cast("int").alias("len"), F.col("extra_op").cast("int").alias("op"), F.col("extra_ops").cast("int").alias("times")))
+    own = F.transform("cigar", lambda o: F.struct(o["len"].alias("len"), o["op"].alias("op"), F.lit(1).alias("times")))
+    cigar = F.when(F.col("bare"), F.array().cast("array<struct<len: int, op: int, times: int>>")).otherwise(own)
     return made.withColumn("cigar", F.when(F.col("extra_ops") > 0, F.concat(cigar, extra)).otherwise(cigar))
 
 

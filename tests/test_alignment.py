@@ -10,7 +10,7 @@ from readloom.operators import alignment_metrics as am
 from readloom.operators import cigar, counters, coverage, intervals, overlap, targeted, validation
 from readloom.operators import summary_stats as ss
 from readloom.plans import release, texts
-from readloom.sources import bam, bed
+from readloom.sources import bam, bed, view
 from tests import rows as R
 
 
@@ -249,6 +249,30 @@ def test_violations(spark):
     assert validation.order_violations(R.frame(spark, [R.read("a", 0, 0, 950, "5M"), R.read("b", 4, -1, -1, "", "A", mapq=0)])).count() == 0
 
 
+def test_violations_of_runs_equal_those_of_single_operations(spark, monkeypatch, tmp_path):
+    """Operations with `times` count and add up as if each stood so often, up to a million; the view has no array of a million."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        runs = [(rng.choice((0, 1, 3, 7)), rng.choice((*range(9), 9, -1)) if rng.random() < 0.1 else rng.choice((0, 1, 2, 4, 5)), rng.choice((1, 1, 2, 5))) for _ in range(rng.randrange(5))]
+        bases = sum(n * t for n, o, t in runs if o in (0, 1, 4, 7, 8)) + (rng.random() < 0.2)
+        rows.append((i, 0, 0, rng.choice((10, 999_960)), -1, -1, bases, runs))
+    start = "rec_index long, flag int, ref_id int, pos long, mate_ref_id int, mate_pos long, seq_length long, cigar array<struct<len: int, op: int"
+    told = lambda cigars, more: sorted(map(tuple, validation.violations(spark.createDataFrame([(*r[:-1], c) for r, c in zip(rows, cigars, strict=True)], f"{start}{more}>>"), R.refs(spark)).collect()))
+    monkeypatch.setattr(validation, "MAX_OPERATIONS", 9)
+    plain = told([[(n, o) for n, o, t in r[-1] for _ in range(t)] for r in rows], "")
+    assert told([r[-1] for r in rows], ", times: int") == plain
+    assert {rule for rule, _, _ in plain} == {"zero_length_operation", "unknown_operation", "query_span", "mapped_without_cigar", "beyond_reference", "operation_limit"}
+    monkeypatch.undo()
+    rows[:] = [(0, 0, 0, 10, -1, -1, 5, [(5, 0, 1), (1, 5, 999_999)]), (1, 0, 0, 10, -1, -1, 5, [(5, 0, 1), (1, 5, 1_000_000)])]
+    assert told([r[-1] for r in rows], ", times: int") == [("operation_limit", "resource_limit", 1)]
+    line = spark.createDataFrame([(k, 1, 1, 1, 20.0, 0.05, 0.02) for k in range(1, 10_008)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 3)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    longest = view.broken_reads(spark, str(tmp_path)).selectExpr("max(size(cigar))", "max(aggregate(cigar, 0, (a, o) -> a + o.times))").first()
+    assert longest[0] <= 6 and longest[1] >= 1_000_000
+
+
 def test_read_groups(spark):
     reads = R.frame(spark, [R.read("a", 0, 0, 700, "5M", rg="known"), R.read("b", 0, 0, 710, "5M"), R.read("c", 0, 0, 720, "5M", rg="not-declared"), R.read("d", 0, 0, 730, "5M", rg="twice")])
     groups = spark.createDataFrame([("known",), ("twice",), ("twice",)], "id string")
