@@ -324,7 +324,8 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     salts = members.groupBy("leader").agg(F.ceil(F.count("*") / 1000).alias("salts"))  # a leader of many is read by many tasks
     leaders = sets.join(bounded(salts.withColumnRenamed("leader", "fp")), "fp").select(F.col("fp").alias("leader"), F.col("s").alias("leader_s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     salted = members.join(bounded(salts), "leader").select("leader", "fp", F.pmod(F.xxhash64("fp"), F.col("salts")).alias("salt"))
-    joined = salted.join(sets, "fp").join(leaders, ["leader", "salt"]).select("leader", "fp", "s", "leader_s")
+    own = sets.join(bounded(members.select("fp").distinct()), "fp", "left_semi")  # later rounds have few members, and would shuffle all sets
+    joined = salted.join(own, "fp").join(leaders, ["leader", "salt"]).select("leader", "fp", "s", "leader_s")
     reach = max(1, OWN - (100 - percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
